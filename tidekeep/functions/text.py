@@ -129,9 +129,10 @@ def human_bytes(n) -> Column:
 
 
 def _sized(n, power, unit):
-    tenths = F.floor(n / F.lit(float(1000 ** power)) * 10 + 0.5)
-    whole = F.format_string("%.0f " + unit, tenths / 10)
-    return F.when(tenths < 100, F.format_string("%.1f " + unit, tenths / 10)).otherwise(whole)
+    tenths = F.floor(n / F.lit(float(1000 ** power)) * 10 + 0.5).cast("bigint")
+    one_decimal = F.concat_ws(".", F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string"))
+    whole = F.bround(tenths / F.lit(10.0)).cast("bigint").cast("string")
+    return F.concat(F.when(tenths < 100, one_decimal).otherwise(whole), F.lit(" " + unit))
 
 
 def age_text(seconds) -> Column:
