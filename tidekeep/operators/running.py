@@ -26,10 +26,14 @@ def number_chunk(number: str, size: int) -> Column:
 
 @dataclass
 class Running:
-    """``kind`` is sum, min, max or last (the last value that is not NULL)."""
+    """``kind`` is sum, min, max or last (the last value that is not NULL).
+
+    ``before`` leaves the current row out: the value up to the row in front.
+    """
 
     kind: str
     value: Column
+    before: bool = False
 
     def over(self, column: Column, window) -> Column:
         if self.kind == "last":
@@ -49,14 +53,20 @@ class Running:
         return (F.least if self.kind == "min" else F.greatest)(before, inside)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-            values: dict[str, Running]) -> DataFrame:
+def with_chunk(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Adds the chunk number and shuffles the rows once for all scans that follow."""
+    return df.withColumn(CHUNK, chunk).repartition(*keys, CHUNK)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running],
+            chunk: Column | None = None) -> DataFrame:
     """Adds each value accumulated from the first row of its key to the current one.
 
     ``order`` must order the rows of a key without ties, and ``chunk`` must
-    grow with it.
+    grow with it; without ``chunk`` the column left by ``with_chunk`` is used.
     """
-    rows = df.withColumns({CHUNK: chunk, **{f"_in_{name}": r.value for name, r in values.items()}})
+    rows = df if chunk is None else df.withColumn(CHUNK, chunk)
+    rows = rows.withColumns({f"_in_{name}": r.value for name, r in values.items()})
     sequence = F.struct(*order)
     totals = rows.groupBy(*keys, CHUNK).agg(
         *[r.total(F.col(f"_in_{name}"), sequence).alias(f"_in_{name}") for name, r in values.items()])
@@ -64,8 +74,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     carry = totals.select(
         *[F.col(c).alias(f"_key_{c}") for c in [*keys, CHUNK]],
         *[r.over(F.col(f"_in_{name}"), earlier).alias(f"_before_{name}") for name, r in values.items()])
-    upto = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    scanned = rows.withColumns({f"_in_{name}": r.over(F.col(f"_in_{name}"), upto) for name, r in values.items()})
+    inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    scanned = rows.withColumns({
+        f"_in_{name}": r.over(F.col(f"_in_{name}"), inside.rowsBetween(W.unboundedPreceding, -1 if r.before else 0))
+        for name, r in values.items()})
     same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in [*keys, CHUNK]]
     joined = scanned.join(carry, same, "left")
     return joined.select(*df.columns, *[

@@ -123,7 +123,7 @@ def number_attempts(attempts: DataFrame, keys=("run_id", "name"),
     """Attempt number in the given order; equal rows are numbered through."""
     grouped = attempts.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("_copies"))
     chunk = F.floor(F.col(order[0]) / 1024).cast("bigint")
-    counted = running(grouped, list(keys), list(order), chunk, {"_upto": Running("sum", F.col("_copies"))})
+    counted = running(grouped, list(keys), list(order), {"_upto": Running("sum", F.col("_copies"))}, chunk)
     numbers = F.sequence(F.col("_upto") - F.col("_copies") + 1, F.col("_upto"))
     return counted.withColumn("attempt", F.explode(numbers)).drop("_copies", "_upto")
 
@@ -179,25 +179,37 @@ def unknown_changes(history: DataFrame, changes: DataFrame, keys=("host", "run_i
     return changes.join(history.select(*keys), list(keys), "left_anti")
 
 
-def carry_forward(runs: DataFrame) -> DataFrame:
+def full_success():
+    """Success of a run: a needed upload must have worked too (column ``uploaded``, NULL where not needed)."""
+    return (F.col("status") == "success") & F.coalesce(F.col("uploaded"), F.lit(True))
+
+
+def carried_values(runs: DataFrame) -> dict[str, Running]:
+    """What a run inherits from the runs before it, and what it sets itself."""
+    columns, own = runs.columns, F.col("status") != "skipped"
+    success = full_success() if "uploaded" in columns else F.col("status") == "success"
+    made_folder = own & ~blank("run_folder") if "run_folder" in columns else own
+    values = {
+        "last_success": Running("last", F.when(success, F.col("ts"))),
+        "last_cleanup": Running("last", F.when(made_folder, F.col("ts"))),
+    }
+    if "validation_status" in columns:
+        status = F.col("validation_status")
+        values["validation_gauge"] = Running("last", F.when(status == "success", 1).when(status == "failed", 0))
+    return values
+
+
+def carry_forward(runs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     """Values a run inherits: last success, last cleanup, last validation, last own snapshot.
 
     A skipped run repeats the snapshot of the run before it, named by
-    ``snapshot_run``. Validation status is -1 before the first validation.
+    ``snapshot_run``. The validation gauge is -1 before the first validation.
     """
-    own = F.col("status") != "skipped"
-
-    made_folder = ~blank("run_folder") if "run_folder" in runs.columns else own
-    validated = (F.when(F.col("validation_status") == "success", 1)
-                 .when(F.col("validation_status") == "failed", 0)
-                 if "validation_status" in runs.columns else F.lit(None).cast("int"))
-    out = running(runs, ["host"], ["ts", "run_id"], time_chunk("ts", DAY), {
-        "last_success": Running("last", F.when(F.col("status") == "success", F.col("ts"))),
-        "last_cleanup": Running("last", F.when(own & made_folder, F.col("ts"))),
-        "validation_gauge": Running("last", validated),
-        "snapshot_run": Running("last", F.when(own, F.col("run_id"))),
-    })
-    return out.withColumn("validation_gauge", F.coalesce("validation_gauge", F.lit(-1)))
+    snapshot = Running("last", F.when(F.col("status") != "skipped", F.col("run_id")))
+    out = running(runs, ["host"], ["ts", "run_id"], {**carried_values(runs), "snapshot_run": snapshot},
+                  time_chunk("ts", chunk_seconds))
+    gauge = F.col("validation_gauge") if "validation_gauge" in out.columns else F.lit(None).cast("int")
+    return out.withColumn("validation_gauge", F.coalesce(gauge, F.lit(-1)))
 
 
 def run_age(runs: DataFrame, now: Column) -> DataFrame:

@@ -11,10 +11,10 @@ def any_of(column, words):
     return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 
 
-@query("keep_dump_warnings", ["doc_lines"], f"""
-SELECT doc_id, line_no, line FROM doc_lines WHERE {any_of('lower(line)', op.DUMP_WORDS)}""")
+@query("keep_dump_warnings", ["db_results"], f"""
+SELECT run_id, name, size_bytes, error FROM db_results WHERE {any_of('lower(error)', op.DUMP_WORDS)}""")
 def _dump_warnings(data):
-    return op.keep_dump_warnings(data.view("doc_lines").select("doc_id", "line_no", "line"))
+    return op.keep_dump_warnings(data.view("db_results").select("run_id", "name", "size_bytes", "error"), "error")
 
 
 @query("keep_physical_events", ["tool_lines"], f"""
