@@ -221,9 +221,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_views(*names: str) -> str:
-    """``WITH`` clause that defines the named views for DuckDB."""
+    """``WITH`` clause that defines the named views for DuckDB (texts may add recursive ones)."""
     parts = []
     for name in names:
         text = _render(VIEWS[name], "duckdb")
         parts.append(f"{name} AS ({re.sub(r'[{](\w+)[}]', r'\1', text)})")
-    return "WITH " + ",\n".join(parts) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"

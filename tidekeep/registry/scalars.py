@@ -166,7 +166,7 @@ def _parse_schedule(data):
     return parsed.withColumn("minutes", F.array_join("minutes", ","))
 
 
-DUE_SQL = """, slots AS (SELECT *, CASE case_id % 6 WHEN 0 THEN [2] WHEN 1 THEN [2, 10, 18] END AS hours,
+JUDGED_SQL = """, slots AS (SELECT *, CASE case_id % 6 WHEN 0 THEN [2] WHEN 1 THEN [2, 10, 18] END AS hours,
   date_trunc('day', last_success) AS last_day, date_trunc('day', now) AS today FROM due_cases),
 targets AS (SELECT *, CASE
   WHEN case_id % 6 IN (0, 1) AND last_success IS NULL THEN coalesce(
@@ -180,7 +180,8 @@ targets AS (SELECT *, CASE
     ELSE last_day + INTERVAL 7 DAY + INTERVAL 2 HOUR END
   WHEN case_id % 6 = 3 AND last_success IS NOT NULL THEN last_success + INTERVAL 6 HOUR END AS target FROM slots),
 judged AS (SELECT case_id, schedule, last_success, target, CASE case_id % 6 WHEN 4 THEN true WHEN 5 THEN false
-  ELSE coalesce(target <= now, true) END AS due, strftime(target, '%Y-%m-%dT%H:%M:%SZ') AS slot FROM targets)
+  ELSE coalesce(target <= now, true) END AS due, strftime(target, '%Y-%m-%dT%H:%M:%SZ') AS slot FROM targets)"""
+DUE_SQL = JUDGED_SQL + """
 SELECT case_id, due, target, CASE case_id % 6 WHEN 4 THEN 'schedule=always' WHEN 5 THEN 'schedule=disabled'
  ELSE 'schedule=' || schedule || CASE WHEN target IS NULL THEN ' first run'
   WHEN due AND case_id % 6 = 3 THEN ' due since ' || slot WHEN due THEN ' due at ' || slot

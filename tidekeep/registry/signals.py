@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidekeep.operators import alerts, logs, metrics, runs
 from tidekeep.registry.base import query
 from tidekeep.registry.runs import ROLLUP_SQL
+from tidekeep.registry.scalars import EVENT_SQL
 
 SNAPSHOT_SQL = ", ".join(
     f"arg_max(value, (ts, sample_id)) FILTER (metric = '{name}') AS {name}" for name in metrics.NAMES)
@@ -170,6 +171,30 @@ def _stream_error_summary(data):
     return logs.stream_error_summary(data.view("tool_lines"))
 
 
-@query("progress_timeline")
+# The fold as recursion: the lines of a run, numbered without gaps, one after the other.
+PROGRESS_SQL = EVENT_SQL + """, steps AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS step
+ FROM events_of WHERE kind IS NOT NULL),
+fold AS (
+ SELECT DISTINCT run_id, 0::BIGINT AS step, NULL::BIGINT AS line_no, 0::BIGINT AS total, 0::BIGINT AS current,
+  0::BIGINT AS completed, NULL::VARCHAR AS current_db, NULL::VARCHAR AS stage FROM steps
+ UNION ALL
+ SELECT s.run_id, s.step, s.line_no,
+  CASE WHEN s.kind = 'found' OR (s.kind = 'processing' AND s.total > 0) THEN s.total ELSE f.total END,
+  CASE s.kind WHEN 'processing' THEN CASE WHEN s.current > 0 THEN s.current ELSE f.current END
+   WHEN 'starting' THEN CASE WHEN f.total > 0 THEN least(f.completed + 1, f.total) ELSE f.completed + 1 END
+   WHEN 'completed' THEN greatest(f.current, CASE WHEN f.total > 0 THEN least(f.completed + 1, f.total) ELSE f.completed + 1 END)
+   ELSE f.current END,
+  CASE WHEN s.kind <> 'completed' THEN f.completed WHEN f.total > 0 THEN least(f.completed + 1, f.total) ELSE f.completed + 1 END,
+  CASE WHEN s.kind IN ('processing', 'starting') THEN s.db ELSE f.current_db END,
+  CASE s.kind WHEN 'found' THEN 'discovered databases' WHEN 'processing' THEN 'processing ' || s.db
+   WHEN 'starting' THEN 'dumping ' || s.db WHEN 'completed' THEN 'completed ' || s.db ELSE f.stage END
+ FROM fold f JOIN steps s ON s.run_id = f.run_id AND s.step = f.step + 1)
+SELECT run_id, line_no, total, current, completed, current_db, stage, CASE WHEN total <= 0 THEN 0.0::DOUBLE
+ WHEN p > 0.99 AND completed < total THEN 0.99 ELSE p END AS percent
+FROM (SELECT *, CASE WHEN current > completed THEN greatest(completed / total, (current - 1) / total + 0.35::DOUBLE / total)
+ ELSE completed / total END AS p FROM fold WHERE step > 0)"""
+
+
+@query("progress_timeline", ["log_lines"], PROGRESS_SQL)
 def _progress_timeline(data):
     return logs.progress_timeline(data.view("log_lines"), msg="value")

@@ -34,3 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created there yet."""
     return os.path.join(shared_folder(spark), "tidekeep", f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df, label: str):
+    """Writes a frame to the shared folder and reads it back.
+
+    Cuts lineage and lets several consumers share costly work; the files
+    outlive any executor.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
