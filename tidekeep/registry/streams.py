@@ -32,7 +32,7 @@ def _stream_run_history(data):
     sinks.append_run_history(run_records(data), path)
     sinks.append_run_history(run_records(data), path)
     rows, _ = run_available(inputs.stream_run_history(data.spark, path), "seen-runs")
-    return history_columns(rows.fillna(0, subset=["databases_failed", "databases_succeeded"]))
+    return history_columns(rows)
 
 
 def log_stream(data):

@@ -19,7 +19,7 @@ def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
         raise
 
 
-def _record_defaults(runs: DataFrame) -> DataFrame:
+def record_defaults(runs: DataFrame) -> DataFrame:
     """A number that is left out means 0; the zero time means none."""
     filled = {}
     for field in runs.schema.fields:
@@ -45,7 +45,7 @@ def read_run_history(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.schema(schema).json(path).withColumns({
             "_file": F.col(FILE), "_seq": F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())})
     runs = _or_empty(spark, read, f"{schema}, _file string, _seq struct<file_block_start: bigint, seq: bigint>")
-    return _record_defaults(runs).withColumns({"host": F.col("hostname"), "ts": F.col("timestamp")})
+    return record_defaults(runs).withColumns({"host": F.col("hostname"), "ts": F.col("timestamp")})
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -53,7 +53,7 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     def read():
         return (spark.read.schema(schemas.RUN).option("multiLine", True).option("basePath", root)
                 .json(f"{root}/*/*.json"))
-    runs = _record_defaults(_or_empty(spark, read, schemas.RUN))
+    runs = record_defaults(_or_empty(spark, read, schemas.RUN))
     return runs.withColumns({"host": F.col("hostname"), "ts": F.col("timestamp")})
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidekeep import schemas
-from tidekeep.sources.files import split_log_line
+from tidekeep.sources.files import record_defaults, split_log_line
 
 
 def stream_run_logs(spark: SparkSession, folder: str, late: str = "10 minutes", name_filter: str = "*_*.log",
@@ -24,6 +24,6 @@ def stream_run_logs(spark: SparkSession, folder: str, late: str = "10 minutes",
 
 def stream_run_history(spark: SparkSession, folder: str, late: str = "1 hour", **options) -> DataFrame:
     """Run records as they are appended; a run seen again within the delay is the same run."""
-    runs = spark.readStream.schema(schemas.RUN).options(**options).json(folder)
+    runs = record_defaults(spark.readStream.schema(schemas.RUN).options(**options).json(folder))
     return (runs.withColumns({"host": F.col("hostname"), "ts": F.col("timestamp")})
             .withWatermark("ts", late).dropDuplicatesWithinWatermark(["host", "run_id"]))
