@@ -8,6 +8,8 @@ share of all rows is so spread over as many tasks as it has chunks.
 """
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -78,7 +80,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     scanned = rows.withColumns({
         f"_in_{name}": r.over(F.col(f"_in_{name}"), inside.rowsBetween(W.unboundedPreceding, -1 if r.before else 0))
         for name, r in values.items()})
+    # Rows of a first chunk inherit nothing, and most keys have one chunk only: what is joined is small.
+    inherits = reduce(or_, [F.col(f"_before_{name}").isNotNull() for name in values])
     same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in [*keys, CHUNK]]
-    joined = scanned.join(carry, same, "left")
+    joined = scanned.join(carry.where(inherits), same, "left")
     return joined.select(*df.columns, *[
         r.combine(F.col(f"_before_{name}"), F.col(f"_in_{name}")).alias(name) for name, r in values.items()])

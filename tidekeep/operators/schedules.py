@@ -29,8 +29,11 @@ def schedule_due(cases: DataFrame, now="now", schedule="schedule", last_success=
             return F.convert_timezone(F.current_timezone(), F.lit(zone), local)
         return local
 
-    parts = {"_" + name: c for name, c in schedule_parts(schedule).items()}
-    df = cases.withColumns({"_now": wall_clock(now), "_last": wall_clock(last_success), **parts})
+    # A fleet shares few schedule texts: each is parsed once and joined back.
+    texts = cases.select(F.col(schedule).alias("_text")).distinct()
+    plans = texts.select("_text", *[c.alias(f"_{name}") for name, c in schedule_parts("_text").items()])
+    df = cases.withColumns({"_now": wall_clock(now), "_last": wall_clock(last_success)})
+    df = df.join(plans, F.col(schedule).eqNullSafe(F.col("_text")), "left")
     t, last, kind, minutes, error = (F.col(c) for c in ("_now", "_last", "_kind", "_minutes", "_error"))
     first_run = last.isNull()
 

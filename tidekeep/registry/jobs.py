@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidekeep import fixtures
 from tidekeep.operators import profile, retention, runs as run_ops
+from tidekeep.operators.metrics import NAMES
 from tidekeep.plans import jobs
 from tidekeep.registry.base import query
 from tidekeep.registry.catalog import KEYS, sample_sql
@@ -155,44 +156,50 @@ def _run_history_files(data):
 
 
 @query("log_files", ["log_lines"], """
-SELECT '2024_' || run_id AS run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS BIGINT) AS line_no,
+SELECT left(value, 10) AS day, CAST(row_number() OVER (PARTITION BY left(value, 10) ORDER BY line_no) AS BIGINT) AS line_no,
  strptime(left(value, 26), '%Y/%m/%d %H:%M:%S.%f') AS ts, substr(value, 28) AS msg FROM log_lines""")
 def _log_files(data):
-    """Writes one log per run, as runs do, and reads them back."""
+    """Writes daily logs, as runs do, and reads them back with their line numbers."""
     path = work_path(data.spark, "logs")
-    lines = data.view("log_lines").withColumn("log", F.concat(F.lit("2024_"), F.col("run_id").cast("string")))
-    (lines.repartition("log").sortWithinPartitions("log", "line_no").select("log", "value")
-     .write.partitionBy("log").text(path))
+    lines = data.view("log_lines").withColumn("day", F.replace(F.substring("value", 1, 10), F.lit("/"), F.lit("-")))
+    (lines.repartition("day").sortWithinPartitions("day", "line_no").select("day", "value")
+     .write.partitionBy("day").text(path))
     files = sources.number_lines(sources.text_lines(data.spark, path))
     return sources.split_log_line(files).select(
-        F.regexp_extract("_file", r"log=([^/]+)/", 1).alias("run_id"), "line_no",
+        F.replace(F.regexp_extract("_file", r"day=([^/]+)/", 1), F.lit("-"), F.lit("/")).alias("day"), "line_no",
         F.col("ts").cast("timestamp_ntz").alias("ts"), "msg")
 
 
-@query("metric_files", ["samples"], """
-, latest AS (SELECT series_id, metric, arg_max(value, (ts, sample_id)) AS value FROM samples GROUP BY 1, 2)
-SELECT 'h' || series_id AS host, metric, 'fleet' AS job, 'r ' || series_id AS region, value::DOUBLE AS value FROM latest""")
-def _metric_files(data):
+GAUGES_SQL = """, latest AS (SELECT 'h' || series_id % 50 AS host, metric, arg_max(value, (ts, sample_id)) AS value
+ FROM samples GROUP BY 1, 2)
+"""
+
+
+def gauge_files(data):
+    """Writes one gauge file for each of 50 hosts."""
     path = work_path(data.spark, "gauges")
-    latest = data.view("samples").groupBy("series_id", "metric").agg(
+    host = F.concat(F.lit("h"), (F.col("series_id") % 50).cast("string"))
+    latest = data.view("samples").groupBy(host.alias("host"), "metric").agg(
         F.max_by("value", F.struct("ts", "sample_id")).cast("double").alias("value"))
-    series = F.col("series_id").cast("string")
-    sinks.write_metric_text(latest.select(
-        F.concat(F.lit("h"), series).alias("host"), "metric", "value",
-        F.concat(F.lit('job="fleet",service="mysql",region="r '), series, F.lit('"')).alias("labels")), path)
-    return sources.read_metric_text(data.spark, path).select(
+    labels = F.concat(F.lit('job="fleet",service="mysql",region="r '), F.col("host"), F.lit('"'))
+    sinks.write_metric_text(latest.withColumn("labels", labels), path)
+    return path
+
+
+@query("metric_files", ["samples"], GAUGES_SQL + """
+SELECT host, metric, 'fleet' AS job, 'r ' || host AS region, value::DOUBLE AS value FROM latest""")
+def _metric_files(data):
+    return sources.read_metric_text(data.spark, gauge_files(data)).select(
         "host", "metric", F.col("labels")["job"].alias("job"), F.col("labels")["region"].alias("region"), "value")
 
 
-@query("observability_report", ["samples"], None)
+@query("observability_report", ["samples"], GAUGES_SQL + f"""
+, names AS (SELECT unnest([{', '.join(f"'{n}'" for n in NAMES)}]) AS metric)
+SELECT host, 'failed-or-unknown' AS last_write_result, n.metric,
+ coalesce(value, CASE WHEN n.metric = 'backup_logical_validation_last_status' THEN -1 ELSE 0 END)::DOUBLE AS value
+FROM (SELECT DISTINCT host FROM latest) CROSS JOIN names n LEFT JOIN latest USING (host, metric)""")
 def _observability_report(data):
-    path = work_path(data.spark, "gauges")
-    latest = data.view("samples").groupBy("series_id", "metric").agg(
-        F.max_by("value", F.struct("ts", "sample_id")).cast("double").alias("value"))
-    sinks.write_metric_text(latest.select(
-        F.concat(F.lit("h"), F.col("series_id").cast("string")).alias("host"), "metric", "value",
-        F.lit('job="fleet"').alias("labels")), path)
-    return jobs.observability_report(data.spark, path).drop("last_update")
+    return jobs.observability_report(data.spark, gauge_files(data)).drop("last_update", "label")
 
 
 def _document_dumps(data, path):

@@ -36,12 +36,12 @@ def _stream_run_history(data):
 
 
 def log_stream(data):
+    """Daily logs as a live source."""
     path = work_path(data.spark, "logs")
-    lines = data.view("log_lines").withColumn("log", F.concat(F.lit("2024_"), F.col("run_id").cast("string")))
-    lines.repartition("log").sortWithinPartitions("log", "line_no").select("log", "value") \
-        .write.partitionBy("log").text(path)
-    stream = inputs.stream_run_logs(data.spark, path, name_filter="*.txt")
-    return stream
+    lines = data.view("log_lines").withColumn("day", F.replace(F.substring("value", 1, 10), F.lit("/"), F.lit("-")))
+    (lines.repartition("day").sortWithinPartitions("day", "line_no").select("day", "value")
+     .write.partitionBy("day").text(path))
+    return inputs.stream_run_logs(data.spark, path, name_filter="*.txt")
 
 
 LOG_TIME = "strptime(left(value, 26), '%Y/%m/%d %H:%M:%S.%f')"
