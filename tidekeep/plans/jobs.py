@@ -15,7 +15,7 @@ from tidekeep.operators.schedules import schedule_due
 from tidekeep.session import materialize
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
-from tidekeep.sources.artifacts import artifact_digests, file_sha256
+from tidekeep.sources.artifacts import artifact_digests, file_sha256, list_folders, listed_artifacts
 from tidekeep.sources.tables import TableSource, discover_tables, scan_tables
 
 RUN_ID = "%Y-%m-%d_%H-%M-%S"
@@ -81,15 +81,16 @@ def _as(df: DataFrame, schema: str) -> DataFrame:
                        for f in wanted])
 
 
-def validate_runs(history: DataFrame, artifacts: DataFrame, order=("ts",)) -> tuple[DataFrame, DataFrame]:
+def validate_runs(history: DataFrame, order=("ts",)) -> tuple[DataFrame, DataFrame]:
     """Checks the files of every run against its record.
 
     Returns the verdict per database and the validation fields per run, the
     latter ready for ``upsert_run_history``.
     """
     last = run_ops.keep_last(history, ["host", "run_id"], list(order))
-    folders = artifacts.select(F.regexp_replace(
-        F.regexp_replace("path", r"^file:/+", "/"), r"/[^/]+$", "").alias("run_folder"))
+    listing = materialize(list_folders(last), "listing")
+    artifacts = listed_artifacts(listing)
+    folders = listing.where("rel_path IS NULL").select("run_folder")
     barred = verify.missing_run_folders(last, folders)
     results = run_ops.explode_results(last.join(barred, "run_id", "left_anti")).select(
         "host", "run_id", "position", "name", "artifact_sha256", "sql_sha256")

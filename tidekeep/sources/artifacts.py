@@ -5,7 +5,7 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 4 << 20
 END_MARKER = b"-- Dump completed"
@@ -57,10 +57,16 @@ class _Payload:
         return self.error is not None and self.members == 0 and self.member is None
 
 
-def _open(path: str):
+def _locate(path: str):
+    """File system and name of a path as Spark writes it."""
     uri = path.replace("s3a://", "s3://", 1)
-    uri = "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    filesystem, name = fs.FileSystem.from_uri(uri)
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri)
+
+
+def _open(path: str):
+    filesystem, name = _locate(path)
     return filesystem.open_input_stream(name, compression=None)
 
 
@@ -77,6 +83,44 @@ def _digest(path: str):
             END_MARKER in payload.tail if good else False, payload.bad_header, payload.error)
 
 
+def list_folders(folders: DataFrame) -> DataFrame:
+    """What is in each folder of column ``run_folder``, listed by the tasks: (run_folder, rel_path, path, bytes).
+
+    A folder that exists has one row without ``rel_path``; one that is gone
+    has no row. Unlike Spark's file sources this also finds empty files.
+    """
+    schema = "run_folder string, rel_path string, path string, bytes bigint"
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=["run_folder", "rel_path", "path", "bytes"])
+
+    def entries(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                filesystem, name = _locate(folder)
+                if filesystem.get_file_info(name).type != fs.FileType.Directory:
+                    continue
+                yield batch_of([(folder, None, None, None)])
+                found = [f for f in filesystem.get_file_info(fs.FileSelector(name, recursive=True))
+                         if f.type == fs.FileType.File]
+                rows = [(folder, f.path[len(name.rstrip("/")) + 1:], folder.rstrip("/") + f.path[len(name.rstrip("/")):], f.size)
+                        for f in found]
+                if rows:
+                    yield batch_of(rows)
+
+    wanted = folders.select("run_folder").where("run_folder != ''").distinct()
+    return wanted.mapInArrow(entries, schema)
+
+
+def listed_artifacts(listing: DataFrame) -> DataFrame:
+    """The dumps of a folder listing as artifacts (run_id, db, path, bytes)."""
+    db = F.regexp_extract("rel_path", r"^([^/]+)\.sql\.gz$", 1)
+    return listing.where(db != "").select(
+        F.regexp_extract("run_folder", r"([^/]+)/*$", 1).alias("run_id"), db.alias("db"), "path", "bytes")
+
+
 def artifact_digests(artifacts: DataFrame) -> DataFrame:
     """File and payload digest, end marker and gzip faults of every file, in one pass each.
 

@@ -58,7 +58,10 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Files ``<root>/<run>/<db>.sql.gz`` with their size; contents are not read."""
+    """Files ``<root>/<run>/<db>.sql.gz`` with their size; contents are not read.
+
+    Spark's file sources leave empty files out; ``list_folders`` finds them.
+    """
     def read():
         return (spark.read.format("binaryFile").option("pathGlobFilter", "*.sql.gz").load(f"{root}/*")
                 .select("path", F.col("length").alias("bytes")))
