@@ -120,4 +120,4 @@ def vector_and(left: DataFrame, right: DataFrame, on=("labels", "ts")) -> DataFr
             F.map_entries("labels"), lambda e: F.to_json(F.struct(e["key"], e["value"])))), ",")) if "labels" in on else df
 
     columns = ["_labels" if c == "labels" else c for c in on]
-    return keyed(left).join(keyed(right).select(*columns), columns, "left_semi").select(*left.columns)
+    return keyed(left).join(keyed(right).select(*columns).distinct(), columns, "left_semi").select(*left.columns)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidekeep.functions.progress import parse_progress_event, progress_percent
+from tidekeep.functions.progress import progress_events, progress_percent
 from tidekeep.functions.text import contains_any, strip
 from tidekeep.operators.running import Running, number_chunk, running, with_chunk
 
@@ -40,8 +40,8 @@ def progress_timeline(lines: DataFrame, key="run_id", order="line_no", msg="msg"
     """
     event = F.col("_event")
     kind, db = event["kind"], event["db"]
-    rows = with_chunk(lines.withColumn("_event", parse_progress_event(msg)).where(kind.isNotNull()),
-                      [key], number_chunk(order, chunk_lines))
+    events = progress_events(lines, msg).select(key, order, "_event")
+    rows = with_chunk(events, [key], number_chunk(order, chunk_lines))
     sets_total = (kind == "found") | ((kind == "processing") & (event["total"] > 0))
     sets_position = ((kind == "processing") & (event["current"] > 0)) | (kind == "starting")
     stage = (F.when(kind == "found", F.lit("discovered databases"))

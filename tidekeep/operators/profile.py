@@ -1,9 +1,9 @@
 """Profiles of tables: row counts and hashes of the first rows by key."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidekeep.session import union_all
+
 
 def table_row_counts(spark: SparkSession, tables: dict[str, DataFrame], db: str) -> DataFrame:
     """Exact row count of every table, one job for all of them.
@@ -14,7 +14,7 @@ def table_row_counts(spark: SparkSession, tables: dict[str, DataFrame], db: str)
     names = spark.createDataFrame([(db, name) for name in sorted(tables)], "db string, table_name string")
     if not tables:
         return names.withColumn("row_count", F.lit(0).cast("bigint"))
-    rows = reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()])
+    rows = union_all(df.select(F.lit(name).alias("table_name")) for name, df in tables.items())
     counts = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
     return names.join(counts, "table_name", "left").select(
         "db", "table_name", F.coalesce("row_count", F.lit(0)).alias("row_count"))
@@ -78,4 +78,4 @@ def sample_row_hashes(spark: SparkSession, tables: dict[str, DataFrame], pk_colu
               for name, df in sorted(tables.items()) if n >= 1 and pk_columns.get(name)]
     if not hashes:
         return spark.createDataFrame([], "db string, table_name string, sample_hash string")
-    return reduce(DataFrame.unionAll, hashes)
+    return union_all(hashes)

@@ -12,7 +12,7 @@ from tidekeep.functions.text import blank, human_bytes
 from tidekeep.operators import alerts, catalog, filters, metrics, profile, retention, runs as run_ops, verify
 from tidekeep.operators.ordered_hash import ordered_sha256
 from tidekeep.operators.schedules import schedule_due
-from tidekeep.session import materialize
+from tidekeep.session import materialize, union_all
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
 from tidekeep.sources.artifacts import artifact_digests, file_sha256, list_folders, listed_artifacts
@@ -139,16 +139,10 @@ def verify_copy(recorded: dict[str, DataFrame], restored: dict[str, DataFrame])
 def table_profile(spark: SparkSession, databases: dict[str, dict[str, DataFrame]],
                   pk_columns: dict[str, list[str]], sample_rows: int) -> dict[str, DataFrame]:
     """Profile, exact counts and sample digests of several databases."""
-    def union(frames):
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
-
     names = [(db, "table", name) for db, tables in databases.items() for name in tables]
     objects = spark.createDataFrame(names, "db string, section string, name string")
-    counts = union([profile.table_row_counts(spark, tables, db) for db, tables in databases.items()])
-    hashes = union([profile.sample_row_hashes(spark, tables, pk_columns, sample_rows, db)
+    counts = union_all([profile.table_row_counts(spark, tables, db) for db, tables in databases.items()])
+    hashes = union_all([profile.sample_row_hashes(spark, tables, pk_columns, sample_rows, db)
                     for db, tables in databases.items()])
     shape = catalog.object_counts(objects).join(catalog.schema_fingerprint(objects), "db")
     return {"profile": shape, "counts": counts.withColumn("mode", F.lit("exact")), "hashes": hashes}

@@ -46,3 +46,11 @@ def materialize(df, label: str):
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def union_all(frames):
+    """Union of many frames by name, built as a balanced tree so that its depth stays small."""
+    frames = list(frames)
+    while len(frames) > 1:
+        frames = [a.unionByName(*b) if b else a for a, *b in (frames[i:i + 2] for i in range(0, len(frames), 2))]
+    return frames[0]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidekeep.functions.progress import parse_progress_event, progress_percent
+from tidekeep.functions.progress import progress_events, progress_percent
 from tidekeep.operators.alerts import RULES, rule_metrics
 
 NONE = -1  # no time
@@ -185,8 +185,7 @@ def live_progress(lines: DataFrame, keys=("host", "run_id"), order="ts", idle_mi
     """
     keys = list(keys)
     columns = list(dict.fromkeys([*keys, order, "ts"]))
-    events = (lines.withColumn("_event", parse_progress_event("msg")).select(*columns, "_event.*")
-              .where("kind IS NOT NULL"))
+    events = progress_events(lines).select(*columns, "_event.*")
     kinds = dict(events.dtypes)
     output = (f"{_key_schema(events, keys)}, `{order}` {kinds[order]}, total bigint, current bigint, completed bigint, "
               "current_db string, stage string")
