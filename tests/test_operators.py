@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidekeep.operators import alerts, catalog, filters, logs, metrics, retention, runs, verify
 from tidekeep.operators.ordered_hash import ordered_sha256
-from tidekeep.operators.running import Running, running
+from tidekeep.operators.running import Running, balanced_chunk, running, time_chunk
 
 
 def rows(df, *order):
@@ -39,6 +39,19 @@ def test_running_equals_a_plain_scan(spark, chunk):
         rows(got.select("k", "i", "v", "s", "lo", "hi", "la", "pl")), key=lambda r: r[1]) == want
 
 
+def test_balanced_chunks(spark):
+    crowded = spark.range(10_000).select(F.timestamp_micros(F.lit(10 ** 15) + F.col("id")).alias("ts"), "id")
+    spread = spark.range(100).select(F.timestamp_seconds(F.col("id") * 10 ** 6).alias("ts"), (F.col("id") + 20_000).alias("id"))
+    df = crowded.union(spread)
+    sizes = df.groupBy(balanced_chunk(df, "ts", 50).alias("c")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("c").collect()
+    assert max(r["n"] for r in sizes) <= 2 * 10_100 / 50 + 2
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    got = running(df.withColumn("k", F.lit("hot")), ["k"], ["ts"], {"n": Running("sum", F.lit(1))},
+                  balanced_chunk(df, "ts", 50))
+    assert got.agg(F.max("n"), F.count_distinct("n")).collect()[0][:] == (10_100, 10_100)
+
+
 # --- retention ----------------------------------------------------------------------
 
 def simulate_retention(times, daily, weekly, monthly):
@@ -126,7 +139,7 @@ def test_carry_forward_across_chunks(spark):
         ("failed", None, "/b"), ("skipped", "failed", "")])]
     df = spark.createDataFrame(data, "host string, run_id int, ts timestamp_ntz, status string, "
                                      "validation_status string, run_folder string")
-    out = runs.carry_forward(df, chunk_seconds=3600).orderBy("run_id").collect()
+    out = runs.carry_forward(df, time_chunk("ts", 3600)).orderBy("run_id").collect()
     hours = [None if r["last_success"] is None else int((r["last_success"] - start).total_seconds() // 36000) for r in out]
     assert hours == [None, 1, 1, 1, 1, 1]
     assert [r["validation_gauge"] for r in out] == [-1, -1, 1, 1, 1, 0]
@@ -202,7 +215,7 @@ def test_alerts_equal_simulation(spark, chunk):
     samples = random_samples(chunk)
     df = spark.createDataFrame(samples, "host string, t bigint, metric string, value double")
     df = df.withColumn("ts", F.timestamp_seconds("t")).drop("t")
-    got = alerts.alert_firing(df, chunk_seconds=chunk).select(
+    got = alerts.alert_firing(df, chunk=time_chunk("ts", chunk)).select(
         "host", "rule", F.unix_timestamp("started_at"), F.unix_timestamp("fired_at"))
     want = simulate_alerts(samples)
     assert len(want) > 20 and set(rows(got)) == want

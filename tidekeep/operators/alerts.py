@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidekeep.operators.running import HOUR, Running, running, time_chunk, with_chunk
+from tidekeep.operators.running import DAY, Running, running, time_chunk, with_chunk
 
 
 @dataclass
@@ -78,7 +78,8 @@ def evaluations(samples: DataFrame, keys, metrics, tie="value") -> DataFrame:
     return wanted.groupBy(*keys, "ts").agg(*[value_of(m).alias(f"_at_{m}") for m in metrics])
 
 
-def alert_firing(samples: DataFrame, rules=None, keys=("host",), tie="value", chunk_seconds: int = HOUR) -> DataFrame:
+def alert_firing(samples: DataFrame, rules=None, keys=("host",), tie="value",
+                 chunk: Column | None = None) -> DataFrame:
     """When each rule fired: (keys, rule, severity, started_at, fired_at).
 
     Rules are evaluated at the sample times of a key with the latest value of
@@ -88,7 +89,8 @@ def alert_firing(samples: DataFrame, rules=None, keys=("host",), tie="value", ch
     """
     rules, keys = rules or RULES, list(keys)
     metrics = rule_metrics(rules)
-    points = with_chunk(evaluations(samples, keys, metrics, tie), keys, time_chunk("ts", chunk_seconds))
+    points = with_chunk(evaluations(samples, keys, metrics, tie), keys,
+                        time_chunk("ts", DAY) if chunk is None else chunk)
 
     # Gauges at each evaluation and at the one before it.
     at = {m: F.col(f"_at_{m}") for m in metrics}

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidekeep.functions.durations import parse_duration
 from tidekeep.functions.text import blank
-from tidekeep.operators.running import DAY, Running, running, time_chunk
+from tidekeep.operators.running import MONTH, Running, running, time_chunk
 from tidekeep.operators.runs import carried_values, full_success
 
 # Gauge, its help text, and the decimals of its text form.
@@ -82,7 +82,7 @@ def _own_gauges() -> dict[str, Column]:
     }
 
 
-def run_to_samples(runs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def run_to_samples(runs: DataFrame, chunk: Column | None = None) -> DataFrame:
     """The 28 gauges of every finished run as rows (host, run_id, ts, metric, value).
 
     Beyond the fields of a run record, ``runs`` has ts, logical_due,
@@ -94,7 +94,7 @@ def run_to_samples(runs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     snapshot = F.struct(*[F.coalesce(value.cast("double"), F.lit(0.0)).alias(name) for name, value in gauges.items()])
     scanned = running(runs, ["host"], ["ts", "run_id"], {
         **carried_values(runs), "_snapshot": Running("last", F.when(own, snapshot))},
-        time_chunk("ts", chunk_seconds))
+        time_chunk("ts", MONTH) if chunk is None else chunk)
     validation = F.col("validation_gauge") if "validation_gauge" in scanned.columns else F.lit(None)
     rest = {
         "backup_last_success_timestamp": F.unix_timestamp("last_success"),

@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 DAY = 86400
-HOUR = 3600
+MONTH = 30 * DAY
 CHUNK = "_chunk"
 
 
@@ -22,6 +22,27 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds).cast("bigint")
 
 
+def balanced_chunk(df: DataFrame, order: str, chunks: int = 256) -> Column:
+    """Chunks of about equal size wherever the rows lie, for histories that crowd in a short time.
+
+    Takes one pass over the column to find the cuts, which are a few numbers.
+    """
+    value = F.col(order)
+    if dict(df.dtypes)[order].startswith("timestamp"):
+        value = F.unix_micros(value.cast("timestamp"))
+    shares = [i / chunks for i in range(1, chunks)]
+    cuts = sorted(set(df.select(F.percentile_approx(value, shares, 100 * chunks)).first()[0] or []))
+
+    def number(low, high):
+        """Cuts at or below the value, by halving."""
+        if low == high:
+            return F.lit(low).cast("bigint")
+        middle = (low + high) // 2
+        return F.when(value < cuts[middle], number(low, middle)).otherwise(number(middle + 1, high))
+
+    return number(0, len(cuts))
+
+
 def number_chunk(number: str, size: int) -> Column:
     return F.floor(F.col(number) / size).cast("bigint")
 

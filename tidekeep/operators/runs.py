@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidekeep.functions.outcomes import execution_source, final_outcome, is_rate_limited
 from tidekeep.functions.text import blank, strip
-from tidekeep.operators.running import DAY, Running, running, time_chunk
+from tidekeep.operators.running import MONTH, Running, running, time_chunk
 
 
 def explode_results(runs: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def carried_values(runs: DataFrame) -> dict[str, Running]:
     return values
 
 
-def carry_forward(runs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def carry_forward(runs: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Values a run inherits: last success, last cleanup, last validation, last own snapshot.
 
     A skipped run repeats the snapshot of the run before it, named by
@@ -207,7 +207,7 @@ def carry_forward(runs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     """
     snapshot = Running("last", F.when(F.col("status") != "skipped", F.col("run_id")))
     out = running(runs, ["host"], ["ts", "run_id"], {**carried_values(runs), "snapshot_run": snapshot},
-                  time_chunk("ts", chunk_seconds))
+                  time_chunk("ts", MONTH) if chunk is None else chunk)
     gauge = F.col("validation_gauge") if "validation_gauge" in out.columns else F.lit(None).cast("int")
     return out.withColumn("validation_gauge", F.coalesce(gauge, F.lit(-1)))
 
