@@ -12,7 +12,7 @@ from tidekeep.operators import runs as run_ops, verify
 from tidekeep.plans import jobs
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
-from tidekeep.sources.artifacts import artifact_digests, file_sha256, list_folders, listed_artifacts
+from tidekeep.sources.artifacts import _Payload, artifact_digests, file_sha256, list_folders, listed_artifacts
 from tidekeep.sources.tables import TableSource, discover_tables, scan_tables
 
 OLD = ('{"timestamp":"2026-05-27T10:00:00Z","run_id":"old","status":"failed","duration":"1s","databases_total":1,'
@@ -179,6 +179,17 @@ def test_artifact_digests(spark, tmp_path):
     assert [r["line"] for r in lines.collect()] == PAYLOAD.decode().splitlines()
 
 
+@pytest.mark.parametrize("step", [1 << 10, 1 << 22])
+def test_inflating_in_steps(step):
+    payload = b"\0" * 20_000_000 + b"-- Dump completed\n"
+    data, inflated = gzip.compress(payload) + gzip.compress(payload), _Payload()
+    for i in range(0, len(data), step):
+        inflated.feed(data[i:i + step])
+    inflated.close()
+    assert inflated.error is None and inflated.members == 2 and inflated.size == 2 * len(payload)
+    assert inflated.sha.hexdigest() == hashlib.sha256(payload * 2).hexdigest()
+
+
 def test_validate_runs(spark, tmp_path):
     files = dumps(tmp_path)
     sha, folder = hashlib.sha256, str(tmp_path / "root" / "run-1")
@@ -240,11 +251,19 @@ def test_export_and_snapshot(spark, tmp_path):
     spark.range(0).withColumn("y", F.lit("z")).write.parquet(str(source / "u.parquet"))
     where = TableSource(folder=str(source))
     assert rows(discover_tables(spark, where)) == [("table", "t"), ("table", "u")]
-    run = jobs.snapshot_tables(spark, where, str(tmp_path / "out"), str(tmp_path / "hist"), "h", "main",
-                               T(2026, 1, 2, 3, 4, 5), pk_columns={"t": ["id"]}, sample_rows=10)
+    copy = tmp_path / "copy"
+    spark.range(1).write.parquet(str(copy / "c.parquet"))
+    run = jobs.snapshot_tables(
+        spark, {"main": where, "bk_old": TableSource(folder=str(copy)), "mysql": where,
+                "gone": TableSource(folder=str(tmp_path / "nowhere"))},
+        str(tmp_path / "out"), str(tmp_path / "hist"), "h", T(2026, 1, 2, 3, 4, 5), pk_columns={"main": {"t": ["id"]}},
+        sample_rows=10)
     row = run.collect()[0]
-    result = row["results"][0]
-    assert (row["run_id"], row["status"], row["databases_total"]) == ("2026-01-02_03-04-05", "success", 1)
+    result = {r["name"]: r for r in row["results"]}["main"]
+    lost = {r["name"]: r for r in row["results"]}["gone"]
+    assert (row["run_id"], row["status"], row["databases_total"]) == ("2026-01-02_03-04-05", "partial", 2)
+    assert row["failure_reason"] == "1 of 2 database backups failed"
+    assert lost["status"] == "failed" and lost["error_category"] == "command" and "nowhere" in lost["error"]
     assert result["table_row_counts"] == {"t": 100, "u": 0} and result["row_counts"] == 100 and result["table_count"] == 2
     assert set(result["sample_row_hashes"]) == {"t"} and len(result["artifact_sha256"]) == 64
     text = "".join(f"{i}\t{i * 1.5:.6f}\n" for i in range(10))
@@ -253,6 +272,10 @@ def test_export_and_snapshot(spark, tmp_path):
     assert copy.count() == 100
     assert sources.read_run_history(spark, str(tmp_path / "hist")).count() == 1
     assert rows(sources.read_manifests(spark, str(tmp_path / "out" / "manifests")).select("run_id")) == [("2026-01-02_03-04-05",)]
+    chosen = jobs.snapshot_tables(spark, {"bk_old": TableSource(folder=str(copy)), "main": where}, str(tmp_path / "out2"),
+                                  str(tmp_path / "hist"), "h", T(2026, 1, 3), allow=["bk_old"], requested={"bk_old": ["c", "z"]})
+    assert [(r["name"], r["table_row_counts"]) for r in chosen.collect()[0]["results"]] == [("bk_old", {"c": 1})]
+    assert sources.read_run_history(spark, str(tmp_path / "hist")).count() == 2
     with pytest.raises(Exception):
         sinks.export_tables(spark, scan_tables(spark, where, ["t"]), str(tmp_path / "out"), "2026-01-02_03-04-05", "main")
 

@@ -68,3 +68,9 @@ def test_table_counts_read_no_column(spark):
     plan = registered.queries()["table_row_counts"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert scans and all("ReadSchema: struct<>" in line for line in scans)
+
+
+@pytest.mark.parametrize("name", ["recent_runs", "tail_lines", "ownership_drift"])
+def test_top_rows_are_cut_before_the_shuffle(spark, name):
+    plan = registered.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # before and after the exchange

@@ -108,10 +108,13 @@ def alert_firing(samples: DataFrame, rules=None, keys=("host",), tie="value",
     started = running(judged, keys, ["ts"], {
         f"_start_{r.name}": Running("last", F.when(F.col(r.name)["on"] & ~F.col(r.name)["was"], F.col("ts")))
         for r in rules})
-    spells = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"),
-                                F.when(F.col(r.name)["on"] & (seconds("ts") - seconds(f"_start_{r.name}") >= r.hold_seconds),
-                                       F.col(f"_start_{r.name}")).alias("started_at")) for r in rules])
-    held = started.select(*keys, "ts", F.inline(F.filter(spells, lambda s: s["started_at"].isNotNull())))
+    begun = {r.name: F.when(F.col(r.name)["on"] & (seconds("ts") - seconds(f"_start_{r.name}") >= r.hold_seconds),
+                            F.col(f"_start_{r.name}")) for r in rules}
+    holding = started.select(*keys, "ts", *[c.alias(name) for name, c in begun.items()])
+    holding = holding.where(F.coalesce(*begun).isNotNull())
+    held = holding.select(*keys, "ts", F.inline(F.array(*[
+        F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(r.name).alias("started_at"))
+        for r in rules]))).where(F.col("started_at").isNotNull())
     return held.groupBy(*keys, "rule", "severity", "started_at").agg(F.min("ts").alias("fired_at"))
 
 

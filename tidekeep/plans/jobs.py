@@ -21,57 +21,84 @@ from tidekeep.sources.tables import TableSource, discover_tables, scan_tables
 RUN_ID = "%Y-%m-%d_%H-%M-%S"
 
 
-def snapshot_tables(spark: SparkSession, source: TableSource, target: str, history: str, host: str, db: str,
-                    started: datetime, requested: list[str] | None = None,
-                    pk_columns: dict[str, list[str]] | None = None, sample_rows: int = 25,
-                    codec: str = "zstd") -> DataFrame:
-    """Profiles and exports the tables of one database, records the run and returns its record.
-
-    Only names, which are catalogue data, come to the driver; every count,
-    digest and copy is a Spark job over the whole tables.
+def snapshot_tables(spark: SparkSession, databases: dict[str, TableSource], target: str, history: str, host: str,
+                    started: datetime, allow: list[str] | None = None, requested: dict[str, list[str]] | None = None,
+                    view_deps: DataFrame | None = None, pk_columns: dict[str, dict[str, list[str]]] | None = None,
+                    sample_rows: int = 50, codec: str = "zstd") -> DataFrame:
+    """Profiles and exports the databases of a host, records the run and returns its record.
+
+    System databases and copies are left out (``allow`` names databases
+    instead), ``requested`` restricts tables, and views that read missing
+    tables (``view_deps``) are not profiled. A database that fails is recorded
+    with its category and does not stop the others. Only names, which are
+    catalogue data, come to the driver; every count, digest and copy is a
+    Spark job over whole tables.
     """
-    run_id = started.strftime(RUN_ID)
-    found = discover_tables(spark, source)
+    run_id, began = started.strftime(RUN_ID), datetime.now()
+    listed = spark.createDataFrame([(db,) for db in databases], "db string")
+    allowed = None if allow is None else spark.createDataFrame([(db,) for db in allow], "db string")
+    scope = catalog.select_databases(catalog.exclude_system_databases(listed), allowed)
+    results = []
+    for db in sorted(row["db"] for row in scope.collect()):
+        wanted = (requested or {}).get(db)
+        try:
+            result = _snapshot_database(spark, databases[db], target, run_id, db, wanted, view_deps,
+                                        (pk_columns or {}).get(db, {}), sample_rows, codec)
+        except Exception as failure:  # recorded, like any failed database
+            failed = spark.createDataFrame([(db, "failed", 1, str(failure))],
+                                           "name string, status string, attempts int, error string")
+            result = _as(failed.withColumn("error_category", classify_failure(F.lit(""), "error")), schemas.RESULT)
+        results.append(materialize(result, "result"))
+    empty = spark.createDataFrame([], schemas.RESULT)
+    record = union_all([*results, empty])
+    fields = record.columns
+    run = record.agg(
+        F.count(F.lit(1)).alias("databases_total"), F.count_if(F.col("status") == "success").alias("databases_succeeded"),
+        F.count_if(F.col("status") != "success").alias("databases_failed"),
+        F.collect_list(F.struct(*fields)).alias("results"))  # one entry per database of the host
+    seconds = (datetime.now() - began).total_seconds()
+    run = run_ops.run_status(run.withColumns({
+        "run_id": F.lit(run_id), "failure_reason": F.lit(""), "timestamp": F.lit(started).cast("timestamp"),
+        "backup_dir": F.lit(target), "run_folder": F.lit(f"{target}/{run_id}"),
+        "duration": format_duration(F.lit(seconds)), "hostname": F.lit(host)}))
+    run = materialize(_as(run, schemas.RUN), "run")
+    sinks.write_manifests(run, f"{target}/manifests")
+    sinks.append_run_history(run, history)
+    return run
+
+
+def _snapshot_database(spark, source, target, run_id, db, requested, view_deps, pk_columns, sample_rows, codec):
+    """Result record of one database, its tables written."""
+    found = discover_tables(spark, source).select(F.lit(db).alias("db"), "section", "name")
     if requested is not None:
-        wanted = spark.createDataFrame([(name,) for name in requested], "name string")
-        found = found.join(wanted, "name", "left_semi")
-    objects = found.select(F.lit(db).alias("db"), "section", "name")
+        wanted = spark.createDataFrame([(db, name) for name in requested], "db string, name string")
+        found = found.join(wanted, ["db", "name"], "left_semi")
+    if view_deps is not None:
+        tables_of = found.where("section = 'table'").select("db", F.col("name").alias("table_name"))
+        found = catalog.drop_broken_views(found, catalog.broken_views(view_deps.where(F.col("db") == db), tables_of))
     names = [row["name"] for row in found.where("section = 'table'").select("name").collect()]
+    success = {"name": F.lit(db), "status": F.lit("success"), "attempts": F.lit(1)}
+    if not names:
+        return _as(spark.createDataFrame([(db,)], "db string").withColumns({**success, "duration": F.lit("0s")}), schemas.RESULT)
     tables = scan_tables(spark, source, names)
 
     counts = profile.table_row_counts(spark, tables, db)
-    hashes = profile.sample_row_hashes(spark, tables, pk_columns or {}, sample_rows, db)
+    hashes = profile.sample_row_hashes(spark, tables, pk_columns, sample_rows, db)
     written = sinks.export_tables(spark, tables, target, run_id, db, codec)
     parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.parquet").load(f"{target}/{run_id}/{db}").select("path")
     digests = file_sha256(parts).select(F.lit(db).alias("db"), F.concat_ws(
         ":", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "sha256").alias("line"))
     artifact = ordered_sha256(digests, ["db"], ["line"], "line", "artifact_sha256")
-
     hash_map = hashes.groupBy("db").agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct("table_name", "sample_hash")))).alias("sample_row_hashes"))
     record = (
-        catalog.object_counts(objects)
-        .join(catalog.schema_fingerprint(objects), "db", "left")
-        .join(profile.db_row_counts(counts), "db", "left")
-        .join(hash_map, "db", "left").join(artifact, "db", "left")
-        .join(written.groupBy(F.lit(db).alias("db")).agg(F.sum("bytes").alias("size_bytes")), "db", "left")
-        .withColumns({
-            "name": F.col("db"), "status": F.lit("success"), "attempts": F.lit(1), "row_count_mode": F.lit("exact"),
-            "output_path": F.lit(f"{target}/{run_id}/{db}"), "sample_row_count": F.lit(sample_rows)}))
-    record = materialize(_as(record, schemas.RESULT), "result")
-    seconds = (datetime.now(started.tzinfo) - started).total_seconds()
-    record = record.withColumn("run_id", F.lit(run_id))
-    fields = [c for c in record.columns if c != "run_id"]
-    listed = record.groupBy("run_id").agg(F.collect_list(F.struct(*fields)).alias("results"))  # one row per database
-    rollup = run_ops.run_rollup(record).join(listed, "run_id")
-    run = run_ops.run_status(rollup.withColumns({
-        "failure_reason": F.lit(""), "timestamp": F.lit(started).cast("timestamp"), "backup_dir": F.lit(target),
-        "run_folder": F.lit(f"{target}/{run_id}"), "duration": format_duration(F.lit(seconds)), "hostname": F.lit(host)}))
-    run = materialize(_as(run, schemas.RUN), "run")
-    sinks.write_manifests(run, f"{target}/manifests")
-    sinks.append_run_history(run, history)
-    return run
+        catalog.object_counts(found).join(catalog.schema_fingerprint(found), "db", "left")
+        .join(profile.db_row_counts(counts), "db", "left").join(hash_map, "db", "left").join(artifact, "db", "left")
+        .join(written.groupBy(F.lit(db).alias("db")).agg(F.sum("bytes").alias("size_bytes")), "db", "left"))
+    return _as(record.withColumns({
+        **success, "row_count_mode": F.lit("exact"), "output_path": F.lit(f"{target}/{run_id}/{db}"),
+        "sample_row_count": F.lit(sample_rows)}), schemas.RESULT)
 
 
 def _as(df: DataFrame, schema: str) -> DataFrame:

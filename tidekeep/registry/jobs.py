@@ -35,7 +35,7 @@ SELECT 'h' || case_id AS host, 'logical' AS kind, schedule, case_id % 10 <> 0 AN
   WHEN case_id % 6 = 5 THEN 'schedule=disabled'
   ELSE 'schedule=' || schedule || CASE WHEN target IS NULL THEN ' first run'
    WHEN due AND case_id % 6 = 3 THEN ' due since ' || slot WHEN due THEN ' due at ' || slot
-   WHEN last_success IS NULL THEN ' waiting until ' || slot ELSE ' next due at ' || slot END END AS reason, NULL AS error
+   WHEN last_success IS NULL THEN ' waiting until ' || slot ELSE ' next due at ' || slot END END AS reason, NULL::VARCHAR AS error
 FROM judged UNION ALL
 SELECT 'h' || case_id, 'physical', 'always', true, NULL, 'schedule=always', NULL FROM judged""")
 def _due_report(data):
@@ -305,8 +305,8 @@ SELECT table_name, rows FROM (""" + " UNION ALL ".join(
 def _snapshot_tables(data):
     """Snapshots all tables and reads the recorded counts back from the run history."""
     target = work_path(data.spark, "snapshot")
-    jobs.snapshot_tables(data.spark, TableSource(folder=data.sf_dir), target, f"{target}/history", "host-1", "main",
-                         datetime(2026, 1, 2, 3, 4, 5), pk_columns=KEYS)
+    jobs.snapshot_tables(data.spark, {"main": TableSource(folder=data.sf_dir)}, target, f"{target}/history", "host-1",
+                         datetime(2026, 1, 2, 3, 4, 5), pk_columns={"main": KEYS})
     history = sources.read_run_history(data.spark, f"{target}/history")
     results = run_ops.explode_results(history)
     return results.select(F.explode("table_row_counts").alias("table_name", "rows"))

@@ -64,12 +64,12 @@ def plain_log_stream(data):
 
 @query("daily_log_rollup", ["log_lines"], f"""
 , lined AS (SELECT run_id % 20 AS host, run_id, {LOG_TIME} AS ts, contains(value, 'permission denied') AS bad FROM log_lines)
-SELECT host, ts::DATE AS day, count(*) AS lines, count(DISTINCT run_id) AS runs,
+SELECT host, strftime(ts, '%Y-%m-%d') AS day, count(*) AS lines, count(DISTINCT run_id) AS runs,
  sum(CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS failure_lines FROM lined GROUP BY 1, 2
-HAVING day + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM lined) - INTERVAL 10 MINUTE""")
+HAVING strptime(day, '%Y-%m-%d') + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM lined) - INTERVAL 10 MINUTE""")
 def _daily_log_rollup(data):
     rows, _ = run_available(windows.daily_log_rollup(plain_log_stream(data)), "days")
-    return rows
+    return rows.withColumn("day", F.col("day").cast("string"))
 
 
 @query("live_progress", ["log_lines"], PROGRESS_SQL)

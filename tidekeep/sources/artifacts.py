@@ -35,13 +35,21 @@ class _Payload:
                     return
                 self.member = zlib.decompressobj(wbits=31)
             try:
-                self._take(self.member.decompress(data))
+                data = self._inflate(data)
             except zlib.error as failure:
-                self.error = ("gzip: invalid checksum" if "incorrect" in str(failure) else f"flate: {failure}")
-                return
-            data = self.member.unused_data
+                self.error = "gzip: invalid checksum" if "incorrect" in str(failure) else f"flate: {failure}"
+
+    def _inflate(self, data: bytes) -> bytes:
+        """Inflates in bounded steps; returns what follows the end of the member."""
+        while True:
+            text = self.member.decompress(data, BLOCK)
+            self._take(text)
             if self.member.eof:
-                self.member, self.members = None, self.members + 1
+                rest, self.member, self.members = self.member.unused_data, None, self.members + 1
+                return rest
+            data = self.member.unconsumed_tail
+            if not data and len(text) < BLOCK:
+                return b""
 
     def _take(self, text: bytes):
         self.sha.update(text)
