@@ -251,10 +251,10 @@ def test_export_and_snapshot(spark, tmp_path):
     spark.range(0).withColumn("y", F.lit("z")).write.parquet(str(source / "u.parquet"))
     where = TableSource(folder=str(source))
     assert rows(discover_tables(spark, where)) == [("table", "t"), ("table", "u")]
-    copy = tmp_path / "copy"
-    spark.range(1).write.parquet(str(copy / "c.parquet"))
+    other = tmp_path / "other"
+    spark.range(1).write.parquet(str(other / "c.parquet"))
     run = jobs.snapshot_tables(
-        spark, {"main": where, "bk_old": TableSource(folder=str(copy)), "mysql": where,
+        spark, {"main": where, "bk_old": TableSource(folder=str(other)), "mysql": where,
                 "gone": TableSource(folder=str(tmp_path / "nowhere"))},
         str(tmp_path / "out"), str(tmp_path / "hist"), "h", T(2026, 1, 2, 3, 4, 5), pk_columns={"main": {"t": ["id"]}},
         sample_rows=10)
@@ -272,7 +272,7 @@ def test_export_and_snapshot(spark, tmp_path):
     assert copy.count() == 100
     assert sources.read_run_history(spark, str(tmp_path / "hist")).count() == 1
     assert rows(sources.read_manifests(spark, str(tmp_path / "out" / "manifests")).select("run_id")) == [("2026-01-02_03-04-05",)]
-    chosen = jobs.snapshot_tables(spark, {"bk_old": TableSource(folder=str(copy)), "main": where}, str(tmp_path / "out2"),
+    chosen = jobs.snapshot_tables(spark, {"bk_old": TableSource(folder=str(other)), "main": where}, str(tmp_path / "out2"),
                                   str(tmp_path / "hist"), "h", T(2026, 1, 3), allow=["bk_old"], requested={"bk_old": ["c", "z"]})
     assert [(r["name"], r["table_row_counts"]) for r in chosen.collect()[0]["results"]] == [("bk_old", {"c": 1})]
     assert sources.read_run_history(spark, str(tmp_path / "hist")).count() == 2
