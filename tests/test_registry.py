@@ -5,10 +5,11 @@ import pytest
 
 import __spark_entry__ as registered
 from check import compare
+from tidekeep import registry
 from tidekeep.fixtures import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = sorted(registered.queries())
+NAMES = sorted(registry.queries())
 
 # Digests, file listings and keyed state are the only places where Python runs.
 PYTHON = {"schema_fingerprint", "artifact_digests", "verify_copy", "snapshot_tables", "alert_stream", "stale_series",
@@ -49,7 +50,7 @@ def test_same_rows_as_sql(spark, con, plans, name):
 
 
 def test_every_query_has_a_sql_text():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 def test_entry(spark):
