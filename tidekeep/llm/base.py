@@ -1,5 +1,6 @@
 """Helpers shared by the operators: input columns, bounded batches, ids of whole texts."""
 
+import gc
 import os
 import re
 from functools import reduce
@@ -62,58 +63,137 @@ def union_all(frames):
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Punctuation that ends a match of letters and stays in one match with what follows of its kind.
+TAIL = ".,;:!?#$%&*|()"
+
+
+class Numbers(dict):
+    """Numbers keys as they are first asked for; ``new`` holds those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
+# Byte-level vocabularies write a byte as a character: printable ones of Latin-1 as themselves, the others, in order,
+# as the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARACTER = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+def _as_characters(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_CHARACTER)
+
+
 class ChunkEncoder:
-    """Ids of whole texts by a file of the tokenizers library, asked once for every distinct chunk.
+    """Ids of whole texts by a file of the tokenizers library, asked once for every distinct piece.
 
-    Texts are cut at safe spaces; a chunk's ids are kept for the texts that follow. At most ``limit`` chunks
-    (and 16 characters for each) are kept, then all are forgotten, so memory stays bounded.
+    Texts are cut at safe spaces into chunks; a chunk of letters and punctuation is cut into these two pieces, any
+    other is one piece. Pieces of Latin letters go straight to the library's model, if probes show that this gives
+    the ids of the whole tokenizer. Chunks and pieces are remembered, at most ``limit`` and twice as many of them
+    (and 16 characters for each), then forgotten, so memory stays bounded.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit = limit
-        self.forget()
-
-    def forget(self):
-        self.code, self.chars, self.used = {}, 0, 0
+        self.limit, self.model = limit, self.tokenizer.model
+        probes = ["Word", " Word", "x", " the", " sOmething", "unbelievable", " \u00c9t\u00e9", "\u00d1andu\u0133"]
+        plain = [e.ids for e in self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)]
+        forms = (_as_characters, lambda p: _as_characters(p.strip(" ").lower()))
+        self.direct = next((f for f in forms if [self._by_model(f(p)) for p in probes] == plain), None)
+        self._forget_pieces()
+
+    def _by_model(self, piece: str):
+        return [token.id for token in self.model.tokenize(piece)]
+
+    def _forget_pieces(self):
+        self.pieces, self.used, self.held = Numbers(), 0, 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.unsafe, self.ids = np.zeros(1 << 16, bool), np.zeros(1 << 18, np.uint32)
-
-    def _learn(self, chunks):
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self._forget_chunks()
+
+    def _forget_chunks(self):
+        self.chunks, self.chars = Numbers(), 0
+        self.head, self.tail = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.unsafe = np.zeros(1 << 16, bool)
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        return np.resize(array, max(n, 2 * len(array))) if n > len(array) else array
+
+    def _learn_pieces(self):
+        new, self.pieces.new = self.pieces.new, []
+        first, direct, tokenize = len(self.pieces) - len(new), self.direct, self.model.tokenize
+        found: list = [None] * len(new)
+        rest = []
+        for i, piece in enumerate(new):
+            if direct and (word := piece.lstrip(" ")).isalpha() and (
+                    word.isascii() or max(word) < "\u0250" and "\u0130" not in word):  # whose lower case is no letter
+                found[i] = [token.id for token in tokenize(direct(piece))]
+            else:
+                rest.append(i)
+        for a in range(0, len(rest), 4096):
+            part = rest[a:a + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([new[i] for i in part], add_special_tokens=False)):
+                found[i] = e.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(lengths.sum())
+        self.ids = self._room(self.ids, self.used + total)
+        self.start, self.length = (self._room(x, first + len(new)) for x in (self.start, self.length))
+        self.ids[self.used:self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.start[first:first + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.length[first:first + len(new)] = lengths
+        self.used += total
+        self.held += sum(map(len, new))
+
+    def _learn_chunks(self):
         """A leading space marks the chunk that begins a text; the others get the space that stood before them."""
-        first = len(self.code)
-        for a in range(0, len(chunks), 8192):
-            part = chunks[a:a + 8192]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(
-                [c[1:] if c[:1] == " " else " " + c for c in part], add_special_tokens=False)]
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            n, m = first + a, first + a + len(part)
-            while m > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-                self.unsafe = np.resize(self.unsafe, 2 * len(self.unsafe))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used:self.used + len(flat)] = flat
-            self.start[n:m], self.length[n:m] = self.used + np.cumsum(lengths) - lengths, lengths
-            self.unsafe[n:m] = [c[-1:].isspace() and c != " " or c[:1] != " " and (not c or c[0].isspace()) for c in part]
-            self.used += len(flat)
-            self.code.update(zip(part, range(n, m)))
-        self.chars += sum(map(len, chunks))
+        new, self.chunks.new = self.chunks.new, []
+        first = len(self.chunks) - len(new)
+        cores, tails, unsafe = [], [], []
+        for chunk in new:
+            if chunk[:1] == " ":
+                text, odd = chunk[1:], chunk != " " and chunk[-1].isspace()
+                core = word = text.rstrip(TAIL)
+            else:
+                text, word, odd = " " + chunk, chunk.rstrip(TAIL), not chunk or chunk[0].isspace() or chunk[-1].isspace()
+                core = " " + word
+            if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+                core = text
+            cores.append(core)
+            tails.append(text[len(core):])
+            unsafe.append(odd)
+        heads, tails = list(map(self.pieces.__getitem__, cores)), list(map(self.pieces.__getitem__, tails))
+        if self.pieces.new:
+            self._learn_pieces()
+        n = first + len(new)
+        self.head, self.tail, self.unsafe = (self._room(x, n) for x in (self.head, self.tail, self.unsafe))
+        self.head[first:n], self.tail[first:n], self.unsafe[first:n] = heads, tails, unsafe
+        self.chars += sum(map(len, new))
 
     def _codes(self, lists):
         flat = [c for chunks in lists for c in chunks]
-        self._learn([c for c in set(flat) if c not in self.code])
-        return np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        codes = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
+        if self.chunks.new:
+            self._learn_chunks()
+        return codes
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end_id`` after every text, and the bounds of the texts in them."""
-        if len(self.code) > self.limit or self.chars > 16 * self.limit:
-            self.forget()
+        if len(self.pieces) > 2 * self.limit or self.held > 32 * self.limit:
+            self._forget_pieces()
+            gc.collect()
+        elif len(self.chunks) > self.limit or self.chars > 16 * self.limit:
+            self._forget_chunks()
         lists = [text.split(" ") for text in texts]
         for chunks in lists:
             chunks[0] = " " + chunks[0]
@@ -123,12 +203,13 @@ class ChunkEncoder:
         if len(bad):
             for i in bad.tolist():
                 lists[i] = SAFE_SPACE.split(texts[i])
-                lists[i][0] = " " + lists[i][0]
+                lists[i] = [" " + lists[i][0], *lists[i][1:]]
             codes = self._codes(lists)
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        lengths = self.length[codes]
-        ids = self.ids[spans(self.start[codes], lengths)]
-        per_text = np.add.reduceat(lengths, np.cumsum(counts) - counts) if len(lists) else np.zeros(0, np.int64)
+        pieces = np.stack((self.head[codes], self.tail[codes]), axis=1)
+        lengths = self.length[pieces]
+        ids = self.ids[spans(self.start[pieces].ravel(), lengths.ravel())]
+        per_text = np.add.reduceat(lengths.sum(1), np.cumsum(counts) - counts) if len(lists) else np.zeros(0, np.int64)
         bounds = np.concatenate(([0], np.cumsum(per_text + 1)))
         out = np.empty(int(bounds[-1]), np.uint32)
         ends = np.zeros(len(out), bool)
@@ -143,5 +224,6 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each file and Python worker; it serves all tasks of the worker."""
     if path not in _ENCODERS:
+        gc.disable()  # what an encoder makes has no cycles, and there is too much of it to look through again and again
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]

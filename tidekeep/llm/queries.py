@@ -5,9 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import harmonic_packing, repair_ids, tiktoken_codec
+from tidekeep.llm import (bottomk, divergence, harmonic_packing, repair_ids, simhash_grid, tiktoken_codec, winnowing,
+                          wordpiece_lengths)
 from tidekeep.llm.base import prepare
-from tidekeep.session import configure
+from tidekeep.session import configure, materialize
 
 
 def tokenizer_file(name: str) -> str:
@@ -44,6 +45,32 @@ def op3_tiktoken_codec(spark, sf_dir):
     return tiktoken_codec.digests(tiktoken_codec.decode(encoded, path, pattern))
 
 
+def op4_divergence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = materialize(divergence.measure(docs).drop("text"), "measures")
+    judged = divergence.judge(measured, divergence.references(measured))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select("doc_id", *[f"{divergence.MEASURES}.{c}" for c in counts], F.col("_kept").alias("kept"))
+
+
+def op5_winnowing(spark, sf_dir):
+    found = winnowing.drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
+
+
+def op6_bottomk(spark, sf_dir):
+    return bottomk.with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_grid(spark, sf_dir):
+    found = simhash_grid.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_wordpiece_lengths(spark, sf_dir):
+    return wordpiece_lengths.lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
