@@ -71,6 +71,25 @@ def op9_wordpiece_lengths(spark, sf_dir):
     return wordpiece_lengths.lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def quality_stage(docs: DataFrame) -> DataFrame:
+    """Documents the quality rules keep, with all their columns."""
+    names = docs.columns
+    measured = materialize(divergence.measure(docs), "measured")
+    return divergence.judge(measured, divergence.references(measured)).where("_kept").select(*names)
+
+
+def line_stage(docs: DataFrame) -> DataFrame:
+    """Documents without the later copies of repeated runs of lines; ``n_chars`` follows the text."""
+    found = winnowing.drop_repeated_runs(docs)
+    columns = [F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return found.select(*columns)
+
+
+def near_stage(docs: DataFrame) -> DataFrame:
+    """The first document of each near-duplicate group."""
+    return simhash_grid.first_of_each(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

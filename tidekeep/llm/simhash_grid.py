@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def embedding(fp: Column) -> Column:
     """The 32 bit counts (0 to 2) of the segments, two bits for each, side by side in a long."""
     low, high = fp.bitwiseAND(F.lit(_EVEN)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_EVEN))
-    return low + high
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
 def blocks_for(n: int, distance: int = DISTANCE) -> int:

@@ -98,9 +98,8 @@ def drop_repeated_runs(docs: DataFrame, t: int = WORDS, key: str = "doc_id", tex
     lines = F.split(plain, "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     blank = F.filter(every, lambda i: ~F.get(lines, i).rlike(WORD))
-    gone = F.array_except("deleted", blank)
-    at = F.array_except(every, gone)
-    kept = F.when(F.col("deleted").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n"))
+    joined = joined.withColumn("_gone", F.coalesce(F.array_except("deleted", blank), F.array().cast("array<int>")))
+    kept = F.when(F.size("_gone") == 0, F.col(text)).otherwise(
+        F.array_join(F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get(lines, i)), "\n"))
     return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in names], F.size(lines).cast("long").alias("_lines"),
-                         F.coalesce(F.when(F.col("deleted").isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias("_deleted"))
+                         F.size("_gone").cast("long").alias("_deleted"))
