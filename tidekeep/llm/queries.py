@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import (bottomk, divergence, harmonic_packing, repair_ids, simhash_grid, tiktoken_codec, winnowing,
+from tidekeep.llm import (bottomk, context_mixing, divergence, harmonic_packing, repair_ids, simhash_grid, tiktoken_codec, winnowing,
                           wordpiece_lengths)
 from tidekeep.llm.base import prepare
 from tidekeep.session import configure, materialize
@@ -71,6 +71,10 @@ def op9_wordpiece_lengths(spark, sf_dir):
     return wordpiece_lengths.lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op10_context_mixing(spark, sf_dir):
+    return context_mixing.scores(table(spark, sf_dir, "documents"))
+
+
 def quality_stage(docs: DataFrame) -> DataFrame:
     """Documents the quality rules keep, with all their columns."""
     names = docs.columns
