@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import (bottomk, context_mixing, divergence, harmonic_packing, repair_ids, simhash_grid, tiktoken_codec, winnowing,
+from tidekeep.llm import (bottomk, context_mixing, divergence, dom_boosting, harmonic_packing, repair_ids, simhash_grid, tiktoken_codec, winnowing,
                           wordpiece_lengths)
 from tidekeep.llm.base import prepare
 from tidekeep.session import configure, materialize
@@ -62,6 +62,11 @@ def op6_bottomk(spark, sf_dir):
     return bottomk.with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_dom_boosting(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return dom_boosting.extract(pages, dom_boosting.fit(pages))
+
+
 def op8_simhash_grid(spark, sf_dir):
     found = simhash_grid.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
