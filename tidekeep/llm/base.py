@@ -3,7 +3,6 @@
 import gc
 import os
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow.compute as pc
@@ -28,7 +27,12 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def slices(batches, column: str = "text", limit: int = 4 << 20):
+def row_of(docs: DataFrame, columns=None):
+    """All columns (or those named) as one struct, in which their names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (columns or docs.columns)])
+
+
+def slices(batches, column: str = "text", limit: int = 1 << 20):
     """Cuts Arrow batches so that ``column`` has about ``limit`` bytes in each; one longer text stands alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -54,10 +58,6 @@ def crc_of_spans(data: np.ndarray, bounds: np.ndarray):
     return [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def union_all(frames):
-    return reduce(DataFrame.unionByName, frames)
-
-
 #: A space between two characters that are no white space. Both tokenizers end a match before it and none
 #: looks across it, so texts may be encoded in parts that are cut there.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -99,7 +99,7 @@ class ChunkEncoder:
     (and 16 characters for each), then forgotten, so memory stays bounded.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -20,13 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidekeep.llm.base import WORD
+from tidekeep.llm.base import WORD, row_of
 
 MIN_WORDS, REPEAT_PERCENT, MIN_REFERENCE = 50, 50, 1000
 CLASS_LIMIT, WORD_LIMIT, WORD_SLACK = 0.08, 0.03, 1.6
 SYMBOLS = "[#*$%&|<>]"
 EDGE = ".,;:!?"
-MEASURES = "_quality"
 
 # Common function words of English, German, French and Spanish.
 COMMON = sorted(set((
@@ -42,12 +41,14 @@ def _staged(df: DataFrame, **columns) -> DataFrame:
     return df
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the struct ``_quality``: counts, histograms and the base verdict of every text."""
-    names = docs.columns
+def measure(docs: DataFrame, carry=None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``row`` (the columns of ``docs``, or those of ``carry``), ``lang`` and ``quality``: counts, histograms and the
+    base verdict of every text."""
     lit = F.lit
+    docs = docs.select(row_of(docs, carry).alias("row"), F.col(lang).alias("lang"),
+                       F.coalesce(F.col(text), lit("")).alias("_q_text"))
     df = _staged(
-        docs.withColumn("_q_text", F.coalesce(F.col(text), lit(""))),
+        docs,
         _q_words=F.regexp_extract_all("_q_text", lit(WORD), lit(0)),
         _q_lines=F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(WORD)),
         _q_n=F.size("_q_words").cast("long"),
@@ -74,20 +75,20 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     low, up = F.col("_q_len") - F.col("_q_low"), F.col("_q_len") - F.col("_q_up")
     symbols = (F.char_length("_q_text") - F.col("_q_sym")).cast("long")
     n, repeat = F.col("_q_n"), F.col("_q_repeat")
-    return df.select(*names, F.struct(
+    return df.select("row", "lang", F.struct(
         n.alias("n_words"), F.col("_q_len").alias("word_chars"), symbols.alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
         ((n < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n)).alias("base_failed"),
         F.array(low, up, symbols, F.col("_q_len") - low - up - symbols).alias("classes"),
         F.array(*saved, n - F.col("_q_hits")).alias("words"),
-    ).alias(MEASURES))
+    ).alias("quality"))
 
 
-def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
+def references(measured: DataFrame) -> DataFrame:
     """``_lang, _n, _classes, _words``: shares of all documents of a language that pass the base rules."""
-    good = measured.where(~F.col(f"{MEASURES}.base_failed")).select(
-        F.col(lang).alias("_lang"), F.posexplode(F.concat(f"{MEASURES}.classes", f"{MEASURES}.words")).alias("at", "n"))
+    good = measured.where(~F.col("quality.base_failed")).select(
+        F.col("lang").alias("_lang"), F.posexplode(F.concat("quality.classes", "quality.words")).alias("at", "n"))
     sums = good.groupBy("_lang", "at").agg(F.sum("n").alias("n"))
     lists = sums.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).getField("n").alias("n"))
     parts = lists.select("_lang", F.slice("n", 1, 4).alias("c"), F.slice("n", 5, len(COMMON) + 1).alias("w"))
@@ -108,15 +109,14 @@ def divergence(counts: Column, shares: Column) -> Column:
     return F.when(total > 0, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
 
 
-def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang") -> DataFrame:
-    """Adds ``_class_divergence``, ``_word_divergence`` (null if not judged) and ``_kept``."""
-    judged = (~F.col(f"{MEASURES}.base_failed")) & (F.col("_n") >= MIN_REFERENCE)
-    n = F.col(f"{MEASURES}.n_words")
+def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds ``class_divergence``, ``word_divergence`` (null if not judged) and ``kept``."""
+    judged = (~F.col("quality.base_failed")) & (F.col("_n") >= MIN_REFERENCE)
+    n = F.col("quality.n_words")
     chance = len(COMMON) / (8 * math.log(2)) / n
-    df = measured.join(refs, F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    df = df.withColumn("_class_divergence", F.when(judged, divergence(F.col(f"{MEASURES}.classes"), F.col("_classes"))))
-    df = df.withColumn("_word_divergence", F.when(judged, divergence(F.col(f"{MEASURES}.words"), F.col("_words"))))
-    far = (F.col("_class_divergence") > CLASS_LIMIT) | \
-        (F.col("_word_divergence") - chance > WORD_LIMIT + WORD_SLACK / n)
-    kept = ~F.col(f"{MEASURES}.base_failed") & ~F.coalesce(far, F.lit(False))
-    return df.withColumn("_kept", kept).drop("_lang", "_n", "_classes", "_words")
+    df = measured.join(refs, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    df = df.withColumn("class_divergence", F.when(judged, divergence(F.col("quality.classes"), F.col("_classes"))))
+    df = df.withColumn("word_divergence", F.when(judged, divergence(F.col("quality.words"), F.col("_words"))))
+    far = (F.col("class_divergence") > CLASS_LIMIT) | (F.col("word_divergence") - chance > WORD_LIMIT + WORD_SLACK / n)
+    kept = ~F.col("quality.base_failed") & ~F.coalesce(far, F.lit(False))
+    return df.withColumn("kept", kept).drop("_lang", "_n", "_classes", "_words")

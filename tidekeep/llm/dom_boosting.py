@@ -319,7 +319,7 @@ def extract(pages: DataFrame, trees: Trees | None, key: str = "page_id", url: st
     kind = source.schema["page_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches, "html", 1 << 20):
+        for batch in slices(batches, "html"):
             parsed = [Page(h) for h in batch.column("html").to_pylist()]
             found = [""] * len(parsed)
             if trees:

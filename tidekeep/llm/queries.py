@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import (bottomk, context_mixing, divergence, dom_boosting, harmonic_packing, repair_ids, simhash_grid, tiktoken_codec, winnowing,
-                          wordpiece_lengths)
+from tidekeep.llm import (bottomk, context_mixing, divergence, dom_boosting, harmonic_packing, oracle, repair_ids,
+                          simhash_grid, tiktoken_codec, winnowing, wordpiece_lengths)
 from tidekeep.llm.base import prepare
 from tidekeep.session import configure, materialize
 
@@ -17,8 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    return prepare(configure(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(configure(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_harmonic_packing(spark, sf_dir):
@@ -46,16 +50,15 @@ def op3_tiktoken_codec(spark, sf_dir):
 
 
 def op4_divergence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    measured = materialize(divergence.measure(docs).drop("text"), "measures")
+    measured = materialize(divergence.measure(table(spark, sf_dir, "documents"), ["doc_id"]), "measures")
     judged = divergence.judge(measured, divergence.references(measured))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select("doc_id", *[f"{divergence.MEASURES}.{c}" for c in counts], F.col("_kept").alias("kept"))
+    return judged.select("row.doc_id", *[f"quality.{c}" for c in counts], "kept")
 
 
 def op5_winnowing(spark, sf_dir):
     found = winnowing.drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
+    return found.select("row.doc_id", "text", "n_lines", "n_deleted")
 
 
 def op6_bottomk(spark, sf_dir):
@@ -82,16 +85,15 @@ def op10_context_mixing(spark, sf_dir):
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """Documents the quality rules keep, with all their columns."""
-    names = docs.columns
     measured = materialize(divergence.measure(docs), "measured")
-    return divergence.judge(measured, divergence.references(measured)).where("_kept").select(*names)
+    return divergence.judge(measured, divergence.references(measured)).where("kept").select("row.*")
 
 
 def line_stage(docs: DataFrame) -> DataFrame:
     """Documents without the later copies of repeated runs of lines; ``n_chars`` follows the text."""
-    found = winnowing.drop_repeated_runs(docs)
-    columns = [F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return winnowing.drop_repeated_runs(docs).select(*[
+        (new[c].cast(docs.schema[c].dataType) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_stage(docs: DataFrame) -> DataFrame:
@@ -104,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekeep.llm.base import slices, texts
+from tidekeep.llm.base import row_of, slices, texts
 from tidekeep.llm.components import components
 from tidekeep.session import materialize
 
@@ -236,9 +236,8 @@ def first_of_each(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id"
     prints = materialize(fingerprints(docs, key, text), "fingerprints")
     firsts = groups(prints, distance).select("first.doc_id", "first.content").distinct() \
         .select(F.col("doc_id").alias("_first_id"), F.col("content").alias("_first_content"))
-    names = docs.columns
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.withColumn("_content", content).join(
-        firsts, F.col(key).eqNullSafe(F.col("_first_id")) & (F.col("_content") == F.col("_first_content")))
-    once = F.row_number().over(Window.partitionBy("_first_id", "_first_content").orderBy(text))
-    return kept.withColumn("_nth", once).where("_nth = 1").select(*names)
+    plain = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(row_of(docs).alias("row"), F.col(key).alias("_key"), F.xxhash64(plain).alias("_hash"))
+    kept = rows.join(firsts, F.col("_key").eqNullSafe(F.col("_first_id")) & (F.col("_hash") == F.col("_first_content")))
+    once = F.row_number().over(Window.partitionBy("_first_id", "_first_content").orderBy(F.xxhash64("row")))
+    return kept.withColumn("_nth", once).where("_nth = 1").select("row.*")

@@ -20,7 +20,7 @@ empty table gives an empty result. Other columns of the input are left alone.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekeep.llm.base import WORD
+from tidekeep.llm.base import WORD, row_of
 from tidekeep.session import materialize
 
 WORDS = 50
@@ -89,17 +89,16 @@ def deleted_lines(docs: DataFrame, t: int = WORDS, key: str = "doc_id", text: st
 
 
 def drop_repeated_runs(docs: DataFrame, t: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the later copies of repeated runs taken out of ``text``; adds ``_lines`` and ``_deleted``."""
-    names = docs.columns
+    """``row`` (the columns of ``docs``), ``text`` without the later copies of repeated runs, ``n_lines`` (of the text
+    as it was) and ``n_deleted``."""
     gone = deleted_lines(docs, t, key, text)
     plain = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.withColumn("_hash", F.xxhash64(plain)).join(
-        gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_content")), "left")
-    lines = F.split(plain, "\n")
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    blank = F.filter(every, lambda i: ~F.get(lines, i).rlike(WORD))
+    rows = docs.select(row_of(docs).alias("row"), F.col(key).alias("_key"), F.xxhash64(plain).alias("_hash"),
+                       F.col(text).alias("_text"), F.split(plain, "\n").alias("_lines"))
+    joined = rows.join(gone, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_content")), "left")
+    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    blank = F.filter(every, lambda i: ~F.get("_lines", i).rlike(WORD))
     joined = joined.withColumn("_gone", F.coalesce(F.array_except("deleted", blank), F.array().cast("array<int>")))
-    kept = F.when(F.size("_gone") == 0, F.col(text)).otherwise(
-        F.array_join(F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get(lines, i)), "\n"))
-    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in names], F.size(lines).cast("long").alias("_lines"),
-                         F.size("_gone").cast("long").alias("_deleted"))
+    left = F.array_join(F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get("_lines", i)), "\n")
+    return joined.select("row", F.when(F.size("_gone") == 0, F.col("_text")).otherwise(left).alias("text"),
+                         F.size("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_deleted"))
