@@ -218,7 +218,7 @@ def test_validate_runs(spark, tmp_path):
     assert told["run-1"][1].startswith("validation failed for good: artifact sha256 mismatch")
     updated = run_ops.upsert_run_history(
         history.withColumns({c: F.lit(None).cast("string") for c in ("validation_mode", "validation_status", "validation_error")}),
-        fields.where("run_id = 'run-1'"))
+        fields.where("run_id = 'run-1'").select("host", "run_id", "validation_mode", "validation_status", "validation_error"))
     assert rows(updated.groupBy("validation_status").count(), "validation_status") == [(None, 4), ("failed", 1)]
 
 
@@ -308,5 +308,23 @@ def test_expired_runs_leave_a_new_version(spark, tmp_path):
 
 def test_missing_folders_need_no_results(spark):
     assert verify.missing_run_folders(
-        spark.createDataFrame([("a", "/x", [1])], "run_id string, run_folder string, results array<int>"),
+        spark.createDataFrame([("h", "a", "/x", [1])], "host string, run_id string, run_folder string, results array<int>"),
         spark.createDataFrame([("/x",)], "run_folder string")).count() == 0
+
+
+def test_hosts_that_share_a_run_id_are_validated_apart(spark, tmp_path):
+    whole, cut = gzip.compress(b"x\n-- Dump completed\n"), gzip.compress(b"x\n")
+    for host, data in (("h1", whole), ("h2", cut)):
+        folder = tmp_path / host / "2026-01-01_02-00-00"
+        folder.mkdir(parents=True)
+        (folder / "app.sql.gz").write_bytes(data)
+    result = {"name": "app", "status": "success", "artifact_sha256": "", "sql_sha256": ""}
+    history = spark.createDataFrame(
+        [(h, "2026-01-01_02-00-00", str(tmp_path / h / "2026-01-01_02-00-00"), [result], T(2026, 1, 1)) for h in ("h1", "h2")],
+        f"host string, run_id string, run_folder string, results array<struct<{schemas.RESULT}>>, ts timestamp")
+    checked, fields = jobs.validate_runs(history)
+    assert rows(checked.select("host", "valid"), "host") == [("h1", True), ("h2", False)]
+    told = {r["host"]: r for r in fields.collect()}
+    assert told["h1"]["validation_status"] == "success" and told["h2"]["validation_status"] == "failed"
+    assert told["h2"]["validation_databases"][0]["database"] == "app" and not told["h2"]["validation_databases"][0]["valid"]
+    assert told["h1"]["validation_checked_at"] is not None

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidekeep.operators import alerts, catalog, filters, logs, metrics, retention, runs, verify
+from tidekeep.functions.text import fuzzy_match
 from tidekeep.operators.ordered_hash import ordered_sha256
 from tidekeep.operators.running import Running, balanced_chunk, running, time_chunk
 
@@ -262,7 +263,7 @@ def test_progress_equals_the_fold(spark, chunk):
         data += [(run, i, log_line(*e)) for i, e in enumerate(events)] + [(run, 1000, "nothing to see")]
         want.update({(run, i): state for i, state in enumerate(fold(events))})
     df = spark.createDataFrame(data, "run_id int, line_no int, msg string")
-    got = logs.progress_timeline(df, chunk_lines=chunk).drop("percent").collect()
+    got = logs.progress_timeline(df, ["run_id"], chunk_lines=chunk).drop("percent").collect()
     assert {(r[0], r[1]): tuple(r)[2:] for r in got} == want
 
 
@@ -270,7 +271,7 @@ def test_progress_golden_percentages(spark):
     lines = ["found 4 databases: a, b, c, d", "[1/4] processing a",
              "completed dump for database=a output=/tmp/a.sql.gz size_bytes=123", "[2/4] processing b"]
     df = spark.createDataFrame([("r", i, m) for i, m in enumerate(lines)], "run_id string, line_no int, msg string")
-    assert [r["percent"] for r in logs.progress_timeline(df).orderBy("line_no").collect()] == [0.0, 0.0875, 0.25, 0.3375]
+    assert [r["percent"] for r in logs.progress_timeline(df, ["run_id"]).orderBy("line_no").collect()] == [0.0, 0.0875, 0.25, 0.3375]
 
 
 def test_tail_and_error_summary(spark):
@@ -319,10 +320,10 @@ def test_ordered_hash_of_a_group_larger_than_a_block(spark):
 def test_validation_summary(spark):
     df = spark.createDataFrame([("r", 0, "ok", True, None), ("r", 2, "b", False, ""), ("r", 1, "a", False, "bad"), ("s", 0, "x", True, "")],
                                "run_id string, position int, db string, valid boolean, error string")
-    assert rows(verify.validation_summary(df), "run_id") == [("r", "validation failed for a: bad, b"), ("s", "")]
+    assert rows(verify.validation_summary(df, keys=["run_id"]), "run_id") == [("r", "validation failed for a: bad, b"), ("s", "")]
     errors = spark.createDataFrame([("r", "gone"), ("t", "none")], "run_id string, error string")
-    assert rows(verify.validation_summary(df, errors), "run_id") == [("r", "gone"), ("s", ""), ("t", "none")]
-    assert rows(verify.validation_rollup(df), "run_id") == [("r", False), ("s", True)]
+    assert rows(verify.validation_summary(df, errors, ["run_id"]), "run_id") == [("r", "gone"), ("s", ""), ("t", "none")]
+    assert rows(verify.validation_rollup(df, ["run_id"]), "run_id") == [("r", False), ("s", True)]
 
 
 def test_count_comparison_names_the_first_failing_rule(spark):
@@ -363,3 +364,16 @@ def test_layers(spark):
         "DB_USER": "override", "DB_PASS": "env", "DB_HOST": "file", "MINE": "file", "DB_PORT": None}
     masked = filters.mask_secrets(layer([("h", "DB_PASS", "x"), ("h", "DB_USER", "u"), ("h", "BACKUP_S3_KEY_ID", " ")]))
     assert dict(rows(masked.select("key", "value"))) == {"DB_PASS": "********", "DB_USER": "u", "BACKUP_S3_KEY_ID": ""}
+
+
+def test_fuzzy_match_is_linear(spark):
+    df = spark.createDataFrame([("a" * 200_000,), ("xaxaxbx^]",), ("ab\ncd",)], "t string")
+    assert [r[0] for r in df.select(fuzzy_match("t", "aaab")).collect()] == [False, False, False]
+    assert [r[0] for r in df.select(fuzzy_match("t", "aab^]")).collect()] == [False, True, False]
+    assert [r[0] for r in df.select(fuzzy_match("t", "ad")).collect()] == [False, False, True]
+
+
+def test_progress_of_hosts_that_share_a_run_id(spark):
+    df = spark.createDataFrame([("a", "r", 1, "Found 3 databases"), ("b", "r", 1, "Found 7 databases")],
+                               "host string, run_id string, line_no int, msg string")
+    assert logs.progress_timeline(df).select("host").distinct().count() == 2 or logs.progress_timeline(df).count() == 0

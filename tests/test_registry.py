@@ -13,7 +13,7 @@ NAMES = sorted(registry.queries())
 
 # Digests, file listings and keyed state are the only places where Python runs.
 PYTHON = {"schema_fingerprint", "artifact_digests", "verify_copy", "snapshot_tables", "alert_stream", "stale_series",
-          "live_progress"}
+          "live_progress", "verify_artifacts", "missing_run_folders"}
 # Each gathers the first n rows of a table, n being the parameter.
 TOP_ROWS = {"sample_row_hashes", "verify_copy", "head_by_key", "snapshot_tables"}
 

@@ -1,6 +1,7 @@
 """Streams give what the batch operators give, however the input is cut into micro-batches."""
 
 import json
+import os
 import random
 from datetime import datetime as T, timedelta
 
@@ -59,7 +60,7 @@ def test_live_progress_equals_batch(spark, pieces):
     df = spark.createDataFrame(data, "host string, run_id string, line_no bigint, ts timestamp, msg string")
     stream = state.live_progress(arriving(spark, cut(spark, df, "line_no", pieces)).withWatermark("ts", "1 hour"), order="line_no")
     got, _ = run_available(stream, "progress")
-    want = logs.progress_timeline(df)
+    want = logs.progress_timeline(df, ["run_id"])
     columns = want.columns
     assert {tuple(r) for r in got.select(columns).collect()} == {tuple(r) for r in want.collect()}
 
@@ -140,3 +141,41 @@ def test_upserts_are_idempotent(spark, tmp_path):
         assert [tuple(r) for r in now.orderBy("ts").collect()] == [("h", "a", 1, "failed"), ("h", "a", 2, "two"), ("h", "b", 3, "one")]
     compacted = tables.compact_history(spark, history, folder, str(tmp_path / "compact"))
     assert compacted.where("status = 'two'").count() == 1
+
+
+def test_a_line_without_time_makes_no_other_line_late(spark, tmp_path):
+    for i, (host, text) in enumerate((("h1", "2026/01/05 00:00:01.000002 hello\nno time\n"),
+                                      ("h2", "2026/01/04 23:00:01.000002 hello\n" * 10), ("h3", "2026/01/09 00:00:01.000002 end\n"))):
+        (tmp_path / host).mkdir()
+        path = tmp_path / host / "2026-01-01_00-00-00.log"
+        path.write_text(text)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    lines = inputs.stream_run_logs(spark, str(tmp_path), late="2 hours", maxFilesPerTrigger=1)
+    got, _ = run_available(windows.daily_log_rollup(lines), "days", passes=2)
+    assert {(r["host"], r["lines"]) for r in got.collect()} == {("h1", 1), ("h2", 10)}
+
+
+def test_the_last_record_of_a_run_comes_through(spark, tmp_path):
+    record = {"timestamp": "2026-05-28T10:00:00Z", "run_id": "a", "status": "failed", "hostname": "h"}
+    (tmp_path / "1.json").write_text(json.dumps(record) + "\n" + json.dumps({**record, "status": "success"}) + "\n")
+    got, _ = run_available(inputs.stream_run_history(spark, str(tmp_path)), "seen")
+    assert sorted(r["status"] for r in got.collect()) == ["failed", "success"]
+
+
+def test_changes_after_a_compaction_only(spark, tmp_path):
+    schema, folder = "host string, run_id string, status string", str(tmp_path / "changes")
+    history = spark.createDataFrame([("h", "a", 1, "failed"), ("h", "b", 1, "failed")], "host string, run_id string, ts int, status string")
+
+    def send(rows, checkpoint):
+        stream = arriving(spark, [spark.createDataFrame(rows, schema)])
+        tables.upsert_stream(stream, folder, str(tmp_path / checkpoint)).awaitTermination()
+
+    send([("h", "a", "one")], "c1")
+    target = str(tmp_path / "compact")
+    compacted = tables.compact_history(spark, history, folder, target)
+    edited = compacted.withColumn("status", F.when(F.col("run_id") == "a", "by hand").otherwise(F.col("status")))
+    now = tables.current_history(spark, edited, folder, applied=target)
+    assert {r["run_id"]: r["status"] for r in now.collect()} == {"a": "by hand", "b": "failed"}
+    send([("h", "b", "two")], "c2")  # another stream, its first batch
+    now = tables.current_history(spark, edited, folder, applied=target)
+    assert {r["run_id"]: r["status"] for r in now.collect()} == {"a": "by hand", "b": "two"}

@@ -27,7 +27,7 @@ def stream_error_summary(lines: DataFrame, keys=("run_id", "tool"), order="line_
         F.max_by(text, F.when(text != "", F.col(order)))).alias("summary"))
 
 
-def progress_timeline(lines: DataFrame, key="run_id", order="line_no", msg="msg", chunk_lines=1 << 16) -> DataFrame:
+def progress_timeline(lines: DataFrame, keys=("host", "run_id"), order="line_no", msg="msg", chunk_lines=1 << 16) -> DataFrame:
     """State of a run after each of its progress lines.
 
     A log is an ordered fold. Each part of its state is a running value:
@@ -40,8 +40,8 @@ def progress_timeline(lines: DataFrame, key="run_id", order="line_no", msg="msg"
     """
     event = F.col("_event")
     kind, db = event["kind"], event["db"]
-    events = progress_events(lines, msg).select(key, order, "_event")
-    rows = with_chunk(events, [key], number_chunk(order, chunk_lines))
+    events = progress_events(lines, msg).select(*keys, order, "_event")
+    rows = with_chunk(events, [*keys], number_chunk(order, chunk_lines))
     sets_total = (kind == "found") | ((kind == "processing") & (event["total"] > 0))
     sets_position = ((kind == "processing") & (event["current"] > 0)) | (kind == "starting")
     stage = (F.when(kind == "found", F.lit("discovered databases"))
@@ -49,7 +49,7 @@ def progress_timeline(lines: DataFrame, key="run_id", order="line_no", msg="msg"
              .when(kind == "starting", F.concat(F.lit("dumping "), db))
              .when(kind == "completed", F.concat(F.lit("completed "), db))
              .when(kind == "upload", F.lit("uploading to S3")).otherwise(F.lit("cleanup")))
-    state = running(rows, [key], [order], {
+    state = running(rows, [*keys], [order], {
         "total": Running("last", F.when(sets_total, event["total"])),
         "_done": Running("sum", (kind == "completed").cast("bigint")),
         "current_db": Running("last", F.when(kind.isin("processing", "starting"), db)),
@@ -58,7 +58,7 @@ def progress_timeline(lines: DataFrame, key="run_id", order="line_no", msg="msg"
     })
     total, done = F.coalesce("total", F.lit(0)), F.col("_done")
     room = F.when((kind == "completed") & (total > 0), total - done)
-    state = running(state, [key], [order], {"_room": Running("min", room)})
+    state = running(state, [*keys], [order], {"_room": Running("min", room)})
     completed = done + F.least(F.lit(0), F.coalesce("_room", F.lit(0)))
     state = state.withColumns({"total": total, "completed": completed})
 
@@ -67,8 +67,8 @@ def progress_timeline(lines: DataFrame, key="run_id", order="line_no", msg="msg"
                 .when(kind == "starting", F.when((F.col("total") > 0) & (next_one > F.col("total")), F.col("total"))
                       .otherwise(next_one))
                 .when(kind == "completed", F.col("completed")))
-    state = running(state, [key, "_span"], [order], {"_position": Running("max", position)})
+    state = running(state, [*keys, "_span"], [order], {"_position": Running("max", position)})
     current = F.when(F.col("_span") == 0, F.greatest(F.lit(0), F.coalesce("_position", F.lit(0)))).otherwise(F.col("_position"))
     return state.select(
-        key, order, "total", current.cast("bigint").alias("current"), "completed", "current_db", "stage",
+        *keys, order, "total", current.cast("bigint").alias("current"), "completed", "current_db", "stage",
         progress_percent("total", current, "completed").alias("percent"))

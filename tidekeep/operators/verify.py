@@ -84,16 +84,16 @@ def first_failure(checks: list[DataFrame], keys=("db",)) -> DataFrame:
     return _judged(merged.withColumn("error", F.coalesce(*errors)), keys)
 
 
-def verify_artifacts(results: DataFrame, artifacts: DataFrame) -> DataFrame:
+def verify_artifacts(results: DataFrame, artifacts: DataFrame, keys=("host", "run_id")) -> DataFrame:
     """Every result of a run against its file; a blank expected hash skips its rule.
 
-    ``results`` has run_id, name, artifact_sha256 and sql_sha256; ``artifacts``
-    has run_id, db and the columns of ``artifact_digests``.
+    ``results`` has the keys, position, name, artifact_sha256 and sql_sha256;
+    ``artifacts`` has the keys, db and the columns of ``artifact_digests``.
     """
-    files = artifacts.select("run_id", F.col("db").alias("name"), F.lit(True).alias("_there"),
+    files = artifacts.select(*keys, F.col("db").alias("name"), F.lit(True).alias("_there"),
                              F.col("artifact_sha256").alias("_artifact"), F.col("payload_sha256").alias("_payload"),
                              "gzip_error", "header_error", "has_end_marker")
-    joined = results.join(files, ["run_id", "name"], "left")
+    joined = results.join(files, [*keys, "name"], "left")
     wants_artifact, wants_payload = ~blank("artifact_sha256"), ~blank("sql_sha256")
 
     def differs(kind, expected, actual):
@@ -112,11 +112,11 @@ def verify_artifacts(results: DataFrame, artifacts: DataFrame) -> DataFrame:
         .when(~F.col("has_end_marker"), F.lit("missing '-- Dump completed' signature at end of file"))
     )
     return joined.select(
-        "run_id", "position", F.col("name").alias("db"), error.isNull().alias("valid"),
+        *keys, "position", F.col("name").alias("db"), error.isNull().alias("valid"),
         F.coalesce(error, F.lit("")).alias("error"))
 
 
-def missing_run_folders(runs: DataFrame, folders: DataFrame) -> DataFrame:
+def missing_run_folders(runs: DataFrame, folders: DataFrame, keys=("host", "run_id")) -> DataFrame:
     """Runs that cannot be validated at all, with the reason."""
     there = folders.select("run_folder").distinct().withColumn("_there", F.lit(True))
     joined = runs.join(there, "run_folder", "left")
@@ -126,16 +126,16 @@ def missing_run_folders(runs: DataFrame, folders: DataFrame) -> DataFrame:
         .when(F.col("_there").isNull(), F.lit("Local backup files have been removed (retention period exceeded)"))
         .when(none, F.lit("No logical dump results recorded for this backup run"))
     )
-    return joined.select("run_id", error.alias("error")).where(F.col("error").isNotNull())
+    return joined.select(*keys, error.alias("error")).where(F.col("error").isNotNull())
 
 
-def validation_rollup(db_valid: DataFrame, keys=("run_id",)) -> DataFrame:
+def validation_rollup(db_valid: DataFrame, keys=("host", "run_id")) -> DataFrame:
     """A run is valid when it has databases and all of them are."""
     return db_valid.groupBy(*keys).agg(
         (F.coalesce(F.every("valid"), F.lit(False)) & (F.count(F.lit(1)) > 0)).alias("valid"))
 
 
-def validation_summary(db_valid: DataFrame, run_errors: DataFrame | None = None, keys=("run_id",)) -> DataFrame:
+def validation_summary(db_valid: DataFrame, run_errors: DataFrame | None = None, keys=("host", "run_id")) -> DataFrame:
     """``validation failed for a: reason, b`` in result order; an error of the run itself wins.
 
     Only the failing databases of a run are gathered, into its one message.

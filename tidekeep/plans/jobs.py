@@ -114,22 +114,26 @@ def validate_runs(history: DataFrame, order=("ts",)) -> tuple[DataFrame, DataFra
     Returns the verdict per database and the validation fields per run, the
     latter ready for ``upsert_run_history``.
     """
-    last = run_ops.keep_last(history, ["host", "run_id"], list(order))
+    keys = ["host", "run_id"]
+    last = run_ops.keep_last(history, keys, list(order))
     listing = materialize(list_folders(last), "listing")
-    artifacts = listed_artifacts(listing)
     folders = listing.where("rel_path IS NULL").select("run_folder")
     barred = verify.missing_run_folders(last, folders)
-    results = run_ops.explode_results(last.join(barred, "run_id", "left_anti")).select(
-        "host", "run_id", "position", "name", "artifact_sha256", "sql_sha256")
-    digests = artifact_digests(artifacts.join(results.select("run_id").distinct(), "run_id", "left_semi"))
-    checked = materialize(verify.verify_artifacts(results, digests), "validation")
-    per_run = verify.validation_rollup(checked).join(verify.validation_summary(checked), "run_id").select(
-        "run_id", "valid", "summary").unionByName(
-        barred.select("run_id", F.lit(False).alias("valid"), F.col("error").alias("summary")))
-    fields = per_run.join(last.select("host", "run_id"), "run_id").select(
-        "host", "run_id", F.lit("logical validation").alias("validation_mode"),
+    open_ = last.join(barred, keys, "left_anti")
+    results = run_ops.explode_results(open_).select(*keys, "position", "name", "artifact_sha256", "sql_sha256")
+    artifacts = listed_artifacts(listing).drop("run_id").join(open_.select(*keys, "run_folder"), "run_folder")
+    checked = materialize(verify.verify_artifacts(results, artifact_digests(artifacts)), "validation")
+    verdicts = checked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "db", "valid", "error"))).alias("_all"))
+    per_run = verify.validation_rollup(checked).join(verify.validation_summary(checked), keys).join(verdicts, keys) \
+        .select(*keys, "valid", "summary", "_all").unionByName(
+            barred.select(*keys, F.lit(False).alias("valid"), F.col("error").alias("summary")), allowMissingColumns=True)
+    databases = F.transform(F.coalesce("_all", F.array().cast(per_run.schema["_all"].dataType)), lambda x: F.struct(
+        x["db"].alias("database"), x["valid"].alias("valid"), x["error"].alias("error")))
+    fields = per_run.select(
+        *keys, F.current_timestamp().alias("validation_checked_at"), F.lit("logical validation").alias("validation_mode"),
         F.when(F.col("valid"), "success").otherwise("failed").alias("validation_status"),
-        F.when(F.col("valid"), "").otherwise(F.col("summary")).alias("validation_error"))
+        F.when(F.col("valid"), "").otherwise(F.col("summary")).alias("validation_error"),
+        databases.alias("validation_databases"))
     return checked, fields
 
 
@@ -253,15 +257,15 @@ def observability_report(spark: SparkSession, path: str) -> DataFrame:
         "label", status_label("metric", "value"))
 
 
-def inspect_run(inventory: DataFrame, run_id=None) -> DataFrame:
-    """Dumps of a run with their size text, and the size of its physical part."""
+def inspect_run(inventory: DataFrame, run_id=None, keys=("run_id",)) -> DataFrame:
+    """Dumps of a run (``keys`` name it: with hosts in the inventory, host and run) with their size text, and the size of its physical part."""
     rows = inventory if run_id is None else inventory.where(F.col("run_id") == run_id)
     dump = F.regexp_extract("rel_path", r"^([^/]+)\.sql\.gz$", 1)
     part = (F.when(dump != "", F.struct(F.lit("logical").alias("kind"), dump.alias("name")))
             .when(F.col("rel_path").startswith("physical/"),
                   F.struct(F.lit("physical").alias("kind"), F.lit("physical").alias("name"))))
     sized = rows.where(~F.col("is_dir")).withColumn("_part", part).where(F.col("_part").isNotNull())
-    out = sized.groupBy("run_id", "_part.kind", "_part.name").agg(F.sum("size").alias("bytes"))
+    out = sized.groupBy(*keys, "_part.kind", "_part.name").agg(F.sum("size").alias("bytes"))
     return out.withColumn("size", human_bytes("bytes"))
 
 

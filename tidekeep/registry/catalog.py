@@ -244,7 +244,7 @@ def _compare_sample_hashes(data):
 @query("validation_rollup", ["db_validations"], """
 SELECT run_id, bool_and(valid) AS valid FROM db_validations GROUP BY run_id""")
 def _validation_rollup(data):
-    return verify.validation_rollup(data.view("db_validations"))
+    return verify.validation_rollup(data.view("db_validations"), ["run_id"])
 
 
 @query("validation_summary", ["db_validations"], """
@@ -253,4 +253,4 @@ def _validation_rollup(data):
 SELECT run_id, coalesce('validation failed for ' || string_agg(name, ', ' ORDER BY position, name) FILTER (NOT valid), '')
  AS summary FROM named GROUP BY run_id""")
 def _validation_summary(data):
-    return verify.validation_summary(data.view("db_validations"))
+    return verify.validation_summary(data.view("db_validations"), keys=["run_id"])

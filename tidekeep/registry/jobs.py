@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidekeep import fixtures
-from tidekeep.operators import profile, retention, runs as run_ops
+from tidekeep.operators import profile, retention, runs as run_ops, verify
 from tidekeep.operators.metrics import NAMES
 from tidekeep.plans import jobs
 from tidekeep.registry.base import query
@@ -16,7 +16,7 @@ from tidekeep.registry.signals import ALERTS_SQL
 from tidekeep.session import work_path
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
-from tidekeep.sources.artifacts import artifact_digests
+from tidekeep.sources.artifacts import artifact_digests, list_folders
 from tidekeep.sources.tables import TableSource, discover_tables, scan_tables
 
 @query("apply_retention", ["runs"], """
@@ -202,12 +202,12 @@ def _observability_report(data):
     return jobs.observability_report(data.spark, gauge_files(data)).drop("last_update", "label")
 
 
-def _document_dumps(data, path):
-    """Compressed files of up to a thousand documents each, the last line marking the end."""
+def _document_dumps(data, path, marked=True):
+    """Compressed files of up to a thousand documents each; if ``marked``, the last line marks the end."""
     docs = data.table("documents").select(F.floor(F.col("doc_id") / 1000).alias("bucket"), "doc_id", "text")
     ends = docs.select("bucket").distinct().select(
         "bucket", F.lit(2 ** 62).alias("doc_id"), F.lit("-- Dump completed").alias("text"))
-    (docs.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text")
+    (docs.unionByName(ends if marked else ends.limit(0)).repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text")
      .write.partitionBy("bucket").option("compression", "gzip").text(path))
     files = data.spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{path}/*").select("path", "length")
     return files.select(F.lit("run").alias("run_id"), F.regexp_extract("path", r"bucket=(\d+)/", 1).alias("db"),
@@ -224,6 +224,37 @@ def _artifact_digests(data):
                           F.coalesce("gzip_error", F.lit("")).alias("gzip_error"))
 
 
+@query("verify_artifacts", [], """
+SELECT host, 'run' AS run_id, 0 AS position, CAST(b AS STRING) AS db, host = 'h1' AS valid,
+ CASE WHEN host = 'h1' THEN '' ELSE 'missing ''-- Dump completed'' signature at end of file' END AS error
+FROM (SELECT DISTINCT doc_id // 1000 AS b FROM documents), (VALUES ('h1'), ('h2')) AS v(host)
+UNION ALL SELECT 'h2', 'run', 0, 'absent', false, 'file missing'""")
+def _verify_artifacts(data):
+    """Two hosts with the same run; the dumps of one lack the end marker, and it records one that is not there."""
+    files = [_document_dumps(data, work_path(data.spark, "dumps"), marked).withColumn("host", F.lit(host))
+             for host, marked in (("h1", True), ("h2", False))]
+    artifacts = files[0].unionByName(files[1])
+    names = artifacts.select("host", F.col("db").alias("name")).unionByName(
+        data.spark.createDataFrame([("h2", "absent")], "host string, name string"))
+    results = names.select("host", F.lit("run").alias("run_id"), F.lit(0).alias("position"), "name",
+                           F.lit("").alias("artifact_sha256"), F.lit("").alias("sql_sha256"))
+    return verify.verify_artifacts(results, artifact_digests(artifacts))
+
+
+@query("missing_run_folders", [], """
+SELECT host, b AS run_id, 'Local backup files have been removed (retention period exceeded)' AS error
+FROM (SELECT DISTINCT doc_id // 1000 AS b FROM documents), (VALUES ('h2')) AS v(host)""")
+def _missing_run_folders(data):
+    """Two hosts with the same runs; the folders of one are there."""
+    path = work_path(data.spark, "dumps")
+    there = _document_dumps(data, path).select(F.col("db").cast("bigint").alias("run_id"))
+    runs = there.select(F.explode(F.array(F.lit("h1"), F.lit("h2"))).alias("host"), "run_id").withColumn(
+        "run_folder", F.when(F.col("host") == "h1", F.concat(F.lit(f"{path}/bucket="), "run_id"))
+        .otherwise(F.concat(F.lit(f"{path}/gone-"), "run_id"))).withColumn("results", F.array(F.lit(1)))
+    folders = list_folders(runs).where("rel_path IS NULL").select("run_folder")
+    return verify.missing_run_folders(runs, folders)
+
+
 @query("read_dump_lines", [], """
 SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents
  UNION ALL SELECT '-- Dump completed' FROM (SELECT DISTINCT doc_id // 1000 FROM documents)) GROUP BY line""")

@@ -197,4 +197,4 @@ FROM (SELECT *, CASE WHEN current > completed THEN greatest(completed / total, (
 
 @query("progress_timeline", ["log_lines"], PROGRESS_SQL)
 def _progress_timeline(data):
-    return logs.progress_timeline(data.view("log_lines"), msg="value")
+    return logs.progress_timeline(data.view("log_lines"), ["run_id"], msg="value")

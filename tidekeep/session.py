@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -12,9 +13,27 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once for each application; Spark hands the archive to every executor."""
+    context = spark.sparkContext
+    if getattr(context, "_tidekeep_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidekeep-"), "tidekeep.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join(os.path.basename(package), os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    context._tidekeep_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: ``spark.checkpoint.dir`` of the session.
 
@@ -24,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="tidekeep-")
     spark.conf.set("spark.checkpoint.dir", folder)

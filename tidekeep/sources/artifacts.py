@@ -5,14 +5,14 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 BLOCK = 4 << 20
 END_MARKER = b"-- Dump completed"
 TAIL = 256
 
-SCHEMA = """run_id string, db string, path string, bytes bigint, artifact_sha256 string, payload_sha256 string,
- payload_bytes bigint, has_end_marker boolean, header_error boolean, gzip_error string"""
+DIGESTS = [("artifact_sha256", "string"), ("payload_sha256", "string"), ("payload_bytes", "long"),
+           ("has_end_marker", "boolean"), ("header_error", "boolean"), ("gzip_error", "string")]
 
 
 class _Payload:
@@ -123,35 +123,41 @@ def list_folders(folders: DataFrame) -> DataFrame:
 
 
 def listed_artifacts(listing: DataFrame) -> DataFrame:
-    """The dumps of a folder listing as artifacts (run_id, db, path, bytes)."""
+    """The dumps of a folder listing as artifacts (run_folder, run_id, db, path, bytes).
+
+    The same run id may stand for runs of several hosts; ``run_folder`` tells
+    them apart, and joins them to the records that name it.
+    """
     db = F.regexp_extract("rel_path", r"^([^/]+)\.sql\.gz$", 1)
     return listing.where(db != "").select(
-        F.regexp_extract("run_folder", r"([^/]+)/*$", 1).alias("run_id"), db.alias("db"), "path", "bytes")
+        "run_folder", F.regexp_extract("run_folder", r"([^/]+)/*$", 1).alias("run_id"), db.alias("db"), "path", "bytes")
 
 
 def artifact_digests(artifacts: DataFrame) -> DataFrame:
-    """File and payload digest, end marker and gzip faults of every file, in one pass each.
+    """Adds file and payload digest, end marker and gzip faults of the file in ``path``, in one pass each.
 
     The rows hold paths only; each file is streamed by one task in blocks, so
     its size does not matter. Concatenated gzip members are accepted.
     """
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(),
-             pa.bool_(), pa.bool_(), pa.string()]
-    names = [part.split()[0] for part in SCHEMA.split(",")]
+    schema = T.StructType(list(artifacts.schema.fields))
+    for name, kind in DIGESTS:
+        schema = schema.add(name, kind)
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
+    names = [name for name, _ in DIGESTS]
 
     def digests(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                values = (row["run_id"], row["db"], row["path"], row["bytes"], *_digest(row["path"]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
+            at = batch.schema.get_field_index("path")
+            for i, path in enumerate(batch.column(at).to_pylist()):
+                found = [pa.array([v], k) for v, k in zip(_digest(path), kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *found], names=[*batch.schema.names, *names])
 
-    files = artifacts.select("run_id", "db", "path", "bytes").repartition("path")
-    return files.mapInArrow(digests, SCHEMA)
+    return artifacts.repartition("path").mapInArrow(digests, schema)
 
 
 def file_sha256(files: DataFrame) -> DataFrame:
     """Adds ``sha256`` of the bytes of every file of column ``path``, streamed in blocks."""
-    schema = files.schema.add("sha256", "string")
+    schema = T.StructType(list(files.schema.fields)).add("sha256", "string")
 
     def digests(batches):
         for batch in batches:
