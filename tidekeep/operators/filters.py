@@ -13,11 +13,13 @@ PHYSICAL_WORDS = [
     "upload completed", "transaction log of lsn", "backup created in directory", "mysql binlog position",
 ]
 
-# Run events of high signal, and failure-oriented words (case counts).
+# Run events of high signal, as the lifecycle panel lists them, and failure-oriented words (case counts).
 LIFECYCLE_PHRASES = [
-    "mysql full backup started", "run log file:", "logical backup:", "physical backup:", "starting dump",
-    "completed dump", "s3 upload", "backup summary", "backup failure reason",
+    "mysql full backup started", "run log file:", "daily log file:", "logical backup:", "physical backup:", "backup folder:",
+    "discovering databases", "processing ", "starting dump", "completed dump", "deleting old backup folder", "cleanup warning",
+    "backup summary", "backup failure reason", "s3 upload", "metrics write failed",
 ]
+LIFECYCLE_PATTERN = "found [0-9]+ databases"
 FAILURE_WORDS = ["failed", "warning", "permission denied", "rate limit", "retry"]
 
 # Settings whose value is not shown. The last one is an addition of ours.
@@ -33,8 +35,11 @@ def keep_physical_events(lines: DataFrame, line="line") -> DataFrame:
     return lines.where(contains_any(F.lower(line), PHYSICAL_WORDS))
 
 
-def lifecycle_lines(lines: DataFrame, msg="msg") -> DataFrame:
-    return lines.where(contains_any(F.col(msg), LIFECYCLE_PHRASES))
+def lifecycle_lines(lines: DataFrame, msg="msg", **labels) -> DataFrame:
+    """Lines of high signal; with ``labels``, only of streams whose map ``labels`` has these values."""
+    for name, value in labels.items():
+        lines = lines.where(F.col("labels")[name] == value)
+    return lines.where(contains_any(F.col(msg), LIFECYCLE_PHRASES) | F.col(msg).rlike(LIFECYCLE_PATTERN))
 
 
 def failure_lines(lines: DataFrame, msg="msg") -> DataFrame:
@@ -75,23 +80,25 @@ def mask_secrets(settings: DataFrame, keys=SECRET_KEYS) -> DataFrame:
 
 
 # The settings process variables and overrides may change.
-MANAGED_KEYS = """
-DB_USER DB_PASS DB_ENGINE DB_HOST DB_PORT BACKUP_DIR BACKUP_LOG_DIR BACKUP_METRICS_FILE
-BACKUP_SYSTEMD_SERVICE_NAME BACKUP_SYSTEMD_TIMER_NAME MYSQL_BIN MYSQLDUMP_BIN BACKUP_RETRY_COUNT
-BACKUP_RETRY_BASE_DELAY BACKUP_RETRY_MAX_DELAY BACKUP_LOGICAL_ENABLED BACKUP_EXACT_ROW_COUNTS
-BACKUP_SAMPLE_DATA_CHECKS BACKUP_SAMPLE_DATA_ROWS BACKUP_LOGICAL_SCHEDULE BACKUP_LOGICAL_DATABASES
-BACKUP_LOGICAL_TABLES BACKUP_LOGICAL_TIMEOUT_PER_DB BACKUP_LOGICAL_PARALLEL BACKUP_LOGICAL_GZIP_LEVEL
-BACKUP_LOGICAL_S3_UPLOAD_ENABLED BACKUP_PHYSICAL_ENABLED BACKUP_PHYSICAL_SCHEDULE BACKUP_PHYSICAL_TIMEOUT
-BACKUP_PHYSICAL_S3_UPLOAD_ENABLED BACKUP_ENCRYPTION_KEY BACKUP_DISCOVERY_TIMEOUT BACKUP_PREFLIGHT_TIMEOUT
-BACKUP_RETENTION_DAILY BACKUP_RETENTION_WEEKLY BACKUP_RETENTION_MONTHLY BACKUP_CLEANUP_FAIL_FATAL
-BACKUP_LOCK_FILE BACKUP_S3_UPLOAD_URL BACKUP_S3_UPLOAD_TIMEOUT BACKUP_S3_UPLOAD_MODE BACKUP_S3_PHP_BIN
-BACKUP_S3_UPLOAD_SCRIPT BACKUP_S3_BUCKET BACKUP_S3_REGION BACKUP_S3_LOGICAL_PREFIX BACKUP_S3_PHYSICAL_PREFIX
-BACKUP_S3_KEY_ID BACKUP_S3_KEY_SECRET BACKUP_XBCLOUD_BIN BACKUP_XBCLOUD_PARALLEL BACKUP_XBCLOUD_FIFO_STREAMS
-BACKUP_XTRABACKUP_BIN BACKUP_XTRABACKUP_PARALLEL BACKUP_XTRABACKUP_USER BACKUP_XTRABACKUP_PASS
-BACKUP_XTRABACKUP_SOCKET BACKUP_XTRABACKUP_RUN_AS_USER BACKUP_XTRABACKUP_WORK_DIR BACKUP_API_ENABLED
-BACKUP_API_LISTEN_ADDR BACKUP_API_BASE_PATH BACKUP_API_AUTH_ENABLED BACKUP_API_BEARER_TOKEN
-BACKUP_METRICS_JOB BACKUP_METRICS_SERVICE BACKUP_METRICS_ENV BACKUP_METRICS_REGION
-""".split()
+MANAGED_KEYS = [
+    "DB_USER", "DB_PASS", "DB_ENGINE", "DB_HOST", "DB_PORT", "BACKUP_DIR", "BACKUP_LOG_DIR", "BACKUP_METRICS_FILE",
+    "BACKUP_SYSTEMD_SERVICE_NAME", "BACKUP_SYSTEMD_TIMER_NAME", "MYSQL_BIN", "MYSQLDUMP_BIN", "BACKUP_RETRY_COUNT",
+    "BACKUP_RETRY_BASE_DELAY", "BACKUP_RETRY_MAX_DELAY", "BACKUP_LOGICAL_ENABLED", "BACKUP_EXACT_ROW_COUNTS",
+    "BACKUP_SAMPLE_DATA_CHECKS", "BACKUP_SAMPLE_DATA_ROWS", "BACKUP_LOGICAL_SCHEDULE", "BACKUP_LOGICAL_DATABASES",
+    "BACKUP_LOGICAL_TABLES", "BACKUP_LOGICAL_TIMEOUT_PER_DB", "BACKUP_LOGICAL_PARALLEL",
+    "BACKUP_LOGICAL_GZIP_LEVEL", "BACKUP_LOGICAL_S3_UPLOAD_ENABLED", "BACKUP_PHYSICAL_ENABLED",
+    "BACKUP_PHYSICAL_SCHEDULE", "BACKUP_PHYSICAL_TIMEOUT", "BACKUP_PHYSICAL_S3_UPLOAD_ENABLED",
+    "BACKUP_ENCRYPTION_KEY", "BACKUP_DISCOVERY_TIMEOUT", "BACKUP_PREFLIGHT_TIMEOUT", "BACKUP_RETENTION_DAILY",
+    "BACKUP_RETENTION_WEEKLY", "BACKUP_RETENTION_MONTHLY", "BACKUP_CLEANUP_FAIL_FATAL", "BACKUP_LOCK_FILE",
+    "BACKUP_S3_UPLOAD_URL", "BACKUP_S3_UPLOAD_TIMEOUT", "BACKUP_S3_UPLOAD_MODE", "BACKUP_S3_PHP_BIN",
+    "BACKUP_S3_UPLOAD_SCRIPT", "BACKUP_S3_BUCKET", "BACKUP_S3_REGION", "BACKUP_S3_LOGICAL_PREFIX",
+    "BACKUP_S3_PHYSICAL_PREFIX", "BACKUP_S3_KEY_ID", "BACKUP_S3_KEY_SECRET", "BACKUP_XBCLOUD_BIN",
+    "BACKUP_XBCLOUD_PARALLEL", "BACKUP_XBCLOUD_FIFO_STREAMS", "BACKUP_XTRABACKUP_BIN",
+    "BACKUP_XTRABACKUP_PARALLEL", "BACKUP_XTRABACKUP_USER", "BACKUP_XTRABACKUP_PASS", "BACKUP_XTRABACKUP_SOCKET",
+    "BACKUP_XTRABACKUP_RUN_AS_USER", "BACKUP_XTRABACKUP_WORK_DIR", "BACKUP_API_ENABLED", "BACKUP_API_LISTEN_ADDR",
+    "BACKUP_API_BASE_PATH", "BACKUP_API_AUTH_ENABLED", "BACKUP_API_BEARER_TOKEN", "BACKUP_METRICS_JOB",
+    "BACKUP_METRICS_SERVICE", "BACKUP_METRICS_ENV", "BACKUP_METRICS_REGION",
+]
 
 
 def layer_settings(base: DataFrame, overrides: DataFrame, env: DataFrame, now) -> DataFrame:

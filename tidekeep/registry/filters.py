@@ -7,30 +7,31 @@ from tidekeep.functions.text import fuzzy_match
 from tidekeep.registry.base import query
 
 
-def any_of(column, words):
-    return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
-
-
-@query("keep_dump_warnings", ["db_results"], f"""
-SELECT run_id, name, size_bytes, error FROM db_results WHERE {any_of('lower(error)', op.DUMP_WORDS)}""")
+@query("keep_dump_warnings", ["db_results"], """
+SELECT run_id, name, size_bytes, error FROM db_results WHERE contains(lower(error), 'error') OR contains(lower(error), 'warning')
+ OR contains(lower(error), 'failed') OR contains(lower(error), 'couldn''t find table') OR contains(lower(error), 'could not')""")
 def _dump_warnings(data):
     return op.keep_dump_warnings(data.view("db_results").select("run_id", "name", "size_bytes", "error"), "error")
 
 
-@query("keep_physical_events", ["tool_lines"], f"""
-SELECT run_id, tool, line_no, line FROM tool_lines WHERE {any_of('lower(line)', op.PHYSICAL_WORDS)}""")
+@query("keep_physical_events", ["tool_lines"], """
+SELECT run_id, tool, line_no, line FROM tool_lines WHERE regexp_matches(lower(line), 'error|warning|failed|fatal|no space left|errno 28'
+ || '|completed ok|upload completed|transaction log of lsn|backup created in directory|mysql binlog position')""")
 def _physical_events(data):
     return op.keep_physical_events(data.view("tool_lines"))
 
 
-@query("lifecycle_lines", ["log_lines"], f"""
-SELECT run_id, line_no, value FROM log_lines WHERE {any_of('value', op.LIFECYCLE_PHRASES)}""")
+@query("lifecycle_lines", ["log_lines"], """
+SELECT run_id, line_no, value FROM log_lines WHERE regexp_matches(value, 'mysql full backup started|run log file:|daily log file:'
+ || '|logical backup:|physical backup:|backup folder:|discovering databases|found [0-9]+ databases|processing |starting dump'
+ || '|completed dump|deleting old backup folder|cleanup warning|backup summary|backup failure reason|s3 upload|metrics write failed')""")
 def _lifecycle_lines(data):
     return op.lifecycle_lines(data.view("log_lines"), "value")
 
 
-@query("failure_lines", ["log_lines"], f"""
-SELECT run_id, line_no, value FROM log_lines WHERE {any_of('value', op.FAILURE_WORDS)}""")
+@query("failure_lines", ["log_lines"], """
+SELECT run_id, line_no, value FROM log_lines WHERE contains(value, 'failed') OR contains(value, 'warning')
+ OR contains(value, 'permission denied') OR contains(value, 'rate limit') OR contains(value, 'retry')""")
 def _failure_lines(data):
     return op.failure_lines(data.view("log_lines"), "value")
 
@@ -47,6 +48,13 @@ def _fuzzy_match(data):
     return data.table("customer").select("c_custkey", "c_name", fuzzy_match("c_name", "Cm09").alias("matches"))
 
 
+@query("fuzzy_match_texts", [], """
+SELECT doc_id, text LIKE '%t%h%e%~%q%' AS matches FROM documents""")
+def _fuzzy_match_texts(data):
+    """Whole texts that mostly don't match."""
+    return data.table("documents").select("doc_id", fuzzy_match("text", "the~q").alias("matches"))
+
+
 @query("ownership_drift", ["file_inventory"], """
 SELECT host, root, rel_path, uid, row_number() OVER
  (PARTITION BY host, root ORDER BY string_split(rel_path, '/'), uid) AS place

@@ -114,16 +114,16 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 def number_lines(lines: DataFrame) -> DataFrame:
     """Line numbers within each file, from 1.
 
-    Files are numbered split by split: rows of one split (columns _file,
-    _block, _seq) are numbered on their own, and the splits in front of it,
-    of which a file has few, are added up.
+    Rows of one split of a file (columns _file, _block, _seq) have running
+    numbers already; a few rows, with the first number and the lines of the
+    splits in front, tell where each split begins. Lines are not shuffled as
+    long as these few rows are small enough to be sent to all.
     """
-    sizes = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first"))
     earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_seq"))
-    numbered = lines.withColumn("_place", place).join(offsets, ["_file", "_block"])
-    return numbered.withColumn("line_no", F.col("_offset") + F.col("_place")).drop("_block", "_seq", "_place", "_offset")
+    offsets = sizes.select("_file", "_block", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset"))
+    numbered = lines.join(offsets, ["_file", "_block"])
+    return numbered.withColumn("line_no", F.col("_seq") + F.col("_offset") + 1).drop("_block", "_seq", "_offset")
 
 
 def text_lines(spark: SparkSession, path: str, name_filter: str | None = None) -> DataFrame:
