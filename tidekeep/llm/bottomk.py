@@ -169,7 +169,7 @@ def with_next(docs: DataFrame, k: int = K, width: int = WIDTH, key: str = "doc_i
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = source.select(F.col("doc_id").cast("double").alias("x"))
     bounds = ids.stat.approxQuantile("x", [i / n for i in range(1, n)], 0.2 / n)
-    bucketizer = Bucketizer(splits=[-np.inf, *sorted(set(bounds)), np.inf], inputCol="_x", outputCol="_range")
+    bucketizer = Bucketizer(splits=[-np.inf, *sorted(set(bounds) or {0.0}), np.inf], inputCol="_x", outputCol="_range")
     ranged = bucketizer.transform(source.withColumn("_x", F.coalesce(F.col("doc_id").cast("double"), F.lit(-np.inf))))
     ranged = ranged.withColumn("_range", F.col("_range").cast("int")).drop("_x")
     heads = ranged.groupBy("_range").agg(F.max("doc_id").alias("_head")).orderBy(F.desc("_range")).collect()  # a row for each range
