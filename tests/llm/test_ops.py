@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 import __spark_entry__ as registered
 import corpus_pipeline
 from check import compare
-from tidekeep.llm import (base, bottomk, context_mixing, divergence, dom_boosting, harmonic_packing, queries, repair_ids,
-                          simhash_grid, tiktoken_codec, winnowing, wordpiece_lengths)
+from tidekeep.llm import (base, bottomk, context_mixing, divergence, dom_boosting, harmonic_packing, near_copies, queries,
+                          repair_ids, simhash_grid, tiktoken_codec, winnowing, wordpiece_lengths)
 from tidekeep.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -649,6 +649,61 @@ def test_decisions_have_probability_one():
         mixer.cost(np.zeros(30, np.int64), x, gate, rng.integers(0, 2, 30))
 
 
+# ---- near copies ----
+
+def brute_near(rows, width=5):
+    """Root (smallest index) of each text by exact Jaccard similarity of shingles, 0.8 or more."""
+    words = [(t or "").encode().lower().split() for t in rows]
+    sets = [{tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("small,part", [(8, 1 << 20), (2, 1 << 20), (2, 2000)])
+def test_near_copies_against_brute_force(ready, small, part):
+    rng = np.random.default_rng(4)
+    rows = []
+    for center in range(12):
+        words = [f"w{rng.integers(5000)}" for _ in range(int(rng.integers(60, 300)))]
+        rows.append(" ".join(words))
+        for _ in range(30 if center < 2 else 5):  # copies with 1 to 14 places changed, some of them copied on
+            changed = list(words)
+            for at in rng.integers(0, len(words), int(rng.integers(1, 15))):
+                changed[at] = f"x{rng.integers(5000)}"
+            rows.append(" ".join(changed))
+            words = changed if rng.random() < 0.3 else words
+    roots = brute_near(rows)
+    assert 20 < len(set(roots)) < len(rows) - 20
+    kept = near_copies.first_of_each(frame(ready, list(enumerate(rows))), small=small, part=part).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(roots))
+
+
+def test_near_stage_drops_what_few_bits_miss(ready, documents):
+    assert "near_dedup" == corpus_pipeline.STAGES[2][0]
+    roots = brute_near([d.text for d in documents])
+    kept = corpus_pipeline.STAGES[2][1](ready, ready.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(documents[i].doc_id for i in set(roots))
+    bits = brute_components([plain_fingerprint(d.text) for d in documents])
+    assert len(set(roots)) < len(set(bits))
+
+
+def test_near_copies_of_odd_rows(odd, empty):
+    first = near_copies.first_of_each(odd[0])
+    assert first.columns == odd[0].columns and first.count() == len(set(brute_near([t for _, t in odd[1]])))
+    assert near_copies.first_of_each(empty).collect() == []
+
+
 # ---- pipeline ----
 
 def test_pipeline(ready, documents):
@@ -670,6 +725,18 @@ def test_pipeline(ready, documents):
     check_packing(corpus_pipeline.run(ready, FOLDER).collect(), [(i, plain_ids(coder, t, 2)) for i, t in firsts])
 
 
+def test_pipeline_drops_near_copies(ready, documents):
+    """Stages one after the other, with the third held against exact similarities."""
+    docs, stages = ready.read.parquet(f"{FOLDER}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = queries.materialize(stage(ready, docs, FOLDER), name)
+        stages.append(sorted((r.doc_id, r.text) for r in docs.collect()))
+    firsts = [stages[1][i] for i in sorted(set(brute_near([t for _, t in stages[1]])))]
+    assert stages[2] == firsts
+    coder = tokenizer("word_bpe_49k.json")
+    check_packing(corpus_pipeline.run(ready, FOLDER).collect(), [(i, plain_ids(coder, t, 2)) for i, t in firsts])
+
+
 def test_stages_of_odd_and_empty_tables(ready, odd, empty):
     for docs in (odd[0], empty):
         for _, stage in corpus_pipeline.STAGES:

@@ -234,7 +234,12 @@ def first_of_each(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id"
     """The rows of ``docs`` that are the first of their component: smallest id, then smallest text hash, and one of
     rows that repeat."""
     prints = materialize(fingerprints(docs, key, text), "fingerprints")
-    firsts = groups(prints, distance).select("first.doc_id", "first.content").distinct() \
+    return rows_of_firsts(docs, groups(prints, distance).select("first"), key, text)
+
+
+def rows_of_firsts(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` with the id and text hash of a ``first(doc_id, content)``, one of rows that repeat."""
+    firsts = firsts.select("first.doc_id", "first.content").distinct() \
         .select(F.col("doc_id").alias("_first_id"), F.col("content").alias("_first_content"))
     plain = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(row_of(docs).alias("row"), F.col(key).alias("_key"), F.xxhash64(plain).alias("_hash"))
