@@ -191,6 +191,21 @@ def test_grammar_round_trip(seed):
     assert np.cumsum(widths)[after].tolist() == (np.flatnonzero(ends) + 1).tolist()
 
 
+def test_a_rare_pair_does_not_block_a_frequent_one():
+    """Pairs that share a slot in the first round, of which the rare one is met first."""
+    def slot(a, b):
+        return (((a << 32) | b) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 40 & ((1 << repair_ids.SLOT_BITS) - 1)
+
+    wanted = slot(1, 2)
+    rare = next((a, b) for a in range(1000, 4000) for b in range(1000, 2000) if slot(a, b) == wanted)
+    ids = np.array([*rare, 9000, *[x for i in range(40) for x in (1, 2, 10_000 + i)]], np.uint32)
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    symbols, _, left, right = repair_ids.compress(ids, ends, 50_257)
+    assert (1, 2) in zip(left.tolist(), right.tolist())
+    assert repair_ids.expand(symbols, left, right, 50_257).tolist() == ids.tolist()
+
+
 # ---- 3: tiktoken ----
 
 def test_tiktoken(ready, documents, odd, empty):

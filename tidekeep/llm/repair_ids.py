@@ -39,7 +39,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = R
     symbol, mask = vocabulary, (1 << SLOT_BITS) - 1
     for turn in range(rounds):
         key = (seq[:-1] << 32) | seq[1:]
-        slot = ((key * (0x9E3779B97F4A7C15 - (1 << 64)) + turn * 7919) >> 40) & mask
+        # A multiplier for each round, as pairs that meet under one would meet again after any shift of it.
+        factor = (0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED02) % (1 << 64)
+        slot = ((key * np.uint64(factor).astype(np.int64)) >> 40) & mask
         open_ = ~ends[:-1]
         counts = np.bincount(slot[open_], minlength=mask + 1)
         at = np.flatnonzero(open_ & (counts[slot] >= min_count))
@@ -52,8 +54,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = R
         at, slot = at[same], slot[same]
         frequent = np.bincount(slot, minlength=mask + 1) >= min_count
         at, slot = at[frequent[slot]], slot[frequent[slot]]
-        if not len(at):
-            break
+        if not len(at):  # rare pairs speak for all slots; in the next round others do
+            continue
         # Of pairs that overlap in a run, every second one is replaced.
         new_run = np.concatenate(([True], np.diff(at) != 1))
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
