@@ -5,8 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import (bottomk, context_mixing, divergence, dom_boosting, harmonic_packing, near_copies, oracle,
-                          repair_ids, simhash_grid, tiktoken_codec, winnowing, wordpiece_lengths)
+from tidekeep.llm import (bottomk, context_mixing, divergence, dom_boosting, feast_whitening, harmonic_packing, near_copies,
+                          oracle, periodic_runs, repair_ids, simhash_grid, tiktoken_codec, tree_concat, winnowing,
+                          wordpiece_lengths)
 from tidekeep.llm.base import prepare
 from tidekeep.session import configure, materialize
 
@@ -83,6 +84,21 @@ def op10_context_mixing(spark, sf_dir):
     return context_mixing.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_tree_concat(spark, sf_dir):
+    path = tokenizer_file("word_bpe_49k.json")
+    encoded = tree_concat.encode(table(spark, sf_dir, "documents"), path)
+    return tree_concat.digests(tree_concat.decode(encoded, path))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find(docs))
+
+
+def op13_feast_whitening(spark, sf_dir):
+    return feast_whitening.by_component(feast_whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def quality_stage(docs: DataFrame) -> DataFrame:
     """Documents the quality rules keep, with all their columns."""
     measured = materialize(divergence.measure(docs), "measured")
