@@ -49,7 +49,7 @@ class Coder:
     remembered, then all are forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
@@ -86,21 +86,21 @@ class Coder:
         return [self.special[p] if i % 2 else self.normal(p) for i, p in enumerate(self.marks.split(text))]
 
     def _learn(self):
+        """Encodes new words many at a time; the bytes of words and tokens tell which ids belong to which word."""
         new, self.words.new = self.words.new, []
         first = len(self.words) - len(new)
-        found = []
-        for a in range(0, len(new), 4096):
-            found += [e.ids for e in self.plain.encode_batch_fast(new[a:a + 4096], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, max(self.used + total, 2 * len(self.ids)))
+        lines = [" ".join(new[a:a + 256]) for a in range(0, len(new), 256)]
+        found = np.concatenate([np.array(ids, np.uint32) for ids in self._library(lines)])
+        stops = np.searchsorted(np.cumsum(self.size[found]), np.cumsum([len(w.encode()) for w in new]), side="right")
+        starts = np.concatenate(([0], stops[:-1]))
+        if self.used + len(found) > len(self.ids):
+            self.ids = np.resize(self.ids, max(self.used + len(found), 2 * len(self.ids)))
         if len(self.words) > len(self.start):
             self.start, self.length = (np.resize(x, max(len(self.words), 2 * len(x))) for x in (self.start, self.length))
-        self.ids[self.used:self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.start[first:first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.length[first:first + len(new)] = lengths
-        self.used += total
+        self.ids[self.used:self.used + len(found)] = found
+        self.start[first:first + len(new)] = self.used + starts
+        self.length[first:first + len(new)] = stops - starts
+        self.used += len(found)
         self.held += sum(map(len, new))
 
     def leaves(self, parts: list[str]) -> list[np.ndarray]:
@@ -116,8 +116,11 @@ class Coder:
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *map(len, lists)])].tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
+    def _library(self, normal: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.plain.encode_batch_fast(normal, add_special_tokens=False)]
+
     def windows(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.plain.encode_batch_fast(parts, add_special_tokens=False)]
+        return self._library(parts)
 
     # ---- the tree ----
 
