@@ -63,10 +63,6 @@ def crc_of_spans(data: np.ndarray, bounds: np.ndarray):
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-#: Punctuation that ends a match of letters and stays in one match with what follows of its kind.
-TAIL = ".,;:!?#$%&*|()"
-
-
 class Numbers(dict):
     """Numbers keys as they are first asked for; ``new`` holds those since it was last emptied."""
 
@@ -80,120 +76,101 @@ class Numbers(dict):
         return number
 
 
-# Byte-level vocabularies write a byte as a character: printable ones of Latin-1 as themselves, the others, in order,
-# as the characters from 256 on.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_CHARACTER = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
-
-
-def _as_characters(piece: str) -> str:
-    return piece.encode().decode("latin-1").translate(_CHARACTER)
+#: Characters up to here keep their number of bytes in lower case and are composed already.
+_LATIN = "\u0021-\u0084\u0086-\u009f\u00a1-\u012f\u0131-\u022f"
+_WORD, _WORDS = re.compile(f"[{_LATIN}]+"), re.compile(f"[{_LATIN}][\t\n\r{_LATIN}]*[{_LATIN}]")
 
 
 class ChunkEncoder:
-    """Ids of whole texts by a file of the tokenizers library, asked once for every distinct piece.
+    """Ids of whole texts by a file of the tokenizers library, asked once for every distinct chunk.
 
-    Texts are cut at safe spaces into chunks; a chunk of letters and punctuation is cut into these two pieces, any
-    other is one piece. Pieces of Latin letters go straight to the library's model, if probes show that this gives
-    the ids of the whole tokenizer. Chunks and pieces are remembered, at most ``limit`` and twice as many of them
-    (and 16 characters for each), then forgotten, so memory stays bounded.
+    Texts are cut at safe spaces into chunks. New chunks of Latin characters are put together again, many to a line, as
+    the library is fast with long texts, and the bytes that tokens stand for tell which ids belong to which chunk;
+    other chunks are encoded one by one. At most ``limit`` chunks (and 16 characters for each) are remembered, then
+    all are forgotten, so memory stays bounded.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit, self.model = limit, self.tokenizer.model
-        probes = ["Word", " Word", "x", " the", " sOmething", "unbelievable", " \u00c9t\u00e9", "\u00d1andu\u0133"]
-        plain = [e.ids for e in self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)]
-        forms = (_as_characters, lambda p: _as_characters(p.strip(" ").lower()))
-        self.direct = next((f for f in forms if [self._by_model(f(p)) for p in probes] == plain), None)
-        self._forget_pieces()
-
-    def _by_model(self, piece: str):
-        return [token.id for token in self.model.tokenize(piece)]
-
-    def _forget_pieces(self):
-        self.pieces, self.used, self.held = Numbers(), 0, 0
+        from tokenizers import Tokenizer, normalizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        for tokenizer in (self.tokenizer, self.plain):
+            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.limit, suffix = limit, getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token.removesuffix(suffix))  # a character of a byte-level token is a byte
+        self.drops_space = int(self.size[self._ids([" a"])[0]].sum()) == 1
+        # A normaliser that only lowers the case of Latin letters and white space is left out for lines of them.
+        probes = ["\u00c9t\u00e9 ABC", "x\tY\n z", "\u00d1\u01c4\u01f1\u0220 \u00df"]
+        wanted = [x.tolist() for x in self._ids(probes)]
+        self.lowers = self.drops_space and [x.tolist() for x in self._ids([p.lower() for p in probes], self.plain)] == wanted
+        self._forget()
+
+    def _forget(self):
+        self.chunks, self.held, self.used = Numbers(), 0, 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self._forget_chunks()
-
-    def _forget_chunks(self):
-        self.chunks, self.chars = Numbers(), 0
-        self.head, self.tail = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.unsafe = np.zeros(1 << 16, bool)
+        self.ids, self.unsafe = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, bool)
 
     @staticmethod
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return np.resize(array, max(n, 2 * len(array))) if n > len(array) else array
 
-    def _learn_pieces(self):
-        new, self.pieces.new = self.pieces.new, []
-        first, direct, tokenize = len(self.pieces) - len(new), self.direct, self.model.tokenize
-        found: list = [None] * len(new)
-        rest = []
-        for i, piece in enumerate(new):
-            if direct and (word := piece.lstrip(" ")).isalpha() and (
-                    word.isascii() or max(word) < "\u0250" and "\u0130" not in word):  # whose lower case is no letter
-                found[i] = [token.id for token in tokenize(direct(piece))]
-            else:
-                rest.append(i)
-        for a in range(0, len(rest), 4096):
-            part = rest[a:a + 4096]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([new[i] for i in part], add_special_tokens=False)):
-                found[i] = e.ids
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        self.ids = self._room(self.ids, self.used + total)
-        self.start, self.length = (self._room(x, first + len(new)) for x in (self.start, self.length))
-        self.ids[self.used:self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.start[first:first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.length[first:first + len(new)] = lengths
-        self.used += total
-        self.held += sum(map(len, new))
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        found = []
+        for a in range(0, len(texts), 4096):
+            part = (tokenizer or self.tokenizer).encode_batch_fast(texts[a:a + 4096], add_special_tokens=False)
+            found += [np.array(e.ids, np.uint32) for e in part]
+        return found
 
-    def _learn_chunks(self):
+    def _learn(self):
         """A leading space marks the chunk that begins a text; the others get the space that stood before them."""
         new, self.chunks.new = self.chunks.new, []
-        first = len(self.chunks) - len(new)
-        cores, tails, unsafe = [], [], []
-        for chunk in new:
-            if chunk[:1] == " ":
-                text, odd = chunk[1:], chunk != " " and chunk[-1].isspace()
-                core = word = text.rstrip(TAIL)
+        first, n = len(self.chunks) - len(new), len(self.chunks)
+        joined, sizes, alone, unsafe = [], [], [], np.zeros(len(new), bool)
+        for i, chunk in enumerate(new):
+            if chunk[:1] != " " and _WORD.fullmatch(chunk):
+                joined.append(i)
+                sizes.append(len(chunk.encode()) + (not self.drops_space))
+            elif chunk[:1] != " " and _WORDS.fullmatch(chunk):
+                joined.append(i)
+                sizes.append(len("".join(chunk.split()).encode()) if self.drops_space else 1 + len(chunk.encode()))
             else:
-                text, word, odd = " " + chunk, chunk.rstrip(TAIL), not chunk or chunk[0].isspace() or chunk[-1].isspace()
-                core = " " + word
-            if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
-                core = text
-            cores.append(core)
-            tails.append(text[len(core):])
-            unsafe.append(odd)
-        heads, tails = list(map(self.pieces.__getitem__, cores)), list(map(self.pieces.__getitem__, tails))
-        if self.pieces.new:
-            self._learn_pieces()
-        n = first + len(new)
-        self.head, self.tail, self.unsafe = (self._room(x, n) for x in (self.head, self.tail, self.unsafe))
-        self.head[first:n], self.tail[first:n], self.unsafe[first:n] = heads, tails, unsafe
-        self.chars += sum(map(len, new))
+                alone.append(i)
+                unsafe[i] = chunk[1:] != "" and chunk[-1].isspace() if chunk[:1] == " " else not chunk or chunk[0].isspace() or chunk[-1].isspace()
+        lines = [" " + " ".join([new[i] for i in joined[a:a + 256]]) for a in range(0, len(joined), 256)]
+        found = self._ids([line.lower() for line in lines], self.plain) if self.lowers else self._ids(lines)
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        ends, wanted = np.concatenate(([0], np.cumsum(self.size[ids]))), np.cumsum(sizes)
+        stops = np.searchsorted(ends, wanted)
+        if len(joined) and (ends[-1] != wanted[-1] or (ends[stops] != wanted).any()):
+            raise ValueError("the tokenizer's tokens do not cover the bytes of a text")
+        rest = self._ids([new[i][1:] if new[i][:1] == " " else " " + new[i] for i in alone])
+        self.start, self.length, self.unsafe = (self._room(x, n) for x in (self.start, self.length, self.unsafe))
+        self.unsafe[first:n] = unsafe
+        for at, bounds, values in ((joined, np.concatenate(([0], stops)), ids),
+                                   (alone, np.cumsum([0, *map(len, rest)]), np.concatenate(rest) if rest else ids[:0])):
+            at, bounds = np.array(at, np.int64) + first, bounds.astype(np.int64)
+            self.ids = self._room(self.ids, self.used + len(values))
+            self.ids[self.used:self.used + len(values)] = values
+            self.start[at], self.length[at] = self.used + bounds[:-1], np.diff(bounds)
+            self.used += len(values)
+        self.held += sum(map(len, new))
 
     def _codes(self, lists):
-        flat = [c for chunks in lists for c in chunks]
-        codes = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
+        codes = np.fromiter(map(self.chunks.__getitem__, (c for chunks in lists for c in chunks)), np.int64, sum(map(len, lists)))
         if self.chunks.new:
-            self._learn_chunks()
+            self._learn()
         return codes
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end_id`` after every text, and the bounds of the texts in them."""
-        if len(self.pieces) > 2 * self.limit or self.held > 32 * self.limit:
-            self._forget_pieces()
+        if len(self.chunks) > self.limit or self.held > 16 * self.limit:
+            self._forget()
             gc.collect()
-        elif len(self.chunks) > self.limit or self.chars > 16 * self.limit:
-            self._forget_chunks()
         lists = [text.split(" ") for text in texts]
         for chunks in lists:
             chunks[0] = " " + chunks[0]
@@ -206,10 +183,9 @@ class ChunkEncoder:
                 lists[i] = [" " + lists[i][0], *lists[i][1:]]
             codes = self._codes(lists)
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        pieces = np.stack((self.head[codes], self.tail[codes]), axis=1)
-        lengths = self.length[pieces]
-        ids = self.ids[spans(self.start[pieces].ravel(), lengths.ravel())]
-        per_text = np.add.reduceat(lengths.sum(1), np.cumsum(counts) - counts) if len(lists) else np.zeros(0, np.int64)
+        lengths = self.length[codes]
+        ids = self.ids[spans(self.start[codes], lengths)]
+        per_text = np.add.reduceat(lengths, np.cumsum(counts) - counts) if len(lists) else np.zeros(0, np.int64)
         bounds = np.concatenate(([0], np.cumsum(per_text + 1)))
         out = np.empty(int(bounds[-1]), np.uint32)
         ends = np.zeros(len(out), bool)
