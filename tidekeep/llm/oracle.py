@@ -1,11 +1,12 @@
-"""DuckDB texts of the queries that SQL can express."""
-
-from tidekeep.llm.divergence import (CLASS_LIMIT, COMMON, EDGE, MIN_REFERENCE, MIN_WORDS, REPEAT_PERCENT, SYMBOLS, WORD_LIMIT,
-                                     WORD_SLACK)
-from tidekeep.llm.winnowing import WORDS
+"""DuckDB texts of the queries that SQL can express, with their own copies of all limits."""
 
 WORD = r"[^\x20\x09-\x0D]+"
-_LIST = "[" + ", ".join(f"'{w}'" for w in COMMON) + "]"
+# Common words of English, German, French and Spanish.
+_LIST = """['a', 'al', 'als', 'and', 'are', 'as', 'at', 'au', 'auf', 'avec', 'be', 'by', 'con', 'dans', 'das', 'de',
+'del', 'dem', 'den', 'der', 'des', 'die', 'du', 'ein', 'eine', 'el', 'en', 'es', 'est', 'et', 'for', 'from',
+'für', 'im', 'in', 'is', 'ist', 'it', 'la', 'las', 'le', 'les', 'lo', 'los', 'mit', 'nicht', 'no', 'of', 'on',
+'par', 'para', 'pas', 'por', 'pour', 'que', 'qui', 'se', 'sich', 'su', 'sur', 'that', 'the', 'this', 'to',
+'un', 'una', 'und', 'une', 'von', 'was', 'with', 'y', 'zu']"""
 
 QUALITY = rf"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
@@ -14,13 +15,13 @@ windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 m AS (SELECT w.doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
-  length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
   length(regexp_replace(array_to_string(ws, ''), '\P{{Ll}}', '', 'g')) AS low,
   length(regexp_replace(array_to_string(ws, ''), '\P{{Lu}}', '', 'g')) AS up,
-  list_transform(ws, lambda x: trim(lower(x), '{EDGE}')) AS plain
+  list_transform(ws, lambda x: trim(lower(x), '.,;:!?')) AS plain
   FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
-b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 bins AS (
   SELECT doc_id, lang, base_failed, 'c' AS kind, v.c AS bin, v.n FROM (SELECT *, unnest([{{'c': 'low', 'n': low}}, {{'c': 'up', 'n': up}},
     {{'c': 'symbol', 'n': n_symbols}}, {{'c': 'other', 'n': word_chars - low - up - n_symbols}}]) AS v FROM b)
@@ -29,15 +30,16 @@ bins AS (
 reference AS (SELECT lang, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q, sum(sum(n)) OVER (PARTITION BY lang, kind) AS total
   FROM bins WHERE NOT base_failed GROUP BY lang, kind, bin),
 shares AS (SELECT doc_id, lang, kind, bin, n / nullif(sum(n) OVER (PARTITION BY doc_id, kind), 0) AS p FROM bins WHERE NOT base_failed),
-terms AS (SELECT doc_id, s.kind, total,
+terms AS (SELECT doc_id, s.kind, total, q,
   (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS x
   FROM shares s JOIN reference r ON s.lang IS NOT DISTINCT FROM r.lang AND s.kind = r.kind AND s.bin = r.bin),
-far AS (SELECT doc_id, sum(x) FILTER (kind = 'c') AS c, sum(x) FILTER (kind = 'w') AS w, max(total) FILTER (kind = 'w') AS total
+far AS (SELECT doc_id, sum(x) FILTER (kind = 'c') AS c, sum(x) FILTER (kind = 'w') AS w,
+  count(*) FILTER (kind = 'w' AND q >= 0.001) AS bins, max(total) FILTER (kind = 'w') AS total
   FROM terms GROUP BY doc_id)
 SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(far.total, 0) >= {MIN_REFERENCE} AND (far.c > {CLASS_LIMIT}
-    OR far.w - {len(COMMON)} / (8 * ln(2)) / n_words > {WORD_LIMIT} + {WORD_SLACK} / n_words)) AS kept
+  NOT base_failed AND NOT (coalesce(far.total, 0) >= 1000 AND (far.c > 0.08
+    OR far.w - (far.bins - 1) / (8 * ln(2)) / n_words > 0.05 + 1.2 / n_words)) AS kept
 FROM b LEFT JOIN far USING (doc_id)"""
 
 LINES = rf"""
@@ -45,13 +47,13 @@ WITH l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS x, len(regexp_extract_all(ls[i]
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
 k AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS e, sum(n) OVER (PARTITION BY doc_id) AS total FROM l WHERE n > 0),
 f AS (SELECT doc_id, pos, e, e - n AS s, total,
-  list(x) OVER (PARTITION BY doc_id ORDER BY e - n RANGE BETWEEN CURRENT ROW AND {WORDS - 1} FOLLOWING) AS ahead,
-  max(pos) OVER (PARTITION BY doc_id ORDER BY e - n RANGE BETWEEN CURRENT ROW AND {WORDS - 1} FOLLOWING) AS last,
-  list(x) OVER (PARTITION BY doc_id ORDER BY e RANGE BETWEEN {WORDS - 1} PRECEDING AND CURRENT ROW) AS behind FROM k),
+  list(x) OVER (PARTITION BY doc_id ORDER BY e - n RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS ahead,
+  max(pos) OVER (PARTITION BY doc_id ORDER BY e - n RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS last,
+  list(x) OVER (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS behind FROM k),
 starts AS (SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY ahead ORDER BY doc_id, pos) AS r
-  FROM f WHERE total - s >= {WORDS}) WHERE r > 1),
+  FROM f WHERE total - s >= 50) WHERE r > 1),
 ends AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY behind ORDER BY doc_id, pos) AS r
-  FROM f WHERE e >= {WORDS}) WHERE r > 1),
+  FROM f WHERE e >= 50) WHERE r > 1),
 gone AS (SELECT k.doc_id, k.pos FROM k JOIN starts s ON k.doc_id = s.doc_id AND k.pos BETWEEN s.pos AND s.last
   UNION SELECT doc_id, pos FROM ends)
 SELECT d.doc_id, CASE WHEN count(gone.pos) = 0 THEN any_value(d.text)
