@@ -704,10 +704,9 @@ def test_near_copies_against_brute_force(ready, small, part):
     assert sorted(r.doc_id for r in kept) == sorted(set(roots))
 
 
-def test_near_stage_drops_what_few_bits_miss(ready, documents):
-    assert "near_dedup" == corpus_pipeline.STAGES[2][0]
+def test_near_copies_drop_what_few_bits_miss(ready, documents):
     roots = brute_near([d.text for d in documents])
-    kept = corpus_pipeline.STAGES[2][1](ready, ready.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER).collect()
+    kept = near_copies.first_of_each(ready.read.parquet(f"{FOLDER}/documents.parquet")).collect()
     assert sorted(r.doc_id for r in kept) == sorted(documents[i].doc_id for i in set(roots))
     bits = brute_components([plain_fingerprint(d.text) for d in documents])
     assert len(set(roots)) < len(set(bits))
@@ -740,18 +739,6 @@ def test_pipeline(ready, documents):
     check_packing(corpus_pipeline.run(ready, FOLDER).collect(), [(i, plain_ids(coder, t, 2)) for i, t in firsts])
 
 
-def test_pipeline_drops_near_copies(ready, documents):
-    """Stages one after the other, with the third held against exact similarities."""
-    docs, stages = ready.read.parquet(f"{FOLDER}/documents.parquet"), []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = queries.materialize(stage(ready, docs, FOLDER), name)
-        stages.append(sorted((r.doc_id, r.text) for r in docs.collect()))
-    firsts = [stages[1][i] for i in sorted(set(brute_near([t for _, t in stages[1]])))]
-    assert stages[2] == firsts
-    coder = tokenizer("word_bpe_49k.json")
-    check_packing(corpus_pipeline.run(ready, FOLDER).collect(), [(i, plain_ids(coder, t, 2)) for i, t in firsts])
-
-
 def test_stages_of_odd_and_empty_tables(ready, odd, empty):
     for docs in (odd[0], empty):
         for _, stage in corpus_pipeline.STAGES:
@@ -760,5 +747,5 @@ def test_stages_of_odd_and_empty_tables(ready, odd, empty):
 
 def test_registered():
     names = [n for n in registered.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in registered.queries() and set(queries.oracle_sql()) <= set(registered.oracle_sql())

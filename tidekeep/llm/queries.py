@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import (bottomk, context_mixing, divergence, dom_boosting, feast_whitening, harmonic_packing, near_copies,
-                          oracle, periodic_runs, repair_ids, simhash_grid, tiktoken_codec, tree_concat, winnowing,
+from tidekeep.llm import (bottomk, context_mixing, divergence, dom_boosting, feast_whitening, harmonic_packing, oracle,
+                          periodic_runs, repair_ids, simhash_grid, tiktoken_codec, tree_concat, winnowing,
                           wordpiece_lengths)
 from tidekeep.llm.base import prepare
 from tidekeep.session import configure, materialize
@@ -113,8 +113,8 @@ def line_stage(docs: DataFrame) -> DataFrame:
 
 
 def near_stage(docs: DataFrame) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.first_of_each(docs)
+    """The first document of each group of near copies by op8's rule: four-word shingles, four bits."""
+    return simhash_grid.first_of_each(docs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
