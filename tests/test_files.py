@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidekeep import schemas
-from tidekeep.operators import runs as run_ops, verify
+from tidekeep.operators import digest_tree, runs as run_ops, verify
 from tidekeep.plans import jobs
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
@@ -328,3 +328,80 @@ def test_hosts_that_share_a_run_id_are_validated_apart(spark, tmp_path):
     assert told["h1"]["validation_status"] == "success" and told["h2"]["validation_status"] == "failed"
     assert told["h2"]["validation_databases"][0]["database"] == "app" and not told["h2"]["validation_databases"][0]["valid"]
     assert told["h1"]["validation_checked_at"] is not None
+
+
+def test_manifests_of_hosts_with_one_run_id(spark, tmp_path):
+    runs = jobs._as(spark.createDataFrame([("r", "success", "h1"), ("r", "failed", "h2"), ("r", "partial", "h2")],
+                                          "run_id string, status string, hostname string"), schemas.RUN)
+    sinks.write_manifests(runs, str(tmp_path / "m"))
+    assert rows(sources.read_manifests(spark, str(tmp_path / "m")).select("host", "run_id", "status"), "host", "status") == [
+        ("h1", "r", "success"), ("h2", "r", "failed"), ("h2", "r", "partial")]
+
+
+def test_object_keys_of_hosts_with_one_run_id(spark):
+    files = spark.createDataFrame([("h1", "r", "a b", 1), ("h2", "r", "a b", 2)], "host string, run_id string, rel_path string, size int")
+    assert rows(sinks.plan_upload(files, "/p/", host="host").select("object_key", "size"), "size") == [("p/h1/r/a%20b", 1), ("p/h2/r/a%20b", 2)]
+    assert rows(sinks.plan_upload(files, "", host="host").select("object_key", "size"), "size")[0] == ("h1/r/a%20b", 1)
+    assert rows(sinks.plan_upload(files, "p").select("object_key").distinct()) == [("p/r/a%20b",)]
+
+
+def test_failed_export_leaves_nothing(spark, tmp_path):
+    good = spark.range(10)
+    bad = spark.range(10).select(F.raise_error(F.lit("torn page")).alias("x"))
+    root = str(tmp_path / "out")
+    with pytest.raises(Exception, match="torn page"):
+        sinks.export_tables(spark, {"a": good, "b": bad}, root, "run", "main", parallel=1)
+    assert sinks.read_export(spark, root, "run", "main") == {}
+    assert [p.name for p in (tmp_path / "out" / "run").iterdir() if not p.name.startswith(".")] == []
+    # An attempt whose driver was lost: files without a commit record are not read, and the next attempt replaces them.
+    good.write.parquet(f"{root}/run/main/a")
+    good.write.parquet(f"{root}/run/{sinks.STAGING}-main-x/a")
+    assert sinks.read_export(spark, root, "run", "main") == {}
+    assert sinks.clean_exports(spark, root, "run") == [f"{sinks.STAGING}-main-x", "main"]
+    good.write.parquet(f"{root}/run/main/old")
+    sinks.export_tables(spark, {"a": good}, root, "run", "main")
+    assert {n: df.count() for n, df in sinks.read_export(spark, root, "run", "main").items()} == {"a": 10}
+    assert sinks.clean_exports(spark, root, "run") == []
+    with pytest.raises(FileExistsError):
+        sinks.export_tables(spark, {"a": good}, root, "run", "main")
+
+
+def test_database_that_fails_while_it_is_written_is_recorded(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "good" / "t.parquet"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "t.parquet").write_bytes(b"PAR1 no parquet file at all PAR1")
+    run = jobs.snapshot_tables(spark, {"good": TableSource(folder=str(tmp_path / "good")), "bad": TableSource(folder=str(tmp_path / "bad"))},
+                               str(tmp_path / "out"), str(tmp_path / "hist"), "h", T(2026, 1, 2))
+    assert {r["name"]: r["status"] for r in run.collect()[0]["results"]} == {"good": "success", "bad": "failed"}
+
+
+def test_digest_tree(spark):
+    leaves = [("h", "r", "d", t, f"p{i}", f"{t}{i}") for t in "ab" for i in range(40)]
+    names = "host string, run_id string, db string, table_name string, part string, sha256 string"
+    recorded = spark.createDataFrame(leaves, names)
+    assert digest_tree.root_digests(recorded).collect() == digest_tree.root_digests(recorded.orderBy(F.rand(1))).collect()
+    assert digest_tree.broken_parts(recorded, recorded).collect() == []
+    changed = [(*x[:5], "other" if x[3:5] == ("a", "p3") else x[5]) for x in leaves if x[3:5] != ("b", "p7")]
+    found = spark.createDataFrame([*changed, ("h", "r", "d", "b", "new", "n"), ("h", "r", "e", "c", "p", "x")], names)
+    assert rows(digest_tree.broken_parts(recorded, found), "db", "table_name", "part") == [
+        ("h", "r", "d", "a", "p3", "changed"), ("h", "r", "d", "b", "new", "unexpected"), ("h", "r", "d", "b", "p7", "missing"),
+        ("h", "r", "e", "c", "p", "unexpected")]
+
+
+def test_snapshots_pass_their_validation_until_a_part_breaks(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "src" / "t.parquet"))
+    source = {"main": TableSource(folder=str(tmp_path / "src"))}
+    for host in ("h1", "h2", "h3"):
+        jobs.snapshot_tables(spark, source, str(tmp_path / host), str(tmp_path / "hist"), host, T(2026, 1, 2))
+    root = tmp_path / "h2" / "2026-01-02_00-00-00"
+    parts = sorted((root / "main" / "t").glob("part-*.parquet"))
+    parts[0].write_bytes(b"broken")
+    (root / "main" / "t" / ("." + parts[0].name + ".crc")).unlink(missing_ok=True)
+    parts[1].unlink()
+    history = sources.read_run_history(spark, str(tmp_path / "hist"))
+    wrong = history.where("host = 'h3'").withColumn("results", F.transform("results", lambda r: r.withField("artifact_sha256", F.lit("beef"))))
+    checked, fields = jobs.validate_runs(history.where("host != 'h3'").unionByName(wrong))
+    told = {r["host"]: r["error"] for r in checked.collect()}
+    assert told["h1"] == "" and told["h3"].startswith("artifact sha256 mismatch: manifest=beef actual=")
+    assert told["h2"] == f"part changed: table=t file={parts[0].name} (2 in all)"
+    assert {r["host"]: r["validation_status"] for r in fields.collect()} == {"h1": "success", "h2": "failed", "h3": "failed"}

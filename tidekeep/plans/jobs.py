@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidekeep import schemas
@@ -10,12 +12,12 @@ from tidekeep.functions.outcomes import (
     classify_failure, is_rate_limited, is_retryable, status_label, threshold_band)
 from tidekeep.functions.text import blank, human_bytes
 from tidekeep.operators import alerts, catalog, filters, metrics, profile, retention, runs as run_ops, verify
-from tidekeep.operators.ordered_hash import ordered_sha256
+from tidekeep.operators.digest_tree import broken_parts, root_digests
 from tidekeep.operators.schedules import schedule_due
 from tidekeep.session import materialize, union_all
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
-from tidekeep.sources.artifacts import artifact_digests, file_sha256, list_folders, listed_artifacts
+from tidekeep.sources.artifacts import artifact_digests, committed_rows, file_sha256, list_folders, listed_artifacts, listed_parts
 from tidekeep.sources.tables import TableSource, discover_tables, scan_tables
 
 RUN_ID = "%Y-%m-%d_%H-%M-%S"
@@ -41,14 +43,15 @@ def snapshot_tables(spark: SparkSession, databases: dict[str, TableSource], targ
     results = []
     for db in sorted(row["db"] for row in scope.collect()):
         wanted = (requested or {}).get(db)
-        try:
-            result = _snapshot_database(spark, databases[db], target, run_id, db, wanted, view_deps,
-                                        (pk_columns or {}).get(db, {}), sample_rows, codec)
-        except Exception as failure:  # recorded, like any failed database
+        try:  # frames are lazy: the database is done when its record is written
+            result = materialize(_snapshot_database(spark, databases[db], target, run_id, db, wanted, view_deps,
+                                                    (pk_columns or {}).get(db, {}), sample_rows, codec), "result")
+        except (PySparkException, Py4JJavaError, OSError) as failure:  # recorded, like any failed database
             failed = spark.createDataFrame([(db, "failed", 1, str(failure))],
                                            "name string, status string, attempts int, error string")
-            result = _as(failed.withColumn("error_category", classify_failure(F.lit(""), "error")), schemas.RESULT)
-        results.append(materialize(result, "result"))
+            result = materialize(_as(failed.withColumn("error_category", classify_failure(F.lit(""), "error")),
+                                     schemas.RESULT), "result")
+        results.append(result)
     empty = spark.createDataFrame([], schemas.RESULT)
     record = union_all([*results, empty])
     fields = record.columns
@@ -85,11 +88,8 @@ def _snapshot_database(spark, source, target, run_id, db, requested, view_deps,
     counts = profile.table_row_counts(spark, tables, db)
     hashes = profile.sample_row_hashes(spark, tables, pk_columns, sample_rows, db)
     written = sinks.export_tables(spark, tables, target, run_id, db, codec)
-    parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.parquet").load(f"{target}/{run_id}/{db}").select("path")
-    digests = file_sha256(parts).select(F.lit(db).alias("db"), F.concat_ws(
-        ":", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "sha256").alias("line"))
-    artifact = ordered_sha256(digests, ["db"], ["line"], "line", "artifact_sha256")
+    parts = sinks.committed_parts(spark, target, run_id, db).withColumn("db", F.lit(db))
+    artifact = root_digests(parts, ["db"]).withColumnRenamed("digest", "artifact_sha256")
     hash_map = hashes.groupBy("db").agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct("table_name", "sample_hash")))).alias("sample_row_hashes"))
     record = (
@@ -109,7 +109,7 @@ def _as(df: DataFrame, schema: str) -> DataFrame:
 
 
 def validate_runs(history: DataFrame, order=("ts",)) -> tuple[DataFrame, DataFrame]:
-    """Checks the files of every run against its record.
+    """Checks the files of every run against its record: dumps, and the part files of exports.
 
     Returns the verdict per database and the validation fields per run, the
     latter ready for ``upsert_run_history``.
@@ -120,9 +120,13 @@ def validate_runs(history: DataFrame, order=("ts",)) -> tuple[DataFrame, DataFra
     folders = listing.where("rel_path IS NULL").select("run_folder")
     barred = verify.missing_run_folders(last, folders)
     open_ = last.join(barred, keys, "left_anti")
-    results = run_ops.explode_results(open_).select(*keys, "position", "name", "artifact_sha256", "sql_sha256")
-    artifacts = listed_artifacts(listing).drop("run_id").join(open_.select(*keys, "run_folder"), "run_folder")
-    checked = materialize(verify.verify_artifacts(results, artifact_digests(artifacts)), "validation")
+    results = run_ops.explode_results(open_).select(*keys, "position", "name", "artifact_sha256", "sql_sha256", "output_path")
+    placed = open_.select(*keys, "run_folder")
+    artifacts = listed_artifacts(listing).drop("run_id").join(placed, "run_folder")
+    exported = results.where(F.endswith("output_path", F.concat(F.lit("/"), "name"))).select(*keys, "position", F.col("name").alias("db"), "artifact_sha256")
+    dumped = results.join(exported.select(*keys, "position"), [*keys, "position"], "left_anti").drop("output_path")
+    of_dumps = verify.verify_artifacts(dumped, artifact_digests(artifacts))
+    checked = materialize(of_dumps.unionByName(_check_exports(exported, listing, placed)), "validation")
     verdicts = checked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "db", "valid", "error"))).alias("_all"))
     per_run = verify.validation_rollup(checked).join(verify.validation_summary(checked), keys).join(verdicts, keys) \
         .select(*keys, "valid", "summary", "_all").unionByName(
@@ -137,6 +141,26 @@ def validate_runs(history: DataFrame, order=("ts",)) -> tuple[DataFrame, DataFra
     return checked, fields
 
 
+def _check_exports(exported: DataFrame, listing: DataFrame, placed: DataFrame) -> DataFrame:
+    """Verdict of every exported database: all bytes are read again, and the digest tree of what is there is compared
+    with the recorded digest and, part by part, with the commit record."""
+    keys = ["host", "run_id", "db"]
+    files = listed_parts(listing).join(placed, "run_folder").join(exported.select(*keys).distinct(), keys, "left_semi")
+    found = materialize(file_sha256(files.where("section = 'data'")).select(*keys, "table_name", "part", "sha256"), "parts")
+    recorded = materialize(committed_rows(files.where("section = 'commit'").select(*keys, "path")), "recorded-parts")
+    faults = broken_parts(recorded, found, keys)
+    first = faults.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("table_name", "part", "fault")).alias("_f"))
+    roots = [root_digests(side, keys).withColumnRenamed("digest", name) for side, name in ((recorded, "_recorded"), (found, "_found"))]
+    joined = exported.join(roots[0], keys, "left").join(roots[1], keys, "left").join(first, keys, "left")
+    part = F.format_string("part %s: table=%s file=%s (%d in all)", "_f.fault", "_f.table_name", "_f.part", "_n")
+    error = (F.when(F.col("_recorded").isNull() & F.col("_found").isNull(), F.lit("file missing"))
+             .when(F.col("_recorded").isNull(), F.lit("commit record missing"))
+             .when(F.col("_n") > 0, part)
+             .when(~blank("artifact_sha256") & ~F.col("artifact_sha256").eqNullSafe(F.col("_found")), F.format_string(
+                 "artifact sha256 mismatch: manifest=%s actual=%s", "artifact_sha256", "_found")))
+    return joined.select("host", "run_id", "position", "db", error.isNull().alias("valid"), F.coalesce(error, F.lit("")).alias("error"))
+
+
 def validation_report(validations: DataFrame, db_valid: DataFrame) -> DataFrame:
     """Report text of each validated run, line by line: (run_id, part, position, line)."""
     def told(label, value):

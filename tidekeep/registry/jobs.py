@@ -1,5 +1,6 @@
 """Queries on the composed jobs, and on sources and sinks through files Spark writes from the tables."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -225,22 +226,88 @@ def _artifact_digests(data):
 
 
 @query("verify_artifacts", [], """
-SELECT host, 'run' AS run_id, 0 AS position, CAST(b AS STRING) AS db, host = 'h1' AS valid,
- CASE WHEN host = 'h1' THEN '' ELSE 'missing ''-- Dump completed'' signature at end of file' END AS error
-FROM (SELECT DISTINCT doc_id // 1000 AS b FROM documents), (VALUES ('h1'), ('h2')) AS v(host)
+WITH payloads AS (SELECT CAST(doc_id // 1000 AS STRING) AS db,
+ sha256(string_agg(text || chr(10), '' ORDER BY doc_id) || '-- Dump completed' || chr(10)) AS sha FROM documents GROUP BY 1)
+SELECT host, 'run' AS run_id, 0 AS position, db, host = 'h1' AS valid,
+ CASE host WHEN 'h1' THEN '' WHEN 'h2' THEN 'missing ''-- Dump completed'' signature at end of file'
+  ELSE 'sql sha256 mismatch: manifest=' || sha256('other') || ' actual=' || sha END AS error
+FROM payloads, (VALUES ('h1'), ('h2'), ('h3')) AS v(host)
 UNION ALL SELECT 'h2', 'run', 0, 'absent', false, 'file missing'""")
 def _verify_artifacts(data):
-    """Two hosts with the same run; the dumps of one lack the end marker, and it records one that is not there."""
+    """Three hosts with the same run: one with the right digests, one whose dumps lack the end marker (and that records
+    a dump that is not there), one with a wrong digest of the payload."""
     files = [_document_dumps(data, work_path(data.spark, "dumps"), marked).withColumn("host", F.lit(host))
-             for host, marked in (("h1", True), ("h2", False))]
-    artifacts = files[0].unionByName(files[1])
+             for host, marked in (("h1", True), ("h2", False), ("h3", True))]
+    artifacts = files[0].unionByName(files[1]).unionByName(files[2])
+    lines = F.sort_array(F.collect_list(F.struct("doc_id", F.concat("text", F.lit("\n")).alias("line"))))["line"]
+    payloads = data.table("documents").groupBy(F.floor(F.col("doc_id") / 1000).cast("string").alias("name")).agg(
+        F.sha2(F.concat(F.array_join(lines, ""), F.lit("-- Dump completed\n")), 256).alias("sha"))  # 1,000 documents each
     names = artifacts.select("host", F.col("db").alias("name")).unionByName(
         data.spark.createDataFrame([("h2", "absent")], "host string, name string"))
-    results = names.select("host", F.lit("run").alias("run_id"), F.lit(0).alias("position"), "name",
-                           F.lit("").alias("artifact_sha256"), F.lit("").alias("sql_sha256"))
+    expected = F.when(F.col("host") == "h1", F.col("sha")).when(F.col("host") == "h3", F.sha2(F.lit("other"), 256)).otherwise("")
+    results = names.join(payloads, "name", "left").select("host", F.lit("run").alias("run_id"), F.lit(0).alias("position"), "name",
+                                                          F.lit("").alias("artifact_sha256"), expected.alias("sql_sha256"))
     return verify.verify_artifacts(results, artifact_digests(artifacts))
 
 
+@query("validate_runs", [], """
+WITH counted AS (SELECT (""" + " + ".join(f"(SELECT count(*) FROM {name})" for name in fixtures.TABLES) + """)::BIGINT AS n)
+SELECT host, '2026-01-02_03-04-05' AS run_id, 'main' AS db, host = 'h1' AS valid,
+ CASE WHEN host = 'h1' THEN '' ELSE 'part changed: table=orders file=* (2 in all)' END AS error, n AS row_counts
+FROM counted, (VALUES ('h1'), ('h2')) AS v(host)""")
+def _validate_runs(data):
+    """Two hosts snapshot all tables under one run id; of the second, a part of orders is replaced by one of region."""
+    spark, target, source = data.spark, work_path(data.spark, "snapshot"), {"main": TableSource(folder=data.sf_dir)}
+    started = datetime(2026, 1, 2, 3, 4, 5)
+    run_id = started.strftime(jobs.RUN_ID)
+    for host in ("h1", "h2"):
+        jobs.snapshot_tables(spark, source, f"{target}/{host}", f"{target}/history", host, started)
+    parts = sinks.committed_parts(spark, f"{target}/h2", run_id, "main").where("table_name IN ('orders', 'region')")
+    first = {r.table_name: f"{target}/h2/{run_id}/main/{r.table_name}/{r.part}"
+             for r in parts.groupBy("table_name").agg(F.min("part").alias("part")).collect()}
+    sinks.move_file(spark, first["region"], first["orders"])
+    history = sources.read_run_history(spark, f"{target}/history")
+    checked, _ = jobs.validate_runs(history)
+    counts = run_ops.explode_results(history).select("host", "run_id", F.col("name").alias("db"), "row_counts")
+    return checked.join(counts, ["host", "run_id", "db"]).select(
+        "host", "run_id", "db", "valid", F.regexp_replace("error", "file=[^ ]+", "file=*").alias("error"), "row_counts")
+
+
+@query("manifest_files", [], """
+SELECT 'h' || s_suppkey % 2 AS host, 'run-' || s_suppkey // 2 AS run_id, s_nationkey AS databases_total FROM supplier""")
+def _manifest_files(data):
+    """Manifests of two hosts that share their run ids, written and read back."""
+    path = work_path(data.spark, "manifests")
+    runs = data.table("supplier").select(
+        F.concat(F.lit("h"), F.col("s_suppkey") % 2).alias("hostname"),
+        F.concat(F.lit("run-"), F.floor(F.col("s_suppkey") / 2)).alias("run_id"), F.col("s_nationkey").cast("int").alias("databases_total"))
+    sinks.write_manifests(runs, path)
+    return sources.read_manifests(data.spark, path).select("host", "run_id", "databases_total")
+
+
+@query("artifact_files", [], """
+SELECT 'h' || doc_id // 1000 % 2 AS host, 'run' AS run_id, CAST(doc_id // 1000 AS STRING) AS db, true AS sized, count(*) AS documents
+FROM documents GROUP BY ALL""")
+def _artifact_files(data):
+    """Dumps of two hosts with one run id, listed with their hosts, and the lines in them."""
+    root = work_path(data.spark, "artifacts")
+    dumped = data.table("documents").select(F.floor(F.col("doc_id") / 1000).alias("bucket"), "doc_id")
+    placed = dumped.withColumns({"host": F.concat(F.lit("h"), F.col("bucket") % 2), "value": F.col("doc_id").cast("string")})
+    staged = work_path(data.spark, "artifacts-staged")
+    placed.repartition("bucket").select("host", "bucket", "value").write.partitionBy("host", "bucket") \
+        .option("compression", "gzip").text(staged)
+    for found in data.spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{staged}/*/*").select("path").collect():
+        host, bucket = re.search(r"host=([^/]+)/bucket=(\d+)/", found.path).groups()  # one file for 1,000 documents
+        sinks.move_file(data.spark, found.path, f"{root}/{host}/run/{bucket}.sql.gz")
+    files = sources.read_artifacts(data.spark, root, hosts=True)
+    lines = sources.read_dump_lines(data.spark, f"{root}/*/*/*.sql.gz").groupBy("path").agg(F.count(F.lit(1)).alias("documents"))
+    inventory = sources.read_inventory(data.spark, root, hosts=True).select(
+        "host", "run_id", F.regexp_extract("rel_path", r"^([^/]+)\.sql\.gz$", 1).alias("db"), "size")
+    by_file = F.regexp_replace("path", "^file:/+", "/")
+    return files.withColumn("path", by_file).join(lines.withColumn("path", by_file), "path").join(inventory, ["host", "run_id", "db"]) \
+        .select("host", "run_id", "db", (F.col("bytes") == F.col("size")).alias("sized"), "documents")
+
+
 @query("missing_run_folders", [], """
 SELECT host, b AS run_id, 'Local backup files have been removed (retention period exceeded)' AS error
 FROM (SELECT DISTINCT doc_id // 1000 AS b FROM documents), (VALUES ('h2')) AS v(host)""")
@@ -278,15 +345,16 @@ def _export_tables(data):
     target = work_path(data.spark, "export")
     tables = scan_tables(data.spark, TableSource(folder=data.sf_dir), fixtures.TABLES)
     sinks.export_tables(data.spark, tables, target, "run", "main")
-    copies = {name: data.spark.read.parquet(f"{target}/run/main/{name}") for name in fixtures.TABLES}
+    copies = sinks.read_export(data.spark, target, "run", "main")
     return profile.table_row_counts(data.spark, copies, "main").select("table_name", F.col("row_count").alias("rows"))
 
 
 @query("plan_upload", ["file_inventory"], """
-SELECT run_id, rel_path, 'fleet/' || run_id || '/' || rel_path AS object_key, size FROM file_inventory WHERE NOT is_dir""")
+SELECT host, run_id, rel_path, 'fleet/' || host || '/' || run_id || '/' || rel_path AS object_key, size
+FROM file_inventory WHERE NOT is_dir""")
 def _plan_upload(data):
     files = data.view("file_inventory").where(~F.col("is_dir"))
-    return sinks.plan_upload(files, "/fleet/")
+    return sinks.plan_upload(files, "/fleet/", host="host")
 
 
 @query("upload_totals", ["file_inventory"], """

@@ -1,37 +1,118 @@
 """File sinks: snapshots, manifests, history, gauge text, upload plans."""
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidekeep.functions.text import object_key
 from tidekeep.operators.metrics import GAUGES, ROW_GAUGE
+from tidekeep.sources.artifacts import file_sha256
+
+
+COMMITS, STAGING = "_commits", "_staging"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a path."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, found = _filesystem(spark, path)
+    system.delete(found, True)
+
+
+def move_file(spark: SparkSession, source: str, target: str) -> None:
+    """Moves one file, over one that is there; folders of the target are made."""
+    system, place = _filesystem(spark, target)
+    system.mkdirs(place.getParent())
+    for name in (target, f"{target.rsplit('/', 1)[0]}/.{target.rsplit('/', 1)[1]}.crc"):  # a checksum of the old bytes
+        _delete(spark, name)
+    if not system.rename(_filesystem(spark, source)[1], place):
+        raise OSError(f"could not move {source} to {target}")
 
 
 def export_tables(spark: SparkSession, tables: dict[str, DataFrame], target: str, run_id: str, db: str,
                   codec: str = "zstd", parallel: int = 4) -> DataFrame:
-    """Writes every table to ``<target>/<run>/<db>/<table>`` and lists (table, files, bytes).
+    """Publishes every table as ``<target>/<run>/<db>/<table>``, all or none, and lists (table, files, bytes).
 
-    A table becomes visible when its job commits; a failed one leaves nothing
-    behind that readers see. Several tables are written at a time so that
-    small ones do not leave the cluster idle.
+    Tables are written to a staging folder of this attempt, which is moved to its place when all are there; last, a
+    commit record with a row for each file is written. Readers follow the record (``committed_parts``,
+    ``read_export``), so they see nothing of an attempt that fails at any point; its files are removed here or, if the
+    driver was lost, by ``clean_exports``. Several tables are written at a time so that small ones do not leave the
+    cluster idle.
     """
-    folder = f"{target}/{run_id}/{db}"
+    root, folder = f"{target}/{run_id}", f"{target}/{run_id}/{db}"
+    record = f"{root}/{COMMITS}/{db}"
+    system, place = _filesystem(spark, folder)
+    if system.exists(_filesystem(spark, f"{record}/_SUCCESS")[1]):
+        raise FileExistsError(f"{folder} is already published")
+    for left in (folder, record):  # of an attempt whose driver was lost
+        _delete(spark, left)
+    staged = f"{root}/{STAGING}-{db}-{uuid.uuid4().hex}"
 
     def write(item):
         name, df = item
-        df.write.mode("errorifexists").option("compression", codec).parquet(f"{folder}/{name}")
-
-    with ThreadPoolExecutor(parallel) as pool:
-        list(pool.map(write, tables.items()))
+        df.write.mode("errorifexists").option("compression", codec).parquet(f"{staged}/{name}")
+
+    try:
+        system.mkdirs(_filesystem(spark, staged)[1])
+        with ThreadPoolExecutor(parallel) as pool:
+            list(pool.map(write, tables.items()))
+        if not system.rename(_filesystem(spark, staged)[1], place):
+            raise OSError(f"could not move {staged} to {folder}")
+        parts = _listed_parts(spark, folder)
+        missing = set(tables) - {r.table_name for r in parts.select("table_name").distinct().collect()}
+        if missing:
+            raise OSError(f"export wrote no file for table {min(missing)}")
+        file_sha256(parts).drop("path").write.parquet(record)
+    except BaseException:
+        for left in (staged, folder, record):
+            _delete(spark, left)
+        raise
+    return spark.read.parquet(record).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def _listed_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The data files of an export: (table_name, part, path, bytes)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.parquet").load(folder).select("path", "length"))
-    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    written = files.groupBy(name.alias("table_name")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-    asked = spark.createDataFrame([(name,) for name in tables], "table_name string")
-    listed = asked.join(written, "table_name", "left")
-    return listed.withColumn("files", F.when(F.col("files") > 0, F.col("files")).otherwise(
-        F.raise_error(F.concat(F.lit("export wrote no file for table "), F.col("table_name"))).cast("bigint")))
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("table_name"),
+                        F.regexp_extract("path", r"([^/]+)$", 1).alias("part"), "path", F.col("length").alias("bytes"))
+
+
+def committed_parts(spark: SparkSession, target: str, run_id: str, db: str) -> DataFrame:
+    """The commit record of an export: (table_name, part, bytes, sha256); an error where there is none."""
+    return spark.read.parquet(f"{target}/{run_id}/{COMMITS}/{db}")
+
+
+def read_export(spark: SparkSession, target: str, run_id: str, db: str) -> dict[str, DataFrame]:
+    """The tables of a published export; none of an export without a commit record."""
+    system, found = _filesystem(spark, f"{target}/{run_id}/{COMMITS}/{db}/_SUCCESS")
+    if not system.exists(found):
+        return {}
+    names = committed_parts(spark, target, run_id, db).select("table_name").distinct().collect()
+    return {r.table_name: spark.read.parquet(f"{target}/{run_id}/{db}/{r.table_name}") for r in names}
+
+
+def clean_exports(spark: SparkSession, target: str, run_id: str) -> list[str]:
+    """Removes what lost attempts of a run left: staging folders and databases without a commit record; names them.
+
+    Only for runs that no job writes any more.
+    """
+    system, root = _filesystem(spark, f"{target}/{run_id}")
+    removed = []
+    if system.exists(root):
+        for status in system.listStatus(root):
+            name = status.getPath().getName()
+            done = system.exists(_filesystem(spark, f"{target}/{run_id}/{COMMITS}/{name}/_SUCCESS")[1])
+            if status.isDirectory() and name != COMMITS and not done:
+                system.delete(status.getPath(), True)
+                removed.append(name)
+    return sorted(removed)
 
 
 def _without_zeros(df: DataFrame) -> DataFrame:
@@ -44,9 +125,9 @@ def _without_zeros(df: DataFrame) -> DataFrame:
 
 
 def write_manifests(runs: DataFrame, root: str) -> None:
-    """One manifest file per run in ``<root>/run_id=<run>/``."""
-    one_file = _without_zeros(runs).repartition("run_id")
-    one_file.write.mode("append").partitionBy("run_id").json(root)
+    """One manifest file per run of a host in ``<root>/host=<host>/run=<run>/``; the record itself is whole."""
+    placed = _without_zeros(runs).withColumns({"host": F.coalesce("hostname", F.lit("")), "run": F.col("run_id")})
+    placed.repartition("host", "run").write.mode("append").option("maxRecordsPerFile", 1).partitionBy("host", "run").json(root)
 
 
 def append_run_history(runs: DataFrame, path: str) -> None:
@@ -86,9 +167,14 @@ def write_metric_text(samples: DataFrame, path: str) -> None:
     lines.select("host", "line").write.mode("overwrite").partitionBy("host").text(path)
 
 
-def plan_upload(artifacts: DataFrame, prefix: str, run="run_id", rel="rel_path", size="size") -> DataFrame:
-    """Object key and size of every file of a run."""
-    return artifacts.select(run, rel, object_key(F.lit(prefix), run, rel).alias("object_key"), F.col(size).alias("size"))
+def plan_upload(artifacts: DataFrame, prefix: str, run="run_id", rel="rel_path", size="size", host: str | None = None) -> DataFrame:
+    """Object key and size of every file of a run.
+
+    Runs of several hosts may have one id: name the column ``host`` to put it in front of the run in the key.
+    """
+    place = F.lit(prefix) if host is None else F.concat_ws("/", F.nullif(F.btrim(F.lit(prefix), F.lit("/ ")), F.lit("")), host)
+    kept = [run, rel] if host is None else [host, run, rel]
+    return artifacts.select(*kept, object_key(place, run, rel).alias("object_key"), F.col(size).alias("size"))
 
 
 def expire_runs(table: DataFrame, expired: DataFrame, keys=("host", "run_id")) -> DataFrame:

@@ -133,6 +133,46 @@ def listed_artifacts(listing: DataFrame) -> DataFrame:
         "run_folder", F.regexp_extract("run_folder", r"([^/]+)/*$", 1).alias("run_id"), db.alias("db"), "path", "bytes")
 
 
+def listed_parts(listing: DataFrame) -> DataFrame:
+    """Files of exports in a folder listing: (run_folder, section, db, table_name, part, path).
+
+    ``section`` is data, or commit for the files of commit records.
+    """
+    data, commit = r"^([^_/][^/]*)/([^/]+)/([^/_.][^/]*\.parquet)$", r"^_commits/([^/]+)/([^/_.][^/]*\.parquet)$"
+    def found(pattern, group):
+        return F.nullif(F.regexp_extract("rel_path", pattern, group), F.lit(""))
+    return listing.where(F.col("rel_path").rlike(data) | F.col("rel_path").rlike(commit)).select(
+        "run_folder", F.when(F.col("rel_path").rlike(commit), "commit").otherwise("data").alias("section"),
+        F.coalesce(found(commit, 1), found(data, 1)).alias("db"), found(data, 2).alias("table_name"),
+        F.coalesce(found(commit, 2), found(data, 3)).alias("part"), "path")
+
+
+def committed_rows(files: DataFrame) -> DataFrame:
+    """Rows (keys of ``files``, table_name, part, sha256) of the commit records in column ``path``, read by tasks in
+    row groups; a file that can't be read has one row without a table."""
+    import pyarrow.parquet as pq
+
+    keys = [c for c in files.columns if c != "path"]
+    schema = T.StructType([files.schema[k] for k in keys]).add("table_name", "string").add("part", "string").add("sha256", "string")
+    names = ["table_name", "part", "sha256"]
+
+    def rows(batches):
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                filesystem, name = _locate(path)
+                try:
+                    with filesystem.open_input_file(name) as source:
+                        for found in pq.ParquetFile(source).iter_batches(columns=names):
+                            same = [batch.column(k).take(pa.array([i] * found.num_rows)) for k in keys]
+                            yield pa.RecordBatch.from_arrays([*same, *(found.column(n) for n in names)], names=[*keys, *names])
+                except (OSError, pa.ArrowInvalid) as failure:
+                    same = [batch.column(k).slice(i, 1) for k in keys]
+                    told = [pa.array([""]), pa.array([f"commit record unreadable: {failure}"[:200]]), pa.array([""])]
+                    yield pa.RecordBatch.from_arrays([*same, *told], names=[*keys, *names])
+
+    return files.repartition("path").mapInArrow(rows, schema)
+
+
 def artifact_digests(artifacts: DataFrame) -> DataFrame:
     """Adds file and payload digest, end marker and gzip faults of the file in ``path``, in one pass each.
 

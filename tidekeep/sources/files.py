@@ -49,38 +49,41 @@ def read_run_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """One row per manifest file below ``<root>/<run>/``."""
+    """One row per manifest file below ``<root>``, whatever its folders are named."""
     def read():
-        return (spark.read.schema(schemas.RUN).option("multiLine", True).option("basePath", root)
-                .json(f"{root}/*/*.json"))
+        return (spark.read.schema(schemas.RUN).option("multiLine", True).option("recursiveFileLookup", True)
+                .option("pathGlobFilter", "*.json").json(root))
     runs = record_defaults(_or_empty(spark, read, schemas.RUN))
     return runs.withColumns({"host": F.col("hostname"), "ts": F.col("timestamp")})
 
 
-def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Files ``<root>/<run>/<db>.sql.gz`` with their size; contents are not read.
+def read_artifacts(spark: SparkSession, root: str, hosts: bool = False) -> DataFrame:
+    """Files ``<root>/<run>/<db>.sql.gz``, or with ``hosts`` ``<root>/<host>/<run>/<db>.sql.gz``, with their size;
+    contents are not read.
 
     Spark's file sources leave empty files out; ``list_folders`` finds them.
     """
     def read():
-        return (spark.read.format("binaryFile").option("pathGlobFilter", "*.sql.gz").load(f"{root}/*")
+        return (spark.read.format("binaryFile").option("pathGlobFilter", "*.sql.gz").load(f"{root}/*/*" if hosts else f"{root}/*")
                 .select("path", F.col("length").alias("bytes")))
     files = _or_empty(spark, read, "path string, bytes bigint")
-    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"),
+    host = [F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("host")] if hosts else []
+    return files.select(*host, F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"),
                         F.regexp_extract("path", r"([^/]+)\.sql\.gz$", 1).alias("db"), "path", "bytes")
 
 
-def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """All files below the run folders of ``root``: run, path in the run, size, time."""
+def read_inventory(spark: SparkSession, root: str, hosts: bool = False) -> DataFrame:
+    """All files below the run folders of ``root``: run, path in the run, size, time; with ``hosts``, run folders stand
+    below folders of their hosts, and ``host`` comes first."""
     def read():
         return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
                 .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
     files = _or_empty(spark, read, "path string, size bigint, mtime timestamp")
     base = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.substr("path", F.instr("path", f"/{base}/") + len(base) + 2)
-    return files.select(F.substring_index(below, "/", 1).alias("run_id"),
-                        F.substr(below, F.instr(below, "/") + 1).alias("rel_path"),
-                        "path", "size", "mtime", F.lit(False).alias("is_dir"))
+    below = F.split(F.substr("path", F.instr("path", f"/{base}/") + len(base) + 2), "/", 3 if hosts else 2)
+    names = ["host", "run_id", "rel_path"] if hosts else ["run_id", "rel_path"]
+    return files.select(*[F.get(below, F.lit(i)).alias(n) for i, n in enumerate(names)],
+                        "path", "size", "mtime", F.lit(False).alias("is_dir")).where(F.col("rel_path").isNotNull())
 
 
 def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
