@@ -5,6 +5,8 @@ import os
 import random
 from datetime import datetime as T, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,31 @@ def test_changes_after_a_compaction_only(spark, tmp_path):
     send([("h", "b", "two")], "c2")  # another stream, its first batch
     now = tables.current_history(spark, edited, folder, applied=target)
     assert {r["run_id"]: r["status"] for r in now.collect()} == {"a": "by hand", "b": "two"}
+
+
+def test_progress_goes_on_from_its_state():
+    rng = np.random.default_rng(4)
+    kinds = np.array(["found", "processing", "starting", "completed", "upload", "other"], object)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        kind, total, current = kinds[rng.integers(0, 6, n)], rng.integers(0, 5, n), rng.integers(0, 4, n)
+        db = np.array([f"db{i}" for i in rng.integers(0, 3, n)], object)
+        whole, after = state.progress_values(kind, total, current, db, (0, 0, 0, None))
+        parts, before, at = [], (0, 0, 0, None), 0
+        while at < n:
+            end = at + int(rng.integers(1, 7))
+            out, before = state.progress_values(kind[at:end], total[at:end], current[at:end], db[at:end], before)
+            parts.append(out)
+            at = end
+        assert pd.concat(parts, ignore_index=True).equals(whole) and before == after
+
+
+def test_chunks_of_waiting_samples_keep_equal_times_together():
+    frame = pd.DataFrame({"ts": pd.to_datetime([5, 3, 3, 3, 9, 1], unit="us"), "series": [0, 1, 0, 1, 0, 0],
+                          "value": [1.0, 2.0, 3.0, 1.0, 5.0, 6.0]})
+    waiting = state._Waiting(([7], [1], [4.0]), [frame[:2], frame[2:]], 0)
+    waiting.__init__(waiting.kept, [], 1)
+    assert [c[0].tolist() for c in waiting.chunks(2)] == [[1, 3, 3, 3], [5, 7], [9]]
+    ts, series, value = next(waiting.chunks(9))
+    times, points = state._held_values(ts, series, value, np.array([np.nan, 8.0]))
+    assert times.tolist() == [1, 3, 5, 7, 9] and points.tolist() == [[6, 3, 1, 1, 5], [8, 2, 2, 4, 4]]

@@ -32,19 +32,30 @@ def _key_schema(df: DataFrame, keys) -> str:
 
 
 class _Waiting:
-    """Samples of one key: those the watermark has passed, and those that still wait."""
+    """Samples of one key: those the watermark has passed, and those that still wait.
+
+    A sample takes three numbers; frames of a backlog are let go one by one as they are taken over.
+    """
 
     def __init__(self, kept, batches, watermark_ms: int):
-        frames = [pd.DataFrame({"ts": _micros(b["ts"]), "series": b["series"].to_numpy("int64"),
-                                "value": b["value"].to_numpy("float64")}) for b in batches]
-        ts, series, value = kept
-        frames.insert(0, pd.DataFrame({"ts": np.array(ts, "int64"), "series": np.array(series, "int64"),
-                                       "value": np.array(value, "float64")}))
-        rows = pd.concat(frames, ignore_index=True)
-        passed = rows["ts"] <= watermark_ms * 1000
-        self.ready = rows[passed].sort_values(["ts", "series", "value"])
-        rest = rows[~passed]
-        self.kept = (rest["ts"].tolist(), rest["series"].tolist(), rest["value"].tolist())
+        parts = [[np.array(k, t) for k, t in zip(kept, ("int64", "int64", "float64"))]]
+        for batch in batches:
+            parts.append([_micros(batch["ts"]), batch["series"].to_numpy("int64"), batch["value"].to_numpy("float64")])
+        ts, series, value = (np.concatenate(column) for column in zip(*parts))
+        del parts
+        passed = ts <= watermark_ms * 1000
+        self.kept = tuple(x[~passed].tolist() for x in (ts, series, value))
+        order = np.lexsort((value[passed], series[passed], ts[passed]))
+        self.ts, self.series, self.value = (x[passed][order] for x in (ts, series, value))
+
+    def chunks(self, size: int = 1 << 16):
+        """Samples that are ready, in the order of time and about ``size`` at once; equal times stay together."""
+        at = 0
+        while at < len(self.ts):
+            end = min(at + size, len(self.ts))
+            end = int(np.searchsorted(self.ts, self.ts[end - 1], side="right"))
+            yield self.ts[at:end], self.series[at:end], self.value[at:end]
+            at = end
 
     def wake_at(self) -> int | None:
         """First millisecond at which a waiting sample is due."""
@@ -78,6 +89,16 @@ def _spells(on: np.ndarray, ts: np.ndarray, hold: int, started: int, fired: bool
     return events, started, fired
 
 
+def _held_values(ts, series, value, before):
+    """Times and, for each gauge, its last value at each time; ``before`` holds the values up to the first."""
+    times, place = np.unique(ts, return_inverse=True)
+    points = np.full((len(before), len(times)), np.nan)
+    points[series, place] = value  # of equal samples the last, which is the greatest
+    points[:, 0] = np.where(np.isnan(points[:, 0]), before, points[:, 0])
+    seen = np.maximum.accumulate(np.where(np.isnan(points), 0, np.arange(len(times))), axis=1)
+    return times, np.take_along_axis(points, seen, axis=1)
+
+
 def alert_stream(samples: DataFrame, rules=None, keys=("host",), late: str = "10 minutes") -> DataFrame:
     """Transitions (keys, rule, severity, state, started_at, at) of every rule and key.
 
@@ -98,20 +119,16 @@ def alert_stream(samples: DataFrame, rules=None, keys=("host",), late: str = "10
             kept, gauges = ([], [], []), np.full(len(names), np.nan)
             started, fired = [NONE] * len(rules), [False] * len(rules)
         waiting = _Waiting(kept, batches, state.getCurrentWatermarkMs())
-        rows, found = waiting.ready, []
-        if len(rows):
-            points = rows.drop_duplicates(["ts", "series"], keep="last").pivot(index="ts", columns="series", values="value")
-            points = points.reindex(columns=range(len(names)))
-            points.iloc[0] = points.iloc[0].where(points.iloc[0].notna(), gauges)
-            points = points.ffill()
-            ts, gauges = points.index.to_numpy("int64"), points.iloc[-1].to_numpy("float64")
-            seconds = ts / 1e6
+        found = []
+        for ts, series, value in waiting.chunks():
+            ts, points = _held_values(ts, series, value, gauges)
+            gauges = points[:, -1].copy()
 
             def gauge(name):
-                return points[names.index(name)].to_numpy("float64")
+                return points[names.index(name)]
 
             for i, rule in enumerate(rules):
-                on = np.asarray(rule.condition(gauge, lambda name: seconds - gauge(name)))
+                on = np.asarray(rule.condition(gauge, lambda name: ts / 1e6 - gauge(name)))
                 events, started[i], fired[i] = _spells(on, ts, rule.hold_seconds, started[i], fired[i])
                 found += [(rule.name, rule.severity, *event) for event in events]
         state.update((*waiting.kept, gauges.tolist(), [int(s) for s in started], [bool(f) for f in fired]))
@@ -146,13 +163,17 @@ def stale_series(samples: DataFrame, limit_seconds: int = 120, keys=("host",), l
         watermark = state.getCurrentWatermarkMs()
         waiting = _Waiting(kept, batches, watermark)
         found = []
-        for ts, rows in waiting.ready.groupby("ts"):
-            if running and not told and ts - last > limit:
-                found.append(last)
-            flags = rows.loc[rows["series"] == 1, "value"]
-            if len(flags):
-                running = bool(flags.iloc[-1] == 1)
-            last, told = int(ts), False
+        for ts, series, value in waiting.chunks():
+            times, place = np.unique(ts, return_inverse=True)
+            flag = np.full(len(times), np.nan)
+            flag[place[series == 1]] = value[series == 1]
+            set_at = np.maximum.accumulate(np.where(np.isnan(flag), -1, np.arange(len(times))))
+            on = np.where(set_at < 0, running, flag[np.maximum(set_at, 0)] == 1)
+            earlier, was_on = np.concatenate([[last], times[:-1]]), np.concatenate([[running], on[:-1]]).astype(bool)
+            late_ones = was_on & (times - earlier > limit)
+            late_ones[0] &= not told
+            found += earlier[late_ones].tolist()
+            last, running, told = int(times[-1]), bool(on[-1]), False
         # Silent up to the watermark, and nothing waits that would end the silence in time.
         ends = min(waiting.kept[0], default=None)
         if (running and not told and last != NONE and last + limit < watermark * 1000
@@ -175,13 +196,51 @@ def stale_series(samples: DataFrame, limit_seconds: int = 120, keys=("host",), l
         GroupStateTimeout.EventTimeTimeout)
 
 
-def live_progress(lines: DataFrame, keys=("host", "run_id"), order="ts", idle_minutes: int = 360) -> DataFrame:
+# Stage texts by kind of line, before the name of a database or alone; "cleanup" for all other kinds.
+NAMED_STAGES = {"processing": "processing ", "starting": "dumping ", "completed": "completed "}
+STAGES = {"found": "discovered databases", "upload": "uploading to S3"}
+
+
+def _last_set(values: np.ndarray, is_set: np.ndarray, before):
+    """The last value that was set up to each place; ``before`` where none was."""
+    at = np.maximum.accumulate(np.where(is_set, np.arange(len(values)), -1))
+    return np.where(at < 0, before, values[np.maximum(at, 0)])
+
+
+def progress_values(kind, total, current, db, before):
+    """State after each of a run's progress lines, in order, and the state to go on from.
+
+    The same running values as in ``operators.logs.progress_timeline``, seeded with the state before the lines.
+    """
+    total0, current0, completed0, db0 = before
+    ends, sets_total = kind == "completed", (kind == "found") | ((kind == "processing") & (total > 0))
+    totals = _last_set(total, sets_total, total0)
+    done = completed0 + np.cumsum(ends)
+    room = np.where(ends & (totals > 0), totals - done, 0)
+    completed = done + np.minimum(0, np.minimum.accumulate(room))
+    begins = kind == "starting"
+    position = np.where(begins, np.where(totals > 0, np.minimum(completed + 1, totals), completed + 1), current)
+    sets_position = begins | ((kind == "processing") & (current > 0))
+    # A position holds until it is set anew; finished dumps only raise it, so it is a running maximum in between.
+    span = np.cumsum(sets_position)
+    raised = pd.Series(np.where(sets_position, position, np.where(ends, completed, 0))).groupby(span).cummax().to_numpy()
+    places = np.where(span == 0, np.maximum(raised, current0), raised)
+    names = _last_set(db, (kind == "processing") | begins, db0)
+    kinds = pd.Series(kind)
+    stages = (kinds.map(NAMED_STAGES) + pd.Series(db)).fillna(kinds.map(STAGES)).fillna("cleanup")
+    out = pd.DataFrame({"total": totals.astype("int64"), "current": places.astype("int64"),
+                        "completed": completed.astype("int64"), "current_db": names, "stage": stages})
+    return out, (int(totals[-1]), int(places[-1]), int(completed[-1]), names[-1])
+
+
+def live_progress(lines: DataFrame, keys=("host", "run_id"), order="ts", idle_minutes: int | None = None) -> DataFrame:
     """State of every live run after each of its progress lines, as ``progress_timeline`` gives it.
 
-    Lines are parsed by Spark; the function folds the few that are progress
+    Lines are parsed by Spark; the function sees the few that are progress
     events. A log grows at its end, so lines of later micro-batches follow
-    those of earlier ones. State of a run without news for ``idle_minutes`` is
-    dropped. ``lines`` carries a watermark.
+    those of earlier ones. The state of a run is four values; it is kept, so a run that speaks again after a
+    pause goes on where it was. Give ``idle_minutes`` to drop the state of runs without news for so long (a run that
+    speaks later begins at zero again). ``lines`` carries a watermark.
     """
     keys = list(keys)
     columns = list(dict.fromkeys([*keys, order, "ts"]))
@@ -194,30 +253,20 @@ def live_progress(lines: DataFrame, keys=("host", "run_id"), order="ts", idle_mi
         if state.hasTimedOut:
             state.remove()
             return
-        total, current, completed, db, stage = state.get if state.exists else (0, 0, 0, None, None)
-        rows, out = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable"), []
-        for at, kind, n, place, name in zip(rows[order], rows["kind"], rows["total"], rows["current"], rows["db"]):
-            if kind == "found":
-                total, stage = int(n), "discovered databases"
-            elif kind == "processing":
-                total = int(n) if n > 0 else total
-                current = int(place) if place > 0 else current
-                db, stage = name, f"processing {name}"
-            elif kind == "starting":
-                db, stage = name, f"dumping {name}"
-                current = min(completed + 1, total) if total > 0 else completed + 1
-            elif kind == "completed":
-                completed = min(completed + 1, total) if total > 0 else completed + 1
-                current, stage = max(current, completed), f"completed {name}"
-            else:
-                stage = "uploading to S3" if kind == "upload" else "cleanup"
-            out.append((*key, at, total, current, completed, db, stage))
-        state.update((total, current, completed, db, stage))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
-                                  + idle_minutes * 60_000)
-        yield pd.DataFrame(out, columns=[*keys, order, "total", "current", "completed", "current_db", "stage"])
+        before = state.get if state.exists else (0, 0, 0, None)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        numbers = (rows[c].fillna(0).to_numpy("int64") for c in ("total", "current"))
+        out, after = progress_values(rows["kind"].to_numpy(object), *numbers, rows["db"].to_numpy(object), before)
+        state.update(after)
+        if idle_minutes is not None:
+            last = max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(last + idle_minutes * 60_000)
+        out.insert(0, order, rows[order].to_numpy())
+        for place, (name, value) in enumerate(zip(keys, key)):
+            out.insert(place, name, value)
+        yield out
 
     folded = events.groupBy(*keys).applyInPandasWithState(
-        step, output, "total bigint, current bigint, completed bigint, current_db string, stage string",
+        step, output, "total bigint, current bigint, completed bigint, current_db string",
         "append", GroupStateTimeout.EventTimeTimeout)
     return folded.withColumn("percent", progress_percent("total", "current", "completed"))
