@@ -227,7 +227,9 @@ def progress_values(kind, total, current, db, before):
     places = np.where(span == 0, np.maximum(raised, current0), raised)
     names = _last_set(db, (kind == "processing") | begins, db0)
     kinds = pd.Series(kind)
-    stages = (kinds.map(NAMED_STAGES) + pd.Series(db)).fillna(kinds.map(STAGES)).fillna("cleanup")
+    named = kinds.isin(NAMED_STAGES).to_numpy()
+    fixed = kinds.map(lambda k: NAMED_STAGES.get(k) or STAGES.get(k, "cleanup")).to_numpy(object)
+    stages = fixed + np.where(named, db, "")
     out = pd.DataFrame({"total": totals.astype("int64"), "current": places.astype("int64"),
                         "completed": completed.astype("int64"), "current_db": names, "stage": stages})
     return out, (int(totals[-1]), int(places[-1]), int(completed[-1]), names[-1])
