@@ -209,3 +209,21 @@ def test_chunks_of_waiting_samples_keep_equal_times_together():
     ts, series, value = next(waiting.chunks(9))
     times, points = state._held_values(ts, series, value, np.array([np.nan, 8.0]))
     assert times.tolist() == [1, 3, 5, 7, 9] and points.tolist() == [[6, 3, 1, 1, 5], [8, 2, 2, 4, 4]]
+
+
+def test_late_lines_are_counted_once_after_any_number_of_batches(spark):
+    day = T(2026, 3, 1, 12)
+    def part(rows):
+        return spark.createDataFrame([("h", run, ts, msg) for run, ts, msg in rows], "host string, run_id string, ts timestamp, msg string")
+    late = [("r1", day + timedelta(minutes=i), "late failure reason: x") for i in range(10)]
+    parts = [[("r1", day, "one"), ("r2", day, "two"), ("r2", None, "no time")], [("r3", day + timedelta(days=1, hours=1), "next day")],
+             late[:4], late[4:], [("r3", day + timedelta(days=2), "after")]]
+    path, folder, checkpoint = (work_path(spark, x) for x in ("late-lines", "late-totals", "late-checkpoint"))
+    for number, rows in enumerate(parts):
+        part(rows).coalesce(1).write.parquet(f"{path}/part={number}")
+        stream = spark.readStream.schema(part([]).schema).option("recursiveFileLookup", True).parquet(path)
+        windows.store_daily_lines(stream, folder, checkpoint).awaitTermination()
+    found = {str(r.day): (r.lines, r.runs, r.failure_lines, r.late_lines) for r in windows.daily_totals(spark, folder).collect()}
+    assert found == {"2026-03-01": (2, 2, 0, 10), "2026-03-02": (1, 1, 0, 0)}
+    kept = spark.read.parquet(f"{folder}/late")
+    assert kept.count() == 10 and set(kept.columns) >= {"host", "run_id", "ts", "msg"}

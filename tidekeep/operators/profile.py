@@ -59,11 +59,11 @@ def row_text(df: DataFrame) -> Column:
 
 
 def head_by_key(table: DataFrame, pk: list[str], n: int) -> DataFrame:
-    """The first n rows by key. The n-th key is found from the first key column alone, then only rows up to it are read."""
+    """The first n rows by key. The n-th key is found from the first key column alone, by a subquery of the same job;
+    Parquet then skips the row groups behind it."""
     first = F.col(f"`{pk[0]}`")
-    bound = table.select(first.alias("_k")).orderBy("_k").limit(n).agg(F.max("_k")).first()[0]
-    low = first.isNull() if bound is None else first.isNull() | (first <= F.lit(bound))
-    return table.where(low).orderBy(*pk).limit(n)
+    bound = table.select(first.alias("_k")).orderBy("_k").limit(n).agg(F.max("_k")).scalar()
+    return table.where(first.isNull() | (first <= bound)).orderBy(*pk).limit(n)
 
 
 def table_sample_hash(table: DataFrame, pk: list[str], n: int) -> DataFrame:

@@ -11,6 +11,7 @@ KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
     "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"],
     "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
+    "embeddings": ["vec_id"],
 }
 
 COLUMNS = {
@@ -22,13 +23,16 @@ COLUMNS = {
     "events": ["event_id", "@ts", "user_id", "event_type", "#value", "props"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"], "pages": ["page_id", "url", "html"],
     "benchmark": ["item_id", "text"], "labels": ["doc_id", "quality", "toxic"],
-    "conversations": ["conv_id", "turn", "role", "text"],
+    "conversations": ["conv_id", "turn", "role", "text"], "embeddings": ["vec_id", "*embedding", "label"],
 }
 
 
 def _canonical_sql(column):
-    """DuckDB text of a column: ``#`` marks doubles and ``@`` time stamps."""
-    name = column.lstrip("#@")
+    """DuckDB text of a column: ``#`` marks doubles, ``@`` time stamps and ``*`` lists of floats."""
+    name = column.lstrip("#@*")
+    if column.startswith("*"):
+        return (f"coalesce('[' || array_to_string(list_transform({name}, lambda x: "
+                "coalesce(CAST(CAST(CAST(x AS DOUBLE) AS DECIMAL(38,6)) AS STRING), 'NULL')), ',') || ']', 'NULL')")
     if column.startswith("#"):
         return f"coalesce(CAST(CAST({name} AS DECIMAL(38,6)) AS STRING), 'NULL')"
     if column.startswith("@"):

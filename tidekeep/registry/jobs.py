@@ -99,7 +99,7 @@ def _error_report(data):
 DATABASES = {
     "sales": ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"],
     "web": ["events", "pages", "documents"],
-    "text": ["benchmark", "labels", "conversations"],
+    "text": ["benchmark", "labels", "conversations", "embeddings"],
 }
 
 @query("verify_copy", [], f"""

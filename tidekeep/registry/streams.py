@@ -72,6 +72,26 @@ def _daily_log_rollup(data):
     return rows.withColumn("day", F.col("day").cast("string"))
 
 
+@query("daily_totals", ["log_lines"], f"""
+, lined AS (SELECT run_id % 20 AS host, run_id, {LOG_TIME} AS ts, contains(value, 'permission denied') AS bad FROM log_lines)
+SELECT host, strftime(ts, '%Y-%m-%d') AS day, count(*) AS lines, count(DISTINCT run_id) AS runs,
+ sum(CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS failure_lines, sum(CASE WHEN run_id % 10 = 0 THEN 1 ELSE 0 END)::BIGINT AS late_lines
+FROM lined GROUP BY 1, 2
+HAVING strptime(day, '%Y-%m-%d') + INTERVAL 1 DAY <= (SELECT max(ts) FROM lined) - INTERVAL 10 MINUTE""")
+def _daily_totals(data):
+    """All lines, then those of some runs once more, when most of their days are over."""
+    spark, path, folder = data.spark, work_path(data.spark, "late-input"), work_path(data.spark, "daily")
+    lines = data.view("log_lines").select(
+        (F.col("run_id") % 20).alias("host"), "run_id",
+        F.to_timestamp(F.substring("value", 1, 26), "yyyy/MM/dd HH:mm:ss.SSSSSS").alias("ts"), F.substr("value", F.lit(28)).alias("msg"))
+    checkpoint = work_path(spark, "daily-checkpoint")
+    for number, part in enumerate((lines, lines.where("run_id % 10 = 0"))):
+        part.write.parquet(f"{path}/part={number}")
+        stream = spark.readStream.schema(lines.schema).option("recursiveFileLookup", True).parquet(path)
+        windows.store_daily_lines(stream, folder, checkpoint).awaitTermination()
+    return windows.daily_totals(spark, folder).withColumn("day", F.col("day").cast("string"))
+
+
 @query("live_progress", ["log_lines"], PROGRESS_SQL)
 def _live_progress(data):
     rows, _ = run_available(state.live_progress(plain_log_stream(data), order="line_no"), "progress")
