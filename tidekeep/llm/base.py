@@ -86,11 +86,11 @@ class ChunkEncoder:
 
     Texts are cut at safe spaces into chunks. New chunks of Latin characters are put together again, many to a line, as
     the library is fast with long texts, and the bytes that tokens stand for tell which ids belong to which chunk;
-    other chunks are encoded one by one. At most ``limit`` chunks (and 16 characters for each) are remembered, then
-    all are forgotten, so memory stays bounded.
+    other chunks are encoded one by one. At most ``limit`` chunks (and 16 characters for each) are remembered; then all
+    but those used most, half of them, are forgotten, so memory stays bounded.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
@@ -108,13 +108,33 @@ class ChunkEncoder:
         probes = ["\u00c9t\u00e9 ABC", "x\tY\n z", "\u00d1\u01c4\u01f1\u0220 \u00df"]
         wanted = [x.tolist() for x in self._ids(probes)]
         self.lowers = self.drops_space and [x.tolist() for x in self._ids([p.lower() for p in probes], self.plain)] == wanted
-        self._forget()
+        self.calls = 0
+        self._clear()
 
-    def _forget(self):
+    def _clear(self):
+        self.hits = np.zeros(1 << 16, np.int64)
         self.chunks, self.held, self.used = Numbers(), 0, 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.unsafe = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, bool)
 
+    def _forget(self):
+        """Keeps chunks that were used again, those used most, up to half of the limit."""
+        names, hits = list(self.chunks), self.hits[:len(self.chunks)]
+        kept = np.flatnonzero(hits > 1)
+        kept = np.sort(kept[np.argsort(-hits[kept], kind="stable")[:self.limit // 2]])
+        names = [names[i] for i in kept.tolist()]
+        ids, lengths = self.ids[spans(self.start[kept], self.length[kept])], self.length[kept]
+        unsafe, hits = self.unsafe[kept], hits[kept] // 2
+        self._clear()
+        if sum(map(len, names)) > 8 * self.limit:
+            return
+        self.chunks.update(zip(names, range(len(names))))
+        self.held, self.used, n = sum(map(len, names)), len(ids), len(names)
+        self.ids, self.start, self.length, self.unsafe, self.hits = (
+            self._room(x, m) for x, m in ((self.ids, len(ids)), (self.start, n), (self.length, n), (self.unsafe, n), (self.hits, n)))
+        self.ids[:len(ids)], self.start[:n], self.length[:n] = ids, np.cumsum(lengths) - lengths, lengths
+        self.unsafe[:n], self.hits[:n] = unsafe, hits
+
     @staticmethod
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return np.resize(array, max(n, 2 * len(array))) if n > len(array) else array
@@ -149,8 +169,9 @@ class ChunkEncoder:
         if len(joined) and (ends[-1] != wanted[-1] or (ends[stops] != wanted).any()):
             raise ValueError("the tokenizer's tokens do not cover the bytes of a text")
         rest = self._ids([new[i][1:] if new[i][:1] == " " else " " + new[i] for i in alone])
-        self.start, self.length, self.unsafe = (self._room(x, n) for x in (self.start, self.length, self.unsafe))
-        self.unsafe[first:n] = unsafe
+        self.start, self.length, self.unsafe, self.hits = (
+            self._room(x, n) for x in (self.start, self.length, self.unsafe, self.hits))
+        self.unsafe[first:n], self.hits[first:n] = unsafe, 0
         for at, bounds, values in ((joined, np.concatenate(([0], stops)), ids),
                                    (alone, np.cumsum([0, *map(len, rest)]), np.concatenate(rest) if rest else ids[:0])):
             at, bounds = np.array(at, np.int64) + first, bounds.astype(np.int64)
@@ -164,12 +185,16 @@ class ChunkEncoder:
         codes = np.fromiter(map(self.chunks.__getitem__, (c for chunks in lists for c in chunks)), np.int64, sum(map(len, lists)))
         if self.chunks.new:
             self._learn()
+        used = np.bincount(codes)
+        self.hits[:len(used)] += used
         return codes
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end_id`` after every text, and the bounds of the texts in them."""
         if len(self.chunks) > self.limit or self.held > 16 * self.limit:
             self._forget()
+        self.calls += 1
+        if self.calls % 16 == 0:  # what Spark's worker leaves between tasks; see ``encoder``
             gc.collect()
         lists = [text.split(" ") for text in texts]
         for chunks in lists:
