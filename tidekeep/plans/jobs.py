@@ -18,6 +18,7 @@ from tidekeep.session import materialize, union_all
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
 from tidekeep.sources.artifacts import artifact_digests, committed_rows, file_sha256, list_folders, listed_artifacts, listed_parts
+from tidekeep.sources.statistics import discover_keys, table_statistics
 from tidekeep.sources.tables import TableSource, discover_tables, scan_tables
 
 RUN_ID = "%Y-%m-%d_%H-%M-%S"
@@ -26,13 +27,15 @@ RUN_ID = "%Y-%m-%d_%H-%M-%S"
 def snapshot_tables(spark: SparkSession, databases: dict[str, TableSource], target: str, history: str, host: str,
                     started: datetime, allow: list[str] | None = None, requested: dict[str, list[str]] | None = None,
                     view_deps: DataFrame | None = None, pk_columns: dict[str, dict[str, list[str]]] | None = None,
-                    sample_rows: int = 50, codec: str = "zstd") -> DataFrame:
+                    sample_rows: int = 50, codec: str = "zstd", exact_counts: bool = True) -> DataFrame:
     """Profiles and exports the databases of a host, records the run and returns its record.
 
     System databases and copies are left out (``allow`` names databases
     instead), ``requested`` restricts tables, and views that read missing
-    tables (``view_deps``) are not profiled. A database that fails is recorded
-    with its category and does not stop the others. Only names, which are
+    tables (``view_deps``) are not profiled. Keys that ``pk_columns`` does not
+    give are discovered. Row counts are stored estimates if ``exact_counts`` is
+    off or counting fails; the record tells which. A database that fails is
+    recorded with its category and does not stop the others. Only names, which are
     catalogue data, come to the driver; every count, digest and copy is a
     Spark job over whole tables.
     """
@@ -45,7 +48,7 @@ def snapshot_tables(spark: SparkSession, databases: dict[str, TableSource], targ
         wanted = (requested or {}).get(db)
         try:  # frames are lazy: the database is done when its record is written
             result = materialize(_snapshot_database(spark, databases[db], target, run_id, db, wanted, view_deps,
-                                                    (pk_columns or {}).get(db, {}), sample_rows, codec), "result")
+                                                    (pk_columns or {}).get(db, {}), sample_rows, codec, exact_counts), "result")
         except (PySparkException, Py4JJavaError, OSError) as failure:  # recorded, like any failed database
             failed = spark.createDataFrame([(db, "failed", 1, str(failure))],
                                            "name string, status string, attempts int, error string")
@@ -70,7 +73,7 @@ def snapshot_tables(spark: SparkSession, databases: dict[str, TableSource], targ
     return run
 
 
-def _snapshot_database(spark, source, target, run_id, db, requested, view_deps, pk_columns, sample_rows, codec):
+def _snapshot_database(spark, source, target, run_id, db, requested, view_deps, pk_columns, sample_rows, codec, exact_counts):
     """Result record of one database, its tables written."""
     found = discover_tables(spark, source).select(F.lit(db).alias("db"), "section", "name")
     if requested is not None:
@@ -85,8 +88,8 @@ def _snapshot_database(spark, source, target, run_id, db, requested, view_deps,
         return _as(spark.createDataFrame([(db,)], "db string").withColumns({**success, "duration": F.lit("0s")}), schemas.RESULT)
     tables = scan_tables(spark, source, names)
 
-    counts = profile.table_row_counts(spark, tables, db)
-    hashes = profile.sample_row_hashes(spark, tables, pk_columns, sample_rows, db)
+    totals = _row_totals(spark, source, tables, db, exact_counts)
+    hashes = profile.sample_row_hashes(spark, tables, {**discover_keys(spark, source, tables), **pk_columns}, sample_rows, db)
     written = sinks.export_tables(spark, tables, target, run_id, db, codec)
     parts = sinks.committed_parts(spark, target, run_id, db).withColumn("db", F.lit(db))
     artifact = root_digests(parts, ["db"]).withColumnRenamed("digest", "artifact_sha256")
@@ -94,13 +97,25 @@ def _snapshot_database(spark, source, target, run_id, db, requested, view_deps,
         F.struct("table_name", "sample_hash")))).alias("sample_row_hashes"))
     record = (
         catalog.object_counts(found).join(catalog.schema_fingerprint(found), "db", "left")
-        .join(profile.db_row_counts(counts), "db", "left").join(hash_map, "db", "left").join(artifact, "db", "left")
+        .join(totals, "db", "left").join(hash_map, "db", "left").join(artifact, "db", "left")
         .join(written.groupBy(F.lit(db).alias("db")).agg(F.sum("bytes").alias("size_bytes")), "db", "left"))
     return _as(record.withColumns({
-        **success, "row_count_mode": F.lit("exact"), "output_path": F.lit(f"{target}/{run_id}/{db}"),
+        **success, "output_path": F.lit(f"{target}/{run_id}/{db}"),
         "sample_row_count": F.lit(sample_rows)}), schemas.RESULT)
 
 
+def _row_totals(spark, source, tables, db, exact_counts):
+    """Row counts of a database with their mode: exact with the map of its tables, or the sum of stored estimates."""
+    if exact_counts:
+        try:
+            counts = materialize(profile.table_row_counts(spark, tables, db), "counts")
+            return profile.db_row_counts(counts).withColumn("row_count_mode", F.lit("exact"))
+        except (PySparkException, Py4JJavaError):  # e.g. a count that the server stops
+            pass
+    stored = table_statistics(spark, source, list(tables)).withColumn("db", F.lit(db))
+    return catalog.estimated_row_counts(stored).withColumn("row_count_mode", F.lit("estimate"))
+
+
 def _as(df: DataFrame, schema: str) -> DataFrame:
     """The columns of a schema; those the frame lacks are NULL."""
     wanted = df.sparkSession.createDataFrame([], schema).schema.fields
@@ -256,15 +271,44 @@ def fleet_health(runs: DataFrame, now: Column, inventory: DataFrame | None = Non
 
     checks = checks.unionByName(ages.select("host", F.inline(F.array(
         aged("run_age", "run_age"), aged("success_age", "success_age")))))
-    if inventory is None:
-        return checks
+    return checks if inventory is None else checks.unionByName(drift_checks(inventory, expected_uid))
+
+
+def drift_checks(inventory: DataFrame, expected_uid: int = 1000) -> DataFrame:
+    """A warning for every root in which another user owns something, with the first five entries.
+
+    Group and permissions are told where the inventory has ``gid`` and ``mode``.
+    """
+    owner, values = "%s(uid=%d", ["rel_path", "uid"]
+    if {"gid", "mode"} <= set(inventory.columns):
+        octal = F.when(F.col("mode") == 0, "0").otherwise(F.concat(F.lit("0"), F.conv(F.col("mode").cast("string"), 10, 8)))
+        owner, values = owner + " gid=%d mode=%s", [*values, "gid", octal]
     drift = filters.ownership_drift(inventory, expected_uid)
-    named = F.sort_array(F.collect_list(F.struct("place", F.format_string("%s(uid=%d)", "rel_path", "uid").alias("text"))))
+    named = F.sort_array(F.collect_list(F.struct("place", F.format_string(owner + ")", *values).alias("text"))))
     drifted = drift.groupBy("host", "root").agg(F.array_join(named["text"], ", ").alias("found"))  # five per root
-    return checks.unionByName(drifted.select(
+    return drifted.select(
         "host", F.concat(F.lit("ownership "), "root").alias("check"), F.lit("warn").alias("status"),
         F.concat(F.lit("ownership drift detected relative to uid="), F.lit(str(expected_uid)), F.lit(": "), "found")
-        .alias("message")))
+        .alias("message"))
+
+
+def folder_health(entries: DataFrame, expected_uid: int = 1000) -> DataFrame:
+    """One verdict for every root of ``read_entries``: error if it is missing or no folder, warn if something in it
+    can't be read or belongs to another user, else ok."""
+    keys, rooted = ["host", "root"], F.col("rel_path").isNull()
+    state = entries.groupBy(*keys).agg(
+        F.max(F.when(rooted, F.col("error"))).alias("_gone"), F.bool_or(F.when(rooted, F.col("is_dir"))).alias("_folder"),
+        F.min(F.when(~rooted & F.col("error").isNotNull(), F.struct("rel_path", "error"))).alias("_unread"))
+    drift = drift_checks(entries.where(~rooted & F.col("uid").isNotNull()), expected_uid).select(
+        "host", F.substr("check", F.lit(len("ownership ") + 1)).alias("root"), F.col("message").alias("_drift"))
+    status = (F.when(F.col("_gone").isNotNull() | ~F.col("_folder"), "error")
+              .when(F.col("_unread").isNotNull() | F.col("_drift").isNotNull(), "warn").otherwise("ok"))
+    message = (F.when(F.col("_gone").isNotNull(), F.concat("root", F.lit(" missing or unreadable: "), "_gone"))
+               .when(~F.col("_folder"), F.concat("root", F.lit(" is not a directory")))
+               .when(F.col("_unread").isNotNull(), F.concat(F.lit("ownership drift scan failed: "), "_unread.error"))
+               .otherwise(F.coalesce("_drift", F.concat(F.lit("no ownership drift in "), "root"))))
+    return state.join(drift, keys, "left").select(
+        "host", F.concat(F.lit("folder "), "root").alias("check"), status.alias("status"), message.alias("message"))
 
 
 def observability_report(spark: SparkSession, path: str) -> DataFrame:

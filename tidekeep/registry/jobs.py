@@ -1,5 +1,6 @@
 """Queries on the composed jobs, and on sources and sinks through files Spark writes from the tables."""
 
+import os
 import re
 from datetime import datetime
 
@@ -18,6 +19,8 @@ from tidekeep.session import work_path
 from tidekeep.sinks import files as sinks
 from tidekeep.sources import files as sources
 from tidekeep.sources.artifacts import artifact_digests, list_folders
+from tidekeep.sources.ownership import read_entries
+from tidekeep.sources.statistics import declare_key, table_statistics
 from tidekeep.sources.tables import TableSource, discover_tables, scan_tables
 
 @query("apply_retention", ["runs"], """
@@ -409,3 +412,54 @@ def _snapshot_tables(data):
     history = sources.read_run_history(data.spark, f"{target}/history")
     results = run_ops.explode_results(history)
     return results.select(F.explode("table_row_counts").alias("table_name", "rows"))
+
+
+@query("snapshot_estimates", [], """
+SELECT 'main' AS db, 'estimate' AS row_count_mode, false AS counted, (""" + " + ".join(
+    f"(SELECT count(*) FROM {name})" for name in fixtures.TABLES) + ")::BIGINT AS row_counts")
+def _snapshot_estimates(data):
+    """A snapshot with exact counts off: the record has the sum of the stored estimates and no map of counts."""
+    target = work_path(data.spark, "snapshot")
+    jobs.snapshot_tables(data.spark, {"main": TableSource(folder=data.sf_dir)}, target, f"{target}/history", "host-1",
+                         datetime(2026, 1, 2, 3, 4, 5), exact_counts=False)
+    results = run_ops.explode_results(sources.read_run_history(data.spark, f"{target}/history"))
+    return results.select(F.col("name").alias("db"), "row_count_mode",
+                          F.coalesce(F.size("table_row_counts") > 0, F.lit(False)).alias("counted"), "row_counts")
+
+
+@query("table_statistics", [], " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS table_rows FROM {name}" for name in fixtures.TABLES))
+def _table_statistics(data):
+    return table_statistics(data.spark, TableSource(folder=data.sf_dir), fixtures.TABLES)
+
+
+@query("snapshot_keys", [], "SELECT table_name, sample_hash FROM (" + " UNION ALL ".join(
+    sample_sql(name, 50) for name in sorted(KEYS)) + ")")
+def _snapshot_keys(data):
+    """Tables written with their keys in the metadata; the snapshot finds the keys and records a sample digest of each."""
+    target, folder = work_path(data.spark, "snapshot"), work_path(data.spark, "keyed")
+    for name, key in KEYS.items():
+        declare_key(data.table(name), key).write.parquet(f"{folder}/{name}.parquet")
+    jobs.snapshot_tables(data.spark, {"main": TableSource(folder=folder)}, target, f"{target}/history", "host-1",
+                         datetime(2026, 1, 2, 3, 4, 5))
+    results = run_ops.explode_results(sources.read_run_history(data.spark, f"{target}/history"))
+    return results.select(F.explode("sample_row_hashes").alias("table_name", "sample_hash"))
+
+
+@query("folder_health", [], """
+WITH folders AS (SELECT DISTINCT 'h' || c_nationkey % 5 AS host, 'nation=' || c_nationkey AS rel_path FROM customer),
+placed AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY rel_path) AS place FROM folders)
+SELECT host, 'warn' AS status, 'ownership drift detected relative to uid=*: '
+ || string_agg(rel_path || '(uid=* gid=* mode=0*)', ', ' ORDER BY place) AS message FROM placed WHERE place <= 5 GROUP BY host
+UNION ALL SELECT 'h9', 'error', 'gone missing or unreadable'""")
+def _folder_health(data):
+    """Folders of five hosts written from the customers, all owned by another user than expected, and one that is gone."""
+    path = work_path(data.spark, "folders")
+    placed = data.table("customer").select(
+        F.concat(F.lit("h"), F.col("c_nationkey") % 5).alias("host"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+    placed.write.partitionBy("host", "nation").text(path)
+    hosts = [row.host for row in placed.select("host").distinct().collect()]  # five
+    entries = read_entries(data.spark, [(host, f"{path}/host={host}") for host in hosts] + [("h9", f"{path}/gone")])
+    folders = entries.where("is_dir OR rel_path IS NULL")
+    plain = F.regexp_replace(F.regexp_replace("message", r"(uid=|gid=|mode=0)\d+", "$1*"), r"^.*/gone (missing or unreadable).*", "gone $1")
+    return jobs.folder_health(folders, os.geteuid() + 1).select("host", "status", plain.alias("message"))
