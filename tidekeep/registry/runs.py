@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tidekeep.operators import retention, runs as op
 from tidekeep.registry.base import query
+from tidekeep.session import work_path
+from tidekeep.sinks import buckets
 
 OUTCOME_SQL = """CASE
   WHEN coalesce(trim(failure_reason), '') <> '' THEN failure_reason
@@ -181,7 +183,7 @@ def _runs_with_validation(data):
     return joined.select("run_id", "status", "validation_checked_at", "validation_status")
 
 
-@query("upsert_run_history", ["runs", "db_results"], f"""
+UPSERT_SQL = f"""
 , rollup AS ({ROLLUP_SQL}), history AS (SELECT host, run_id, ts, status, cleanup_error FROM runs
   UNION ALL SELECT host, run_id, ts - INTERVAL 1 HOUR, 'failed', NULL FROM runs WHERE status = 'partial'),
 changes AS (SELECT host, run_id, CASE WHEN databases_failed = 0 THEN 'success' ELSE 'failed' END AS status,
@@ -189,8 +191,10 @@ changes AS (SELECT host, run_id, CASE WHEN databases_failed = 0 THEN 'success' E
 SELECT h.host, h.run_id, h.ts, CASE WHEN c.run_id IS NOT NULL THEN c.status ELSE h.status END AS status,
  CASE WHEN c.run_id IS NOT NULL THEN c.cleanup_error ELSE h.cleanup_error END AS cleanup_error
 FROM (SELECT *, row_number() OVER (PARTITION BY host, run_id ORDER BY ts DESC) AS age FROM history) h
-LEFT JOIN changes c ON h.host = c.host AND h.run_id = c.run_id AND h.age = 1""")
-def _upsert_run_history(data):
+LEFT JOIN changes c ON h.host = c.host AND h.run_id = c.run_id AND h.age = 1"""
+
+
+def history_and_changes(data):
     runs = data.view("runs").select("host", "run_id", "ts", "status", "cleanup_error")
     earlier = runs.where(F.col("status") == "partial").select(
         "host", "run_id", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit("failed").alias("status"),
@@ -199,7 +203,21 @@ def _upsert_run_history(data):
     changes = runs.select("host", "run_id").join(rollup, "run_id").select(
         "host", "run_id", F.when(F.col("databases_failed") == 0, "success").otherwise("failed").alias("status"),
         F.concat(F.col("databases_failed").cast("string"), F.lit(" bad")).alias("cleanup_error"))
-    return op.upsert_run_history(runs.unionByName(earlier), changes)
+    return runs.unionByName(earlier), changes
+
+
+@query("upsert_run_history", ["runs", "db_results"], UPSERT_SQL)
+def _upsert_run_history(data):
+    return op.upsert_run_history(*history_and_changes(data))
+
+
+@query("bucketed_history", ["runs", "db_results"], UPSERT_SQL)
+def _bucketed_history(data):
+    """Stored in buckets, updated there, and read back by the manifest."""
+    (history, changes), root = history_and_changes(data), work_path(data.spark, "bucketed")
+    buckets.write_buckets(history, root, buckets=64)
+    buckets.update_buckets(changes, root)
+    return buckets.read_buckets(data.spark, root)
 
 
 CARRY_SQL = """, told AS (SELECT host, run_id, ts, CASE WHEN load_per_cpu > 1.8 THEN 'skipped' ELSE status END AS status,
