@@ -123,6 +123,21 @@ def test_logs(spark, tmp_path):
     assert sources.read_log_lines(spark, str(folder), "2020-01-01").count() == 0
 
 
+def test_continued_log_lines_across_splits(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    stamps = [f"2026/01/01 00:00:0{i}.000000 first of {i}\n" + "".join(f"  more {k}\n" for k in range(300)) for i in range(5)]
+    (tmp_path / "a" / "2026-01-01_02-00-00.log").write_text("no time yet\n" + "".join(stamps))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = sources.read_run_logs(spark, str(tmp_path), continued=True).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert lines[0]["ts"] is None and lines[0]["continues"] is None
+    assert [(r["ts"].second, r["continues"]) for r in lines[1:]] == [
+        (i, None if k == 0 else 2 + 301 * i) for i in range(5) for k in range(301)]
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     path = tmp_path / "big.log"
     path.write_text("".join(f"line {i}\n" for i in range(1, 20001)))

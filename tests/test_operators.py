@@ -274,6 +274,23 @@ def test_progress_golden_percentages(spark):
     assert [r["percent"] for r in logs.progress_timeline(df, ["run_id"]).orderBy("line_no").collect()] == [0.0, 0.0875, 0.25, 0.3375]
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_lines_without_a_time_take_the_one_before(spark, chunk):
+    rng, data, want = random.Random(chunk), [], []
+    for host, run in [("a", "r"), ("b", "r"), ("b", None)]:
+        now = at = None
+        for n in range(1, 60):
+            own = n * 10 if rng.random() < 0.2 else None
+            now, at = (own, n) if own else (now, at)
+            data.append((host, run, n, own, f"m{n}"))
+            want.append((host, run, n, now, f"m{n}", None if own else at))
+    lines = spark.createDataFrame(data, "host string, run_id string, line_no bigint, ts bigint, msg string").repartition(5)
+    got = logs.continued_lines(lines, chunk_lines=chunk)
+    assert got.columns == [*lines.columns, "continues"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert logs.continued_lines(lines.limit(0)).collect() == []
+
+
 def test_tail_and_error_summary(spark):
     df = spark.createDataFrame([("r", "t", i, m) for i, m in enumerate(
         ["a", "No space left on device 1", " Errno 28 ", "later", " "])] + [("r", "u", 0, " "), ("r", "u", 1, " x ")],

@@ -18,6 +18,18 @@ def tail_lines(lines: DataFrame, n: int = 1000, keys=("run_id",), order="line_no
     return last.join(totals, list(keys))
 
 
+def continued_lines(lines: DataFrame, keys=("host", "run_id"), order="line_no", ts="ts", chunk_lines=1 << 16) -> DataFrame:
+    """Lines in which one without a time has the time of the line before it in its file.
+
+    ``continues`` is the number of the line that carries the time, NULL for lines that carry one themselves. Lines
+    before the first time of a file stay without. A file is scanned in chunks, so its length is no matter.
+    """
+    known = F.col(ts).isNotNull()
+    told = running(lines, list(keys), [order], {"_head": Running("last", F.when(known, F.struct(F.col(ts).alias("ts"), F.col(order).alias("at"))))},
+                   number_chunk(order, chunk_lines))
+    return told.withColumns({"continues": F.when(~known, F.col("_head.at")), ts: F.coalesce(ts, "_head.ts")}).drop("_head")
+
+
 def stream_error_summary(lines: DataFrame, keys=("run_id", "tool"), order="line_no", line="line") -> DataFrame:
     """The line that explains a tool's failure: the last about a full disk, else the last at all."""
     text = strip(line)

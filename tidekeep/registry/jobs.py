@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidekeep import fixtures
-from tidekeep.operators import profile, retention, runs as run_ops, verify
+from tidekeep.operators import logs, profile, retention, runs as run_ops, verify
 from tidekeep.operators.metrics import NAMES
 from tidekeep.plans import jobs
 from tidekeep.registry.base import query
@@ -174,6 +174,19 @@ def _log_files(data):
         F.col("ts").cast("timestamp_ntz").alias("ts"), "msg")
 
 
+@query("continued_lines", ["log_lines"], """
+, told AS (SELECT run_id, line_no, CASE WHEN NOT contains(value, 'dump for database') THEN strptime(left(value, 26), '%Y/%m/%d %H:%M:%S.%f') END AS own,
+ substr(value, 28) AS msg FROM log_lines)
+SELECT run_id, line_no, msg, last_value(own IGNORE NULLS) OVER w AS ts,
+ CASE WHEN own IS NULL THEN last_value(CASE WHEN own IS NOT NULL THEN line_no END IGNORE NULLS) OVER w END AS continues
+FROM told WINDOW w AS (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def _continued_lines(data):
+    """Logs in which lines about single dumps carry no time of their own."""
+    text = F.when(F.contains("value", F.lit("dump for database")), F.substr("value", F.lit(28))).otherwise(F.col("value"))
+    lines = sources.split_log_line(data.view("log_lines").withColumn("value", text)).drop("value")
+    return logs.continued_lines(lines, ["run_id"], chunk_lines=1 << 12).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 GAUGES_SQL = """, latest AS (SELECT 'h' || series_id % 50 AS host, metric, arg_max(value, (ts, sample_id)) AS value
  FROM samples GROUP BY 1, 2)
 """

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from tidekeep import schemas
 from tidekeep.functions.text import blank
+from tidekeep.operators.logs import continued_lines
 
 FILE = "_metadata.file_path"
 
@@ -149,12 +150,16 @@ def split_log_line(lines: DataFrame, value="value") -> DataFrame:
     return lines.withColumns({"ts": ts, "msg": msg})
 
 
-def read_run_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the per-run logs ``<host>/<run>.log``; the daily copies are left out."""
+def read_run_logs(spark: SparkSession, folder: str, continued: bool = False) -> DataFrame:
+    """Lines of the per-run logs ``<host>/<run>.log``; the daily copies are left out.
+
+    With ``continued``, a line without a time has that of the line it continues (see ``continued_lines``).
+    """
     lines = number_lines(text_lines(spark, folder, "*_*.log"))
-    return split_log_line(lines).select(
+    named = split_log_line(lines).select(
         F.regexp_extract("_file", r"([^/]+)/[^/]+\.log$", 1).alias("host"),
         F.regexp_extract("_file", r"([^/]+)\.log$", 1).alias("run_id"), "line_no", "ts", "msg")
+    return continued_lines(named) if continued else named
 
 
 def read_log_lines(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
