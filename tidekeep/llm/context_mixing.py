@@ -1,24 +1,29 @@
 """Language-model scores by online logistic context mixing.
 
 Texts are token sequences: words in lower case (A-Z), then one end. A token is a path of binary decisions: through a
-Huffman tree over the ``SYMBOLS`` most frequent training tokens, the end and an escape. After the escape a rarer
-training word is given by its share of their counts, and a word that training texts don't have by the bits of its
-bytes (and a closing zero byte). So every text has a probability, and bits per byte are its logarithm over its bytes.
+Huffman tree over classes of training words (those seen equally often are one class; the end is its own), then by halves
+to the word in its class. So every training word has a path of its own. Words that training texts don't have share the
+class of words seen once; one more decision tells them apart, and the bits of their bytes (and a closing zero byte) give
+the word. So every text has a probability, and bits per byte are its logarithm over its bytes.
 
 Every decision has three predictors: the node's own counts, the counts of the node after the token before, and after
-the two tokens before. The last two live in hashed tables of a fixed number of slots. The predictors' log odds are
-summed with weights; which set of weights is taken is gated by how often the two contexts were seen. Weights start
-equal for all documents and follow the document by gradient steps after every ``STEP`` tokens; a last stage moves the
-mixed probability towards what came true in the document at probabilities like it.
-
-All counts are taken over all training texts: word counts by a shuffle on the word, tables by tasks that count their
-share and by tasks that each sum some chunks of the tables. Tables have ``2**bits`` slots for each context; ``bits``
-grows with the training tokens and is at most ``MOST_BITS``, which bounds what tasks and driver hold, as ``SYMBOLS``
-bounds the tree. Tasks work through blocks of texts with the counts of the block's own words.
+the two tokens before. The predictors' log odds are summed with weights; which set of weights is taken is gated by how
+often the two contexts were seen. Weights start equal for all documents and follow the document by gradient steps after
+every ``STEP`` tokens; a last stage moves the mixed probability towards what came true in the document at probabilities
+like it.
+
+All counts are taken over all training texts, for every word and every context; no table has a fixed size. Each block of
+texts sends its pairs of context and token to the chunk of the context's hash, with how often its training texts have
+them. A chunk, of which there are more as the corpus grows, adds the blocks up and answers every pair with the counts
+along the token's path. Answers go back to the block, which is scored with the counts of its own pairs. Contexts of
+words seen more than ``HOT`` times are dealt out by the first ``SPLIT`` decisions of the token, so none is one task's.
+The driver holds the classes: with n training tokens there are fewer than the square root of 2n. Spelling is counted and
+answered in the same way, with bytes for tokens.
 
 Nulls: a null text is empty (the end is its only token); a null document id counts as the empty text when documents
 are divided. Rows that repeat are scored, and learned from, each for itself. An empty table gives an empty result;
-without training texts every word is new. Other columns of the input are not read.
+without training texts every word is new. Other columns of the input are not read. Contexts of two words that are both
+seen more than ``HOT`` times are told apart, behind the first decisions, by a 64-bit hash.
 """
 
 import heapq
@@ -28,14 +33,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidekeep.llm.base import Numbers, slices, spans, texts
 from tidekeep.session import materialize
 
-SYMBOLS, BLOCK_TOKENS, SCORED_TOKENS, STEP = 2048, 3 << 19, 1 << 18, 32
-LEAST_BITS, MOST_BITS, SPELL_BITS, CHUNK = 14, 21, 18, 1 << 14
+BLOCK_TOKENS, SCORED_TOKENS, STEP = 3 << 19, 1 << 17, 32
+CHUNK_TOKENS, HOT, SPLIT = 1 << 21, 1 << 19, 8
 PRIOR, RATE, REFINE = 4.0, 0.02, 24.0
 END = b" "  # stands for the end of a text; no word has a space
 FOLDS = 10
@@ -138,6 +143,7 @@ class Tree:
             else:
                 for bit, child in enumerate(children[at]):
                     todo.append((child, [*nodes, at - len(counts)], [*bits, bit]))
+        self.leaves = np.array(list(paths), np.int64)  # what is below a node stands together
         self.length = np.array([len(paths[i][0]) for i in range(len(counts))], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.node = np.array([x for i in range(len(counts)) for x in paths[i][0]], np.int64)
@@ -148,164 +154,518 @@ class Tree:
         self.chance = np.clip((one + 0.5) / (n + 1), 1e-7, 1 - 1e-7)  # of a one
 
 
+class Code:
+    """Paths of ids: the tree to a class, then halves of the class. Ids run through the classes in the order of the leaves.
+
+    The last class is that of words seen once; ``self.new`` stands there for every word that was not seen.
+    """
+
+    def __init__(self, tree: Tree, sizes, seen, novel: bool = True):
+        self.tree, self.sizes, self.seen = tree, np.array(sizes, np.int64), np.array(seen, np.int64)
+        self.leaves = tree.leaves
+        self.begins = np.cumsum(self.sizes[self.leaves]) - self.sizes[self.leaves]  # by leaf
+        self.first = np.empty_like(self.sizes)  # by class
+        self.first[self.leaves] = self.begins
+        self.once = len(self.sizes) - 1 if novel else -1
+        self.new = int(self.sizes.sum())
+        self.start = self.new + 1  # stands before a text
+        top = np.zeros(len(self.sizes), np.int64)
+        for depth in range(SPLIT):
+            more = tree.length > depth
+            top[more] = 2 * top[more] + tree.bit[tree.start[more] + depth]
+        self.top = self.first.copy()  # of classes below a node SPLIT deep: the least id there
+        deep = np.flatnonzero(tree.length >= SPLIT)
+        least = np.full(1 << SPLIT, self.new)
+        np.minimum.at(least, top[deep], self.first[deep])
+        self.top[deep] = least[top[deep]]
+
+    def classes(self, ids: np.ndarray) -> np.ndarray:
+        found = self.leaves[np.searchsorted(self.begins, ids, "right") - 1]
+        return np.where(ids >= self.new, self.once, found)
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """How often the words of ids were seen."""
+        return np.where(ids >= self.new, 0, self.seen[self.classes(ids)])
+
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        """Ids with the first of its class for what is new, which is on the same path up to the class."""
+        return np.where(ids == self.new, self.first[self.once], ids)
+
+    def tops(self, ids: np.ndarray) -> np.ndarray:
+        """For known ids the least id below the node that is ``SPLIT`` decisions deep on their path."""
+        k = self.classes(ids)
+        at, low, size = ids - self.first[k], np.zeros(len(ids), np.int64), self.sizes[k]
+        left = SPLIT - self.tree.length[k] - (k == self.once)
+        for _ in range(SPLIT):
+            half = (size + 1) // 2
+            go, right = (left > 0) & (size > 1), at - low >= half
+            low, size = np.where(go & right, low + half, low), np.where(go, np.where(right, size - half, half), size)
+            left = left - 1
+        return np.where(self.tree.length[k] >= SPLIT, self.top[k], self.first[k] + low)
+
+    def paths(self, ids: np.ndarray):
+        """Length and start of the path of each id, and for its decisions: bit, chance of a one, whether it tells new words."""
+        k, tree = self.classes(ids), self.tree
+        special, new = k == self.once, ids == self.new
+        head = tree.length[k]
+        at, size = np.where(new, 0, ids - self.first[k]), np.where(new, 1, self.sizes[k])
+        todo, levels, length = np.flatnonzero(size > 1), [], head + special
+        at, size = at[todo], size[todo]
+        while len(todo):
+            half = (size + 1) // 2
+            right = at >= half
+            levels.append((todo, length[todo], right, (size - half) / size))
+            length[todo] += 1
+            at, size = np.where(right, at - half, at), np.where(right, size - half, half)
+            go = size > 1
+            todo, at, size = todo[go], at[go], size[go]
+        start = np.cumsum(length) - length
+        n = int(length.sum())
+        bit, chance, novel = np.zeros(n, np.int8), np.full(n, 0.5), np.zeros(n, bool)
+        here, there = spans(start, head), spans(tree.start[k], head)
+        bit[here], chance[here] = tree.bit[there], tree.chance[tree.node[there]]
+        tells = (start + head)[special]
+        novel[tells], bit[tells] = True, new[special]
+        for some, depth, right, p in levels:
+            bit[start[some] + depth], chance[start[some] + depth] = right, p
+        return length, start, bit, chance, novel
+
+
 def _slots(node: np.ndarray, context: np.ndarray, bits: int, which: int) -> np.ndarray:
-    """Place of (node, context) in table ``which``; the tables stand one after the other."""
+    """Hash of (node, context) in ``bits`` bits; those of ``which`` stand one after the other."""
     key = (node + 1) * np.int64(0x2545F4914F6CDD1D) + context * np.int64(0x27D4EB2F165667C5) + np.int64(which)
     key = (key ^ (key >> np.int64(29))) * np.int64(0x1B873593CC9E2D51)
     return ((key >> np.int64(64 - 2 - bits)) & np.int64((1 << bits) - 1)) + np.int64(which << bits)
 
 
-def _contexts(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each and the two before, as numbers; a text begins after two tokens of its own kind."""
-    one, two = np.empty_like(symbol), np.empty_like(symbol)
-    one[1:], two[2:] = symbol[:-1], symbol[:-2]
-    one[first] = two[first] = 1 << 20
+def _mixed_key(*columns: np.ndarray) -> np.ndarray:
+    """A 63-bit hash of some numbers together."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(29)
+    return (key >> np.uint64(1)).astype(np.int64)
+
+
+def _before(ids: np.ndarray, first: np.ndarray, start) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each and the one before that; a text begins after two tokens of its own kind."""
+    one, two = np.full_like(ids, start), np.full_like(ids, start)
+    one[1:], two[2:] = ids[:-1], ids[:-2]
+    one[first] = two[first] = start
     second = first + 1
-    two[second[second < len(two)]] = 1 << 20
-    two[:1] = 1 << 20
-    return one, two * np.int64(1 << 21) + one
+    two[second[second < len(two)]] = start
+    return one, two
 
 
 def _spelled(words: list[bytes]):
-    """Decisions of words given by their bytes: word, node (place in the byte and bits so far), bit, two contexts."""
+    """The bytes of words, each word closed by a zero byte: word, byte, and the two and the three bytes before."""
     raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
     sizes = np.array([len(w) + 1 for w in words])
     owner = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     before = [np.where(at >= k, np.roll(raw, k), 0) for k in (1, 2, 3)]
-    shift = np.arange(7, -1, -1)
-    bit = ((raw[:, None] >> shift) & 1).ravel()
-    node = ((raw[:, None] | 256) >> (shift + 1)).ravel()  # a one, then the bits so far
     two = before[0] | (before[1] << 8)
-    return np.repeat(owner, 8), node, bit, np.repeat(two, 8), np.repeat(two | (before[2] << 16), 8)
+    return owner, raw, two, two | (before[2] << 16)
 
 
 # ---- counting -----------------------------------------------------------------------------------------------------
 
-def _emit(tables: np.ndarray):
-    """A task's counts ``(2, slots)`` in chunks that are not empty."""
-    for c in range(tables.shape[1] // CHUNK):
-        part = tables[:, c * CHUNK:(c + 1) * CHUNK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed(part.astype("<i4").ravel())], pa.binary())],
-                                             names=["chunk", "counts"])
+class Pairs:
+    """Different pairs of context and id, sorted; ``of`` has the place of each pair given. Contexts are columns of numbers
+    below ``size``, as are ids, by their order in a block; ``key`` gives a context's number everywhere, from its rows."""
+
+    def __init__(self, tag: int, context: list, word: np.ndarray, size: int, key, bits: int):
+        width = np.int64(max(1, size - 1).bit_length())
+        code, room = context[0].astype(np.int64), width
+        for column in (*context[1:], word):
+            if room + width > 62:
+                code = _unique(code)[1]
+                room = np.int64(max(1, len(code)).bit_length())
+            code, room = (code << width) | column, room + width
+        pairs, self.of, row = _unique(code)
+        self.tag, self.key, self.word = tag, key(row), pairs & ((np.int64(1) << width) - 1)
+        chunk = _slots(np.array([tag]), self.key, bits, 0)
+        self.order = np.argsort(chunk.astype(np.uint16) if bits <= 16 else chunk, kind="stable")
+        self.size = np.bincount(chunk, minlength=1 << bits)
+
+    def rows(self, block: int, learn: np.ndarray, ids: np.ndarray):
+        """Rows for the chunks: the pairs, and how often they are among those to learn from."""
+        n = np.bincount(self.of[learn], minlength=len(self.key))
+        ends = np.cumsum(self.size)
+        for chunk in np.flatnonzero(self.size).tolist():
+            some = self.order[ends[chunk] - self.size[chunk]:ends[chunk]]
+            yield (chunk, self.tag, block, len(some), packed(np.diff(self.key[some], prepend=0).astype("<i8")),
+                   packed(ids[self.word[some]].astype("<u4")), packed(n[some].astype("<u4")))
+
+    def place(self, parts, paths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the chunks' answers, in their order, for each pair: first and last place of its counts, and all counts."""
+        if not parts:
+            return *np.zeros((2, len(self.key)), np.int64), np.zeros(0, np.int64)
+        last = np.concatenate([unpacked(x, "u1", n) for n, x, _ in parts]).astype(np.int64)
+        shared = _shared(self.key, self.word, paths, self.order)
+        own = np.maximum(0, last - shared)
+        edges = np.concatenate(([0], np.cumsum([n for n, _, _ in parts])))
+        given = np.concatenate([unpacked(data, "<i8", int(own[a:b].sum())) for (_, _, data), a, b in zip(parts, edges[:-1], edges[1:])])
+        given_at, first = np.cumsum(own) - own, np.cumsum(last + 1) - last - 1
+        counts, now = np.zeros(int(last.sum()) + len(last), np.int64), np.zeros(len(last), np.int64)
+        some, depth = np.arange(len(last)), 0
+        until = np.maximum(last, shared)
+        until[:-1] = np.maximum(until[:-1], shared[1:])
+        while len(some):
+            new = some[(shared[some] < depth) & (depth <= last[some])]
+            now[new] = given[given_at[new] + depth - shared[new] - 1]
+            alike = shared[some] >= depth  # as the pair before
+            source = np.maximum.accumulate(np.where(alike, 0, np.arange(len(some))))
+            now[some] = now[some[source]]
+            want = some[last[some] >= depth]
+            counts[first[want] + depth] = now[want]
+            depth += 1
+            some = some[until[some] >= depth]
+        at, ends = np.empty_like(first), np.empty_like(last)
+        at[self.order], ends[self.order] = first, last
+        return at, ends, counts
+
+
+def _shared(key, word, paths, order) -> np.ndarray:
+    """Depth of the last node that each pair, in an order, shares with the pair before; -1 if its key is another."""
+    _, start, bit, _, _ = paths
+    at, key = start[word[order]], key[order]
+    shared = np.full(len(order), -1, np.int64)
+    some = np.flatnonzero(key[1:] == key[:-1]) + 1
+    depth = 0
+    while len(some):
+        shared[some] = depth
+        some = some[bit[at[some] + depth] == bit[at[some - 1] + depth]]
+        depth += 1
+    return shared
+
+
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different numbers, the place of each number among them, and where each of them stands."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    of = np.empty(len(x), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], of, order[new]
+
+
+_ASKED = "chunk int, tag int, block long, m int, key binary, id binary, n binary"
+_ANSWERED = "block long, tag int, chunk int, m int, last binary, counts binary"
+
+
+def _asked(rows):
+    names = ["chunk", "tag", "block", "m", "key", "id", "n"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    rows = list(rows)
+    for a in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[a:a + 64]), kinds)], names=names)
+
+
+def _answer(code: Code, asked: list):
+    """Answers to the pairs of a chunk: for each how often its context was seen at the nodes of its path, up to where the
+    context has only this pair below the node, as the numbers after that are all the same."""
+    key = np.concatenate([np.cumsum(unpacked(r["key"], "<i8", r["m"])) for r in asked])
+    id_ = np.concatenate([unpacked(r["id"], "<u4", r["m"]) for r in asked]).astype(np.int64)
+    n = np.concatenate([unpacked(r["n"], "<u4", r["m"]) for r in asked]).astype(np.int64)
+    pairs, of, _ = _unique((_unique(key)[1] << np.int64(32)) | id_)
+    n = np.bincount(of, n, minlength=len(pairs)).astype(np.int64)
+    begins = np.ones(len(pairs), bool)
+    begins[1:] = np.diff(pairs >> np.int64(32)) != 0
+    ids, word, _ = _unique(pairs & np.int64((1 << 32) - 1))
+    paths = length, start, bit, _, _ = code.paths(ids)
+    at, some, levels, last = start[word], np.arange(len(pairs)), [], np.zeros(len(pairs), np.int64)
+    end = at + length[word]
+    while True:
+        # Pairs of a node stand together; whole nodes are left out, or those who are alone in what they count.
+        begin = np.flatnonzero(begins)
+        total = np.repeat(np.add.reduceat(n[some], begin), np.diff(np.append(begin, len(some)))) if len(some) else n[:0]
+        levels.append((some, total))
+        node = np.cumsum(begins)
+        go = np.repeat(np.maximum.reduceat((n[some] != total).astype(np.int8), begin), np.diff(np.append(begin, len(some)))) > 0 if len(some) else begins
+        last[some] = len(levels) - 1
+        some, at, end, node = some[go], at[go], end[go], node[go]
+        if not len(some):
+            break
+        way = bit[at]
+        assert (at < end).all()
+        begins = np.ones(len(some), bool)
+        begins[1:] = (node[1:] != node[:-1]) | (way[1:] != way[:-1])
+        at = at + 1
+    first = np.cumsum(last + 1) - last - 1
+    counts = np.zeros(int((last + 1).sum()), np.int64)
+    for depth, (some, total) in enumerate(levels):
+        counts[first[some] + depth] = total
+    # Of each pair only what is before its number is reached.
+    owner = np.repeat(np.arange(len(pairs)), last + 1)
+    last -= np.bincount(owner, counts == n[owner], minlength=len(pairs)).astype(np.int64) - 1
+    a, context = 0, pairs >> np.int64(32)
+    for r in asked:
+        mine = of[a:a + r["m"]]
+        a += r["m"]
+        if r["block"] >= 0:
+            # Nodes that a pair shares with the pair before are given once.
+            ends, shared = last[mine], _shared(context, word, paths, mine)
+            own = np.maximum(0, ends - shared)
+            yield (r["block"], r["tag"], r["chunk"], r["m"], packed(ends.astype(np.uint8)),
+                   packed(counts[spans(first[mine] + shared + 1, own)].astype("<i8")))
+
+
+def _rows(batches):
+    """Rows one at a time, as a row may be large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
 
+def _answers(model):
+    """Answers the rows of chunks, sorted by chunk and tag; a task holds one chunk of a tag at a time."""
+    names = ["block", "tag", "chunk", "m", "last", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
-def _sum_chunks(batches):
-    """Adds up chunks as they come; a task holds the sums of its own chunks only."""
-    sums: dict[int, np.ndarray] = {}
+    def run(batches):
+        code, asked = model.value["code"], []
+
+        def done():
+            rows = list(_answer(code, asked))
+            for a in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[a:a + 64]), kinds)], names=names)
+
+        for row in _rows(batches):
+            if asked and (asked[0]["chunk"], asked[0]["tag"]) != (row["chunk"], row["tag"]):
+                yield from done()
+                asked = []
+            asked.append(row)
+        if asked:
+            yield from done()
+    return run
+
+
+def _answered(asked: DataFrame, model, parts: int, chunks: int) -> DataFrame:
+    return asked.repartition(max(parts, chunks), "chunk").sortWithinPartitions("chunk", "tag").mapInArrow(_answers(model), _ANSWERED)
+
+
+def _by_tag(answered: pa.Table) -> dict[int, list]:
+    answers: dict[int, list] = {}
+    for r in answered.sort_by([("tag", "ascending"), ("chunk", "ascending")]).to_pylist():
+        answers.setdefault(r["tag"], []).append((r["m"], r["last"], r["counts"]))
+    return answers
+
+
+# ---- texts --------------------------------------------------------------------------------------------------------
+
+def _number(batches):
+    """Sorted words with their task and their place among the words of their class in it."""
+    used: dict[int, int] = {}
+    part = TaskContext.get().partitionId()
     for batch in batches:
-        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-            part = unpacked(data, "<i4", 2 * CHUNK)
-            sums[chunk] = sums[chunk] + part if chunk in sums else part.astype("<i8")
-    for chunk, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())],
-                                         names=["chunk", "counts"])
+        place = []
+        for k in batch.column("class").to_pylist():
+            place.append(used.get(k, 0))
+            used[k] = place[-1] + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(place), pa.int32()), pa.array(place, pa.int64())],
+                                         names=["word", "c", "class", "part", "place"])
+
 
+def _by_block(limit: int = 1 << 20):
+    """Words of blocks, a row for each of a task's blocks in place of one for each word."""
+    names = ["block", "pos", "m", "head", "id", "tail"]
 
-def _gather(counted: DataFrame, slots: int) -> np.ndarray:
-    """The summed tables ``(2, slots)``: zeros and ones of every slot. Their size is fixed by the slots."""
-    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tables = np.zeros((2, slots), np.float32)
-    for row in counted.repartition(parts, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary").toLocalIterator():
-        tables[:, row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], "<i8").reshape(2, CHUNK)
-    return tables
+    def run(batches):
+        parts, held = [], 0
+
+        def done():
+            block, pos, id_, tail = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((pos, block))
+            block, pos, id_, tail = block[order], pos[order], id_[order], tail[order]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block[a]]), pa.array([0], pa.int32()), pa.array([b - a], pa.int32()),
+                    pa.array([packed(np.diff(pos[a:b], prepend=0).astype("<u4"))], pa.binary()),
+                    pa.array([packed(id_[a:b].astype("<u4"))], pa.binary()), pa.array([packed(tail[a:b].astype("<f8"))], pa.binary())], names=names)
+
+        for batch in batches:
+            parts.append([batch.column(c).to_numpy() for c in ("block", "pos", "id", "tail")])
+            held += batch.num_rows
+            if held >= limit:
+                yield from done()
+                parts, held = [], 0
+        if parts:
+            yield from done()
+    return run
 
 
 def _streamed(batches):
-    """Blocks from rows sorted by block and place: the row with the texts, then symbols, counts and new words by place."""
-    row, parts, new = None, [], {}
+    """Rows of blocks one after the other."""
+    rows = []
+    for r in _rows(batches):
+        if rows and rows[0]["block"] != r["block"]:
+            yield rows
+            rows = []
+        rows.append(r)
+    if rows:
+        yield rows
+
+
+def _resolved(model, rows):
+    """A block from its rows: tokens as ids, and what does not depend on their order: base scores and the spelling of new
+    words."""
+    code, total, kinds = (model[k] for k in ("code", "N", "V"))
+    row, = (pickle.loads(r["head"]) for r in rows if r["pos"] == -1)
+    rows = [r for r in rows if r["pos"] != -1]
+    pos = np.concatenate([np.cumsum(unpacked(r["head"], "<u4", r["m"]).astype(np.int64)) for r in rows])
+    order = np.argsort(pos)
+    ids = np.concatenate([unpacked(r["id"], "<u4", r["m"]) for r in rows]).astype(np.int64)[order]
+    tail = np.concatenate([unpacked(r["tail"], "<f8", r["m"]) for r in rows])[order]
+    row["ends"] = ends = np.frombuffer(row["ends"], "<i8")
+    tokens = unpacked(row["tokens"], "<u4", int(ends[-1])).astype(np.int64)
+    assert len(ids) == tokens.max() + 1 and np.array_equal(pos[order], np.arange(len(ids)))  # every word of the block has come
+    count = code.counts(ids)
+    base = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
+    docs = len(ends) - 1
+    owner = np.repeat(np.arange(docs), np.diff(ends))
+    row["base"], row["tail"], row["known"] = (np.bincount(owner, x[tokens], minlength=docs) for x in (base, tail, (count > 0).astype(float)))
+    row["tokens"] = ids[tokens]
+    return row
+
+
+class Asked:
+    """What a block asks: pairs of context and token, and for every token its pairs up to the split and behind it."""
+
+    def __init__(self, code: Code, row, hot: int, bits: int):
+        self.ends = row["ends"]
+        words, word, _ = _unique(row["tokens"])
+        known = code.known(words)
+        top = code.tops(known)
+        self.ids = np.unique(np.concatenate((words, known, top, [code.start])))
+        self.paths = code.paths(self.ids)
+        self.word, known, top = (np.searchsorted(self.ids, x).astype(np.int32)[word] for x in (words, known, top))
+        one, two = _before(self.word, self.ends[:-1], len(self.ids) - 1)
+        hot_one, hot_two = _before((code.counts(words) > hot)[word], self.ends[:-1], True)
+        hot_two &= hot_one
+        deep, fine = (self.paths[0] > SPLIT)[self.word], self.ids != code.new
+        fine_one = fine[one]
+        fine_two = fine_one & fine[two]
+        learned = np.repeat(~np.array(row["held"], bool), np.diff(self.ends))
+        self.tokens, self.pairs, self.learn = [], [], []
+        for tag, columns, last, some in (
+                (0, [one], np.where(hot_one, top, known), fine_one), (1, [two, one], np.where(hot_two, top, known), fine_two),
+                (2, [one, top], known, fine_one & hot_one & deep), (3, [two, one, top], known, fine_two & hot_two & deep)):
+            tokens = np.flatnonzero(some)
+            columns = [x[tokens] for x in columns]
+
+            def key(rows):
+                ids = [self.ids[x[rows]] for x in columns]
+                return ids[0] if len(ids) == 1 else (ids[0] << np.int64(32)) | ids[1] if len(ids) == 2 else _mixed_key(*ids)
+
+            self.tokens.append(tokens)
+            self.pairs.append(Pairs(tag, columns, last[tokens], len(self.ids), key, bits))
+            self.learn.append(learned[tokens])
+
+    def rows(self, block: int):
+        for pairs, learn in zip(self.pairs, self.learn):
+            yield from pairs.rows(block, learn, self.ids)
+
+    def counts(self, answers):
+        """All counts, and for both contexts the first and last place of every token's, up to the split and behind it."""
+        n = len(self.word)
+        values, used, found = [np.zeros(1, np.int64)], 1, []
+        for pairs, tokens in zip(self.pairs, self.tokens):
+            first, last, numbers = pairs.place(answers.get(pairs.tag, []), self.paths)
+            if pairs.tag < 2:
+                at = np.zeros((2, n), np.int32)  # the zero, where nothing was asked
+            else:
+                at = found[pairs.tag - 2].copy()
+            at[0, tokens], at[1, tokens] = (first + used)[pairs.of], last[pairs.of]
+            found.append(at)
+            values.append(numbers)
+            used += len(numbers)
+        return np.concatenate(values), found[0:3:2], found[1:4:2]
 
-    def done():
-        return row, *(np.concatenate(x) for x in zip(*parts)), new
 
-    for batch in batches:
-        places = batch.column("pos").to_numpy()
-        edges = sorted({0, batch.num_rows, *np.flatnonzero(places == -1).tolist()})
-        for a, b in zip(edges, edges[1:]):
-            if places[a] == -1:
-                if row is not None:
-                    yield done()
-                row, parts, new = pickle.loads(batch.column("head")[a].as_py()), [], {}
-                a += 1
-            if a < b:
-                part = batch.slice(a, b - a)
-                parts.append((part.column("symbol").to_numpy(), part.column("c").to_numpy()))
-                words = part.column("word").drop_null().to_pylist()
-                new.update(zip(places[a:b][np.asarray(part.column("word").is_valid())].tolist(), words))
-    if row is not None:
-        yield done()
-
-
-def _resolve(model, kind: pa.DataType):
-    """Tokens as symbols, and what does not depend on their order: base scores and the part after the escape."""
+def _ask(model, hot: int, bits: int):
     def run(batches):
-        m = model.value
-        for row, symbol, count, new in _streamed(batches):
-            ends = np.frombuffer(row["ends"], "<i8")
-            tokens = unpacked(row["tokens"], "<u4", int(ends[-1])).astype(np.int64)
-            assert len(symbol) == tokens.max() + 1  # every word of the block has come
-            base = np.log10((count + 0.1) / (m["N"] + 0.1 * (m["V"] + 1)))
-            tail = np.zeros(len(count))
-            rare = (symbol == m["escape"]) & (count > 0)
-            tail[rare] = np.log10(m["known"] * count[rare] / m["rare"])
-            if new:
-                tail[np.array(list(new))] = np.log10(1 - m["known"]) + _spelling_scores([w.encode() for w in new.values()], m["spelling"])
-            docs = len(ends) - 1
-            owner = np.repeat(np.arange(docs), np.diff(ends))
-            sums = [np.bincount(owner, x[tokens], minlength=docs) for x in (base, tail, (count > 0).astype(float))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([row["ids"]], pa.list_(kind)), pa.array([row["held"]], pa.list_(pa.bool_())), pa.array([row["ends"]], pa.binary()),
-                pa.array([row["bytes"]], pa.binary()),
-                pa.array([packed(symbol[tokens].astype("<u2"))], pa.binary()),
-                *(pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in sums)], names=["ids", "held", "ends", "bytes", "symbols", "base", "tail", "known"])
+        for rows in _streamed(batches):
+            yield from _asked(Asked(model.value["code"], _resolved(model.value, rows), hot, bits).rows(rows[0]["block"]))
     return run
 
 
-def _path(tree: Tree, symbol: np.ndarray):
-    """Decisions of tokens: token number, node, bit."""
-    length = tree.length[symbol]
-    at = spans(tree.start[symbol], length)
-    return np.repeat(np.arange(len(symbol)), length), tree.node[at], tree.bit[at]
+# ---- spelling -----------------------------------------------------------------------------------------------------
 
+#: A byte is eight halves of one class.
+SPELLING, BYTES = Code(Tree([1]), [256], [0], novel=False), np.arange(256)
 
-def _symbols(row) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.frombuffer(row["ends"], "<i8")
-    return unpacked(row["symbols"], "<u2", int(ends[-1])), ends
 
+def _spell_pairs(words: list[bytes], bits: int):
+    owner, byte, two, three = _spelled(words)
+    return owner, byte, [Pairs(tag, [before], byte, 1 << 24, before.__getitem__, bits) for tag, before in ((0, two), (1, three))]
 
-def _count_decisions(tree: Tree, bits: int, part: int = 1 << 17):
-    """Zeros and ones of every slot over the training texts of a task's blocks."""
+
+def _count_spelling(bits: int, limit: int = 1 << 16):
+    """What training words, each once, have of bytes after bytes; they ask for no answer."""
     def run(batches):
-        slots, seen = 2 << bits, None
+        words = []
+
+        def done():
+            for pairs in _spell_pairs(words, bits)[2]:
+                yield from _asked(pairs.rows(-1, np.ones(len(pairs.of), bool), BYTES))
+
         for batch in batches:
-            for row in batch.to_pylist():
-                seen = np.zeros(2 * slots, np.int32) if seen is None else seen
-                symbols, ends = _symbols(row)
-                symbols = symbols.astype(np.int64)
-                one, two = _contexts(symbols, ends[:-1])
-                learn = np.flatnonzero(np.repeat(~np.array(row["held"], bool), np.diff(ends)))
-                for a in range(0, len(learn), part):
-                    some = learn[a:a + part]
-                    token, node, bit = _path(tree, symbols[some])
-                    for which, context in ((0, one), (1, two)):
-                        np.add.at(seen, _slots(node, context[some][token], bits, which) + bit * slots, np.int32(1))
-        if seen is not None:
-            yield from _emit(seen.reshape(2, slots))
+            words += [w.encode() for w in batch.column("word").to_pylist()]
+            if len(words) >= limit:
+                yield from done()
+                words = []
+        if words:
+            yield from done()
     return run
 
 
-def _count_spelling(batches):
-    slots, seen = 2 << SPELL_BITS, None
+def _new_words(batches, limit: int = 1 << 14):
+    words, serial = [], 0
+
+    def block():
+        name = (TaskContext.get().partitionId() << 32) + serial
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pickle.dumps(words)], pa.binary())], names=["block", "row"])
+
     for batch in batches:
-        words = [w.encode() for w in batch.column("word").to_pylist()]
-        for a in range(0, len(words), 8192):
-            seen = np.zeros(2 * slots, np.int32) if seen is None else seen
-            _, node, bit, two, three = _spelled(words[a:a + 8192])
-            for which, context in ((0, two), (1, three)):
-                np.add.at(seen, _slots(node, context, SPELL_BITS, which) + bit * slots, np.int32(1))
-    if seen is not None:
-        yield from _emit(seen.reshape(2, slots))
+        words += batch.column("word").to_pylist()
+        if len(words) >= limit:
+            yield block()
+            words, serial = [], serial + 1
+    if words:
+        yield block()
+
+
+def _ask_spelling(bits: int):
+    def run(batches):
+        for r in _rows(batches):
+            for pairs in _spell_pairs([w.encode() for w in pickle.loads(r["row"])], bits)[2]:
+                yield from _asked(pairs.rows(r["block"], np.zeros(len(pairs.of), bool), BYTES))
+    return run
+
+
+def _spelling_scores(bits: int):
+    """Log (base 10) of the probability of words given by their bytes; the mixture does not adapt to single words."""
+    def run(block, answered):
+        words, answers = pickle.loads(block.column("row")[0].as_py()), _by_tag(answered)
+        owner, byte, pairs = _spell_pairs([w.encode() for w in words], bits)
+        depth = np.tile(np.arange(8), len(byte))
+        bit = ((byte[:, None] >> np.arange(7, -1, -1)) & 1).ravel()
+        counts = []
+        for p in pairs:
+            first, last, values = p.place(answers.get(p.tag, []), SPELLING.paths(BYTES))
+            first, last = (np.repeat(x[p.of], 8) for x in (first, last))
+            reached, taken = (values[first + np.minimum(d, last)] for d in (depth, depth + 1))
+            counts.append(_zeros_ones(reached, taken, bit))
+        x, gate = _stretched(np.full(len(bit), 0.5), counts)
+        mixed = np.clip(np.einsum("kn,nk->n", x, _START[gate]), -16, 16)
+        p = 1 / (1 + np.exp(-mixed))
+        score = np.bincount(np.repeat(owner, 8), np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words))
+        return pa.Table.from_arrays([pa.array(words), pa.array(score)], names=["word", "tail"])
+    return run
 
 
 # ---- mixing -------------------------------------------------------------------------------------------------------
@@ -317,12 +677,24 @@ def _odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _inputs(chance: np.ndarray, tables: np.ndarray, slots) -> tuple[np.ndarray, np.ndarray]:
+def _path(tree: Tree, symbol: np.ndarray):
+    """Decisions of symbols of a tree: number of the symbol, node, bit."""
+    length = tree.length[symbol]
+    at = spans(tree.start[symbol], length)
+    return np.repeat(np.arange(len(symbol)), length), tree.node[at], tree.bit[at]
+
+
+def _zeros_ones(reached: np.ndarray, taken: np.ndarray, bit: np.ndarray):
+    """How often a context had zeros and ones at decisions, from how often it was there and went the same way."""
+    other = reached - taken
+    return np.where(bit, other, taken), np.where(bit, taken, other)
+
+
+def _stretched(chance: np.ndarray, counts) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of the three predictors ``(3, n)`` and the gate: how often the two contexts were seen."""
     stretched, gate = [_odds(chance)], np.zeros(len(chance), np.int64)
     p = chance
-    for slot in slots:
-        zero, one = tables[0][slot], tables[1][slot]
+    for zero, one in counts:
         n = zero + one
         p = np.clip((one + PRIOR * p) / (n + PRIOR), 1e-7, 1 - 1e-7)  # leans on the shorter context
         stretched.append(_odds(p))
@@ -330,6 +702,11 @@ def _inputs(chance: np.ndarray, tables: np.ndarray, slots) -> tuple[np.ndarray,
     return np.array(stretched), gate
 
 
+def _inputs(chance: np.ndarray, tables: np.ndarray, slots) -> tuple[np.ndarray, np.ndarray]:
+    """``_stretched`` with counts from places of tables ``(2, places)``."""
+    return _stretched(chance, [(tables[0][slot], tables[1][slot]) for slot in slots])
+
+
 class Mixer:
     """Weights and the last stage of each of ``n`` documents."""
 
@@ -355,18 +732,6 @@ class Mixer:
         return np.log10(np.where(bit == 1, last, 1 - last))
 
 
-def _spelling_scores(words: list[bytes], tables: np.ndarray) -> np.ndarray:
-    """Log (base 10) of the probability of words given by their bytes; the mixture does not adapt to single words."""
-    out = np.zeros(len(words))
-    for a in range(0, len(words), 4096):
-        owner, node, bit, two, three = _spelled(words[a:a + 4096])
-        x, gate = _inputs(np.full(len(node), 0.5), tables, (_slots(node, two, SPELL_BITS, 0), _slots(node, three, SPELL_BITS, 1)))
-        mixed = np.clip(np.einsum("kn,nk->n", x, _START[gate]), -16, 16)
-        p = 1 / (1 + np.exp(-mixed))
-        out[a:a + 4096] = np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words[a:a + 4096]))
-    return out
-
-
 def _alike(sizes: np.ndarray):
     """Texts of a block in groups of about ``SCORED_TOKENS`` tokens, long ones together, so that few steps are short."""
     order = np.argsort(-sizes, kind="stable")
@@ -374,87 +739,121 @@ def _alike(sizes: np.ndarray):
     return np.split(order, np.flatnonzero(np.diff(groups)) + 1)
 
 
-def _mixed(tree: Tree, tables: np.ndarray, bits: int, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Log (base 10) of the probability of each of some texts, one after the other in ``symbols``."""
+def _mixed(paths, word: np.ndarray, sizes: np.ndarray, values: np.ndarray, places) -> np.ndarray:
+    """Log (base 10) of the probability of each of some texts, one after the other in ``word``; ``places`` has the places
+    of the tokens' counts for both contexts."""
+    length, start, bits, chances, novel = paths
     docs, first = len(sizes), np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(docs), sizes)
-    one, two = _contexts(symbols, first)
     # The texts go forward together, STEP tokens at a time; few long ones are left at the end.
-    turn = (np.arange(len(symbols)) - first[owner]) // STEP
+    turn = (np.arange(len(word)) - first[owner]) // STEP
     order = np.argsort(turn, kind="stable")
     edges = np.concatenate(([0], np.cumsum(np.bincount(turn))))
     mixer, score = Mixer(docs), np.zeros(docs)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        token, node, bit = _path(tree, symbols[order[a:b]])
-        some = order[a:b][token]
-        x, gate = _inputs(tree.chance[node], tables, (_slots(node, one[some], bits, 0), _slots(node, two[some], bits, 1)))
-        score += np.bincount(owner[some], mixer.cost(owner[some], x, gate, bit), minlength=docs)
+        some = order[a:b]
+        decisions = length[word[some]]
+        at = spans(start[word[some]], decisions)
+        ends = np.cumsum(decisions)
+        depth = np.arange(len(at)) - np.repeat(ends - decisions, decisions)
+        bit, tells = bits[at], np.flatnonzero(novel[at])
+        counts = []
+        for upper, lower in places:
+            begin, last = (np.repeat(x[some], decisions) for x in upper)
+            split = np.flatnonzero(upper[0][some] != lower[0][some])
+            if len(split):
+                behind = spans((ends - decisions)[split] + SPLIT, decisions[split] - SPLIT)
+                begin[behind], last[behind] = (np.repeat(x[some[split]], decisions[split] - SPLIT) for x in lower)
+            reached = values[begin + np.minimum(depth, last)]
+            taken = np.empty_like(reached)
+            taken[:-1] = reached[1:]
+            taken[ends - 1] = values[begin[ends - 1] + np.minimum(decisions, last[ends - 1])]
+            reached[tells] = taken[tells] = 0
+            counts.append(_zeros_ones(reached, taken, bit))
+        x, gate = _stretched(chances[at], counts)
+        owned = np.repeat(owner[some], decisions)
+        score += np.bincount(owned, mixer.cost(owned, x, gate, bit), minlength=docs)
     return score
 
 
-def _score_blocks(model, kind: pa.DataType):
-    """Scores of the texts of resolved blocks; ``model`` is a broadcast of the tree and the tables."""
-    def run(batches):
-        tree, bits, tables = (model.value[k] for k in ("tree", "bits", "tables"))
-        for batch in batches:
-            for row in batch.to_pylist():
-                symbols, ends = _symbols(row)
-                base, score, known = (np.frombuffer(row[c], "<f8").copy() for c in ("base", "tail", "known"))
-                sizes = np.diff(ends)
-                for part in _alike(sizes):
-                    score[part] += _mixed(tree, tables, bits, symbols[spans(ends[:-1][part], sizes[part])].astype(np.int64), sizes[part])
-                bits_spent = -score / np.log10(2) / np.maximum(1, np.frombuffer(row["bytes"], "<i8"))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["ids"], kind), pa.array(row["held"], pa.bool_()), pa.array(np.diff(ends)),
-                    pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(bits_spent)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+def _score_block(model, hot: int, bits: int, kind: pa.DataType):
+    """Scores of the texts of a block with the answers it got."""
+    def run(block, answered):
+        row = _resolved(model.value, block.to_pylist())
+        asked = Asked(model.value["code"], row, hot, bits)
+        values, *places = asked.counts(_by_tag(answered))
+        ends, score = asked.ends, row["tail"].copy()
+        sizes = np.diff(ends)
+        for part in _alike(sizes):
+            at = spans(ends[:-1][part], sizes[part])
+            score[part] += _mixed(asked.paths, asked.word[at], sizes[part], values, [[x[:, at] for x in both] for both in places])
+        bits_spent = -score / np.log10(2) / np.maximum(1, np.frombuffer(row["bytes"], "<i8"))
+        return pa.Table.from_arrays([
+            pa.array(row["ids"], kind), pa.array(row["held"], pa.bool_()), pa.array(sizes),
+            pa.array(row["known"].astype(np.int64)), pa.array(row["base"]), pa.array(score), pa.array(bits_spent)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
     return run
 
 
-def scores(docs: DataFrame, symbols: int = SYMBOLS, block_tokens: int = BLOCK_TOKENS, most_bits: int = MOST_BITS,
-           key: str = "doc_id", text: str = "text") -> DataFrame:
+def _chunk_bits(tokens: int) -> int:
+    return max(3, (tokens // CHUNK_TOKENS).bit_length())
+
+
+def scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, hot: int = HOT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``; learns from what is not
     held out. An empty text counts as one byte."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(encode_blocks(docs, block_tokens, key, text), "blocks")
     kind = docs.schema[key].dataType
     local = blocks.where("pos >= 0").select("block", "pos", "word", "n")
-    counts = materialize(local.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    end = END.decode()
-    is_end = F.col("word") == end
-    total, kinds, ends = (int(x or 0) for x in counts.agg(
-        F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum(F.when(is_end, F.col("c")))).first())
-    frequent = counts.where((F.col("c") > 0) & ~is_end).orderBy(F.desc("c"), "word").limit(symbols).collect()
-    escape = len(frequent) + 1
-    rare = total - ends - sum(r["c"] for r in frequent)
-    tree = Tree([*(r["c"] for r in frequent), ends + 1, rare + 1])
-    # At most ``symbols`` + 1 rows.
-    top = F.broadcast(spark.createDataFrame([(r["word"], i) for i, r in enumerate(frequent)] + [(end, len(frequent))],
-                                            "word string, symbol int"))
-    others = counts.where("c > 0").join(top, "word", "left_anti")
-    once = others.where("c = 1").count()
-    spelling = _gather(others.select("word").mapInArrow(_count_spelling, "chunk int, counts binary"), 2 << SPELL_BITS)
-    totals = spark.sparkContext.broadcast({
-        "spelling": spelling, "escape": escape, "N": total, "V": kinds, "rare": max(1, rare),
-        "known": min(0.99, max(0.5, 1 - (once + 1) / (rare + 2)))})
-
-    named = local.join(counts, "word").join(top, "word", "left").select(
-        "block", "pos", F.coalesce("symbol", F.lit(escape)).cast("int").alias("symbol"), "c",
-        F.when(F.col("c") == 0, F.col("word")).alias("word"))
-    heads = blocks.where("pos < 0").select("block", "pos", F.lit(0).alias("symbol"), F.lit(0).cast("long").alias("c"),
-                                           F.lit(None).cast("string").alias("word"), "head")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = heads.unionByName(named.withColumn("head", F.lit(None).cast("binary"))).repartition(parts, "block").sortWithinPartitions("block", "pos")
-    resolved = materialize(whole.mapInArrow(_resolve(totals, to_arrow_type(kind)), (
-        f"ids array<{kind.simpleString()}>, held array<boolean>, ends binary, bytes binary, symbols binary, base binary, tail binary, "
-        "known binary")), "resolved")
-
-    bits = min(most_bits, max(LEAST_BITS, total.bit_length() + 1))
-    counted = resolved.select("held", "ends", "symbols").mapInArrow(_count_decisions(tree, bits), "chunk int, counts binary")
-    model = spark.sparkContext.broadcast({"tree": tree, "bits": bits, "tables": _gather(counted, 2 << bits)})
-    scored = resolved.mapInArrow(_score_blocks(model, to_arrow_type(kind)), (
-        f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"))
+    summed = local.groupBy("word").agg(F.sum("n").alias("c")).select(
+        "word", "c", F.when(F.col("word") == END.decode(), -1).otherwise(F.col("c")).alias("class"))
+    counts = materialize(summed, "words")
+    # Words of a class are numbered in their order, whatever the tasks.
+    ordered = counts.where("class <> 0").repartitionByRange(parts, "class", "word").sortWithinPartitions("class", "word")
+    numbered = materialize(ordered.mapInArrow(_number, "word string, c long, class long, part int, place long"), "numbered")
+    shares = materialize(numbered.groupBy("class", "part").agg(F.count("*").alias("words"), F.max("c").alias("c")), "classes")
+    # Fewer than the square root of twice the training tokens.
+    classes = {r["class"]: (r["words"], r["c"]) for r in shares.groupBy("class").agg(F.sum("words").alias("words"), F.max("c").alias("c")).collect()}
+    end, once = classes.pop(-1, (1, 0))[1], classes.pop(1, (0, 1))[0]
+    total = end + once + sum(n * c for n, c in classes.values())
+    kinds = (end > 0) + once + sum(n for n, _ in classes.values())
+    names = [-1, *sorted(classes, reverse=True), 1]
+    code = Code(Tree([end + 1, *(k * classes[k][0] for k in names[1:-1]), 2 * once + 1]),
+                [1, *(classes[k][0] for k in names[1:-1]), max(1, once)], [end, *names[1:]])
+    model = spark.sparkContext.broadcast({"code": code, "N": total, "V": kinds})
+
+    # New words by their bytes; the share of a chunk is as with tokens.
+    spell_bits = _chunk_bits(16 * kinds)
+    new = materialize(counts.where("class = 0").select("word").mapInArrow(_new_words, "block long, row binary"), "new")
+    asked = counts.where("class > 0").select("word").mapInArrow(_count_spelling(spell_bits), _ASKED).unionByName(
+        new.mapInArrow(_ask_spelling(spell_bits), _ASKED))
+    spelling = spark.sparkContext.broadcast({"code": SPELLING})
+    spelled = new.groupBy("block").cogroup(_answered(asked, spelling, parts, 1 << spell_bits).groupBy("block")).applyInArrow(
+        _spelling_scores(spell_bits), "word string, tail double")
+
+    # A word's id: where its class begins, the words of the class in tasks before, and its place.
+    begins = spark.createDataFrame([(k, int(x)) for k, x in zip(names, code.first.tolist())], "class long, begin long")
+    earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shares.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(begins, "class").select(
+        "class", "part", (F.col("begin") + F.col("offset")).alias("offset"))
+    known = numbered.join(offsets, ["class", "part"]).select(
+        "word", (F.col("offset") + F.col("place")).alias("id"), F.lit(0.0).alias("tail"))
+    ids = materialize(known.unionByName(spelled.select("word", F.lit(code.new).cast("long").alias("id"), "tail")), "ids")
+
+    named = local.join(ids, "word").select("block", "pos", "id", "tail").mapInArrow(
+        _by_block(), "block long, pos int, m int, head binary, id binary, tail binary")
+    heads = blocks.where("pos < 0").select("block", "pos", F.lit(0).alias("m"), "head", F.lit(None).cast("binary").alias("id"),
+                                           F.lit(None).cast("binary").alias("tail"))
+    whole = heads.unionByName(named).repartition(parts, "block")
+
+    bits = _chunk_bits(2 * total)
+    answers = _answered(whole.sortWithinPartitions("block").mapInArrow(_ask(model, hot, bits), _ASKED), model, parts, 1 << bits)
+    scored = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _score_block(model, hot, bits, to_arrow_type(kind)),
+        f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score", "bits_per_byte")
