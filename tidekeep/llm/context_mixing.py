@@ -166,6 +166,10 @@ class Code:
         self.begins = np.cumsum(self.sizes[self.leaves]) - self.sizes[self.leaves]  # by leaf
         self.first = np.empty_like(self.sizes)  # by class
         self.first[self.leaves] = self.begins
+        often = np.argsort(-self.seen, kind="stable")
+        self.by_rank, self.ranks = often, np.cumsum(self.sizes[often]) - self.sizes[often]  # ids by falling counts take fewer bytes
+        self.rank_of = np.empty_like(self.sizes)
+        self.rank_of[often] = self.ranks
         self.once = len(self.sizes) - 1 if novel else -1
         self.new = int(self.sizes.sum())
         self.start = self.new + 1  # stands before a text
@@ -183,6 +187,14 @@ class Code:
         found = self.leaves[np.searchsorted(self.begins, ids, "right") - 1]
         return np.where(ids >= self.new, self.once, found)
 
+    def rank(self, ids: np.ndarray) -> np.ndarray:
+        k = self.classes(ids)
+        return np.where(ids >= self.new, ids, ids - self.first[k] + self.rank_of[k])
+
+    def unrank(self, ranks: np.ndarray) -> np.ndarray:
+        k = self.by_rank[np.searchsorted(self.ranks, ranks, "right") - 1]
+        return np.where(ranks >= self.new, ranks, ranks - self.rank_of[k] + self.first[k])
+
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """How often the words of ids were seen."""
         return np.where(ids >= self.new, 0, self.seen[self.classes(ids)])
@@ -275,7 +287,7 @@ class Pairs:
     """Different pairs of context and id, sorted; ``of`` has the place of each pair given. Contexts are columns of numbers
     below ``size``, as are ids, by their order in a block; ``key`` gives a context's number everywhere, from its rows."""
 
-    def __init__(self, tag: int, context: list, word: np.ndarray, size: int, key, bits: int):
+    def __init__(self, tag: int, context: list, word: np.ndarray, size: int, key, bits: int, dealt=None):
         width = np.int64(max(1, size - 1).bit_length())
         code, room = context[0].astype(np.int64), width
         for column in (*context[1:], word):
@@ -284,19 +296,31 @@ class Pairs:
                 room = np.int64(max(1, len(code)).bit_length())
             code, room = (code << width) | column, room + width
         pairs, self.of, row = _unique(code)
-        self.tag, self.key, self.word = tag, key(row), pairs & ((np.int64(1) << width) - 1)
-        chunk = _slots(np.array([tag]), self.key, bits, 0)
+        self._deal(tag, key(row), pairs & ((np.int64(1) << width) - 1), _slots(np.array([tag]), dealt(row) if dealt else key(row), bits, 0), bits)
+
+    def _deal(self, tag, key, word, chunk, bits):
+        self.tag, self.key, self.word = tag, key, word
         self.order = np.argsort(chunk.astype(np.uint16) if bits <= 16 else chunk, kind="stable")
         self.size = np.bincount(chunk, minlength=1 << bits)
 
+    def shorter(self, tag: int, bits: int) -> "Pairs":
+        """Pairs whose contexts lack the token further back, for pairs that are dealt out by the other token."""
+        made, one = Pairs.__new__(Pairs), self.key & np.int64((1 << 32) - 1)
+        pairs, of, row = _unique((_unique(one)[1] << np.int64(32)) | self.word)
+        made.of = of[self.of]
+        made._deal(tag, one[row], self.word[row], _slots(np.array([self.tag]), one[row], bits, 0), bits)
+        return made
+
     def rows(self, block: int, learn: np.ndarray, ids: np.ndarray):
         """Rows for the chunks: the pairs, and how often they are among those to learn from."""
         n = np.bincount(self.of[learn], minlength=len(self.key))
-        ends = np.cumsum(self.size)
+        ends, ranks = np.cumsum(self.size), ids[self.word]
+        both = self.tag == BOTH
         for chunk in np.flatnonzero(self.size).tolist():
             some = self.order[ends[chunk] - self.size[chunk]:ends[chunk]]
-            yield (chunk, self.tag, block, len(some), packed(np.diff(self.key[some], prepend=0).astype("<i8")),
-                   packed(ids[self.word[some]].astype("<u4")), packed(n[some].astype("<u4")))
+            key = self.key[some]
+            yield (chunk, self.tag, block, len(some), packed(np.diff(key & np.int64((1 << 32) - 1) if both else key, prepend=0).astype("<i8")),
+                   packed(ids[key >> np.int64(32)].astype("<u4")) if both else None, packed(ranks[some].astype("<u4")), packed(n[some].astype("<u4")))
 
     def place(self, parts, paths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From the chunks' answers, in their order, for each pair: first and last place of its counts, and all counts."""
@@ -352,24 +376,41 @@ def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], of, order[new]
 
 
-_ASKED = "chunk int, tag int, block long, m int, key binary, id binary, n binary"
+#: Tags of pairs. Tokens after a token that isn't hot ask for both contexts in one row, with that token's chunk; ``ONE`` is
+#: the answer for the shorter context. Others ask by themselves, with chunks of their own.
+BOTH, ONE = 4, 5
+_ASKED = "chunk int, tag int, block long, m int, key binary, two binary, id binary, n binary"
 _ANSWERED = "block long, tag int, chunk int, m int, last binary, counts binary"
 
 
 def _asked(rows):
-    names = ["chunk", "tag", "block", "m", "key", "id", "n"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "tag", "block", "m", "key", "two", "id", "n"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     rows = list(rows)
     for a in range(0, len(rows), 64):
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[a:a + 64]), kinds)], names=names)
 
 
+def _read(code: Code, r: dict) -> dict:
+    """A row with its pairs."""
+    read = {c: r[c] for c in ("tag", "block", "chunk", "m")}
+    key = np.cumsum(unpacked(r["key"], "<i8", r["m"]))
+    read["id"], read["n"] = code.unrank(unpacked(r["id"], "<u4", r["m"]).astype(np.int64)), unpacked(r["n"], "<u4", r["m"]).astype(np.int64)
+    read["key"] = key if r["two"] is None else (code.unrank(unpacked(r["two"], "<u4", r["m"]).astype(np.int64)) << np.int64(32)) | key
+    return read
+
+
+def _one(r: dict) -> dict:
+    """The pairs of a row for the context of one token."""
+    pairs, of, row = _unique(((r["key"] & np.int64((1 << 32) - 1)) << np.int64(32)) | r["id"])
+    return r | {"tag": ONE, "m": len(pairs), "key": pairs >> np.int64(32), "id": r["id"][row],
+                "n": np.bincount(of, r["n"], minlength=len(pairs)).astype(np.int64)}
+
+
 def _answer(code: Code, asked: list):
     """Answers to the pairs of a chunk: for each how often its context was seen at the nodes of its path, up to where the
     context has only this pair below the node, as the numbers after that are all the same."""
-    key = np.concatenate([np.cumsum(unpacked(r["key"], "<i8", r["m"])) for r in asked])
-    id_ = np.concatenate([unpacked(r["id"], "<u4", r["m"]) for r in asked]).astype(np.int64)
-    n = np.concatenate([unpacked(r["n"], "<u4", r["m"]) for r in asked]).astype(np.int64)
+    key, id_, n = (np.concatenate([r[c] for r in asked]) for c in ("key", "id", "n"))
     pairs, of, _ = _unique((_unique(key)[1] << np.int64(32)) | id_)
     n = np.bincount(of, n, minlength=len(pairs)).astype(np.int64)
     begins = np.ones(len(pairs), bool)
@@ -429,7 +470,10 @@ def _answers(model):
         code, asked = model.value["code"], []
 
         def done():
-            rows = list(_answer(code, asked))
+            read = [_read(code, r) for r in asked]
+            rows = list(_answer(code, read))
+            if read[0]["tag"] == BOTH:
+                rows += _answer(code, [_one(r) for r in read])
             for a in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[a:a + 64]), kinds)], names=names)
 
@@ -550,40 +594,43 @@ class Asked:
         fine_one = fine[one]
         fine_two = fine_one & fine[two]
         learned = np.repeat(~np.array(row["held"], bool), np.diff(self.ends))
-        self.tokens, self.pairs, self.learn = [], [], []
+        cold = ~hot_one
+        self.ranks, self.parts = code.rank(self.ids), []
         for tag, columns, last, some in (
-                (0, [one], np.where(hot_one, top, known), fine_one), (1, [two, one], np.where(hot_two, top, known), fine_two),
-                (2, [one, top], known, fine_one & hot_one & deep), (3, [two, one, top], known, fine_two & hot_two & deep)):
+                (BOTH, [one, two], known, fine_one & cold), (0, [one], top, fine_one & hot_one),
+                (1, [one, two], np.where(hot_two, top, known), fine_two & hot_one),
+                (2, [one, top], known, fine_one & hot_one & deep), (3, [one, two, top], known, fine_two & hot_two & deep)):
             tokens = np.flatnonzero(some)
             columns = [x[tokens] for x in columns]
 
             def key(rows):
-                ids = [self.ids[x[rows]] for x in columns]
-                return ids[0] if len(ids) == 1 else (ids[0] << np.int64(32)) | ids[1] if len(ids) == 2 else _mixed_key(*ids)
+                ids = [x[rows] if tag == BOTH else self.ids[x[rows]] for x in columns]
+                if tag == BOTH:  # places of the block; the row has the ids
+                    return (ids[1].astype(np.int64) << np.int64(32)) | self.ids[ids[0]]
+                return ids[0] if tag == 0 else (ids[1] << np.int64(32)) | ids[0] if tag == 1 else (ids[0] << np.int64(32)) | ids[1] if tag == 2 else _mixed_key(*ids)
 
-            self.tokens.append(tokens)
-            self.pairs.append(Pairs(tag, columns, last[tokens], len(self.ids), key, bits))
-            self.learn.append(learned[tokens])
+            pairs = Pairs(tag, columns, last[tokens], len(self.ids), key, bits, (lambda rows: self.ids[columns[0][rows]]) if tag == BOTH else None)
+            self.parts.append((pairs, tokens, learned[tokens]))
+        self.one = self.parts[0][0].shorter(ONE, bits)
 
     def rows(self, block: int):
-        for pairs, learn in zip(self.pairs, self.learn):
-            yield from pairs.rows(block, learn, self.ids)
+        for pairs, _, learn in self.parts:
+            yield from pairs.rows(block, learn, self.ranks)
 
     def counts(self, answers):
         """All counts, and for both contexts the first and last place of every token's, up to the split and behind it."""
-        n = len(self.word)
-        values, used, found = [np.zeros(1, np.int64)], 1, []
-        for pairs, tokens in zip(self.pairs, self.tokens):
+        values, used = [np.zeros(1, np.int64)], 1
+        upper = np.zeros((2, 2, len(self.word)), np.int32)  # the zero, where nothing was asked
+        both, *others = ((pairs, tokens) for pairs, tokens, _ in self.parts)
+        for (pairs, tokens), context, behind in zip([both, (self.one, both[1]), *others], (1, 0, 0, 1, 0, 1), (0, 0, 0, 0, 1, 1)):
+            if behind and not context:
+                lower = upper.copy()
             first, last, numbers = pairs.place(answers.get(pairs.tag, []), self.paths)
-            if pairs.tag < 2:
-                at = np.zeros((2, n), np.int32)  # the zero, where nothing was asked
-            else:
-                at = found[pairs.tag - 2].copy()
+            at = (lower if behind else upper)[context]
             at[0, tokens], at[1, tokens] = (first + used)[pairs.of], last[pairs.of]
-            found.append(at)
             values.append(numbers)
             used += len(numbers)
-        return np.concatenate(values), found[0:3:2], found[1:4:2]
+        return np.concatenate(values), *zip(upper, lower)
 
 
 def _ask(model, hot: int, bits: int):
@@ -811,11 +858,10 @@ def scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, hot: int = HOT, ke
     local = blocks.where("pos >= 0").select("block", "pos", "word", "n")
     summed = local.groupBy("word").agg(F.sum("n").alias("c")).select(
         "word", "c", F.when(F.col("word") == END.decode(), -1).otherwise(F.col("c")).alias("class"))
-    counts = materialize(summed, "words")
     # Words of a class are numbered in their order, whatever the tasks.
-    ordered = counts.where("class <> 0").repartitionByRange(parts, "class", "word").sortWithinPartitions("class", "word")
-    numbered = materialize(ordered.mapInArrow(_number, "word string, c long, class long, part int, place long"), "numbered")
-    shares = materialize(numbered.groupBy("class", "part").agg(F.count("*").alias("words"), F.max("c").alias("c")), "classes")
+    ordered = summed.repartitionByRange(parts, "class", "word").sortWithinPartitions("class", "word")
+    counts = materialize(ordered.mapInArrow(_number, "word string, c long, class long, part int, place long"), "words")
+    shares = materialize(counts.where("class <> 0").groupBy("class", "part").agg(F.count("*").alias("words"), F.max("c").alias("c")), "classes")
     # Fewer than the square root of twice the training tokens.
     classes = {r["class"]: (r["words"], r["c"]) for r in shares.groupBy("class").agg(F.sum("words").alias("words"), F.max("c").alias("c")).collect()}
     end, once = classes.pop(-1, (1, 0))[1], classes.pop(1, (0, 1))[0]
@@ -840,9 +886,9 @@ def scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, hot: int = HOT, ke
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shares.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(begins, "class").select(
         "class", "part", (F.col("begin") + F.col("offset")).alias("offset"))
-    known = numbered.join(offsets, ["class", "part"]).select(
+    known = counts.where("class <> 0").join(offsets, ["class", "part"]).select(
         "word", (F.col("offset") + F.col("place")).alias("id"), F.lit(0.0).alias("tail"))
-    ids = materialize(known.unionByName(spelled.select("word", F.lit(code.new).cast("long").alias("id"), "tail")), "ids")
+    ids = known.unionByName(spelled.select("word", F.lit(code.new).cast("long").alias("id"), "tail"))
 
     named = local.join(ids, "word").select("block", "pos", "id", "tail").mapInArrow(
         _by_block(), "block long, pos int, m int, head binary, id binary, tail binary")
