@@ -106,3 +106,36 @@ def test_every_word_has_contexts(ready):  # noqa: F811
                  (second, " ".join(f"{w} b{v}" for w, v in zip(words[5000:], words[4000:])))]
     score = {r.doc_id: r.score for r in mixing.scores(frame(ready, documents), block_tokens=2000).collect()}
     assert score[first] > 0.8 * score[second]
+
+
+def test_words_of_several_ranges(ready):  # noqa: F811
+    """Blocks with more words than a piece holds, so words of a class are numbered over several ranges."""
+    rng = np.random.default_rng(6)
+    words = [f"{i * 7919 % 10007:x}ß{i}" for i in range(9000)]
+    documents = [(i, " ".join(words[k] for k in rng.integers(0, 9000, 400))) for i in range(40)]
+    docs = frame(ready, documents).coalesce(1)
+    pieces = mixing.encode_blocks(docs, 8000).where("pos >= 0")
+    assert pieces.groupBy("block").count().where("count > 1").count() > 0
+    wanted = plain_scores(documents)
+    rows = mixing.scores(docs, block_tokens=8000).collect()
+    assert len(rows) == len(documents)
+    assert all(abs(r.score - wanted[r.doc_id]) < 1e-6 * max(1, abs(wanted[r.doc_id])) for r in rows)
+
+
+def test_words_of_a_block_take_few_rows(ready):  # noqa: F811
+    """Words go through the shuffle packed: a block of 20,001 different words has no row for each."""
+    blocks = mixing.encode_blocks(frame(ready, [(1, " ".join(f"w{i}" for i in range(20_000)))])).collect()
+    assert len(blocks) < 20
+    assert sum(len(bytes(x)) for r in blocks if r.pos >= 0 for x in (r["sizes"], r["words"], r["n"])) < 5 * 20_001
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(7)
+    for most in (1, 63, 64, 255, 256, 5000, 1 << 20, (1 << 32) - 1):
+        for n in (0, 1, 3000):
+            numbers = (rng.random(n) ** 3 * most).astype(np.uint32)
+            numbers[:1] = most
+            assert np.array_equal(mixing.unpacked_ranks(mixing.packed_ranks(numbers), n), numbers)
+            assert np.array_equal(mixing.unpacked(mixing.packed(numbers), "<u4", n), numbers)
+    steps = np.array([5, -3, 0, 1 << 40, -(1 << 62)])
+    assert np.array_equal(mixing.unpacked(mixing.packed(steps), "<i8", 5), steps)

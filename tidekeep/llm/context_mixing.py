@@ -12,7 +12,9 @@ often the two contexts were seen. Weights start equal for all documents and foll
 every ``STEP`` tokens; a last stage moves the mixed probability towards what came true in the document at probabilities
 like it.
 
-All counts are taken over all training texts, for every word and every context; no table has a fixed size. Each block of
+All counts are taken over all training texts, for every word and every context; no table has a fixed size. The different
+words of a block are sorted, cut at borders that are the same for all blocks, and counted and numbered range by range.
+Only the borders come from a sample, of the first words of pieces. Each block of
 texts sends its pairs of context and token to the chunk of the context's hash, with how often its training texts have
 them. A chunk, of which there are more as the corpus grows, adds the blocks up and answers every pair with the counts
 along the token's path. Answers go back to the block, which is scored with the counts of its own pairs. Contexts of
@@ -26,12 +28,14 @@ without training texts every word is new. Other columns of the input are not rea
 seen more than ``HOT`` times are told apart, behind the first decisions, by a 64-bit hash.
 """
 
+import bisect
 import heapq
 import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +43,9 @@ from pyspark.sql import functions as F
 from tidekeep.llm.base import Numbers, slices, spans, texts
 from tidekeep.session import materialize
 
-BLOCK_TOKENS, SCORED_TOKENS, STEP = 3 << 19, 1 << 17, 32
+BLOCK_TOKENS, SCORED_TOKENS, STEP = 1 << 21, 1 << 17, 32
 CHUNK_TOKENS, HOT, SPLIT = 1 << 21, 1 << 19, 8
+PIECE_WORDS, CHUNK_WORDS = 1 << 12, 1 << 18
 PRIOR, RATE, REFINE = 4.0, 0.02, 24.0
 END = b" "  # stands for the end of a text; no word has a space
 FOLDS = 10
@@ -61,16 +66,17 @@ def _blocks(block_tokens: int):
             tokens = np.concatenate(parts)
             bounds = np.array(ends)
             train = np.repeat(~np.array(held), np.diff(bounds))
-            n = np.bincount(tokens[train], minlength=len(number))
+            n, learned = (np.bincount(x, minlength=len(number)) for x in (tokens, tokens[train]))
             name = (TaskContext.get().partitionId() << 32) + serial
-            words = pa.array(list(number), pa.binary()).cast(pa.string())
-            yield _head(name, ids, held, tokens, bounds, np.array(sizes, np.int64))
-            for a in range(0, len(words), 1 << 16):
-                part = words[a:a + (1 << 16)]
-                m = len(part)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m, name)), pa.array(np.arange(a, a + m, dtype=np.int32)), part, pa.array(n[a:a + m]),
-                    pa.nulls(m, pa.binary())], names=_NAMES)
+            words = pa.array(list(number), pa.binary())
+            order = pc.sort_indices(words).to_numpy()
+            words, n, learned = words.take(pa.array(order)), n[order], learned[order]
+            renumbered = np.empty(len(order), np.uint32)
+            renumbered[order[_numbered(n)]] = np.arange(len(order))
+            yield _head(name, ids, held, renumbered[tokens], bounds, np.array(sizes, np.int64), n)
+            for a in range(0, len(words), PIECE_WORDS):
+                part = words.slice(a, PIECE_WORDS)
+                yield _piece([name, a, len(part), part[0].as_py(), *packed_words(part), packed(learned[a:a + PIECE_WORDS].astype("<u4")), None])
 
         for batch in slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -91,34 +97,181 @@ def _blocks(block_tokens: int):
     return run
 
 
-_NAMES = ["block", "pos", "word", "n", "head"]
+def _numbered(n: np.ndarray) -> np.ndarray:
+    """Places of a block's words, which are sorted, by their numbers in its texts: by falling counts, equal ones in order."""
+    return np.argsort(-n.astype(np.int64), kind="stable")
 
 
-def _head(name, ids, held, tokens, bounds, sizes):
-    """The row with the texts of a block; they are one column, as the many rows of words have none."""
-    head = pickle.dumps({"ids": ids, "held": held, "tokens": packed(tokens.astype("<u4")), "ends": bounds.astype("<i8").tobytes(),
-                         "bytes": sizes.astype("<i8").tobytes()})
-    return pa.RecordBatch.from_arrays([
-        pa.array([name]), pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([None], pa.int64()),
-        pa.array([head], pa.binary())], names=_NAMES)
+_PIECE = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("m", pa.int32()), ("first", pa.binary()), ("sizes", pa.binary()),
+                    ("words", pa.binary()), ("n", pa.binary()), ("head", pa.binary())])
+
+
+def _piece(row: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], field.type) for x, field in zip(row, _PIECE)], schema=_PIECE)
+
+
+def _head(name, ids, held, tokens, bounds, sizes, n):
+    """The row with the texts of a block and the counts of its sorted words in them."""
+    return _piece([name, -1, len(n), None, None, None, None, pickle.dumps({
+        "ids": ids, "held": held, "tokens": packed_ranks(tokens), "ends": bounds.astype("<i8").tobytes(),
+        "bytes": sizes.astype("<i8").tobytes(), "n": packed(n.astype("<u4"))})])
+
+
+_ZSTD, _ZSTD_SMALL = pa.Codec("zstd", compression_level=3), pa.Codec("zstd", compression_level=6)
+
+
+def packed_words(words: pa.Array) -> tuple[bytes, bytes]:
+    """Sizes of words, and their bytes, compressed."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data = words.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0]))
+    return packed(np.diff(ends).astype("<u4")), _ZSTD_SMALL.compress(data, asbytes=True)
+
+
+def unpacked_words(sizes: bytes, data: bytes, m: int) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(unpacked(sizes, "<u4", m)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.decompress(data, decompressed_size=int(ends[-1]), codec="zstd")])
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed: high bytes, mostly 0, and frequent values take little room on disk."""
-    planes = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """Numbers as planes of bytes, compressed: frequent values take little room on disk, high bytes that are all 0 none."""
+    numbers = numbers.view(f"u{numbers.itemsize}")
+    width = (int(numbers.max()).bit_length() + 7) // 8 if len(numbers) else 0
+    planes = np.empty((width, len(numbers)), np.uint8)
+    for k in range(width):
+        planes[k] = numbers >> numbers.dtype.type(8 * k)
+    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
     """``n`` numbers of a kind that ``packed`` wrote."""
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd"), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    numbers = np.zeros(n, f"u{np.dtype(kind).itemsize}")
+    planes = np.frombuffer(pa.decompress(memoryview(data)[1:], decompressed_size=data[0] * n, codec="zstd"), np.uint8).reshape(data[0], n)
+    for k in range(data[0]):
+        numbers |= planes[k].astype(numbers.dtype) << numbers.dtype.type(8 * k)
+    return numbers.view(kind)
+
+
+def packed_ranks(numbers: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent: a byte has those, or says in which range a large one is."""
+    most = int(numbers.max()) if len(numbers) else 0
+    shift = max(0, most.bit_length() - 6)
+    begin = 255 - (most >> shift)
+    large = numbers >= begin
+    return bytes([shift, begin]) + _planes(np.where(large, begin + (numbers >> np.uint32(shift)), numbers).astype(np.uint8)) + packed(
+        numbers[large] & np.uint32((1 << shift) - 1))
+
+
+def unpacked_ranks(data: bytes, n: int) -> np.ndarray:
+    """``n`` numbers that ``packed_ranks`` wrote."""
+    (shift, begin), size = data[:2], int.from_bytes(data[2:6], "little")
+    numbers = np.frombuffer(pa.decompress(memoryview(data)[6:6 + size], decompressed_size=n, codec="zstd"), np.uint8).astype(np.int64)
+    large = np.flatnonzero(numbers >= begin)
+    numbers[large] = ((numbers[large] - begin) << np.int64(shift)) | unpacked(memoryview(data)[6 + size:], "<u4", len(large))
+    return numbers
+
+
+def _planes(planes: np.ndarray) -> bytes:
+    data = _ZSTD.compress(planes, asbytes=True)
+    return len(data).to_bytes(4, "little") + data
 
 
 def encode_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each block of texts a row with the texts (``pos`` -1), and a row for each of its different words."""
-    return texts(docs, key, text).mapInArrow(_blocks(block_tokens), "block long, pos int, word string, n long, head binary")
+    """For each block of texts a row with the texts (``pos`` -1), and rows with its different words, sorted, in pieces."""
+    return texts(docs, key, text).mapInArrow(
+        _blocks(block_tokens), "block long, pos int, m int, first binary, sizes binary, words binary, n binary, head binary")
+
+
+# ---- words --------------------------------------------------------------------------------------------------------
+
+def _borders(pieces: DataFrame, chunks: int, most: int = 20_000) -> list[bytes]:
+    """Words that part all words into ranges of about equal numbers; first words of some pieces are enough to tell."""
+    n = pieces.count()
+    some = pieces.where(F.pmod(F.xxhash64("block", "pos"), F.lit(max(1, n // most))) == 0)
+    firsts = sorted(bytes(r["first"]) for r in some.select("first").collect())
+    return sorted({firsts[i * len(firsts) // chunks] for i in range(1, chunks)}) if firsts else []
+
+
+def _ranged(borders):
+    """Pieces cut at the borders, each part with the number of its range."""
+    names = ["chunk", "block", "pos", "m", "sizes", "words", "n"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(batches):
+        limits = borders.value
+        for r in _rows(batches):
+            words = unpacked_words(r["sizes"], r["words"], r["m"])
+            n = unpacked(r["n"], "<u4", r["m"])
+            low, high = (bisect.bisect_right(limits, words[i].as_py()) for i in (0, r["m"] - 1))
+            cuts = [0, *(bisect.bisect_left(range(r["m"]), limit, key=lambda i: words[i].as_py()) for limit in limits[low:high]), r["m"]]
+            rows = []
+            for chunk, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), low):
+                if b > a:
+                    rows.append((chunk, r["block"], r["pos"] + a, b - a, *packed_words(words.slice(a, b - a)), packed(n[a:b])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=names)
+    return run
+
+
+_COUNTED = "chunk int, class long, seen long, words_of long, m int, sizes binary, words binary, kind binary, blocks binary, places binary"
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """All words of a range, sorted: a row with them, their classes (-1: the end) and their places in the blocks' lists, and
+    a row for each class."""
+    rows = table.sort_by([("block", "ascending"), ("pos", "ascending")]).to_pylist()
+    coded = pa.concat_arrays([unpacked_words(r["sizes"], r["words"], r["m"]) for r in rows]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    words, place = coded.dictionary.take(order), np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    place = place[coded.indices.to_numpy()]
+    kind = np.bincount(place, np.concatenate([unpacked(r["n"], "<u4", r["m"]) for r in rows]), minlength=len(words)).astype(np.int64)
+    end = pc.index(words, pa.scalar(END, pa.binary())).as_py()
+    ends = int(kind[end]) if end >= 0 else 0
+    if end >= 0:
+        kind[end] = -1
+    blocks, sizes = np.unique(np.repeat([r["block"] for r in rows], [r["m"] for r in rows]), return_counts=True)
+    classes, many = np.unique(kind, return_counts=True)
+    chunk, none = rows[0]["chunk"], [None] * len(classes)
+    columns = [[chunk] * (1 + len(classes)), [None, *classes.tolist()], [None, *(ends if k == -1 else k for k in classes.tolist())], [None, *many.tolist()],
+               [len(words), *none], *([x, *none] for x in (
+                   *packed_words(words), packed(kind.astype("<i8")), pickle.dumps((blocks.tolist(), sizes.tolist())),
+                   packed(np.diff(place, prepend=0).astype("<i4"))))]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)],
+                                names=["chunk", "class", "seen", "words_of", "m", "sizes", "words", "kind", "blocks", "places"])
+
+
+def _words_of(r: dict, new: bool) -> list[bytes]:
+    """Of a row of ``_counted`` the words that training texts have, without the end, or those they don't have."""
+    kind = unpacked(r["kind"], "<i8", r["m"])
+    return unpacked_words(r["sizes"], r["words"], r["m"]).filter(pa.array(kind == 0 if new else kind > 0)).to_pylist()
+
+
+def _identified(new_id: int):
+    """Ids of the words of blocks, from where the classes begin in a range; new words also have their spelling's score."""
+    names = ["block", "pos", "m", "head", "id", "tail"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(found, told):
+        rows = []
+        for r in found.to_pylist():
+            kind = unpacked(r["kind"], "<i8", r["m"])
+            blocks, sizes = pickle.loads(r["blocks"])
+            place = np.cumsum(unpacked(r["places"], "<i4", sum(sizes)), dtype=np.int64)
+            classes = told.filter(pc.is_valid(told["class"])).sort_by("class")
+            tails = np.concatenate([np.zeros(0), *(np.frombuffer(x, "<f8") for x in told.filter(pc.is_valid(told["tails"])).sort_by("serial")["tails"].to_pylist())])
+            order = np.argsort(kind, kind="stable")
+            ordered = kind[order]
+            offset = np.concatenate([classes["offset"].to_numpy(), [0]])[np.searchsorted(classes["class"].to_numpy(), ordered)]
+            ids, tail = np.empty(len(kind), np.int64), np.zeros(len(kind))
+            ids[order] = offset + np.arange(len(kind)) - np.searchsorted(ordered, ordered)
+            ids[kind == 0] = new_id
+            tail[kind == 0] = tails
+            edges = np.cumsum([0, *sizes]).tolist()
+            for block, a, b in zip(blocks, edges[:-1], edges[1:]):
+                mine = place[a:b]
+                rows.append((block, r["chunk"], b - a, None, packed(ids[mine].astype("<u4")), packed(tail[mine][kind[mine] == 0].astype("<f8"))))
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+    return run
 
 
 # ---- decisions ----------------------------------------------------------------------------------------------------
@@ -171,6 +324,15 @@ class Code:
         self.rank_of = np.empty_like(self.sizes)
         self.rank_of[often] = self.ranks
         self.once = len(self.sizes) - 1 if novel else -1
+        # Chances of a one: at the tree's nodes, of a new word, and by the size of what is halved.
+        halved, more = [], np.unique(self.sizes[self.sizes > 1])
+        while len(more):
+            halved.append(more)
+            more = np.unique(np.concatenate((more // 2, (more + 1) // 2)))
+            more = more[more > 1]
+        self.halved = np.unique(np.concatenate(halved)) if halved else np.zeros(0, np.int64)
+        self.kind = np.int32 if 0 < self.seen.max() < 1 << 31 else np.int64  # of a context's counts
+        self.chance = np.concatenate((tree.chance, [0.5], self.halved // 2 / self.halved))
         self.new = int(self.sizes.sum())
         self.start = self.new + 1  # stands before a text
         top = np.zeros(len(self.sizes), np.int64)
@@ -216,7 +378,8 @@ class Code:
         return np.where(self.tree.length[k] >= SPLIT, self.top[k], self.first[k] + low)
 
     def paths(self, ids: np.ndarray):
-        """Length and start of the path of each id, and for its decisions: bit, chance of a one, whether it tells new words."""
+        """Length and start of the path of each id; twice the place of the chance of a one, and the bit, for its decisions;
+        and the depth of the decision that tells new words, -1 where there is none."""
         k, tree = self.classes(ids), self.tree
         special, new = k == self.once, ids == self.new
         head = tree.length[k]
@@ -226,21 +389,21 @@ class Code:
         while len(todo):
             half = (size + 1) // 2
             right = at >= half
-            levels.append((todo, length[todo], right, (size - half) / size))
+            levels.append((todo, length[todo], 2 * (np.searchsorted(self.halved, size) + len(tree.chance) + 1) + right))
             length[todo] += 1
             at, size = np.where(right, at - half, at), np.where(right, size - half, half)
             go = size > 1
             todo, at, size = todo[go], at[go], size[go]
         start = np.cumsum(length) - length
-        n = int(length.sum())
-        bit, chance, novel = np.zeros(n, np.int8), np.full(n, 0.5), np.zeros(n, bool)
-        here, there = spans(start, head), spans(tree.start[k], head)
-        bit[here], chance[here] = tree.bit[there], tree.chance[tree.node[there]]
-        tells = (start + head)[special]
-        novel[tells], bit[tells] = True, new[special]
-        for some, depth, right, p in levels:
-            bit[start[some] + depth], chance[start[some] + depth] = right, p
-        return length, start, bit, chance, novel
+        way = np.zeros(int(length.sum()), np.int32)
+        way[spans(start, head)] = self._heads()[spans(tree.start[k], head)]
+        way[(start + head)[special]] = 2 * len(tree.chance) + new[special]
+        for some, depth, taken in levels:
+            way[start[some] + depth] = taken
+        return length, start, way, np.where(special, head, -1)
+
+    def _heads(self) -> np.ndarray:
+        return (2 * self.tree.node + self.tree.bit).astype(np.int32)
 
 
 def _slots(node: np.ndarray, context: np.ndarray, bits: int, which: int) -> np.ndarray:
@@ -299,8 +462,8 @@ class Pairs:
         self._deal(tag, key(row), pairs & ((np.int64(1) << width) - 1), _slots(np.array([tag]), dealt(row) if dealt else key(row), bits, 0), bits)
 
     def _deal(self, tag, key, word, chunk, bits):
-        self.tag, self.key, self.word = tag, key, word
-        self.order = np.argsort(chunk.astype(np.uint16) if bits <= 16 else chunk, kind="stable")
+        self.tag, self.key, self.word, self.of = tag, key, word.astype(np.int32), self.of.astype(np.int32)
+        self.order = np.argsort(chunk.astype(np.uint16) if bits <= 16 else chunk, kind="stable").astype(np.int32)
         self.size = np.bincount(chunk, minlength=1 << bits)
 
     def shorter(self, tag: int, bits: int) -> "Pairs":
@@ -311,56 +474,77 @@ class Pairs:
         made._deal(tag, one[row], self.word[row], _slots(np.array([self.tag]), one[row], bits, 0), bits)
         return made
 
-    def rows(self, block: int, learn: np.ndarray, ids: np.ndarray):
-        """Rows for the chunks: the pairs, and how often they are among those to learn from."""
+    def rows(self, block: int, learn: np.ndarray, ids: np.ndarray, two=None):
+        """Rows for the chunks: the pairs, and how often they are among those to learn from. ``two`` are the ids of tokens
+        further back."""
         n = np.bincount(self.of[learn], minlength=len(self.key))
         ends, ranks = np.cumsum(self.size), ids[self.word]
         both = self.tag == BOTH
         for chunk in np.flatnonzero(self.size).tolist():
             some = self.order[ends[chunk] - self.size[chunk]:ends[chunk]]
             key = self.key[some]
-            yield (chunk, self.tag, block, len(some), packed(np.diff(key & np.int64((1 << 32) - 1) if both else key, prepend=0).astype("<i8")),
-                   packed(ids[key >> np.int64(32)].astype("<u4")) if both else None, packed(ranks[some].astype("<u4")), packed(n[some].astype("<u4")))
-
-    def place(self, parts, paths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            step = np.diff(key & np.int64((1 << 32) - 1) if both else key, prepend=0)
+            if both:  # sorted after the same token
+                further = two[key >> np.int64(32)].astype(np.int64)
+                further = packed_ranks(np.where(step != 0, further, np.diff(further, prepend=0)).astype(np.uint32))
+            yield (chunk, self.tag, block, len(some), packed(step.astype("<i8")), further if both else None,
+                   packed_ranks(ranks[some].astype(np.uint32)), packed(n[some].astype("<u4")))
+
+    def place(self, parts, paths, kind=np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From the chunks' answers, in their order, for each pair: first and last place of its counts, and all counts."""
         if not parts:
-            return *np.zeros((2, len(self.key)), np.int64), np.zeros(0, np.int64)
-        last = np.concatenate([unpacked(x, "u1", n) for n, x, _ in parts]).astype(np.int64)
-        shared = _shared(self.key, self.word, paths, self.order)
-        own = np.maximum(0, last - shared)
-        edges = np.concatenate(([0], np.cumsum([n for n, _, _ in parts])))
-        given = np.concatenate([unpacked(data, "<i8", int(own[a:b].sum())) for (_, _, data), a, b in zip(parts, edges[:-1], edges[1:])])
-        given_at, first = np.cumsum(own) - own, np.cumsum(last + 1) - last - 1
-        counts, now = np.zeros(int(last.sum()) + len(last), np.int64), np.zeros(len(last), np.int64)
-        some, depth = np.arange(len(last)), 0
-        until = np.maximum(last, shared)
-        until[:-1] = np.maximum(until[:-1], shared[1:])
-        while len(some):
-            new = some[(shared[some] < depth) & (depth <= last[some])]
-            now[new] = given[given_at[new] + depth - shared[new] - 1]
-            alike = shared[some] >= depth  # as the pair before
+            return *np.zeros((2, len(self.key)), np.int64), np.zeros(0, kind)
+        shared, a, used = _shared(self.key, self.word, paths, self.order), 0, 0
+        at, ends, counts = np.empty(len(self.key), np.int64), np.empty(len(self.key), np.int32), []
+        for m, last, data in parts:
+            some, last = self.order[a:a + m], unpacked(last, "u1", m).astype(np.int32)
+            at[some], ends[some] = np.cumsum(last + 1) - last - 1 + used, last
+            counts.append(_counts(last, shared[a:a + m], data, kind))
+            a, used = a + m, used + len(counts[-1])
+        return at, ends, np.concatenate(counts)
+
+
+def _counts(last: np.ndarray, shared: np.ndarray, data: bytes, kind) -> np.ndarray:
+    """All counts of the pairs of a chunk's answer, up to the last of each."""
+    given, used = unpacked(data, "<u8", int(np.maximum(0, last - shared).sum())).astype(kind), 0
+    first = np.cumsum(last + 1) - last - 1
+    counts, now = np.zeros(int(last.sum()) + len(last), kind), np.zeros(len(last), kind)
+    some, depth = np.arange(len(last)), 0
+    until = np.maximum(last, shared)
+    until[:-1] = np.maximum(until[:-1], shared[1:])
+    while len(some):
+        new = some[(shared[some] < depth) & (depth <= last[some])]
+        parent = now[new]
+        order = np.argsort(_digits(parent), kind="stable")
+        parent[order] = np.abs(parent[order] - given[used:used + len(new)])  # what went the other way, after the first
+        now[new] = parent
+        used += len(new)
+        alike = shared[some] >= depth  # as the pair before
+        if alike.any():
             source = np.maximum.accumulate(np.where(alike, 0, np.arange(len(some))))
             now[some] = now[some[source]]
-            want = some[last[some] >= depth]
-            counts[first[want] + depth] = now[want]
-            depth += 1
-            some = some[until[some] >= depth]
-        at, ends = np.empty_like(first), np.empty_like(last)
-        at[self.order], ends[self.order] = first, last
-        return at, ends, counts
+        want = some[last[some] >= depth]
+        counts[first[want] + depth] = now[want]
+        depth += 1
+        some = some[until[some] >= depth]
+    return counts
+
+
+def _digits(n: np.ndarray) -> np.ndarray:
+    """Binary digits of counts; numbers of what went the other way are sent by them, as like ones then stand together."""
+    return np.frexp(n.astype(np.float64))[1].astype(np.int16)
 
 
 def _shared(key, word, paths, order) -> np.ndarray:
     """Depth of the last node that each pair, in an order, shares with the pair before; -1 if its key is another."""
-    _, start, bit, _, _ = paths
+    _, start, way, _ = paths
     at, key = start[word[order]], key[order]
-    shared = np.full(len(order), -1, np.int64)
+    shared = np.full(len(order), -1, np.int32)
     some = np.flatnonzero(key[1:] == key[:-1]) + 1
     depth = 0
     while len(some):
         shared[some] = depth
-        some = some[bit[at[some] + depth] == bit[at[some - 1] + depth]]
+        some = some[way[at[some] + depth] == way[at[some - 1] + depth]]
         depth += 1
     return shared
 
@@ -395,28 +579,42 @@ def _read(code: Code, r: dict) -> dict:
     """A row with its pairs."""
     read = {c: r[c] for c in ("tag", "block", "chunk", "m")}
     key = np.cumsum(unpacked(r["key"], "<i8", r["m"]))
-    read["id"], read["n"] = code.unrank(unpacked(r["id"], "<u4", r["m"]).astype(np.int64)), unpacked(r["n"], "<u4", r["m"]).astype(np.int64)
-    read["key"] = key if r["two"] is None else (code.unrank(unpacked(r["two"], "<u4", r["m"]).astype(np.int64)) << np.int64(32)) | key
+    read["id"], read["n"] = code.unrank(unpacked_ranks(r["id"], r["m"])), unpacked(r["n"], "<u4", r["m"]).astype(np.int64)
+    read["key"] = key
+    if r["two"] is not None:
+        step = unpacked_ranks(r["two"], r["m"])
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        two = np.cumsum(step)
+        two -= np.repeat(two[begin] - step[begin], np.diff(np.append(begin, len(key))))
+        read["key"] = (two << np.int64(32)) | key
     return read
 
 
 def _one(r: dict) -> dict:
     """The pairs of a row for the context of one token."""
-    pairs, of, row = _unique(((r["key"] & np.int64((1 << 32) - 1)) << np.int64(32)) | r["id"])
-    return r | {"tag": ONE, "m": len(pairs), "key": pairs >> np.int64(32), "id": r["id"][row],
+    pairs, of, row = _unique(((r["key"] & np.int64((1 << 32) - 1)) << np.int64(32)) | r["word"])
+    return r | {"tag": ONE, "m": len(pairs), "key": pairs >> np.int64(32), "word": r["word"][row],
                 "n": np.bincount(of, r["n"], minlength=len(pairs)).astype(np.int64)}
 
 
-def _answer(code: Code, asked: list):
+def _numbered_ids(code: Code, asked: list):
+    """Gives the pairs the numbers of their ids among those of a chunk, and returns the ids' paths."""
+    ids = np.unique(np.concatenate([r["id"] for r in asked]))
+    for r in asked:
+        r["word"] = np.searchsorted(ids, r["id"])
+    return code.paths(ids)
+
+
+def _answer(paths, asked: list):
     """Answers to the pairs of a chunk: for each how often its context was seen at the nodes of its path, up to where the
     context has only this pair below the node, as the numbers after that are all the same."""
-    key, id_, n = (np.concatenate([r[c] for r in asked]) for c in ("key", "id", "n"))
-    pairs, of, _ = _unique((_unique(key)[1] << np.int64(32)) | id_)
+    key, word, n = (np.concatenate([r[c] for r in asked]) for c in ("key", "word", "n"))
+    pairs, of, _ = _unique((_unique(key)[1] << np.int64(32)) | word)
     n = np.bincount(of, n, minlength=len(pairs)).astype(np.int64)
     begins = np.ones(len(pairs), bool)
     begins[1:] = np.diff(pairs >> np.int64(32)) != 0
-    ids, word, _ = _unique(pairs & np.int64((1 << 32) - 1))
-    paths = length, start, bit, _, _ = code.paths(ids)
+    word = pairs & np.int64((1 << 32) - 1)
+    length, start, ways, _ = paths
     at, some, levels, last = start[word], np.arange(len(pairs)), [], np.zeros(len(pairs), np.int64)
     end = at + length[word]
     while True:
@@ -430,7 +628,7 @@ def _answer(code: Code, asked: list):
         some, at, end, node = some[go], at[go], end[go], node[go]
         if not len(some):
             break
-        way = bit[at]
+        way = ways[at]
         assert (at < end).all()
         begins = np.ones(len(some), bool)
         begins[1:] = (node[1:] != node[:-1]) | (way[1:] != way[:-1])
@@ -442,6 +640,8 @@ def _answer(code: Code, asked: list):
     # Of each pair only what is before its number is reached.
     owner = np.repeat(np.arange(len(pairs)), last + 1)
     last -= np.bincount(owner, counts == n[owner], minlength=len(pairs)).astype(np.int64) - 1
+    other = np.abs(np.diff(counts, prepend=0))  # what went the other way takes less room
+    other[first] = counts[first]
     a, context = 0, pairs >> np.int64(32)
     for r in asked:
         mine = of[a:a + r["m"]]
@@ -450,8 +650,9 @@ def _answer(code: Code, asked: list):
             # Nodes that a pair shares with the pair before are given once.
             ends, shared = last[mine], _shared(context, word, paths, mine)
             own = np.maximum(0, ends - shared)
-            yield (r["block"], r["tag"], r["chunk"], r["m"], packed(ends.astype(np.uint8)),
-                   packed(counts[spans(first[mine] + shared + 1, own)].astype("<i8")))
+            at, depth = spans(first[mine] + shared + 1, own), spans(shared + 1, own)
+            order = np.argsort(np.where(depth, _digits(counts[at - 1]) + 64 * depth, 0).astype(np.int16), kind="stable")
+            yield r["block"], r["tag"], r["chunk"], r["m"], packed(ends.astype(np.uint8)), packed(other[at[order]].astype("<u8"))
 
 
 def _rows(batches):
@@ -471,9 +672,10 @@ def _answers(model):
 
         def done():
             read = [_read(code, r) for r in asked]
-            rows = list(_answer(code, read))
+            paths = _numbered_ids(code, read)
+            rows = list(_answer(paths, read))
             if read[0]["tag"] == BOTH:
-                rows += _answer(code, [_one(r) for r in read])
+                rows += _answer(paths, [_one(r) for r in read])
             for a in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[a:a + 64]), kinds)], names=names)
 
@@ -500,48 +702,6 @@ def _by_tag(answered: pa.Table) -> dict[int, list]:
 
 # ---- texts --------------------------------------------------------------------------------------------------------
 
-def _number(batches):
-    """Sorted words with their task and their place among the words of their class in it."""
-    used: dict[int, int] = {}
-    part = TaskContext.get().partitionId()
-    for batch in batches:
-        place = []
-        for k in batch.column("class").to_pylist():
-            place.append(used.get(k, 0))
-            used[k] = place[-1] + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(place), pa.int32()), pa.array(place, pa.int64())],
-                                         names=["word", "c", "class", "part", "place"])
-
-
-def _by_block(limit: int = 1 << 20):
-    """Words of blocks, a row for each of a task's blocks in place of one for each word."""
-    names = ["block", "pos", "m", "head", "id", "tail"]
-
-    def run(batches):
-        parts, held = [], 0
-
-        def done():
-            block, pos, id_, tail = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((pos, block))
-            block, pos, id_, tail = block[order], pos[order], id_[order], tail[order]
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block[a]]), pa.array([0], pa.int32()), pa.array([b - a], pa.int32()),
-                    pa.array([packed(np.diff(pos[a:b], prepend=0).astype("<u4"))], pa.binary()),
-                    pa.array([packed(id_[a:b].astype("<u4"))], pa.binary()), pa.array([packed(tail[a:b].astype("<f8"))], pa.binary())], names=names)
-
-        for batch in batches:
-            parts.append([batch.column(c).to_numpy() for c in ("block", "pos", "id", "tail")])
-            held += batch.num_rows
-            if held >= limit:
-                yield from done()
-                parts, held = [], 0
-        if parts:
-            yield from done()
-    return run
-
-
 def _streamed(batches):
     """Rows of blocks one after the other."""
     rows = []
@@ -559,14 +719,16 @@ def _resolved(model, rows):
     words."""
     code, total, kinds = (model[k] for k in ("code", "N", "V"))
     row, = (pickle.loads(r["head"]) for r in rows if r["pos"] == -1)
-    rows = [r for r in rows if r["pos"] != -1]
-    pos = np.concatenate([np.cumsum(unpacked(r["head"], "<u4", r["m"]).astype(np.int64)) for r in rows])
-    order = np.argsort(pos)
-    ids = np.concatenate([unpacked(r["id"], "<u4", r["m"]) for r in rows]).astype(np.int64)[order]
-    tail = np.concatenate([unpacked(r["tail"], "<f8", r["m"]) for r in rows])[order]
+    rows = sorted((r for r in rows if r["pos"] != -1), key=lambda r: r["pos"])
+    ids = np.concatenate([unpacked(r["id"], "<u4", r["m"]) for r in rows]).astype(np.int64)
+    tail, new = np.zeros(len(ids)), ids == code.new
+    many = np.add.reduceat(new, np.cumsum([0, *(r["m"] for r in rows[:-1])]), dtype=np.int64).tolist()
+    tail[new] = np.concatenate([unpacked(r["tail"], "<f8", n) for r, n in zip(rows, many)])
     row["ends"] = ends = np.frombuffer(row["ends"], "<i8")
-    tokens = unpacked(row["tokens"], "<u4", int(ends[-1])).astype(np.int64)
-    assert len(ids) == tokens.max() + 1 and np.array_equal(pos[order], np.arange(len(ids)))  # every word of the block has come
+    tokens = unpacked_ranks(row.pop("tokens"), int(ends[-1]))
+    assert len(ids) == tokens.max() + 1  # every word of the block has come
+    numbered = _numbered(unpacked(row["n"], "<u4", len(ids)))
+    ids, tail = ids[numbered], tail[numbered]
     count = code.counts(ids)
     base = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
     docs = len(ends) - 1
@@ -585,19 +747,24 @@ class Asked:
         known = code.known(words)
         top = code.tops(known)
         self.ids = np.unique(np.concatenate((words, known, top, [code.start])))
-        self.paths = code.paths(self.ids)
+        self.code = code
         self.word, known, top = (np.searchsorted(self.ids, x).astype(np.int32)[word] for x in (words, known, top))
         one, two = _before(self.word, self.ends[:-1], len(self.ids) - 1)
         hot_one, hot_two = _before((code.counts(words) > hot)[word], self.ends[:-1], True)
         hot_two &= hot_one
-        deep, fine = (self.paths[0] > SPLIT)[self.word], self.ids != code.new
+        after = np.unique(self.word[hot_one])
+        deep, fine = np.zeros(len(self.ids), bool), self.ids != code.new
+        deep[after] = code.paths(self.ids[after])[0] > SPLIT
+        deep = deep[self.word]
         fine_one = fine[one]
         fine_two = fine_one & fine[two]
         learned = np.repeat(~np.array(row["held"], bool), np.diff(self.ends))
         cold = ~hot_one
         self.ranks, self.parts = code.rank(self.ids), []
+        by_rank = np.empty(len(self.ids), np.int32)
+        by_rank[np.argsort(self.ranks)] = np.arange(len(self.ids))
         for tag, columns, last, some in (
-                (BOTH, [one, two], known, fine_one & cold), (0, [one], top, fine_one & hot_one),
+                (BOTH, [one, by_rank[two]], known, fine_one & cold), (0, [one], top, fine_one & hot_one),
                 (1, [one, two], np.where(hot_two, top, known), fine_two & hot_one),
                 (2, [one, top], known, fine_one & hot_one & deep), (3, [one, two, top], known, fine_two & hot_two & deep)):
             tokens = np.flatnonzero(some)
@@ -605,7 +772,7 @@ class Asked:
 
             def key(rows):
                 ids = [x[rows] if tag == BOTH else self.ids[x[rows]] for x in columns]
-                if tag == BOTH:  # places of the block; the row has the ids
+                if tag == BOTH:  # places among the block's ranks; the row has the ranks
                     return (ids[1].astype(np.int64) << np.int64(32)) | self.ids[ids[0]]
                 return ids[0] if tag == 0 else (ids[1] << np.int64(32)) | ids[0] if tag == 1 else (ids[0] << np.int64(32)) | ids[1] if tag == 2 else _mixed_key(*ids)
 
@@ -614,18 +781,24 @@ class Asked:
         self.one = self.parts[0][0].shorter(ONE, bits)
 
     def rows(self, block: int):
+        ranked = np.sort(self.ranks)
         for pairs, _, learn in self.parts:
-            yield from pairs.rows(block, learn, self.ranks)
+            yield from pairs.rows(block, learn, self.ranks, ranked)
 
     def counts(self, answers):
         """All counts, and for both contexts the first and last place of every token's, up to the split and behind it."""
-        values, used = [np.zeros(1, np.int64)], 1
+        self.paths = self.code.paths(self.ids)
+        kind = self.code.kind
+        values, used = [np.zeros(1, kind)], 1
         upper = np.zeros((2, 2, len(self.word)), np.int32)  # the zero, where nothing was asked
         both, *others = ((pairs, tokens) for pairs, tokens, _ in self.parts)
-        for (pairs, tokens), context, behind in zip([both, (self.one, both[1]), *others], (1, 0, 0, 1, 0, 1), (0, 0, 0, 0, 1, 1)):
+        todo = [both, (self.one, both[1]), *others]
+        del both, others, self.parts, self.one  # each goes as its answers have come
+        for context, behind in zip((1, 0, 0, 1, 0, 1), (0, 0, 0, 0, 1, 1)):
+            pairs, tokens = todo.pop(0)
             if behind and not context:
                 lower = upper.copy()
-            first, last, numbers = pairs.place(answers.get(pairs.tag, []), self.paths)
+            first, last, numbers = pairs.place(answers.pop(pairs.tag, []), self.paths, kind)
             at = (lower if behind else upper)[context]
             at[0, tokens], at[1, tokens] = (first + used)[pairs.of], last[pairs.of]
             values.append(numbers)
@@ -660,36 +833,30 @@ def _count_spelling(bits: int, limit: int = 1 << 16):
             for pairs in _spell_pairs(words, bits)[2]:
                 yield from _asked(pairs.rows(-1, np.ones(len(pairs.of), bool), BYTES))
 
-        for batch in batches:
-            words += [w.encode() for w in batch.column("word").to_pylist()]
-            if len(words) >= limit:
-                yield from done()
-                words = []
+        for r in _rows(batches):
+            for word in _words_of(r, new=False):
+                words.append(word)
+                if len(words) >= limit:
+                    yield from done()
+                    words = []
         if words:
             yield from done()
     return run
 
 
 def _new_words(batches, limit: int = 1 << 14):
-    words, serial = [], 0
-
-    def block():
-        name = (TaskContext.get().partitionId() << 32) + serial
-        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pickle.dumps(words)], pa.binary())], names=["block", "row"])
-
-    for batch in batches:
-        words += batch.column("word").to_pylist()
-        if len(words) >= limit:
-            yield block()
-            words, serial = [], serial + 1
-    if words:
-        yield block()
+    """New words of a range, a row for some of them; its number is the range's with theirs."""
+    for r in _rows(batches):
+        words = _words_of(r, new=True)
+        for serial, a in enumerate(range(0, len(words), limit)):
+            yield pa.RecordBatch.from_arrays([pa.array([(r["chunk"] << 32) + serial], pa.int64()), pa.array([pickle.dumps(words[a:a + limit])], pa.binary())],
+                                             names=["block", "row"])
 
 
 def _ask_spelling(bits: int):
     def run(batches):
         for r in _rows(batches):
-            for pairs in _spell_pairs([w.encode() for w in pickle.loads(r["row"])], bits)[2]:
+            for pairs in _spell_pairs(pickle.loads(r["row"]), bits)[2]:
                 yield from _asked(pairs.rows(r["block"], np.zeros(len(pairs.of), bool), BYTES))
     return run
 
@@ -698,7 +865,7 @@ def _spelling_scores(bits: int):
     """Log (base 10) of the probability of words given by their bytes; the mixture does not adapt to single words."""
     def run(block, answered):
         words, answers = pickle.loads(block.column("row")[0].as_py()), _by_tag(answered)
-        owner, byte, pairs = _spell_pairs([w.encode() for w in words], bits)
+        owner, byte, pairs = _spell_pairs(words, bits)
         depth = np.tile(np.arange(8), len(byte))
         bit = ((byte[:, None] >> np.arange(7, -1, -1)) & 1).ravel()
         counts = []
@@ -711,7 +878,7 @@ def _spelling_scores(bits: int):
         mixed = np.clip(np.einsum("kn,nk->n", x, _START[gate]), -16, 16)
         p = 1 / (1 + np.exp(-mixed))
         score = np.bincount(np.repeat(owner, 8), np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words))
-        return pa.Table.from_arrays([pa.array(words), pa.array(score)], names=["word", "tail"])
+        return pa.Table.from_arrays([block.column("block"), pa.array([score.astype("<f8").tobytes()], pa.binary())], names=["block", "tails"])
     return run
 
 
@@ -758,25 +925,48 @@ class Mixer:
     """Weights and the last stage of each of ``n`` documents."""
 
     def __init__(self, n: int):
-        self.weights = np.tile(_START, (n, 1))  # (documents x gates, predictors)
+        self.weights = np.tile(_START, (n, 1)).T.copy()  # (predictors, documents x gates)
         self.ones, self.all = np.zeros(n * 24), np.zeros(n * 24)
 
     def cost(self, owner: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Log (base 10) of the probability of every decision, all by the state before them; then learns from them."""
-        row = owner * 16 + gate
-        mixed = np.clip(np.einsum("kn,nk->n", x, self.weights[row]), -16, 16)
-        p = 1 / (1 + np.exp(-mixed))
-        near = owner * 24 + np.clip(mixed + 12, 0, 23).astype(np.int64)
-        n = self.all[near]
-        last = np.clip((self.ones[near] + REFINE * p) / (n + REFINE), 1e-7, 1 - 1e-7)
-        last = (p + last) / 2
-        error, rows = bit - p, len(self.weights)
-        size = np.sqrt(np.maximum(1, np.bincount(row, minlength=rows)))
+        sign = 2.0 * bit - 1
+        return np.log10(self.step(owner * 16 + gate, owner * 48 + 24 * bit, sign, x * sign))
+
+    def step(self, row: np.ndarray, bin_: np.ndarray, sign: np.ndarray, x) -> np.ndarray:
+        """Probabilities of decisions. Log odds ``x`` are those of the way taken, ``sign`` is -1 where that is a zero. ``row``
+        is the weights' place and ``bin_`` that of the first bin of the document and bit."""
+        mixed = self.weights[0].take(row)
+        mixed *= x[0]
+        for k in (1, 2):
+            more = self.weights[k].take(row)
+            more *= x[k]
+            mixed += more
+        np.minimum(np.maximum(mixed, -16, out=mixed), 16, out=mixed)
+        near = mixed * sign  # log odds of a one
+        near += 12
+        np.minimum(np.maximum(near, 0, out=near), 23, out=near)
+        near = near.astype(np.int32) + bin_
+        p = np.exp(np.negative(mixed, out=mixed), out=mixed)
+        p += 1
+        np.divide(1, p, out=p)
+        # How often a bin's decisions were zeros, and ones, leans on the mixture.
+        hits = np.stack((self.all - self.ones, self.ones)).reshape(2, -1, 24).swapaxes(0, 1).ravel()
+        whole = np.repeat(1 / (self.all.reshape(-1, 24) + REFINE), 2, axis=0).ravel()
+        last = (REFINE * whole).take(near)
+        last *= p
+        last += (hits * whole).take(near)
+        np.minimum(np.maximum(last, 1e-7, out=last), 1 - 1e-7, out=last)
+        last += p
+        last *= 0.5
+        error, rows = np.subtract(1, p, out=p), self.weights.shape[1]
+        size = RATE / np.sqrt(np.maximum(1, np.bincount(row, minlength=rows)))
         for k in range(3):
-            self.weights[:, k] += RATE * np.bincount(row, error * x[k], minlength=rows) / size
-        self.all += np.bincount(near, minlength=len(self.all))
-        self.ones += np.bincount(near, bit, minlength=len(self.all))
-        return np.log10(np.where(bit == 1, last, 1 - last))
+            self.weights[k] += np.bincount(row, error * x[k], minlength=rows) * size
+        new = np.bincount(near, minlength=len(hits)).reshape(-1, 2, 24)
+        self.all += new.sum(1).ravel()
+        self.ones += new[:, 1].ravel()
+        return last
 
 
 def _alike(sizes: np.ndarray):
@@ -786,40 +976,81 @@ def _alike(sizes: np.ndarray):
     return np.split(order, np.flatnonzero(np.diff(groups)) + 1)
 
 
-def _mixed(paths, word: np.ndarray, sizes: np.ndarray, values: np.ndarray, places) -> np.ndarray:
+class Ways:
+    """What the decisions of tokens need of a block's paths and counts."""
+
+    def __init__(self, code: Code, paths, values: np.ndarray):
+        self.length, self.start, self.way, self.tells = paths
+        bit = np.tile([0, 1], len(code.chance))
+        chance = np.where(bit, np.repeat(code.chance, 2), 1 - np.repeat(code.chance, 2))  # of the way taken
+        self.bin, self.sign, self.prior, self.odds = 24 * bit, 2.0 * bit - 1, PRIOR * chance, _odds(chance)
+        self.gates = (values > 0).astype(np.int8) + (values > 3) + (values > 30)
+        self.values = values
+
+    def counted(self, upper, lower, decisions, first, n, tells):
+        """How often a context was reached, and went the way taken, at the decisions of tokens; and the gates of that."""
+        begin, last = upper
+        at = np.repeat(begin - first, decisions)
+        at += np.arange(n)
+        np.minimum(at, np.repeat(begin + last, decisions), out=at)
+        end = begin + np.minimum(decisions, last)
+        split = np.flatnonzero(begin != lower[0])
+        if len(split):
+            begin, last, more = lower[0][split], lower[1][split], decisions[split] - SPLIT
+            at[spans(first[split] + SPLIT, more)] = spans(begin + SPLIT, more)
+            capped = spans(first[split] + SPLIT, more)
+            at[capped] = np.minimum(at[capped], np.repeat(begin + last, more))
+            end[split] = begin + np.minimum(decisions[split], last)
+        reached = self.values.take(at).astype(np.float64)
+        taken = np.empty_like(reached)
+        taken[:-1] = reached[1:]
+        taken[first + decisions - 1] = self.values[end]
+        gate = self.gates.take(at)
+        reached[tells] = taken[tells] = gate[tells] = 0
+        return reached, taken, gate
+
+
+def _mixed(ways: Ways, word: np.ndarray, sizes: np.ndarray, places) -> np.ndarray:
     """Log (base 10) of the probability of each of some texts, one after the other in ``word``; ``places`` has the places
     of the tokens' counts for both contexts."""
-    length, start, bits, chances, novel = paths
-    docs, first = len(sizes), np.cumsum(sizes) - sizes
+    docs, begin = len(sizes), np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(docs), sizes)
     # The texts go forward together, STEP tokens at a time; few long ones are left at the end.
-    turn = (np.arange(len(word)) - first[owner]) // STEP
+    turn = (np.arange(len(word)) - begin[owner]) // STEP
     order = np.argsort(turn, kind="stable")
     edges = np.concatenate(([0], np.cumsum(np.bincount(turn))))
     mixer, score = Mixer(docs), np.zeros(docs)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         some = order[a:b]
-        decisions = length[word[some]]
-        at = spans(start[word[some]], decisions)
+        words, owned = word[some], owner[some]
+        decisions = ways.length[words]
         ends = np.cumsum(decisions)
-        depth = np.arange(len(at)) - np.repeat(ends - decisions, decisions)
-        bit, tells = bits[at], np.flatnonzero(novel[at])
-        counts = []
-        for upper, lower in places:
-            begin, last = (np.repeat(x[some], decisions) for x in upper)
-            split = np.flatnonzero(upper[0][some] != lower[0][some])
-            if len(split):
-                behind = spans((ends - decisions)[split] + SPLIT, decisions[split] - SPLIT)
-                begin[behind], last[behind] = (np.repeat(x[some[split]], decisions[split] - SPLIT) for x in lower)
-            reached = values[begin + np.minimum(depth, last)]
-            taken = np.empty_like(reached)
-            taken[:-1] = reached[1:]
-            taken[ends - 1] = values[begin[ends - 1] + np.minimum(decisions, last[ends - 1])]
-            reached[tells] = taken[tells] = 0
-            counts.append(_zeros_ones(reached, taken, bit))
-        x, gate = _stretched(chances[at], counts)
-        owned = np.repeat(owner[some], decisions)
-        score += np.bincount(owned, mixer.cost(owned, x, gate, bit), minlength=docs)
+        first, n = ends - decisions, int(ends[-1])
+        at = np.repeat(ways.start[words] - first, decisions)
+        at += np.arange(n)
+        tells = ways.tells[words]
+        tells = (first + tells)[tells >= 0]
+        row = np.repeat(owned * 16, decisions)
+        bins = np.repeat(owned * 48, decisions)
+        way = ways.way.take(at).astype(np.int64)
+        bins += ways.bin.take(way)
+        lean, x = ways.prior.take(way), [ways.odds.take(way)]
+        for k, (upper, lower) in enumerate(places):
+            reached, taken, gate = ways.counted(upper[:, some], lower[:, some], decisions, first, n, tells)
+            row += gate if k else np.int8(4) * gate
+            taken += lean  # on the shorter context
+            reached += PRIOR
+            taken /= reached
+            p = np.minimum(np.maximum(taken, 1e-7, out=taken), 1 - 1e-7, out=taken)
+            lean = PRIOR * p
+            other = np.subtract(1, p, out=reached)
+            x.append(np.log(np.divide(p, other, out=other), out=other))
+        p = mixer.step(row, bins, ways.sign.take(way), x)
+        # No more than 40 probabilities of at least 1e-7 are multiplied.
+        parts = np.sort(np.concatenate([first, *(first[decisions > k] + k for k in range(40, int(decisions.max()), 40))]))
+        if len(parts) > len(first):
+            owned = owned[np.searchsorted(first, parts, "right") - 1]
+        score += np.bincount(owned, np.log10(np.multiply.reduceat(p, parts)), minlength=docs)
     return score
 
 
@@ -829,11 +1060,11 @@ def _score_block(model, hot: int, bits: int, kind: pa.DataType):
         row = _resolved(model.value, block.to_pylist())
         asked = Asked(model.value["code"], row, hot, bits)
         values, *places = asked.counts(_by_tag(answered))
-        ends, score = asked.ends, row["tail"].copy()
+        ends, score, ways = asked.ends, row["tail"].copy(), Ways(asked.code, asked.paths, values)
         sizes = np.diff(ends)
         for part in _alike(sizes):
             at = spans(ends[:-1][part], sizes[part])
-            score[part] += _mixed(asked.paths, asked.word[at], sizes[part], values, [[x[:, at] for x in both] for both in places])
+            score[part] += _mixed(ways, asked.word[at], sizes[part], [[x[:, at] for x in both] for both in places])
         bits_spent = -score / np.log10(2) / np.maximum(1, np.frombuffer(row["bytes"], "<i8"))
         return pa.Table.from_arrays([
             pa.array(row["ids"], kind), pa.array(row["held"], pa.bool_()), pa.array(sizes),
@@ -855,15 +1086,15 @@ def scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, hot: int = HOT, ke
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(encode_blocks(docs, block_tokens, key, text), "blocks")
     kind = docs.schema[key].dataType
-    local = blocks.where("pos >= 0").select("block", "pos", "word", "n")
-    summed = local.groupBy("word").agg(F.sum("n").alias("c")).select(
-        "word", "c", F.when(F.col("word") == END.decode(), -1).otherwise(F.col("c")).alias("class"))
-    # Words of a class are numbered in their order, whatever the tasks.
-    ordered = summed.repartitionByRange(parts, "class", "word").sortWithinPartitions("class", "word")
-    counts = materialize(ordered.mapInArrow(_number, "word string, c long, class long, part int, place long"), "words")
-    shares = materialize(counts.where("class <> 0").groupBy("class", "part").agg(F.count("*").alias("words"), F.max("c").alias("c")), "classes")
+    pieces = blocks.where("pos >= 0")
+    chunks = max(parts, pieces.count() * PIECE_WORDS // CHUNK_WORDS)
+    borders = spark.sparkContext.broadcast(_borders(pieces, chunks))
+    ranged = pieces.select("block", "pos", "m", "sizes", "words", "n").mapInArrow(
+        _ranged(borders), "chunk int, block long, pos int, m int, sizes binary, words binary, n binary")
+    counted = materialize(ranged.groupBy("chunk").applyInArrow(_counted, _COUNTED), "words")
+    counts, shares = counted.where("class IS NULL"), counted.where("class <> 0").select("chunk", "class", "seen", "words_of")
     # Fewer than the square root of twice the training tokens.
-    classes = {r["class"]: (r["words"], r["c"]) for r in shares.groupBy("class").agg(F.sum("words").alias("words"), F.max("c").alias("c")).collect()}
+    classes = {r["class"]: (r["words"], r["c"]) for r in shares.groupBy("class").agg(F.sum("words_of").alias("words"), F.max("seen").alias("c")).collect()}
     end, once = classes.pop(-1, (1, 0))[1], classes.pop(1, (0, 1))[0]
     total = end + once + sum(n * c for n, c in classes.values())
     kinds = (end > 0) + once + sum(n for n, _ in classes.values())
@@ -874,24 +1105,24 @@ def scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, hot: int = HOT, ke
 
     # New words by their bytes; the share of a chunk is as with tokens.
     spell_bits = _chunk_bits(16 * kinds)
-    new = materialize(counts.where("class = 0").select("word").mapInArrow(_new_words, "block long, row binary"), "new")
-    asked = counts.where("class > 0").select("word").mapInArrow(_count_spelling(spell_bits), _ASKED).unionByName(
+    listed = counts.select("chunk", "m", "sizes", "words", "kind")
+    new = materialize(listed.mapInArrow(_new_words, "block long, row binary"), "new")
+    asked = listed.mapInArrow(_count_spelling(spell_bits), _ASKED).unionByName(
         new.mapInArrow(_ask_spelling(spell_bits), _ASKED))
     spelling = spark.sparkContext.broadcast({"code": SPELLING})
     spelled = new.groupBy("block").cogroup(_answered(asked, spelling, parts, 1 << spell_bits).groupBy("block")).applyInArrow(
-        _spelling_scores(spell_bits), "word string, tail double")
+        _spelling_scores(spell_bits), "block long, tails binary")
 
-    # A word's id: where its class begins, the words of the class in tasks before, and its place.
+    # A word's id: where its class begins, the words of the class in the ranges before, and its place. So words of a class
+    # are numbered in their order, whatever the ranges.
     begins = spark.createDataFrame([(k, int(x)) for k, x in zip(names, code.first.tolist())], "class long, begin long")
-    earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shares.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(begins, "class").select(
-        "class", "part", (F.col("begin") + F.col("offset")).alias("offset"))
-    known = counts.where("class <> 0").join(offsets, ["class", "part"]).select(
-        "word", (F.col("offset") + F.col("place")).alias("id"), F.lit(0.0).alias("tail"))
-    ids = known.unionByName(spelled.select("word", F.lit(code.new).cast("long").alias("id"), "tail"))
-
-    named = local.join(ids, "word").select("block", "pos", "id", "tail").mapInArrow(
-        _by_block(), "block long, pos int, m int, head binary, id binary, tail binary")
+    earlier = Window.partitionBy("class").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shares.withColumn("offset", F.coalesce(F.sum("words_of").over(earlier), F.lit(0))).join(begins, "class").select(
+        F.col("chunk").alias("range"), "class", (F.col("begin") + F.col("offset")).alias("offset"))
+    told = offsets.unionByName(spelled.select(
+        F.shiftright("block", 32).cast("int").alias("range"), F.col("block").alias("serial"), "tails"), allowMissingColumns=True)
+    named = counts.select("chunk", "m", "kind", "blocks", "places").groupBy("chunk").cogroup(told.groupBy("range")).applyInArrow(
+        _identified(code.new), "block long, pos int, m int, head binary, id binary, tail binary")
     heads = blocks.where("pos < 0").select("block", "pos", F.lit(0).alias("m"), "head", F.lit(None).cast("binary").alias("id"),
                                            F.lit(None).cast("binary").alias("tail"))
     whole = heads.unionByName(named).repartition(parts, "block")
