@@ -129,6 +129,39 @@ def test_words_of_a_block_take_few_rows(ready):  # noqa: F811
     assert sum(len(bytes(x)) for r in blocks if r.pos >= 0 for x in (r["sizes"], r["words"], r["n"])) < 5 * 20_001
 
 
+def test_answers_leave_out_what_a_block_knows(ready):  # noqa: F811
+    """No two blocks have a word in common, so no answer has more than a few bytes, however many pairs were asked."""
+    train = [i for i in range(60) if not mixing.held_out(i)][:4]
+    documents = [(i, " ".join(f"{'abcd'[k]}{j * j % 701}" for j in range(3000))) for k, i in enumerate(train)]
+    blocks = mixing.encode_blocks(frame(ready, documents).coalesce(1), 2000).collect()
+    words = {}
+    for r in (r for r in blocks if r.pos >= 0):
+        found, n = mixing.unpacked_words(r["sizes"], r["words"], r.m).to_pylist(), mixing.unpacked(r["n"], "<u4", r.m)
+        for w, k in zip(found, n.tolist()):
+            words[w] = words.get(w, 0) + k
+    end = words.pop(mixing.END)
+    kinds = sorted(set(words.values()), reverse=True)
+    sizes = [sum(k == n for n in words.values()) for k in kinds] + ([0] if kinds[-1] > 1 else [])
+    kinds += [1] if kinds[-1] > 1 else []
+    code = mixing.Code(mixing.Tree([end + 1, *(k * n + 1 for k, n in zip(kinds, sizes))]), [1, *(max(1, n) for n in sizes)], [end, *kinds])
+    ids = {mixing.END: int(code.first[0])}
+    for w in sorted(words):
+        k = 1 + kinds.index(words[w])
+        ids[w] = int(code.first[k]) + sum(words.get(v) == words[w] for v in ids)
+    rows = [(r.block, bytes(r["row"])) for r in blocks if r.pos < 0]
+    for r in (r for r in blocks if r.pos >= 0):
+        mine = np.array([ids[w] for w in mixing.unpacked_words(r["sizes"], r["words"], r.m).to_pylist()], np.uint32)
+        rows.append((r.block, mixing.struct.pack("<biii", 1, r.pos, r.m, 0) + mixing._sized(mixing.packed(mine)) + mixing._sized(mixing.packed(np.zeros(0)))))
+    known = ready.sparkContext._jsc.broadcast(mixing._model(code, end + sum(words.values()), 1 + len(words), 1 << 19, 0))
+    ask = mixing._kernel(ready, "Ask", known, "array<struct<chunk int, row binary>>")
+    answer = mixing._kernel(ready, "Answer", known, "array<struct<block bigint, row binary>>")
+    listed = lambda df, key: df.groupBy(key).agg(mixing.F.collect_list("row").alias("rows"))
+    asked = listed(ready.createDataFrame(rows, "block long, row binary"), "block").select(mixing.F.explode(ask("rows")).alias("r")).select("r.*").cache()
+    answers = listed(asked, "chunk").select(mixing.F.explode(answer("rows")).alias("r")).select("r.*").collect()
+    assert len({r.block for r in answers}) == 4 and sum(len(r["row"]) for r in asked.collect()) > 4000
+    assert max(len(r["row"]) for r in answers) < 64
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(7)
     for most in (1, 63, 64, 255, 256, 5000, 1 << 20, (1 << 32) - 1):

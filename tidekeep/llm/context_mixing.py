@@ -30,7 +30,12 @@ seen more than ``HOT`` times are told apart, behind the first decisions, by a 64
 
 import bisect
 import heapq
+import os
 import pickle
+import pkgutil
+import struct
+import tempfile
+import zipfile
 import zlib
 
 import numpy as np
@@ -39,6 +44,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column, _to_java_column, _to_seq
 
 from tidekeep.llm.base import Numbers, slices, spans, texts
 from tidekeep.session import materialize
@@ -103,18 +109,23 @@ def _numbered(n: np.ndarray) -> np.ndarray:
 
 
 _PIECE = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("m", pa.int32()), ("first", pa.binary()), ("sizes", pa.binary()),
-                    ("words", pa.binary()), ("n", pa.binary()), ("head", pa.binary())])
+                    ("words", pa.binary()), ("n", pa.binary()), ("row", pa.binary())])
 
 
 def _piece(row: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], field.type) for x, field in zip(row, _PIECE)], schema=_PIECE)
 
 
+def _sized(data: bytes) -> bytes:
+    return struct.pack("<i", len(data)) + data
+
+
 def _head(name, ids, held, tokens, bounds, sizes, n):
-    """The row with the texts of a block and the counts of its sorted words in them."""
-    return _piece([name, -1, len(n), None, None, None, None, pickle.dumps({
-        "ids": ids, "held": held, "tokens": packed_ranks(tokens), "ends": bounds.astype("<i8").tobytes(),
-        "bytes": sizes.astype("<i8").tobytes(), "n": packed(n.astype("<u4"))})])
+    """The row with the texts of a block and the counts of its sorted words in them, and with what only the result needs."""
+    head = pickle.dumps({"ids": ids, "held": held, "tokens": np.diff(bounds).astype("<i8").tobytes(), "bytes": sizes.astype("<i8").tobytes()})
+    row = struct.pack("<biii", 0, len(n), len(ids), len(tokens)) + _sized(packed_ranks(tokens)) + _sized(
+        packed(np.diff(bounds).astype("<u4"))) + _sized(packed(n.astype("<u4"))) + bytes(held) + head + struct.pack("<q", name)
+    return _piece([name, -1, len(n), None, None, None, None, row])
 
 
 _ZSTD, _ZSTD_SMALL = pa.Codec("zstd", compression_level=3), pa.Codec("zstd", compression_level=6)
@@ -178,7 +189,7 @@ def _planes(planes: np.ndarray) -> bytes:
 def encode_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each block of texts a row with the texts (``pos`` -1), and rows with its different words, sorted, in pieces."""
     return texts(docs, key, text).mapInArrow(
-        _blocks(block_tokens), "block long, pos int, m int, first binary, sizes binary, words binary, n binary, head binary")
+        _blocks(block_tokens), "block long, pos int, m int, first binary, sizes binary, words binary, n binary, row binary")
 
 
 # ---- words --------------------------------------------------------------------------------------------------------
@@ -248,9 +259,6 @@ def _words_of(r: dict, new: bool) -> list[bytes]:
 
 def _identified(new_id: int):
     """Ids of the words of blocks, from where the classes begin in a range; new words also have their spelling's score."""
-    names = ["block", "pos", "m", "head", "id", "tail"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-
     def run(found, told):
         rows = []
         for r in found.to_pylist():
@@ -269,8 +277,9 @@ def _identified(new_id: int):
             edges = np.cumsum([0, *sizes]).tolist()
             for block, a, b in zip(blocks, edges[:-1], edges[1:]):
                 mine = place[a:b]
-                rows.append((block, r["chunk"], b - a, None, packed(ids[mine].astype("<u4")), packed(tail[mine][kind[mine] == 0].astype("<f8"))))
-        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+                tails = tail[mine][kind[mine] == 0].astype("<f8")
+                rows.append((block, struct.pack("<biii", 1, r["chunk"], b - a, len(tails)) + _sized(packed(ids[mine].astype("<u4"))) + _sized(packed(tails))))
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [[]] * 2, (pa.int64(), pa.binary()))], names=["block", "row"])
     return run
 
 
@@ -700,119 +709,6 @@ def _by_tag(answered: pa.Table) -> dict[int, list]:
     return answers
 
 
-# ---- texts --------------------------------------------------------------------------------------------------------
-
-def _streamed(batches):
-    """Rows of blocks one after the other."""
-    rows = []
-    for r in _rows(batches):
-        if rows and rows[0]["block"] != r["block"]:
-            yield rows
-            rows = []
-        rows.append(r)
-    if rows:
-        yield rows
-
-
-def _resolved(model, rows):
-    """A block from its rows: tokens as ids, and what does not depend on their order: base scores and the spelling of new
-    words."""
-    code, total, kinds = (model[k] for k in ("code", "N", "V"))
-    row, = (pickle.loads(r["head"]) for r in rows if r["pos"] == -1)
-    rows = sorted((r for r in rows if r["pos"] != -1), key=lambda r: r["pos"])
-    ids = np.concatenate([unpacked(r["id"], "<u4", r["m"]) for r in rows]).astype(np.int64)
-    tail, new = np.zeros(len(ids)), ids == code.new
-    many = np.add.reduceat(new, np.cumsum([0, *(r["m"] for r in rows[:-1])]), dtype=np.int64).tolist()
-    tail[new] = np.concatenate([unpacked(r["tail"], "<f8", n) for r, n in zip(rows, many)])
-    row["ends"] = ends = np.frombuffer(row["ends"], "<i8")
-    tokens = unpacked_ranks(row.pop("tokens"), int(ends[-1]))
-    assert len(ids) == tokens.max() + 1  # every word of the block has come
-    numbered = _numbered(unpacked(row["n"], "<u4", len(ids)))
-    ids, tail = ids[numbered], tail[numbered]
-    count = code.counts(ids)
-    base = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
-    docs = len(ends) - 1
-    owner = np.repeat(np.arange(docs), np.diff(ends))
-    row["base"], row["tail"], row["known"] = (np.bincount(owner, x[tokens], minlength=docs) for x in (base, tail, (count > 0).astype(float)))
-    row["tokens"] = ids[tokens]
-    return row
-
-
-class Asked:
-    """What a block asks: pairs of context and token, and for every token its pairs up to the split and behind it."""
-
-    def __init__(self, code: Code, row, hot: int, bits: int):
-        self.ends = row["ends"]
-        words, word, _ = _unique(row["tokens"])
-        known = code.known(words)
-        top = code.tops(known)
-        self.ids = np.unique(np.concatenate((words, known, top, [code.start])))
-        self.code = code
-        self.word, known, top = (np.searchsorted(self.ids, x).astype(np.int32)[word] for x in (words, known, top))
-        one, two = _before(self.word, self.ends[:-1], len(self.ids) - 1)
-        hot_one, hot_two = _before((code.counts(words) > hot)[word], self.ends[:-1], True)
-        hot_two &= hot_one
-        after = np.unique(self.word[hot_one])
-        deep, fine = np.zeros(len(self.ids), bool), self.ids != code.new
-        deep[after] = code.paths(self.ids[after])[0] > SPLIT
-        deep = deep[self.word]
-        fine_one = fine[one]
-        fine_two = fine_one & fine[two]
-        learned = np.repeat(~np.array(row["held"], bool), np.diff(self.ends))
-        cold = ~hot_one
-        self.ranks, self.parts = code.rank(self.ids), []
-        by_rank = np.empty(len(self.ids), np.int32)
-        by_rank[np.argsort(self.ranks)] = np.arange(len(self.ids))
-        for tag, columns, last, some in (
-                (BOTH, [one, by_rank[two]], known, fine_one & cold), (0, [one], top, fine_one & hot_one),
-                (1, [one, two], np.where(hot_two, top, known), fine_two & hot_one),
-                (2, [one, top], known, fine_one & hot_one & deep), (3, [one, two, top], known, fine_two & hot_two & deep)):
-            tokens = np.flatnonzero(some)
-            columns = [x[tokens] for x in columns]
-
-            def key(rows):
-                ids = [x[rows] if tag == BOTH else self.ids[x[rows]] for x in columns]
-                if tag == BOTH:  # places among the block's ranks; the row has the ranks
-                    return (ids[1].astype(np.int64) << np.int64(32)) | self.ids[ids[0]]
-                return ids[0] if tag == 0 else (ids[1] << np.int64(32)) | ids[0] if tag == 1 else (ids[0] << np.int64(32)) | ids[1] if tag == 2 else _mixed_key(*ids)
-
-            pairs = Pairs(tag, columns, last[tokens], len(self.ids), key, bits, (lambda rows: self.ids[columns[0][rows]]) if tag == BOTH else None)
-            self.parts.append((pairs, tokens, learned[tokens]))
-        self.one = self.parts[0][0].shorter(ONE, bits)
-
-    def rows(self, block: int):
-        ranked = np.sort(self.ranks)
-        for pairs, _, learn in self.parts:
-            yield from pairs.rows(block, learn, self.ranks, ranked)
-
-    def counts(self, answers):
-        """All counts, and for both contexts the first and last place of every token's, up to the split and behind it."""
-        self.paths = self.code.paths(self.ids)
-        kind = self.code.kind
-        values, used = [np.zeros(1, kind)], 1
-        upper = np.zeros((2, 2, len(self.word)), np.int32)  # the zero, where nothing was asked
-        both, *others = ((pairs, tokens) for pairs, tokens, _ in self.parts)
-        todo = [both, (self.one, both[1]), *others]
-        del both, others, self.parts, self.one  # each goes as its answers have come
-        for context, behind in zip((1, 0, 0, 1, 0, 1), (0, 0, 0, 0, 1, 1)):
-            pairs, tokens = todo.pop(0)
-            if behind and not context:
-                lower = upper.copy()
-            first, last, numbers = pairs.place(answers.pop(pairs.tag, []), self.paths, kind)
-            at = (lower if behind else upper)[context]
-            at[0, tokens], at[1, tokens] = (first + used)[pairs.of], last[pairs.of]
-            values.append(numbers)
-            used += len(numbers)
-        return np.concatenate(values), *zip(upper, lower)
-
-
-def _ask(model, hot: int, bits: int):
-    def run(batches):
-        for rows in _streamed(batches):
-            yield from _asked(Asked(model.value["code"], _resolved(model.value, rows), hot, bits).rows(rows[0]["block"]))
-    return run
-
-
 # ---- spelling -----------------------------------------------------------------------------------------------------
 
 #: A byte is eight halves of one class.
@@ -969,107 +865,54 @@ class Mixer:
         return last
 
 
-def _alike(sizes: np.ndarray):
-    """Texts of a block in groups of about ``SCORED_TOKENS`` tokens, long ones together, so that few steps are short."""
-    order = np.argsort(-sizes, kind="stable")
-    groups = np.cumsum(sizes[order]) // SCORED_TOKENS
-    return np.split(order, np.flatnonzero(np.diff(groups)) + 1)
-
-
-class Ways:
-    """What the decisions of tokens need of a block's paths and counts."""
-
-    def __init__(self, code: Code, paths, values: np.ndarray):
-        self.length, self.start, self.way, self.tells = paths
-        bit = np.tile([0, 1], len(code.chance))
-        chance = np.where(bit, np.repeat(code.chance, 2), 1 - np.repeat(code.chance, 2))  # of the way taken
-        self.bin, self.sign, self.prior, self.odds = 24 * bit, 2.0 * bit - 1, PRIOR * chance, _odds(chance)
-        self.gates = (values > 0).astype(np.int8) + (values > 3) + (values > 30)
-        self.values = values
-
-    def counted(self, upper, lower, decisions, first, n, tells):
-        """How often a context was reached, and went the way taken, at the decisions of tokens; and the gates of that."""
-        begin, last = upper
-        at = np.repeat(begin - first, decisions)
-        at += np.arange(n)
-        np.minimum(at, np.repeat(begin + last, decisions), out=at)
-        end = begin + np.minimum(decisions, last)
-        split = np.flatnonzero(begin != lower[0])
-        if len(split):
-            begin, last, more = lower[0][split], lower[1][split], decisions[split] - SPLIT
-            at[spans(first[split] + SPLIT, more)] = spans(begin + SPLIT, more)
-            capped = spans(first[split] + SPLIT, more)
-            at[capped] = np.minimum(at[capped], np.repeat(begin + last, more))
-            end[split] = begin + np.minimum(decisions[split], last)
-        reached = self.values.take(at).astype(np.float64)
-        taken = np.empty_like(reached)
-        taken[:-1] = reached[1:]
-        taken[first + decisions - 1] = self.values[end]
-        gate = self.gates.take(at)
-        reached[tells] = taken[tells] = gate[tells] = 0
-        return reached, taken, gate
-
-
-def _mixed(ways: Ways, word: np.ndarray, sizes: np.ndarray, places) -> np.ndarray:
-    """Log (base 10) of the probability of each of some texts, one after the other in ``word``; ``places`` has the places
-    of the tokens' counts for both contexts."""
-    docs, begin = len(sizes), np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(docs), sizes)
-    # The texts go forward together, STEP tokens at a time; few long ones are left at the end.
-    turn = (np.arange(len(word)) - begin[owner]) // STEP
-    order = np.argsort(turn, kind="stable")
-    edges = np.concatenate(([0], np.cumsum(np.bincount(turn))))
-    mixer, score = Mixer(docs), np.zeros(docs)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        some = order[a:b]
-        words, owned = word[some], owner[some]
-        decisions = ways.length[words]
-        ends = np.cumsum(decisions)
-        first, n = ends - decisions, int(ends[-1])
-        at = np.repeat(ways.start[words] - first, decisions)
-        at += np.arange(n)
-        tells = ways.tells[words]
-        tells = (first + tells)[tells >= 0]
-        row = np.repeat(owned * 16, decisions)
-        bins = np.repeat(owned * 48, decisions)
-        way = ways.way.take(at).astype(np.int64)
-        bins += ways.bin.take(way)
-        lean, x = ways.prior.take(way), [ways.odds.take(way)]
-        for k, (upper, lower) in enumerate(places):
-            reached, taken, gate = ways.counted(upper[:, some], lower[:, some], decisions, first, n, tells)
-            row += gate if k else np.int8(4) * gate
-            taken += lean  # on the shorter context
-            reached += PRIOR
-            taken /= reached
-            p = np.minimum(np.maximum(taken, 1e-7, out=taken), 1 - 1e-7, out=taken)
-            lean = PRIOR * p
-            other = np.subtract(1, p, out=reached)
-            x.append(np.log(np.divide(p, other, out=other), out=other))
-        p = mixer.step(row, bins, ways.sign.take(way), x)
-        # No more than 40 probabilities of at least 1e-7 are multiplied.
-        parts = np.sort(np.concatenate([first, *(first[decisions > k] + k for k in range(40, int(decisions.max()), 40))]))
-        if len(parts) > len(first):
-            owned = owned[np.searchsorted(first, parts, "right") - 1]
-        score += np.bincount(owned, np.log10(np.multiply.reduceat(p, parts)), minlength=docs)
-    return score
-
-
-def _score_block(model, hot: int, bits: int, kind: pa.DataType):
-    """Scores of the texts of a block with the answers it got."""
-    def run(block, answered):
-        row = _resolved(model.value, block.to_pylist())
-        asked = Asked(model.value["code"], row, hot, bits)
-        values, *places = asked.counts(_by_tag(answered))
-        ends, score, ways = asked.ends, row["tail"].copy(), Ways(asked.code, asked.paths, values)
-        sizes = np.diff(ends)
-        for part in _alike(sizes):
-            at = spans(ends[:-1][part], sizes[part])
-            score[part] += _mixed(ways, asked.word[at], sizes[part], [[x[:, at] for x in both] for both in places])
-        bits_spent = -score / np.log10(2) / np.maximum(1, np.frombuffer(row["bytes"], "<i8"))
-        return pa.Table.from_arrays([
-            pa.array(row["ids"], kind), pa.array(row["held"], pa.bool_()), pa.array(sizes),
-            pa.array(row["known"].astype(np.int64)), pa.array(row["base"]), pa.array(score), pa.array(bits_spent)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+# ---- texts --------------------------------------------------------------------------------------------------------
+
+def _compiled(spark) -> object:
+    """Loader of the classes of ``mixing.java``, compiled once for each application; Spark hands them to every executor."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidekeep_mixing", None):
+        compiler = context._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(pkgutil.get_data(__package__, "mixing.java").decode())
+        archive = os.path.join(tempfile.mkdtemp(prefix="tidekeep-"), "mixing.jar")
+        with zipfile.ZipFile(archive, "w") as out:
+            for name, code in dict(compiler.getBytecodes()).items():
+                out.writestr(f"{name.replace('.', '/')}.class", bytes(code))
+        context._jsc.addJar(archive)
+        context._tidekeep_mixing = compiler.getClassLoader()
+    return context._tidekeep_mixing
+
+
+def _kernel(spark, name: str, model, returns: str):
+    """A function of ``mixing.java`` on a column of lists of rows."""
+    context = spark.sparkContext
+    given = context._gateway.new_array(context._jvm.Object, 1)
+    given[0] = model
+    made = _compiled(spark).loadClass(f"tidekeep.Mixing${name}").getConstructors()[0].newInstance(given)
+    function = context._jvm.org.apache.spark.sql.functions.udf(made, context._jvm.org.apache.spark.sql.types.DataType.fromDDL(returns))
+    return lambda column: Column(function.apply(_to_seq(context, [column], _to_java_column)))
+
+
+def _model(code: Code, total: int, kinds: int, hot: int, bits: int) -> bytes:
+    """What ``mixing.java`` knows of all texts."""
+    assert code.start < 1 << 31
+    data = struct.pack("<qqqiiii", total, kinds, hot, bits, code.once, len(code.sizes), len(code.tree.chance)) + code.seen.astype("<i8").tobytes()
+    for x in (code.sizes, code.leaves, code.by_rank, code.top, code.tree.length, 2 * code.tree.node + code.tree.bit, code.halved):
+        data += struct.pack("<i", len(x)) + x.astype("<i4").tobytes()
+    return data + struct.pack("<i", len(code.chance)) + code.chance.astype("<f8").tobytes()
+
+
+def _scored(kind: pa.DataType):
+    """Rows of texts from those of blocks."""
+    def run(batches):
+        for r in _rows(batches):
+            head = pickle.loads(memoryview(r["found"])[24 * r["texts"]:])
+            found = np.frombuffer(r["found"], "<i8,<f8,<f8", r["texts"])
+            score = found["f2"]
+            bits_spent = -score / np.log10(2) / np.maximum(1, np.frombuffer(head["bytes"], "<i8"))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(head["ids"], kind), pa.array(head["held"], pa.bool_()), pa.array(np.frombuffer(head["tokens"], "<i8")),
+                *(pa.array(np.ascontiguousarray(x)) for x in (found["f0"], found["f1"], score, bits_spent))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
     return run
 
 
@@ -1088,6 +931,7 @@ def scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, hot: int = HOT, ke
     kind = docs.schema[key].dataType
     pieces = blocks.where("pos >= 0")
     chunks = max(parts, pieces.count() * PIECE_WORDS // CHUNK_WORDS)
+    many = max(parts, blocks.where("pos < 0").count())
     borders = spark.sparkContext.broadcast(_borders(pieces, chunks))
     ranged = pieces.select("block", "pos", "m", "sizes", "words", "n").mapInArrow(
         _ranged(borders), "chunk int, block long, pos int, m int, sizes binary, words binary, n binary")
@@ -1122,15 +966,21 @@ def scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, hot: int = HOT, ke
     told = offsets.unionByName(spelled.select(
         F.shiftright("block", 32).cast("int").alias("range"), F.col("block").alias("serial"), "tails"), allowMissingColumns=True)
     named = counts.select("chunk", "m", "kind", "blocks", "places").groupBy("chunk").cogroup(told.groupBy("range")).applyInArrow(
-        _identified(code.new), "block long, pos int, m int, head binary, id binary, tail binary")
-    heads = blocks.where("pos < 0").select("block", "pos", F.lit(0).alias("m"), "head", F.lit(None).cast("binary").alias("id"),
-                                           F.lit(None).cast("binary").alias("tail"))
-    whole = heads.unionByName(named).repartition(parts, "block")
+        _identified(code.new), "block long, row binary")
+    whole = blocks.where("pos < 0").select("block", "row").unionByName(named).repartition(many, "block")
+    whole = whole.groupBy("block").agg(F.collect_list("row").alias("rows"))
 
     bits = _chunk_bits(2 * total)
-    answers = _answered(whole.sortWithinPartitions("block").mapInArrow(_ask(model, hot, bits), _ASKED), model, parts, 1 << bits)
-    scored = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_block(model, hot, bits, to_arrow_type(kind)),
+    known = spark.sparkContext._jsc.broadcast(_model(code, total, kinds, hot, bits))
+    ask, answer, score = (_kernel(spark, name, known, returns) for name, returns in (
+        ("Ask", "array<struct<chunk int, row binary>>"), ("Answer", "array<struct<block bigint, row binary>>"), ("Score", "struct<texts int, found binary>")))
+    asked = whole.select(F.explode(ask("rows")).alias("asked")).select("asked.*")
+    chunked = asked.repartition(max(parts, 1 << bits), "chunk").groupBy("chunk").agg(F.collect_list("row").alias("rows"))
+    answers = chunked.select(F.explode(answer("rows")).alias("answer")).select("answer.*")
+    answered = answers.repartition(many, "block").groupBy("block").agg(F.collect_list("row").alias("answers"))
+    # Every block has answers; with an inner join its texts would be dealt out twice, for the filter of nulls.
+    scored = whole.join(answered, "block", "left").select(score(F.concat("rows", "answers")).alias("scored")).select("scored.*").mapInArrow(
+        _scored(to_arrow_type(kind)),
         f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score", "bits_per_byte")
