@@ -16,11 +16,13 @@ All counts are taken over all training texts, for every word and every context;
 words of a block are sorted, cut at borders that are the same for all blocks, and counted and numbered range by range.
 Only the borders come from a sample, of the first words of pieces. Each block of
 texts sends its pairs of context and token to the chunk of the context's hash, with how often its training texts have
-them. A chunk, of which there are more as the corpus grows, adds the blocks up and answers every pair with the counts
-along the token's path. Answers go back to the block, which is scored with the counts of its own pairs. Contexts of
-words seen more than ``HOT`` times are dealt out by the first ``SPLIT`` decisions of the token, so none is one task's.
-The driver holds the classes: with n training tokens there are fewer than the square root of 2n. Spelling is counted and
-answered in the same way, with bytes for tokens.
+them. A chunk, of which there are more as the corpus grows, adds the blocks up and answers every block with how often
+the other blocks have its pairs, node by node along the tokens' paths. How often they have a context is known from the
+shorter one, so answers are only the parts that go along, coded by the chance that the shorter context gives. The block
+adds its own counts and is scored. Contexts of words seen more than ``HOT`` times are dealt out by the first ``SPLIT``
+decisions of the token, so none is one task's. These loops are in ``mixing.java``; what is here, and brute force in the
+tests, says what they do. The driver holds the classes: with n training tokens there are fewer than the square root of
+2n. Spelling is counted and answered here, pairs with all counts along the path, with bytes for tokens.
 
 Nulls: a null text is empty (the end is its only token); a null document id counts as the empty text when documents
 are divided. Rows that repeat are scored, and learned from, each for itself. An empty table gives an empty result;
@@ -358,34 +360,10 @@ class Code:
         found = self.leaves[np.searchsorted(self.begins, ids, "right") - 1]
         return np.where(ids >= self.new, self.once, found)
 
-    def rank(self, ids: np.ndarray) -> np.ndarray:
-        k = self.classes(ids)
-        return np.where(ids >= self.new, ids, ids - self.first[k] + self.rank_of[k])
-
     def unrank(self, ranks: np.ndarray) -> np.ndarray:
         k = self.by_rank[np.searchsorted(self.ranks, ranks, "right") - 1]
         return np.where(ranks >= self.new, ranks, ranks - self.rank_of[k] + self.first[k])
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """How often the words of ids were seen."""
-        return np.where(ids >= self.new, 0, self.seen[self.classes(ids)])
-
-    def known(self, ids: np.ndarray) -> np.ndarray:
-        """Ids with the first of its class for what is new, which is on the same path up to the class."""
-        return np.where(ids == self.new, self.first[self.once], ids)
-
-    def tops(self, ids: np.ndarray) -> np.ndarray:
-        """For known ids the least id below the node that is ``SPLIT`` decisions deep on their path."""
-        k = self.classes(ids)
-        at, low, size = ids - self.first[k], np.zeros(len(ids), np.int64), self.sizes[k]
-        left = SPLIT - self.tree.length[k] - (k == self.once)
-        for _ in range(SPLIT):
-            half = (size + 1) // 2
-            go, right = (left > 0) & (size > 1), at - low >= half
-            low, size = np.where(go & right, low + half, low), np.where(go, np.where(right, size - half, half), size)
-            left = left - 1
-        return np.where(self.tree.length[k] >= SPLIT, self.top[k], self.first[k] + low)
-
     def paths(self, ids: np.ndarray):
         """Length and start of the path of each id; twice the place of the chance of a one, and the bit, for its decisions;
         and the depth of the decision that tells new words, -1 where there is none."""
@@ -422,26 +400,6 @@ def _slots(node: np.ndarray, context: np.ndarray, bits: int, which: int) -> np.n
     return ((key >> np.int64(64 - 2 - bits)) & np.int64((1 << bits) - 1)) + np.int64(which << bits)
 
 
-def _mixed_key(*columns: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of some numbers together."""
-    key = np.zeros(len(columns[0]), np.uint64)
-    for column in columns:
-        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        key ^= key >> np.uint64(29)
-    return (key >> np.uint64(1)).astype(np.int64)
-
-
-def _before(ids: np.ndarray, first: np.ndarray, start) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each and the one before that; a text begins after two tokens of its own kind."""
-    one, two = np.full_like(ids, start), np.full_like(ids, start)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
-    one[first] = two[first] = start
-    second = first + 1
-    two[second[second < len(two)]] = start
-    return one, two
-
-
 def _spelled(words: list[bytes]):
     """The bytes of words, each word closed by a zero byte: word, byte, and the two and the three bytes before."""
     raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
@@ -459,7 +417,7 @@ class Pairs:
     """Different pairs of context and id, sorted; ``of`` has the place of each pair given. Contexts are columns of numbers
     below ``size``, as are ids, by their order in a block; ``key`` gives a context's number everywhere, from its rows."""
 
-    def __init__(self, tag: int, context: list, word: np.ndarray, size: int, key, bits: int, dealt=None):
+    def __init__(self, tag: int, context: list, word: np.ndarray, size: int, key, bits: int):
         width = np.int64(max(1, size - 1).bit_length())
         code, room = context[0].astype(np.int64), width
         for column in (*context[1:], word):
@@ -468,35 +426,20 @@ class Pairs:
                 room = np.int64(max(1, len(code)).bit_length())
             code, room = (code << width) | column, room + width
         pairs, self.of, row = _unique(code)
-        self._deal(tag, key(row), pairs & ((np.int64(1) << width) - 1), _slots(np.array([tag]), dealt(row) if dealt else key(row), bits, 0), bits)
+        self._deal(tag, key(row), pairs & ((np.int64(1) << width) - 1), _slots(np.array([tag]), key(row), bits, 0), bits)
 
     def _deal(self, tag, key, word, chunk, bits):
         self.tag, self.key, self.word, self.of = tag, key, word.astype(np.int32), self.of.astype(np.int32)
         self.order = np.argsort(chunk.astype(np.uint16) if bits <= 16 else chunk, kind="stable").astype(np.int32)
         self.size = np.bincount(chunk, minlength=1 << bits)
 
-    def shorter(self, tag: int, bits: int) -> "Pairs":
-        """Pairs whose contexts lack the token further back, for pairs that are dealt out by the other token."""
-        made, one = Pairs.__new__(Pairs), self.key & np.int64((1 << 32) - 1)
-        pairs, of, row = _unique((_unique(one)[1] << np.int64(32)) | self.word)
-        made.of = of[self.of]
-        made._deal(tag, one[row], self.word[row], _slots(np.array([self.tag]), one[row], bits, 0), bits)
-        return made
-
-    def rows(self, block: int, learn: np.ndarray, ids: np.ndarray, two=None):
-        """Rows for the chunks: the pairs, and how often they are among those to learn from. ``two`` are the ids of tokens
-        further back."""
+    def rows(self, block: int, learn: np.ndarray, ids: np.ndarray):
+        """Rows for the chunks: the pairs, and how often they are among those to learn from."""
         n = np.bincount(self.of[learn], minlength=len(self.key))
         ends, ranks = np.cumsum(self.size), ids[self.word]
-        both = self.tag == BOTH
         for chunk in np.flatnonzero(self.size).tolist():
             some = self.order[ends[chunk] - self.size[chunk]:ends[chunk]]
-            key = self.key[some]
-            step = np.diff(key & np.int64((1 << 32) - 1) if both else key, prepend=0)
-            if both:  # sorted after the same token
-                further = two[key >> np.int64(32)].astype(np.int64)
-                further = packed_ranks(np.where(step != 0, further, np.diff(further, prepend=0)).astype(np.uint32))
-            yield (chunk, self.tag, block, len(some), packed(step.astype("<i8")), further if both else None,
+            yield (chunk, self.tag, block, len(some), packed(np.diff(self.key[some], prepend=0).astype("<i8")),
                    packed_ranks(ranks[some].astype(np.uint32)), packed(n[some].astype("<u4")))
 
     def place(self, parts, paths, kind=np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -569,16 +512,13 @@ def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], of, order[new]
 
 
-#: Tags of pairs. Tokens after a token that isn't hot ask for both contexts in one row, with that token's chunk; ``ONE`` is
-#: the answer for the shorter context. Others ask by themselves, with chunks of their own.
-BOTH, ONE = 4, 5
-_ASKED = "chunk int, tag int, block long, m int, key binary, two binary, id binary, n binary"
+_ASKED = "chunk int, tag int, block long, m int, key binary, id binary, n binary"
 _ANSWERED = "block long, tag int, chunk int, m int, last binary, counts binary"
 
 
 def _asked(rows):
-    names = ["chunk", "tag", "block", "m", "key", "two", "id", "n"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "tag", "block", "m", "key", "id", "n"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     rows = list(rows)
     for a in range(0, len(rows), 64):
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[a:a + 64]), kinds)], names=names)
@@ -590,22 +530,9 @@ def _read(code: Code, r: dict) -> dict:
     key = np.cumsum(unpacked(r["key"], "<i8", r["m"]))
     read["id"], read["n"] = code.unrank(unpacked_ranks(r["id"], r["m"])), unpacked(r["n"], "<u4", r["m"]).astype(np.int64)
     read["key"] = key
-    if r["two"] is not None:
-        step = unpacked_ranks(r["two"], r["m"])
-        begin = np.flatnonzero(np.diff(key, prepend=-1))
-        two = np.cumsum(step)
-        two -= np.repeat(two[begin] - step[begin], np.diff(np.append(begin, len(key))))
-        read["key"] = (two << np.int64(32)) | key
     return read
 
 
-def _one(r: dict) -> dict:
-    """The pairs of a row for the context of one token."""
-    pairs, of, row = _unique(((r["key"] & np.int64((1 << 32) - 1)) << np.int64(32)) | r["word"])
-    return r | {"tag": ONE, "m": len(pairs), "key": pairs >> np.int64(32), "word": r["word"][row],
-                "n": np.bincount(of, r["n"], minlength=len(pairs)).astype(np.int64)}
-
-
 def _numbered_ids(code: Code, asked: list):
     """Gives the pairs the numbers of their ids among those of a chunk, and returns the ids' paths."""
     ids = np.unique(np.concatenate([r["id"] for r in asked]))
@@ -683,8 +610,6 @@ def _answers(model):
             read = [_read(code, r) for r in asked]
             paths = _numbered_ids(code, read)
             rows = list(_answer(paths, read))
-            if read[0]["tag"] == BOTH:
-                rows += _answer(paths, [_one(r) for r in read])
             for a in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[a:a + 64]), kinds)], names=names)
 
